@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow
 
@@ -110,16 +111,19 @@ def learn(docs: DataFrame, held_out, sample: int = SAMPLE, key: str = "doc_id",
     return fit([t for _, t in pairs], [lang for lang, _ in pairs])
 
 
-def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, lang_pred, score and rejected of every whole text; one pass, no shuffle."""
+def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """``key``, lang_pred, score and rejected of every whole text; one pass, no shuffle. ``extra``: columns carried along
+    (the results then stand after them)."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+    carried = [docs.schema[c] for c in (extra if extra is not None else [key])]
+    place = len(carried)
 
     def run(batches):
         grams, model = Grams(), kept.value
         for batch in batches:
             for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
-                langs, scores, far = model.predict(grams, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(far)], ["k", "lang_pred", "score", "rejected"])
+                langs, scores, far = model.predict(grams, part.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:place], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], [*part.schema.names[:place], "lang_pred", "score", "rejected"])
 
-    return map_arrow(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("k", key)
+    schema = T.StructType([*carried, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return map_arrow(docs.select(*[F.col(f"`{c.name}`") for c in carried], F.col(text).alias("#text")), run, schema)

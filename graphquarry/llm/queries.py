@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, decontam, langid, merkle, token_count, toxicity, warc
+from . import bpe, dac, decontam, fmindex, jaccard, langid, merkle, token_count, toxicity, warc
 from .common import table
 from .sql import ORACLES
 
@@ -57,5 +57,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold(F.col("doc_id"), 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index, op2_token_file, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_toxicity, op7_merkle, op8_language)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.repeated_words(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_token_file, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_toxicity, op7_merkle, op8_language, op9_substring_dedup, op10_ngram_jaccard)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}

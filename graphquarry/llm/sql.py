@@ -44,9 +44,9 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
   ELSE list_distinct(list_transform(range(len(ws) - 3), lambda i: array_to_string(ws[i + 1 : i + 4], ' '))) END AS sh FROM d),
 u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
-o AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, count(*) AS both FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, count(*) AS shared FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id
   AND a.n * 100 >= 85 * b.n AND b.n * 100 >= 85 * a.n GROUP BY ALL),
-e AS (SELECT x, y FROM o WHERE 100 * both >= 85 * (total - both)),
+e AS (SELECT x, y FROM o WHERE 100 * shared >= 85 * (total - shared)),
 both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT b.y, r.c FROM reach r JOIN both_ways b ON b.x = r.doc_id AND r.c < b.y)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(min(c), s.doc_id) AS component_id FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, len(sh)"""
