@@ -1,5 +1,355 @@
-"""Registered queries of the retrieval engine and their DuckDB SQL."""
+"""Registered queries of the retrieval engine, each beside its DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import chunking, evaluation, graph, incremental, retrieval
+from ..sources import readers
+from ..streaming import cdc
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "rrf_fusion"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- retrieval -------------------------------------------------------------------------------------------------------
+
+QUERY_SET = "vec_id < 20"
+RANKED_SQL = f"""s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+FROM embeddings v, embeddings q WHERE q.{QUERY_SET}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+def ranked(spark, sf_dir, k):
+    """The first 20 vectors are the stated query set, against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.vector_topk(vectors, vectors.where(QUERY_SET).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
+
+
+@query(f"WITH {RANKED_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
+def vector_topk(spark, sf_dir):
+    return ranked(spark, sf_dir, 5)
+
+
+FUSED_SQL = f"""WITH {RANKED_SQL},
+l AS (SELECT query_id // 2 AS pair, query_id AS list_id, rank, vec_id AS item FROM r WHERE rank <= 20),
+f AS (SELECT pair AS query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS raw, min(list_id * 1000 + rank) AS first FROM l GROUP BY ALL),
+x AS (SELECT *, round(least(1.0, raw / (2 / 61.0::DOUBLE)), 6) AS score FROM f),
+t AS (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item) AS rank FROM x)
+SELECT query_id, rank, item, score FROM t WHERE rank <= 8"""
+
+
+@query(FUSED_SQL)
+def rrf_fusion(spark, sf_dir):
+    """Two rewritten queries a question, 20 results each, fused to 8."""
+    lists = ranked(spark, sf_dir, 20).select(F.expr("query_id div 2").alias("query_id"), F.col("query_id").alias("list_id"), F.col("rank").alias("pos"), F.col("vec_id").alias("item"))
+    return retrieval.fuse(lists, 8)
+
+
+@query(f"WITH {RANKED_SQL} SELECT query_id, round(avg(greatest(0.0, least(score, 1.0))), 4) AS support FROM r WHERE rank <= 3 GROUP BY query_id")
+def retrieval_support(spark, sf_dir):
+    return retrieval.support(ranked(spark, sf_dir, 8))
+
+
+@query(f"""WITH {RANKED_SQL}, w AS (SELECT query_id, vec_id, round(score * v.label_weight, 6) AS weighted FROM r JOIN (SELECT vec_id AS id, CASE label % 5 WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.85 ELSE 1.0 END::DOUBLE AS label_weight FROM embeddings) v ON v.id = r.vec_id WHERE rank <= 8)
+SELECT query_id, vec_id, weighted, row_number() OVER (PARTITION BY query_id ORDER BY weighted DESC, vec_id) AS rank FROM w""")
+def weighted_rerank(spark, sf_dir):
+    kinds = F.element_at(F.array(*map(F.lit, ("text", "pdf", "table", "image", "markdown"))), (F.col("label") % 5 + 1).cast("int"))
+    rows = ranked(spark, sf_dir, 8).join(table(spark, sf_dir, "embeddings").select("vec_id", kinds.alias("doc_type")), "vec_id")
+    return retrieval.weighted_rerank(rows).select("query_id", "vec_id", "weighted", "rank")
+
+
+@query(f"""WITH {RANKED_SQL}, h AS (SELECT query_id, vec_id, rank, CASE WHEN rank <= 20 THEN round(1 / (1 + exp(-((vec_id % 7) - 3.0::DOUBLE))), 6) END AS reranked FROM r WHERE rank <= 30)
+SELECT query_id, vec_id, reranked, row_number() OVER (PARTITION BY query_id ORDER BY rank > 20, CASE WHEN rank <= 20 THEN -reranked ELSE rank END, rank) AS final_rank FROM h""")
+def rerank_head_tail(spark, sf_dir):
+    """A raw score by id stands for the model's."""
+    return retrieval.rerank_head(ranked(spark, sf_dir, 30), F.col("vec_id") % 7 - F.lit(3.0)).select("query_id", "vec_id", "reranked", "final_rank")
+
+
+SPACE_SQL = "regexp_replace({}, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '{}', 'g')"
+KEY_SQL = f"lower(trim({SPACE_SQL.format('text', ' ')}))"
+
+
+@query(f"""SELECT {KEY_SQL} AS content_key, arg_min(source, doc_id) AS source, max(n_chars / 100000.0::DOUBLE) AS score,
+CASE WHEN count(DISTINCT doc_id % 2) > 1 THEN 'hybrid' WHEN min(doc_id % 2) = 0 THEN 'graph' ELSE 'vector' END AS retrieval_type, min(doc_id) AS first_pos, count(*) AS merged FROM documents GROUP BY 1""")
+def context_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "source", (F.col("n_chars") / 100000.0).alias("score"), F.when(F.col("doc_id") % 2 == 0, "graph").otherwise("vector").alias("retrieval_type"), F.col("doc_id").alias("pos"))
+    return retrieval.merge_evidence(rows)
+
+
+@query("""WITH f AS (SELECT lang AS item, source, (doc_id % 3)::VARCHAR AS chunk_id, n_chars % 2 AS page, min(doc_id) AS pos FROM documents GROUP BY ALL)
+SELECT item, list(concat_ws('|', source, chunk_id, page) ORDER BY pos) AS citations FROM f GROUP BY item""")
+def citation_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("item"), "source", (F.col("doc_id") % 3).cast("string").alias("chunk_id"), (F.col("n_chars") % 2).alias("page"), F.col("doc_id").alias("pos"))
+    return retrieval.merge_citations(rows)
+
+
+@query("SELECT doc_id, '[' || doc_id || '] 来源: ' || source || ' | 类型: ' || lang || ' | chunk: ' || source || '#chunk-' || (doc_id % 4) || chr(10) || substr(text, 1, 200) AS block FROM documents")
+def evidence_blocks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.col("doc_id").alias("rank"), "source", F.col("lang").alias("retrieval_type"), tx.chunk_id(F.col("source"), F.col("doc_id") % 4).alias("chunk_id"), F.lit(None).cast("int").alias("page"), F.substring("text", 1, 200).alias("content"))
+    return retrieval.evidence_blocks(rows).select("doc_id", "block")
+
+
+# ---- chunking --------------------------------------------------------------------------------------------------------
+
+CHUNK_SQL = "SELECT doc_id, (s // 448)::INT AS chunk_index, s::INT AS start, substr(text, s + 1, 512) AS content FROM (SELECT doc_id, text, unnest(range(0, {}, 448)) AS s FROM documents WHERE length(text) > 0)"
+
+
+@query(CHUNK_SQL.format("greatest(length(text) - 64, 1)"))
+def fixed_chunks(spark, sf_dir):
+    return chunking.fixed_chunks(table(spark, sf_dir, "documents"))
+
+
+@query(CHUNK_SQL.format("length(text)"))
+def fixed_chunks_tail(spark, sf_dir):
+    return chunking.fixed_chunks(table(spark, sf_dir, "documents"), tail=True)
+
+
+@query("""SELECT doc_id, p::INT AS pos, sentence FROM (SELECT doc_id, unnest(range(len(s))) AS p, unnest(s) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([。！？!?；;])[ \\t\\n\\x0B\\f\\r]*', '\\1' || chr(30), 'g'), chr(30)) AS s FROM documents)) WHERE sentence <> ''""")
+def sentence_split(spark, sf_dir):
+    return chunking.sentence_rows(table(spark, sf_dir, "documents"))
+
+
+@query()
+def structural_chunks(spark, sf_dir):
+    return chunking.structural_chunks(table(spark, sf_dir, "documents"))
+
+
+CORE_SQL = """c AS (SELECT doc_id, p::INT AS pos, regexp_replace(raw, '^[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g') AS sentence FROM
+(SELECT doc_id, unnest(range(len(s))) AS p, unnest(s) AS raw FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;\\n]+[。！？!?；;]?') AS s FROM documents))),
+k AS (SELECT *, (CASE WHEN regexp_matches(sentence, '[0-9,《》%]') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(sentence, '，') THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM c WHERE length(sentence) BETWEEN 12 AND 80)"""
+
+
+@query(f"WITH {CORE_SQL} SELECT doc_id, pos, sentence, score FROM k")
+def core_sentences(spark, sf_dir):
+    return chunking.core_sentences(table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {CORE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM k)
+SELECT doc_id, rank, CASE WHEN length(sentence) <= 24 THEN sentence ELSE substr(sentence, length(sentence) // 3 + 1, 10) END AS topic, sentence AS golden_fragment FROM r WHERE rank <= 2""")
+def synth_questions(spark, sf_dir):
+    return chunking.synthesized_questions(table(spark, sf_dir, "documents"))
+
+
+# ---- graph -----------------------------------------------------------------------------------------------------------
+
+
+def graph_tables(spark, sf_dir):
+    nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    n = nation.select(F.col("n_name").alias("name"), F.lit("Nation").alias("type"), F.lit("").alias("description"), F.concat(F.lit("f"), F.col("n_regionkey")).alias("source"), F.lit(1).alias("version"), F.col("n_nationkey").cast("long").alias("pos"))
+    r = region.select(F.col("r_name").alias("name"), F.lit("Region").alias("type"), F.lit("a region").alias("description"), F.lit("f0").alias("source"), F.lit(2).alias("version"), (F.col("r_regionkey") + 100).cast("long").alias("pos"))
+    homes = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name"), "n_name", "s_suppkey", "s_nationkey")
+    s = homes.select(F.col("n_name").alias("name"), F.lit("Place").alias("type"), F.concat(F.lit("home of "), "s_name").alias("description"), F.concat(F.lit("g"), F.col("s_suppkey") % 3).alias("source"), F.lit(3).alias("version"), (F.col("s_suppkey") + 1000).alias("pos"))
+    entities = n.unionByName(r).unionByName(s)
+    a = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("head"), F.lit("part of").alias("relation"), F.col("r_name").alias("tail"), F.lit(0.9).alias("confidence"), F.concat(F.lit("f"), F.col("n_regionkey")).alias("source"), F.col("n_nationkey").cast("long").alias("pos"))
+    b = homes.select(F.col("s_name").alias("head"), F.lit("located in").alias("relation"), F.col("n_name").alias("tail"), F.lit(0.8).alias("confidence"), F.concat(F.lit("g"), F.col("s_suppkey") % 3).alias("source"), (F.col("s_suppkey") + 1000).alias("pos"))
+    return entities, a.unionByName(b)
+
+
+MENTIONS_SQL = """h AS (SELECT s_name, n_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m AS (SELECT n_name AS name, 'Nation' AS type, '' AS description, 'f' || n_regionkey AS source, 1 AS version, n_nationkey::BIGINT AS pos FROM nation
+UNION ALL SELECT r_name, 'Region', 'a region', 'f0', 2, r_regionkey + 100 FROM region
+UNION ALL SELECT n_name, 'Place', 'home of ' || s_name, 'g' || (s_suppkey % 3), 3, s_suppkey + 1000 FROM h),
+o AS (SELECT name, source, min(pos) AS pos FROM m GROUP BY ALL), ol AS (SELECT name, list(source ORDER BY pos) AS provenance FROM o GROUP BY name),
+e AS (SELECT m.name, arg_min(type, pos) AS type, coalesce(arg_max(description, pos) FILTER (description <> ''), '') AS description, arg_max(version, pos) AS version FROM m GROUP BY m.name)"""
+
+
+@query(f"WITH {MENTIONS_SQL} SELECT e.*, ol.provenance FROM e JOIN ol USING (name)")
+def entity_merge(spark, sf_dir):
+    return graph.merge_entities(graph_tables(spark, sf_dir)[0])
+
+
+@query("""SELECT n_name AS head, 'PART_OF' AS rel_type, r_name AS tail, 0.9::DOUBLE AS confidence, ['f' || n_regionkey] AS provenance FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def relation_merge(spark, sf_dir):
+    """Suppliers aren't entities here, so their relations are dropped."""
+    entities, relations = graph_tables(spark, sf_dir)
+    return graph.merge_relations(relations, graph.merge_entities(entities))
+
+
+@query(f"""WITH {MENTIONS_SQL} SELECT name, type, list_filter(ol.provenance, lambda p: p <> 'f0') AS provenance FROM e JOIN ol USING (name) WHERE len(list_filter(ol.provenance, lambda p: p <> 'f0')) > 0""")
+def delete_by_source(spark, sf_dir):
+    entities, relations = graph_tables(spark, sf_dir)
+    merged = graph.merge_entities(entities)
+    return graph.without_provenance(merged, graph.merge_relations(relations, merged), lambda p: p == "f0")[0].select("name", "type", "provenance")
+
+
+EDGES_SQL = """d AS (SELECT row_number() OVER () AS id, * FROM (SELECT n_name AS a, 'PART_OF' AS rel, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT DISTINCT s_name, 'LOCATED_IN', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)), w AS (SELECT id, a, rel, b FROM d UNION ALL SELECT id, b, rel, a FROM d)"""
+
+
+def all_edges(spark, sf_dir):
+    return graph_tables(spark, sf_dir)[1].select("head", tx.relation_type(F.col("relation")).alias("rel_type"), "tail")
+
+
+@query(f"""WITH {EDGES_SQL}, o AS (SELECT a AS start, 1 AS hops, rel AS rels, b AS target, id FROM w WHERE a IN (SELECT n_name FROM nation))
+SELECT start, hops, rels, target FROM o UNION ALL SELECT o.start, 2, o.rels || ', ' || w.rel, w.b FROM o JOIN w ON o.target = w.a AND o.id <> w.id""")
+def neighbors_2hop(spark, sf_dir):
+    return graph.neighbours(all_edges(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), 2)
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, p AS (SELECT n_name AS start, n_name AS node, [n_name] AS path, 0 AS hops FROM nation
+UNION ALL SELECT p.start, w.b, list_append(p.path, w.b), p.hops + 1 FROM p JOIN w ON p.node = w.a WHERE p.hops < 2 AND NOT list_contains(p.path, w.b)),
+g AS (SELECT a.n_name AS start, b.n_name AS goal FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)
+SELECT start, goal, min(hops) AS hops, arg_min(array_to_string(path, ' -> '), (hops, path)) AS path FROM p JOIN g USING (start) WHERE p.node = g.goal GROUP BY ALL""")
+def shortest_path(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    a, b = nation.alias("a"), nation.alias("b")
+    pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("start"), F.col("b.n_name").alias("goal"))
+    return graph.shortest_paths(all_edges(spark, sf_dir), pairs, 5)
+
+
+@query("SELECT a.n_regionkey AS list_id, a.n_name AS left, b.n_name AS right FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation) a JOIN (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation) b ON a.n_regionkey = b.n_regionkey AND b.p > a.p AND b.p <= a.p + 2".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
+def entity_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "nation").withColumn("pos", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    return graph.near_pairs(rows.select(F.col("n_regionkey").alias("list_id"), "pos", F.col("n_name").alias("name")))
+
+
+@query(f"WITH {MENTIONS_SQL} SELECT name, type, description FROM e WHERE contains(name, '1') OR contains(description, '1') ORDER BY name LIMIT 20")
+def search_entities(spark, sf_dir):
+    """At most 20 entities whose name or description has the keyword, as the feature states."""
+    return graph.merge_entities(graph_tables(spark, sf_dir)[0]).where(F.col("name").contains("1") | F.col("description").contains("1")).select("name", "type", "description").orderBy("name").limit(20)
+
+
+RESOLVE_KEY_SQL = "regexp_replace(lower(regexp_replace(name, '\\s', '', 'g')), '(?i)(有限责任公司|股份有限公司|有限公司|集团|公司|co\\.?,?\\s*ltd\\.?|inc\\.?|corp\\.?|ltd\\.?|llc)\\s*$', '')"
+
+
+@query(f"""WITH m AS (SELECT s_name || CASE s_suppkey % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' Ltd' ELSE '' END AS name, s_suppkey * 2 AS pos FROM supplier UNION ALL SELECT upper(s_name), s_suppkey * 2 + 1 FROM supplier),
+k AS (SELECT *, {RESOLVE_KEY_SQL} AS key FROM m), f AS (SELECT key, arg_min(name, pos) AS canonical FROM k GROUP BY key) SELECT name, pos, canonical, canonical <> name AS merged FROM k JOIN f USING (key)""")
+def entity_resolution(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    end = F.when(F.col("s_suppkey") % 3 == 0, " Inc.").when(F.col("s_suppkey") % 3 == 1, " Ltd").otherwise("")
+    rows = s.select(F.concat("s_name", end).alias("name"), (F.col("s_suppkey") * 2).alias("pos")).unionByName(s.select(F.upper("s_name").alias("name"), (F.col("s_suppkey") * 2 + 1).alias("pos")))
+    return graph.resolve_names(rows, tx.entity_key(F.col("name")))
+
+
+@query("""SELECT event_type, CASE WHEN n IN ('WORKS_AT', 'LOCATED_IN', 'PART_OF', 'OWNS', 'MANAGES', 'DEPENDS_ON', 'PRODUCES', 'RELATED_TO') THEN n ELSE 'RELATED_TO' END AS rel_type, count(*) AS n
+FROM (SELECT event_type, upper(regexp_replace(regexp_replace('works ' || event_type, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g')) AS n FROM events) GROUP BY 1, 2""")
+def relation_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", tx.relation_type(F.concat(F.lit("works "), "event_type")).alias("rel_type")).agg(F.count("*").alias("n"))
+
+
+# ---- change handling -------------------------------------------------------------------------------------------------
+
+EDITED_SQL = "o AS (SELECT doc_id AS chunk_id, text AS content FROM documents), n AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN text || ' edited' ELSE text END AS content FROM documents WHERE doc_id % 17 <> 0 UNION ALL SELECT -doc_id - 1, text FROM documents WHERE doc_id % 23 = 0), x AS (SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN n.chunk_id IS NULL THEN 'stale' WHEN o.chunk_id IS NULL THEN 'added' WHEN o.content IS NOT DISTINCT FROM n.content THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL JOIN n USING (chunk_id))"
+
+
+def snapshots(spark, sf_dir):
+    """All documents, and a copy with some edited, some removed and some new."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    new = old.where("chunk_id % 17 <> 0").withColumn("content", F.when(F.col("chunk_id") % 10 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    return old, new.unionByName(old.where("chunk_id % 23 = 0").withColumn("chunk_id", -F.col("chunk_id") - 1))
+
+
+@query(f"WITH {EDITED_SQL} SELECT chunk_id, state FROM x")
+def snapshot_diff(spark, sf_dir):
+    return incremental.snapshot_diff(*snapshots(spark, sf_dir))
+
+
+@query(f"WITH {EDITED_SQL} SELECT count(*) FILTER (state IN ('added', 'changed')) AS added, count(*) FILTER (state IN ('stale', 'changed')) AS deleted, count(*) FILTER (state IN ('added', 'changed')) AS reprocessed, count(*) FILTER (state = 'unchanged') AS unchanged FROM x")
+def change_counts(spark, sf_dir):
+    return incremental.change_counts(incremental.snapshot_diff(*snapshots(spark, sf_dir)))
+
+
+@query(f"WITH {EDITED_SQL} SELECT chunk_id AS path, CASE state WHEN 'stale' THEN 'deleted' WHEN 'added' THEN 'created' ELSE 'modified' END AS change_type FROM x WHERE state <> 'unchanged'")
+def detect_changes(spark, sf_dir):
+    return incremental.detect_changes(*(d.select(F.col("chunk_id").alias("path"), F.sha2("content", 256).alias("hash")) for d in snapshots(spark, sf_dir)))
+
+
+@query()
+def line_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", incremental.line_diff("text", F.regexp_replace("text", "the", "thE")).alias("d")).select("doc_id", "d.*")
+
+
+@query("""WITH u AS (SELECT doc_id AS file_id, sha256(text) AS sha, text FROM documents), g AS (SELECT sha, min(file_id) FILTER (file_id < 100) AS held, min(file_id) FILTER (file_id >= 100) AS first FROM u GROUP BY sha)
+SELECT u.file_id, u.sha, coalesce(held, first) AS owner, held IS NULL AND u.file_id = first AS created FROM u JOIN g USING (sha) WHERE u.file_id >= 100""")
+def doc_registry(spark, sf_dir):
+    """Documents up to 100 are held; the others are uploads."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("sha"), F.col("doc_id").alias("pos"))
+    return incremental.register(rows.where("file_id < 100").groupBy("sha").agg(F.min("file_id").alias("file_id")), rows.where("file_id >= 100"))
+
+
+@query()
+def cdc_stream(spark, sf_dir):
+    """Changes written as JSON, streamed, and reduced to the last state of each path."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/graphquarry'}/cdc-{uuid.uuid4().hex[:12]}"
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.concat("source", F.lit("/"), F.col("doc_id") % 50).alias("file_path"), F.when(F.col("doc_id") % 9 == 0, "deleted").otherwise("modified").alias("change_type"), F.lit("").alias("old_hash"), F.sha2("text", 256).alias("new_hash"), F.col("doc_id").alias("seq"))
+    rows.write.json(f"{base}/in")
+    cdc.apply_changes(cdc.change_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("file_path", "change_type", "new_hash", "events")
+
+
+# ---- evaluation ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {RANKED_SQL}, q AS (SELECT vec_id AS query_id, label AS own FROM embeddings WHERE {QUERY_SET}),
+f AS (SELECT q.query_id, min(rank) AS fr FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.vec_id <> q.query_id AND r.label = q.own AND rank <= 20 GROUP BY q.query_id)
+SELECT k, round(avg(CASE WHEN fr <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(coalesce(1.0::DOUBLE / fr, 0)), 6) AS mrr, round(avg(CASE WHEN fr <= k THEN 1 / log2(fr + 1) ELSE 0 END), 6) AS ndcg FROM f, (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
+def eval_metrics(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    queries = v.where(QUERY_SET).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    rows = ranked(spark, sf_dir, 20).join(v.select("vec_id", "label"), "vec_id").join(queries, "query_id")
+    return evaluation.metrics(evaluation.first_ranks(queries, rows, (F.col("vec_id") != F.col("query_id")) & (F.col("label") == F.col("own"))))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    return evaluation.latency(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(f"""WITH g AS (SELECT item_id, lower({SPACE_SQL.format('text', '')}) AS f FROM benchmark), d AS (SELECT doc_id, lower({SPACE_SQL.format('text', '')}) AS c FROM documents)
+SELECT item_id, doc_id FROM g JOIN d ON contains(c, f) WHERE f <> ''""")
+def golden_hit(spark, sf_dir):
+    return evaluation.golden_hits(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+# ---- scans, tables and text ------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS total, count(*) FILTER (props->>'k' IS NULL) AS missing FROM events GROUP BY event_type")
+def json_extract(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    return rows.groupBy("event_type").agg(F.sum("k").alias("total"), F.count_if(F.col("k").isNull()).alias("missing"))
+
+
+@query("""SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY n_regionkey""")
+def table_to_markdown(spark, sf_dir):
+    return readers.table_block(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", ["n_nationkey", "n_name"])
+
+
+@query("""SELECT doc_id, substr(sha256(p), 1, 16) AS path_id, substr(sha256(p), 1, 16) || '#chunk-' || (doc_id % 5) AS chunk_id, CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'table' ELSE 'unknown' END AS doc_type, doc_id || CASE doc_id % 4 WHEN 0 THEN '.MD' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' ELSE '.bin' END AS name
+FROM (SELECT doc_id, '/data/' || source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.MD' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' ELSE '.bin' END AS p FROM documents)""")
+def path_ids(spark, sf_dir):
+    ends = F.element_at(F.array(*map(F.lit, (".MD", ".pdf", ".xlsx", ".bin"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ends).alias("p"))
+    return rows.select("doc_id", tx.doc_id(F.col("p")).alias("path_id"), tx.chunk_id(tx.doc_id(F.col("p")), F.col("doc_id") % 5).alias("chunk_id"), tx.doc_type(F.col("p")).alias("doc_type"), tx.basename(F.col("p")).alias("name"))
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, count(DISTINCT lang) > 1 AS ambiguous FROM documents GROUP BY source")
+def source_alias(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), (F.count_distinct("lang") > 1).alias("ambiguous"))
