@@ -4,11 +4,13 @@ Documents with equal shingle sets are one class. Sizes are cut into bands such t
 neighbouring ones. Linked sets differ in at most k(band) shingles, so of the k+1+SPARE parts into which the shingles are
 dealt by hash, some are equal; a tile holds the classes of a band that agree in a part. A part without shingles makes no
 tile unless its class has more than SPARE of them. In a tile, pairs pass by sizes, then by bitmaps (bits that only one
-side has bound the overlap from above), and then by the exact intersection of sorted arrays.
+side has bound the overlap from above; short ones in the tile, then ones as long as the sets), and then by the exact
+intersection of sorted arrays.
 
-Tiles are first searched as stars around their smallest class. Components of the links found leave a few classes per
-tile outside of its star's component; only those are then held against the tile's other components. So every pair that
-shares a tile is linked, connected or compared, and no tile is gathered or expanded into all of its pairs.
+Tiles are first searched as stars around their smallest class, and those that still hold several components for a few
+rounds around some classes of lowest hash. Then each tile's classes outside of its largest component are held against all
+of its other components. So every pair that shares a tile is linked, connected or compared, and no tile is gathered in
+one place or expanded into all of its pairs.
 
 Words are runs without ASCII white space, A-Z in lower case; a shingle is ``SHINGLE`` words, and a shorter text's whole
 word sequence is one. Null, empty and blank texts have no shingles and link with nothing. Shingles are compared by their
@@ -32,6 +34,8 @@ from .hashing import P1, P2, P3, P4, WordHashes, mixed, signed
 
 SHINGLE, PERCENT = 4, 85
 SPARE, LONGS = 2, 8
+#: Classes that each open tile is held against in a round, and rounds at most before the exhaustive one.
+LEADERS, ROUNDS = 4, 2
 #: Rows of 16 to 100 bytes up to which a side is broadcast.
 BROADCAST_ROWS = 1_500_000
 #: Sets of a task whose parts have been given; an equal set met again in the task gives none.
@@ -136,39 +140,77 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (100 * x("n") >= percent * y("n")) & (100 * y("n") >= percent * x("n")) & ((100 + percent) * overlap >= percent * (x("n") + y("n")))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of classes that are linked, by their documents' sets, made anew for the classes in question."""
-    needed = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(classes.select("c", "k"), "c")
-    needed = written(needed, "jaccard-needed")
-    some = bounded_broadcast(needed.withColumnRenamed("k", "k2"), needed.count(), BROADCAST_ROWS // 4)
-    own = docs.select(F.col(key).alias("k"), utf8(text).alias("t")).join(some, F.col("k").eqNullSafe(F.col("k2"))).select("c", "t")
-
-    def sets(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            names, out = [], []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packed = shingles(hashes, raw, size).tobytes()
-                if xxhash.xxh3_128_digest(packed) == name:  # a repeated id can have another text
-                    names.append(name)
-                    out.append(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out, pa.binary())], ["c", "own"])
+def packed_map(own: np.ndarray) -> bytes:
+    """The set's size, and a bitmap of four to eight bits a shingle by the hashes' low bits (so halves fold together)."""
+    bits = np.zeros(max(64, 1 << (4 * len(own) - 1).bit_length()), bool)
+    bits[(own & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return len(own).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
 
-    own = written(map_arrow(own, sets, "c binary, own binary").dropDuplicates(["c"]), "jaccard-sets")
 
-    def linked(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+def maps_allow(a: bytes, b: bytes, percent: int) -> bool:
+    """False only for sets that aren't linked."""
+    sizes, maps = [int.from_bytes(m[:8], "little") for m in (a, b)], [np.frombuffer(m, np.uint64, -1, 8) for m in (a, b)]
+    while len(maps[0]) != len(maps[1]):
+        k = int(len(maps[1]) > len(maps[0]))
+        half = len(maps[k]) // 2
+        maps[k] = maps[k][:half] | maps[k][half:]
+    only = [int(np.bitwise_count(maps[i] & ~maps[1 - i]).sum()) for i in (0, 1)]
+    return (100 + percent) * min(sizes[0] - only[0], sizes[1] - only[1]) >= percent * sum(sizes)
+
 
-    left, right = (own.withColumnsRenamed({"c": n, "own": f"own_{n}"}) for n in "xy")
-    return map_arrow(pairs.join(left, "x").join(right, "y").select("x", "y", "own_x", "own_y"), linked, "x binary, y binary")
+def sets_linked(a: bytes, b: bytes, percent: int) -> bool:
+    """Exactly, by merging the sorted arrays."""
+    both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) of classes that are linked: by bitmaps that grow with the sets, then what is left by the sets."""
+    for make, test, name in ((packed_map, maps_allow, "sieved"), (np.ndarray.tobytes, sets_linked, "links")):
+        needed = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(classes.select("c", "k"), "c")
+        needed = written(needed, "jaccard-needed")
+        some = bounded_broadcast(needed.withColumnRenamed("k", "k2"), needed.count(), BROADCAST_ROWS // 4)
+        own = docs.select(F.col(key).alias("k"), utf8(text).alias("t")).join(some, F.col("k").eqNullSafe(F.col("k2"))).select("c", "t")
+
+        def payloads(batches, make=make):
+            hashes = WordHashes()
+            for batch in batches:
+                names, out = [], []
+                for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = shingles(hashes, raw, size)
+                    if xxhash.xxh3_128_digest(found.tobytes()) == c:  # a repeated id can have another text
+                        names.append(c)
+                        out.append(make(found))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out, pa.binary())], ["c", "own"])
+
+        def passing(batches, test=test):
+            for batch in batches:
+                keep = [test(a, b, percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+        own = written(map_arrow(own, payloads, "c binary, own binary").dropDuplicates(["c"]), "jaccard-payloads")
+        left, right = (own.withColumnsRenamed({"c": n, "own": f"own_{n}"}) for n in "xy")
+        pairs = written(map_arrow(pairs.join(left, "x").join(right, "y").select("x", "y", "own_x", "own_y"), passing, "x binary, y binary"), f"jaccard-{name}")
+    return pairs
+
+
+def candidates(raw: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of classes, from pairs (s1, s2) of their first 64 bits, that sizes and short bitmaps allow."""
+    two = raw.select(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2")).distinct()
+    a, b = classes.withColumnRenamed("s", "s1").alias("a"), classes.withColumnRenamed("s", "s2").alias("b")
+    allowed = two.join(a, "s1").join(b, "s2").where(may_link("a", "b", percent))
+    return written(allowed.select(F.col("a.c").alias("x"), F.col("b.c").alias("y")), "jaccard-pairs")
+
+
+def labelled(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, s, label) of the tiles that still hold more than one component."""
+    roots = components(links).join(classes.select(F.col("c").alias("node"), "s"), "node").join(classes.select(F.col("c").alias("root"), F.col("s").alias("label")), "root").select("s", "label")
+    roots = written(roots, "jaccard-roots")
+    now = members.select("key", "s").join(bounded_broadcast(roots, roots.count(), BROADCAST_ROWS), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    parted = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return written(now.join(parted, "key"), "jaccard-open")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -179,22 +221,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     tiles = base.select(F.explode("keys").alias("key"), "s")
     live = written(tiles.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high").select("key", "low"), "jaccard-tiles")
     few = bounded_broadcast(live, live.count(), BROADCAST_ROWS)
-    members = tiles.join(few, "key").distinct().join(classes, "s").withColumn("leads", F.col("s") == F.col("low")).drop("s", "low", "k")
-    members = written(members, "jaccard-members")
-    stars = members.where("leads").alias("a").join(members.where("NOT leads").alias("b"), F.col("a.key") == F.col("b.key")).where(may_link("a", "b", percent))
-    pairs = written(stars.select(F.col("a.c").alias("x"), F.col("b.c").alias("y")).distinct(), "jaccard-pairs")
-    links = written(verified(pairs, classes, docs, key, text, size, percent), "jaccard-links")
-    found = written(components(links), "jaccard-found")
-    members = members.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    led = members.where("leads").groupBy("key").agg(F.min("root").alias("main"))
-    members = written(members.join(led, "key"), "jaccard-labelled")
-    outside = members.where("root != main")
-    others = members.where("NOT leads")
-    rest = outside.alias("a").join(others.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.c") < F.col("b.c"))) & may_link("a", "b", percent))
-    rest = written(rest.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y")).distinct(), "jaccard-rest")
-    more = written(verified(rest, classes, docs, key, text, size, percent), "jaccard-links")
-    if more.count():
-        found = components(links.unionByName(more))
+    members = written(tiles.join(few, "key").distinct(), "jaccard-members")
+    check = lambda raw: verified(candidates(raw, classes, percent), classes, docs, key, text, size, percent)
+    links = check(members.where("s != low").select(F.col("low").alias("s1"), F.col("s").alias("s2")))
+    members = labelled(members, classes, links)
+    for turn in range(ROUNDS):  # the same classes lead many tiles, as they have the lowest hashes of the turn
+        picks = [F.min_by(F.struct("s", "label"), F.xxhash64("s", F.lit(turn * LEADERS + i))) for i in range(LEADERS)]
+        leads = members.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("leads")).select("key", F.explode("leads").alias("lead"))
+        raw = members.join(leads, "key").where("label != lead.label").select(F.col("s").alias("s1"), F.col("lead.s").alias("s2"))
+        more = check(raw)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        members = labelled(members, classes, links)
+    main = members.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    full = written(members.join(main, "key").join(classes.drop("k"), "s"), "jaccard-rest")
+    a, b = full.where("label != main").alias("a"), full.alias("b")
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.s") < F.col("b.s"))) & may_link("a", "b", percent))
+    rest = written(rest.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y")).distinct(), "jaccard-pairs")
+    links = links.unionByName(verified(rest, classes, docs, key, text, size, percent))
+    found = components(links)
     rooted = classes.select("c", "k").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("k").alias("component"))
     named = written(rooted.join(least, "root").select("c", "component"), "jaccard-components")
