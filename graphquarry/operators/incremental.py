@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import LINE_END
 
@@ -40,7 +41,7 @@ def register(registry: DataFrame, uploads: DataFrame) -> DataFrame:
     return uploads.join(owner, "sha").select("file_id", "sha", "owner", (F.col("new") & (F.col("file_id") == F.col("owner"))).alias("created"))
 
 
-DIFF = "added int, removed int, blocks int, change_ratio double, major boolean"
+DIFF = T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("blocks", T.IntegerType()), T.StructField("change_ratio", T.DoubleType()), T.StructField("major", T.BooleanType())])
 
 
 @F.pandas_udf(DIFF)
