@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Chunks and pieces kept by a worker; beyond it the store starts anew. A memory bound that no result depends on.
-KEPT = 900_000
+KEPT = 1_300_000
 #: Longer ones aren't kept.
 LONG = 100
 #: Marks that end most chunks that aren't letters alone.

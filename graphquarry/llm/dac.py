@@ -112,7 +112,7 @@ def library_store(path: str) -> ChunkStore:
     tokenizer = Tokenizer.from_str(read_bytes(path).decode())
 
     def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
     return ChunkStore(lambda text: [text], encode, b"".join)
 
