@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; documents can be long, so batches stay small.
@@ -65,3 +65,17 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint while its counted rows are within ``limit``; beyond it Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def lowest_hashes(rows: DataFrame, group: str, sample: int) -> DataFrame:
+    """Of each group's distinct ``rows`` the ``sample`` with the lowest hashes of ``k``.
+
+    Only rows below a hash under which some four times as many keys should lie are sorted, so that the sorted rows don't
+    grow with the table or its partitions.
+    """
+    shares = rows.groupBy(group).agg(F.approx_count_distinct("k").alias("#n")).select(F.col(group).alias("#group"), (F.lit(4.0 * sample) / F.greatest("#n", F.lit(1))).alias("#share"))
+    shares = written(shares, "sample-shares")
+    shares = bounded_broadcast(shares, shares.count(), 100_000)
+    near = rows.join(shares, F.col(group) == F.col("#group")).where(F.xxhash64("k") / F.lit(2.0**64) + 0.5 < F.col("#share"))
+    order = Window.partitionBy(group).orderBy(F.xxhash64("k"), *rows.columns)
+    return near.select(rows.columns).distinct().withColumn("#at", F.row_number().over(order)).where(F.col("#at") <= sample).drop("#at")

@@ -5,7 +5,8 @@ language has several centroids, found by clustering a bounded sample of its labe
 centroid's language is predicted; a text whose cosine is below its language's floor is rejected as too far from all.
 
 A text that is null or has no letter is ``und`` with score 0, and rejected. Without anything to learn from, all texts
-are. Languages in which no sampled text has a letter aren't learned. Other columns are left out.
+are. Languages in which no sampled text has a letter aren't learned. Of rows that repeat a key and a language the least
+text is learned from. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import lowest_hashes, map_arrow
 
 #: Sampled texts of a language, at most (the lowest hashes of their ids); and characters of such a text that count.
 SAMPLE, LANGUAGES = 1000, 200
@@ -102,12 +103,11 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Centroids:
 def learn(docs: DataFrame, held_out, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Centroids:
     """``held_out``: a function of the key column; rows for which it holds are never learned from."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("k").isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col("k")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("k", F.col("lang").alias("l"))
+    chosen = lowest_hashes(rows, "lang", sample).select("k", F.col("lang").alias("l"))
     most = LANGUAGES * sample
     chosen = chosen.orderBy("l", "k").limit(most)
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).join(F.broadcast(chosen), "k").where(F.col("lang") == F.col("l")).where(F.col("t").isNotNull())
-    pairs = sorted((r["lang"], r["t"]) for r in got.select("lang", "t").collect())
+    pairs = sorted((r["lang"], r["t"]) for r in got.groupBy("k", "lang").agg(F.min("t").alias("t")).select("lang", "t").collect())
     return fit([t for _, t in pairs], [lang for lang, _ in pairs])
 
 
