@@ -4,8 +4,8 @@ score = sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>) over the distinc
 catch what additive weights miss, such as an insult beside a group mention. The model is learned from a bounded sample
 of labelled rows (``SAMPLE``) and scores every text whole in one pass without a shuffle.
 
-Null and empty texts have no terms and get the bias alone. Null labels aren't learned from; of repeated labels of a
-document each counts. Without labelled rows the score is 0.5 and predicted 1 is not given. Other columns are left out.
+Null and empty texts have no terms and get the bias alone. Null labels aren't learned from; of different labels of a
+document each counts, and of rows that repeat a key the least text. Without labelled rows the score is 0.5 and predicted 1 is not given. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8
+from .common import lowest_hashes, map_arrow, utf8
 
 #: Labelled rows that the model is learned from, at most; those with the lowest hashes of their ids.
 SAMPLE = 12_000
@@ -96,8 +96,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
 def learn(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """``held_out``: a function of the key column; rows for which it holds are never learned from."""
     chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
-    chosen = chosen.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
-    rows = docs.select(F.col(key).alias("k"), utf8(text).alias("t")).join(F.broadcast(chosen), "k").select("t", "y")
+    chosen = lowest_hashes(chosen.withColumn("all", F.lit(0)), "all", sample).drop("all")
+    rows = docs.select(F.col(key).alias("k"), utf8(text).alias("t")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).select("t", "y")
 
     def run(batches):
         terms = Terms()
