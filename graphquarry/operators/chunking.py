@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_END, sentences, strip
+from ..functions.vector import cosine, dot
 
-SIZE, OVERLAP = 512, 64
+SIZE, OVERLAP, PERCENTILE = 512, 64, 85
 
 
 def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, tail: bool = False) -> DataFrame:
@@ -40,17 +41,75 @@ def pack_sentences(x: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colum
         buf = F.when(long, F.lit("")).when(fits, F.concat(acc["buf"], s)).otherwise(s)
         return F.struct(out.alias("out"), buf.alias("buf"))
 
-    return F.aggregate(F.filter(sentences(x), lambda s: s != ""), start, step, lambda a: F.when(a["buf"] != "", F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]))
+    return F.aggregate(F.filter(sentences(x), lambda s: strip(s) != ""), start, step, lambda a: F.when(a["buf"] != "", F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]))
+
+
+def pack_sections(x: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Pieces of a text: sections between blank lines, long ones by sentences, packed with line breaks up to ``size`` (a
+    sentence piece may exceed it by the break). A text of white space alone gives its first ``size`` characters."""
+    sections = F.filter(F.transform(F.split(x, "\n\n"), strip), lambda s: s != "")
+    whole = lambda s: F.array(F.struct(s.alias("piece"), F.lit(1).alias("gap")))
+    cut = lambda s: F.transform(pack_sentences(s, size, overlap), lambda t: F.struct(t.alias("piece"), F.lit(0).alias("gap")))
+    units = F.flatten(F.transform(sections, lambda s: F.when(F.char_length(s) > size, cut(s)).otherwise(whole(s))))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
+
+    def step(acc: Column, unit: Column) -> Column:
+        buf, piece = acc["buf"], unit["piece"]
+        joined = F.concat(buf, F.lit("\n"), piece)
+        fits = F.char_length(buf) + F.char_length(piece) + unit["gap"] <= size
+        out = F.when((buf == "") | fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(buf)))
+        held = F.when((buf == "") | ~fits, piece).when(unit["gap"] == 1, strip(joined)).otherwise(joined)
+        return F.struct(out.alias("out"), held.alias("buf"))
+
+    pieces = F.aggregate(units, start, step, lambda a: F.when(a["buf"] != "", F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]))
+    return F.when(F.size(units) == 0, F.array(F.substring(x, 1, size))).otherwise(pieces)
 
 
 def structural_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Short texts whole, long ones packed by sentences; blank chunks are dropped after numbering, so indexes may skip."""
+    """Short texts whole, long ones by sections and sentences; blank chunks are dropped after numbering, so indexes may skip."""
     text = F.col("text")
-    pieces = F.when(F.char_length(text) <= size, F.array(text)).otherwise(pack_sentences(text, size, overlap))
+    pieces = F.when(F.char_length(text) <= size, F.array(text)).otherwise(pack_sections(text, size, overlap))
     cut = docs.where(text.isNotNull()).select("doc_id", F.posexplode(pieces).alias("chunk_index", "content"))
     return cut.where(strip(F.col("content")) != "")
 
 
+def semantic_distances(rows: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
+    """(doc_id, pos, distance, boundary) between each sentence and the next of its document, by rows (doc_id, pos,
+    embedding). A boundary is at or above the document's nearest-rank percentile (halves to even). Zero vectors are at
+    distance 0. A document of one sentence has no rows."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    here, after = F.col("embedding"), F.lead("embedding").over(order)
+    pairs = rows.select("doc_id", "pos", here.alias("here"), after.alias("after")).where(F.col("after").isNotNull())
+    zero = (dot(F.col("here"), F.col("here")) == 0) | (dot(F.col("after"), F.col("after")) == 0)
+    distances = pairs.select("doc_id", "pos", F.when(zero, 0.0).otherwise(F.round(1 - cosine(F.col("here"), F.col("after")), 6)).alias("distance"))
+    share = max(0.0, min(float(percentile), 100.0)) / 100.0
+    ordered = F.array_sort(F.collect_list("distance").over(Window.partitionBy("doc_id")))
+    at = F.bround(F.lit(share) * (F.size(ordered) - 1), 0).cast("int") + 1
+    return distances.withColumn("boundary", F.col("distance") >= F.element_at(ordered, at)).select("doc_id", "pos", "distance", "boundary")
+
+
+def semantic_chunks(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, percentile: float = PERCENTILE) -> DataFrame:
+    """(doc_id, chunk_index, content): sentences (doc_id, pos, sentence, embedding) joined without a separator, cut after
+    boundaries once a piece has max(60, size/4) characters, and before it would exceed ``size``."""
+    least = max(60, size // 4)
+    marks = semantic_distances(rows, percentile).select("doc_id", F.col("pos").alias("p"), "boundary")
+    cut_before = F.lag("boundary").over(Window.partitionBy("doc_id").orderBy("pos"))
+    marked = rows.select("doc_id", "pos", "sentence").join(marks.withColumnsRenamed({"doc_id": "d"}), (F.col("doc_id") == F.col("d")) & (F.col("pos") == F.col("p")), "left")
+    marked = marked.select("doc_id", "pos", "sentence", F.coalesce(cut_before, F.lit(False)).alias("cut"))
+    lists = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "cut"))).alias("sentences"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
+
+    def step(acc: Column, s: Column) -> Column:
+        n = F.char_length(acc["buf"])
+        new = (n > 0) & ((s["cut"] & (n >= least)) | (n + F.char_length(s["sentence"]) > size))
+        out = F.when(new, F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.when(new, s["sentence"]).otherwise(F.concat(acc["buf"], s["sentence"])).alias("buf"))
+
+    packed = F.aggregate("sentences", start, step, lambda a: F.concat(a["out"], F.array(a["buf"])))
+    pieces = F.flatten(F.transform(packed, lambda x: F.when(F.char_length(x) > size, pack_sections(x, size, overlap)).otherwise(F.array(x))))
+    return lists.select("doc_id", F.posexplode(pieces).alias("chunk_index", "content")).where(strip(F.col("content")) != "")
+
+
 def core_sentences(docs: DataFrame, least: int = 12, most: int = 80) -> DataFrame:
     """(doc_id, pos, sentence, score): sentences of a fitting length; 1 for digits or marks of a statement, 0.5 for a full-width comma."""
     found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"([^{SENTENCE_END}\n]+[{SENTENCE_END}]?)"), 1)).alias("pos", "raw"))

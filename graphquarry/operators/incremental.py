@@ -41,6 +41,25 @@ def register(registry: DataFrame, uploads: DataFrame) -> DataFrame:
     return uploads.join(owner, "sha").select("file_id", "sha", "owner", (F.col("new") & (F.col("file_id") == F.col("owner"))).alias("created"))
 
 
+def upsert(held: DataFrame, new: DataFrame, key: str = "chunk_id", order: str = "pos") -> DataFrame:
+    """``held`` with the rows of ``new`` in place of those of equal keys; of new rows of a key the last by ``order`` stays.
+    Columns are those of ``held``. Null keys replace nothing and are left out of ``new``."""
+    payload = F.struct(*[c for c in held.columns if c != key])
+    last = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(payload, order).alias("#row")).select(key, "#row.*")
+    return held.join(last.select(key), key, "left_anti").unionByName(last.select(held.columns))
+
+
+def delete_documents(held: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``held`` without the rows whose ``key`` is in ``gone``."""
+    return held.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def approved(rows: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """The rows that may be stored: all but those with a review (``key``, approved) that rejects them. An unreviewed row or
+    a null answer passes."""
+    return rows.join(reviews.where(~F.col("approved")).select(key).distinct(), key, "left_anti")
+
+
 DIFF = T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("blocks", T.IntegerType()), T.StructField("change_ratio", T.DoubleType()), T.StructField("major", T.BooleanType())])
 
 

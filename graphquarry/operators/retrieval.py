@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,20 @@ def support(ranked: DataFrame) -> DataFrame:
     return best.groupBy("query_id").agg(F.round(F.avg(F.greatest(F.lit(0.0), F.least("score", F.lit(1.0)))), 4).alias("support"))
 
 
+def refine(queries: DataFrame, first: DataFrame, again: Callable[[DataFrame], DataFrame], top: int = 8, threshold: float = 0.6) -> DataFrame:
+    """(query_id, rank, item, retried): one more retrieval for the queries that have no contexts or whose support is below
+    ``threshold``; old and new lists are fused and cut to ``top``, the other queries keep their first ``top``.
+
+    ``first`` is (query_id, rank, item, score); ``again`` gives (query_id, rank, item) for the queries that it gets, which are
+    all searched at once."""
+    weak = queries.select("query_id").join(support(first), "query_id", "left").where(F.col("support").isNull() | (F.col("support") < threshold)).select("query_id")
+    held = first.select("query_id", F.lit(1).alias("list_id"), F.col("rank").alias("pos"), "item")
+    more = again(weak).select("query_id", F.lit(2).alias("list_id"), F.col("rank").alias("pos"), "item")
+    fused = fuse(held.join(weak, "query_id", "left_semi").unionByName(more), top).select("query_id", "rank", "item", F.lit(True).alias("retried"))
+    good = first.join(weak, "query_id", "left_anti").where(F.col("rank") <= top)
+    return good.select("query_id", "rank", "item", F.lit(False).alias("retried")).unionByName(fused)
+
+
 def modality_weight(doc_type: Column) -> Column:
     out = F.lit(1.0)
     for kind, weight in MODALITY.items():

@@ -86,6 +86,21 @@ def rerank_head_tail(spark, sf_dir):
     return retrieval.rerank_head(ranked(spark, sf_dir, 30), F.col("vec_id") % 7 - F.lit(3.0)).select("query_id", "vec_id", "reranked", "final_rank")
 
 
+@query(f"""WITH {RANKED_SQL}, u AS (SELECT query_id, round(avg(greatest(0.0, least(score, 1.0))), 4) AS support FROM r WHERE rank <= 3 GROUP BY query_id),
+k AS (SELECT query_id FROM u WHERE support < 0.9), l AS (SELECT query_id, 1 AS list_id, rank, vec_id AS item FROM r WHERE rank <= 8 AND query_id IN (FROM k)
+UNION ALL SELECT CASE query_id % 2 WHEN 0 THEN query_id + 1 ELSE query_id - 1 END AS q, 2, rank, vec_id FROM r WHERE rank <= 20 AND q IN (FROM k)),
+f AS (SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS raw, min(list_id * 1000 + rank) AS first FROM l GROUP BY ALL),
+x AS (SELECT *, round(least(1.0, raw / (2 / 61.0::DOUBLE)), 6) AS score FROM f),
+t AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item) AS rank, item FROM x)
+SELECT query_id, rank, item, true AS retried FROM t WHERE rank <= 8 UNION ALL SELECT query_id, rank, vec_id, false FROM r WHERE rank <= 8 AND query_id NOT IN (FROM k)""")
+def self_rag_refine(spark, sf_dir):
+    """Weak queries are asked again in their neighbour's words, 20 wide."""
+    wide = ranked(spark, sf_dir, 20).select("query_id", "rank", F.col("vec_id").alias("item"), "score")
+    neighbour = F.when(F.col("query_id") % 2 == 0, F.col("query_id") + 1).otherwise(F.col("query_id") - 1)
+    again = lambda weak: wide.withColumn("query_id", neighbour).join(weak, "query_id", "left_semi")
+    return retrieval.refine(wide.select("query_id").distinct(), wide.where("rank <= 8"), again, threshold=0.9)
+
+
 SPACE_SQL = "regexp_replace({}, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '{}', 'g')"
 KEY_SQL = f"lower(trim({SPACE_SQL.format('text', ' ')}))"
 
@@ -152,6 +167,17 @@ def synth_questions(spark, sf_dir):
     return chunking.synthesized_questions(table(spark, sf_dir, "documents"))
 
 
+@query("""WITH s AS (SELECT vec_id // 64 AS doc_id, vec_id AS pos, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[]) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS nxt FROM embeddings),
+d AS (SELECT doc_id, pos, round(1 - list_cosine_similarity(e, nxt), 6) AS distance FROM s WHERE nxt IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM d),
+c AS (SELECT doc_id, distance AS threshold FROM t WHERE r = round_even(0.85::DOUBLE * (n - 1), 0)::INT + 1)
+SELECT doc_id, pos, distance, distance >= threshold AS boundary FROM d JOIN c USING (doc_id)""")
+def semantic_boundaries(spark, sf_dir):
+    """Runs of 64 vectors stand for the sentences of a document."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("doc_id"), F.col("vec_id").alias("pos"), "embedding")
+    return chunking.semantic_distances(rows)
+
+
 # ---- graph -----------------------------------------------------------------------------------------------------------
 
 
@@ -279,6 +305,29 @@ def detect_changes(spark, sf_dir):
     return incremental.detect_changes(*(d.select(F.col("chunk_id").alias("path"), F.sha2("content", 256).alias("hash")) for d in snapshots(spark, sf_dir)))
 
 
+@query("""SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT -vec_id - 1, label FROM embeddings WHERE vec_id % 23 = 0""")
+def vector_upsert(spark, sf_dir):
+    """Some vectors come again, twice, the last with another label; some are new."""
+    held = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    some, kind = held.where("vec_id % 10 = 0"), held.schema["label"].dataType
+    new = some.withColumn("pos", F.lit(1)).unionByName(some.withColumn("label", (F.col("label") + 100).cast(kind)).withColumn("pos", F.lit(2)))
+    new = new.unionByName(held.where("vec_id % 23 = 0").withColumn("vec_id", -F.col("vec_id") - 1).withColumn("pos", F.lit(3)))
+    return incremental.upsert(held, new, "vec_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0)")
+def vector_delete(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return incremental.delete_documents(docs, docs.where("doc_id % 97 = 0"), "source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
+def review_gate(spark, sf_dir):
+    """A toxic label stands for a rejection."""
+    reviews = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 0).alias("approved"))
+    return incremental.approved(table(spark, sf_dir, "documents").select("doc_id", "lang"), reviews, "doc_id")
+
+
 @query()
 def line_diff(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphquarry.functions import text as tx
 from graphquarry.operators import chunking, evaluation, graph, incremental, retrieval
-from graphquarry.sources import readers
+from graphquarry.sources import readers, snapshots
 from graphquarry.streaming import cdc
 
 
@@ -59,13 +59,11 @@ def test_markdown(spark):
     assert got[1]["b"] == [] and got[2]["b"] == []
 
 
-def packed(text, size=512, overlap=64):
+def by_sentences(text, size, overlap):
     import re
 
-    if len(text) <= size:
-        return [text] if text.strip() else []
     out, buf = [], ""
-    for s in filter(None, re.split(r"(?<=[。！？!?；;])\s*", text)):
+    for s in (x for x in re.split(r"(?<=[。！？!?；;])\s*", text) if x.strip()):
         if len(s) > size:
             out += [buf] * bool(buf) + [s[i : i + size] for i in range(0, len(s), size - overlap)]
             buf = ""
@@ -74,17 +72,68 @@ def packed(text, size=512, overlap=64):
         else:
             out.append(buf)
             buf = s
-    return [x for x in out + [buf] * bool(buf) if x.strip()]
+    return out + [buf] * bool(buf)
+
+
+def packed(text, size=512, overlap=64):
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    out, buf = [], None
+    for section in filter(None, map(str.strip, text.split("\n\n"))):
+        short = len(section) <= size
+        for piece in [section] if short else by_sentences(section, size, overlap):
+            if buf is None or len(buf) + len(piece) + short > size:
+                out += [] if buf is None else [buf]
+                buf = piece
+            else:
+                buf = f"{buf}\n{piece}".strip() if short else f"{buf}\n{piece}"
+    return [x for x in out + ([] if buf is None else [buf]) if x.strip()]
 
 
 def test_structural_chunks(spark):
-    texts = ["短。", "", None, "这是一个用来测试的句子，长度十九个字。" * 60, "x" * 1300, "a! " * 300 + "b" * 600 + "? tail", "   "]
+    texts = ["短。", "", None, "这是一个用来测试的句子，长度十九个字。" * 60, "x" * 1300, "a! " * 300 + "b" * 600 + "? tail", "   ", "one two\n\n" * 200, "x" * 511 + "\n\ny\n\n" + "z" * 512 + "\n\n\n\n" + "长句。" * 300 + "\n\nend", " " * 600, "\n\n".join("w" * n for n in range(1, 90))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = rows(chunking.structural_chunks(df), "doc_id", "chunk_index")
     for i, t in enumerate(texts):
         assert [r[2] for r in got if r[0] == i] == packed(t or "")
 
 
+def test_semantic_chunks(spark):
+    said = ["a" * 70, "b" * 20, "c" * 20, "d" * 50]
+    vectors = [[1.0, 0.0], [0.0, 1.0], [0.1, 1.0], [0.0, 0.0]]
+    df = spark.createDataFrame([(1, i, s, v) for i, (s, v) in enumerate(zip(said, vectors))] + [(2, 0, "e" * 600, [1.0, 0.0])], "doc_id int, pos int, sentence string, embedding array<double>")
+    assert [r[3] for r in rows(chunking.semantic_distances(df), "doc_id", "pos")] == [True, False, False]
+    assert rows(chunking.semantic_chunks(df, size=128), "doc_id", "chunk_index")[:2] == [(1, 0, said[0]), (1, 1, said[1] + said[2] + said[3])]
+    assert [len(r[2]) for r in rows(chunking.semantic_chunks(df.where("doc_id = 2")), "chunk_index")] == [512, 152]
+    assert chunking.semantic_chunks(df.where("false")).count() == 0
+
+
+def test_upsert_and_review(spark):
+    held = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "chunk_id string, v int")
+    new = spark.createDataFrame([("b", 5, 1), ("b", 6, 2), ("c", 7, 3), (None, 8, 4)], "chunk_id string, v int, pos int")
+    assert rows(incremental.upsert(held, new), "v") == [("a", 1), (None, 3), ("b", 6), ("c", 7)]
+    reviews = spark.createDataFrame([("a", False), ("b", None), ("a", False)], "chunk_id string, approved boolean")
+    assert rows(incremental.approved(held, reviews, "chunk_id"), "v") == [("b", 2), (None, 3)]
+    assert rows(incremental.delete_documents(held, reviews, "chunk_id"), "v") == [(None, 3)]
+
+
+def test_refine(spark):
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    first = spark.createDataFrame([(1, 1, "a", 0.9), (2, 1, "b", 0.1)], "query_id int, rank int, item string, score double")
+    more = spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (2, 2, "b"), (3, 1, "z")], "query_id int, rank int, item string")
+    got = rows(retrieval.refine(queries, first, lambda weak: more.join(weak, "query_id", "left_semi")), "query_id", "rank")
+    assert got == [(1, 1, "a", False), (2, 1, "b", True), (2, 2, "y", True), (3, 1, "z", True)]
+
+
+def test_snapshots(spark, tmp_path):
+    folder = f"file://{tmp_path}/snapshots"
+    assert snapshots.load(spark, folder) is None
+    assert [snapshots.publish(spark.range(n), folder) for n in (2, 5)] == [1, 2]
+    (tmp_path / "snapshots/v-000000003").mkdir()
+    assert snapshots.load(spark, folder).count() == 5 and snapshots.publish(spark.range(1), folder) == 4
+    assert snapshots.remove(spark, folder) and snapshots.load(spark, folder) is None
+
+
 def test_graph_deletes(spark):
     e = spark.createDataFrame([("a", ["s::1"]), ("b", ["s::1", "t::2"])], "name string, provenance array<string>")
     r = spark.createDataFrame([("a", "X", "b", ["s::1", "t::2"])], "head string, rel_type string, tail string, provenance array<string>")
@@ -114,7 +163,7 @@ def test_registered_queries_match_sql(spark):
     con, folder = duckdb.connect(), "/root/testdata/sf0.001"
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
-    for name in ("rrf_fusion", "context_dedup", "fixed_chunks", "entity_merge", "neighbors_2hop", "snapshot_diff", "eval_metrics", "golden_hit"):
+    for name in ("rrf_fusion", "context_dedup", "fixed_chunks", "entity_merge", "neighbors_2hop", "snapshot_diff", "eval_metrics", "golden_hit", "semantic_boundaries", "self_rag_refine", "vector_upsert", "vector_delete", "review_gate"):
         df = registry.QUERIES[name](spark, folder)
         names = sorted(df.columns)
         mine = sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect())))
