@@ -72,7 +72,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     best = np.sort(best[chi[best] > 10])
     place = np.full(1 << BITS, -1, np.int64)
     place[best] = np.arange(len(best))
-    x = np.zeros((n, len(best)), np.float32)
+    x = np.zeros((n, len(best)))
     at = place[flat]
     row_of = np.repeat(np.arange(n), [len(r) for r in rows])
     x[row_of[at >= 0], at[at >= 0]] = 1
