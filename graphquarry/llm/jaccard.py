@@ -1,11 +1,12 @@
 """N-gram Jaccard join by size-banded tiles with hashed bitmap signatures.
 
 Documents with equal shingle sets are one class. Sizes are cut into bands such that linked sizes lie in one band or in
-neighbouring ones. Linked sets differ in at most k(band) shingles, so of the k+1+SPARE parts into which the shingles are
-dealt by hash, some are equal; a tile holds the classes of a band that agree in a part. A part without shingles makes no
-tile unless its class has more than SPARE of them. In a tile, pairs pass by sizes, then by bitmaps (bits that only one
-side has bound the overlap from above; short ones in the tile, then ones as long as the sets), and then by the exact
-intersection of sorted arrays.
+neighbouring ones. Linked sets differ in at most k(band) shingles, so of the k+1+spare parts into which the shingles are
+dealt by hash, more than spare are equal; a tile holds the classes of a band that agree in a part. Each class leaves out
+its spare parts of fewest shingles, which unlinked sets agree in most easily: of a pair's equal parts, the last one by
+shingles and content comes after spare others on both sides, so it always makes a tile. In a tile, pairs pass by sizes,
+then by bitmaps (bits that only one side has bound the overlap from above; short ones in the tile, then ones as long as
+the sets), and then by the exact intersection of sorted arrays.
 
 Tiles are first searched as stars around their smallest class, and those that still hold several components for a few
 rounds around some classes of lowest hash. Then each tile's classes outside of its largest component are held against all
@@ -33,9 +34,9 @@ from .components import components
 from .hashing import P1, P2, P3, P4, WordHashes, mixed, signed
 
 SHINGLE, PERCENT = 4, 85
-SPARE, LONGS = 2, 8
+LONGS = 8
 #: Classes that each open tile is held against in a round, and rounds at most before the exhaustive one.
-LEADERS, ROUNDS = 4, 2
+LEADERS, ROUNDS = 4, 1
 #: Rows of 16 to 100 bytes up to which a side is broadcast.
 BROADCAST_ROWS = 1_500_000
 #: Sets of a task whose parts have been given; an equal set met again in the task gives none.
@@ -67,16 +68,14 @@ def shingles(hashes: WordHashes, raw: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def part_keys(own: np.ndarray, weight: np.ndarray, band: int, differing: int) -> np.ndarray:
-    """A key of each part of a set in a band's tiles."""
-    parts = np.uint64(differing + 1 + SPARE)
-    part = ((own >> np.uint64(32)) * parts) >> np.uint64(32)
-    cut = np.searchsorted(part, np.arange(int(parts) + 1, dtype=np.uint64))
+    """A key of each part of a set in a band's tiles, without the spare parts."""
+    spare = 2 + differing // 4
+    parts = differing + 1 + spare
+    part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weight)])[cut]
-    filled = np.diff(cut) > 0
-    if (~filled).sum() > SPARE:
-        filled[:] = True
-    numbers = np.flatnonzero(filled).astype(np.uint64)
-    return mixed(np.diff(total)[filled] ^ mixed((np.uint64(band) << np.uint64(32) | numbers) * P1 + P4))
+    names = mixed(np.diff(total) ^ mixed((np.uint64(band) << np.uint64(32) | np.arange(parts, dtype=np.uint64)) * P1 + P4))
+    return names[np.lexsort((names, np.diff(cut)))[spare:]]
 
 
 def signature(own: np.ndarray) -> np.ndarray:
