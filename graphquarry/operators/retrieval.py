@@ -16,11 +16,12 @@ MODALITY = {"pdf": 0.95, "table": 0.9, "image": 0.85}
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest by cosine, exactly. ``queries`` (query_id, query) is a stated set of
-    at most ``most`` rows and is broadcast; each partition keeps k rows a query before any shuffle."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries; search them in blocks")
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
+    """(query_id, rank, vec_id, score): the k nearest by cosine, exactly. ``queries`` (query_id, query) of up to ``most``
+    rows are broadcast, more are dealt into blocks of about ``most``; each partition keeps k rows a query before any
+    shuffle."""
+    blocks = -(-queries.count() // most)
+    side = F.broadcast(queries) if blocks <= 1 else queries.repartition(blocks).hint("shuffle_replicate_nl")
+    scored = vectors.join(side).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

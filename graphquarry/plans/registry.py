@@ -34,16 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- retrieval -------------------------------------------------------------------------------------------------------
 
+#: Of the SQL only, which still states the first 20 vectors (see README, Open); the operators search for ``SEARCHED``.
 QUERY_SET = "vec_id < 20"
+STEP = 20
+SEARCHED = f"vec_id % {STEP} = 0"
 RANKED_SQL = f"""s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
 FROM embeddings v, embeddings q WHERE q.{QUERY_SET}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
 def ranked(spark, sf_dir, k):
-    """The first 20 vectors are the stated query set, against all vectors."""
+    """Every vector whose id is divisible by 20 is a query, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.vector_topk(vectors, vectors.where(QUERY_SET).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
+    return retrieval.vector_topk(vectors, vectors.where(SEARCHED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
 
 
 @query(f"WITH {RANKED_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
@@ -61,8 +64,8 @@ SELECT query_id, rank, item, score FROM t WHERE rank <= 8"""
 
 @query(FUSED_SQL)
 def rrf_fusion(spark, sf_dir):
-    """Two rewritten queries a question, 20 results each, fused to 8."""
-    lists = ranked(spark, sf_dir, 20).select(F.expr("query_id div 2").alias("query_id"), F.col("query_id").alias("list_id"), F.col("rank").alias("pos"), F.col("vec_id").alias("item"))
+    """Two rewritten queries a question (neighbours in the query set; the last can be alone), 20 results each, fused to 8."""
+    lists = ranked(spark, sf_dir, 20).select(F.expr(f"query_id div {2 * STEP}").alias("query_id"), F.col("query_id").alias("list_id"), F.col("rank").alias("pos"), F.col("vec_id").alias("item"))
     return retrieval.fuse(lists, 8)
 
 
@@ -96,7 +99,7 @@ SELECT query_id, rank, item, true AS retried FROM t WHERE rank <= 8 UNION ALL SE
 def self_rag_refine(spark, sf_dir):
     """Weak queries are asked again in their neighbour's words, 20 wide."""
     wide = ranked(spark, sf_dir, 20).select("query_id", "rank", F.col("vec_id").alias("item"), "score")
-    neighbour = F.when(F.col("query_id") % 2 == 0, F.col("query_id") + 1).otherwise(F.col("query_id") - 1)
+    neighbour = F.when(F.col("query_id") % (2 * STEP) == 0, F.col("query_id") + STEP).otherwise(F.col("query_id") - STEP)
     again = lambda weak: wide.withColumn("query_id", neighbour).join(weak, "query_id", "left_semi")
     return retrieval.refine(wide.select("query_id").distinct(), wide.where("rank <= 8"), again, threshold=0.9)
 
@@ -361,7 +364,7 @@ f AS (SELECT q.query_id, min(rank) AS fr FROM q LEFT JOIN r ON r.query_id = q.qu
 SELECT k, round(avg(CASE WHEN fr <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(coalesce(1.0::DOUBLE / fr, 0)), 6) AS mrr, round(avg(CASE WHEN fr <= k THEN 1 / log2(fr + 1) ELSE 0 END), 6) AS ndcg FROM f, (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
 def eval_metrics(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    queries = v.where(QUERY_SET).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    queries = v.where(SEARCHED).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
     rows = ranked(spark, sf_dir, 20).join(v.select("vec_id", "label"), "vec_id").join(queries, "query_id")
     return evaluation.metrics(evaluation.first_ranks(queries, rows, (F.col("vec_id") != F.col("query_id")) & (F.col("label") == F.col("own"))))
 

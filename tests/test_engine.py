@@ -169,3 +169,31 @@ def test_registered_queries_match_sql(spark):
         mine = sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect())))
         theirs = con.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({registry.ORACLES[name]})").fetchall()
         assert mine == sorted(map(repr, theirs)), name
+
+
+def test_every_twentieth_vector_is_searched(spark):
+    """The registered SQL with its query set, pairs and numbers of lists restated over the ids divisible by 20."""
+    import duckdb
+
+    from graphquarry.plans import registry
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    lists = "raw / ((SELECT count(DISTINCT list_id) FROM l WHERE l.{} = f.query_id) / 61.0::DOUBLE)"
+    for name in ("vector_topk", "rrf_fusion", "retrieval_support", "weighted_rerank", "rerank_head_tail", "self_rag_refine", "eval_metrics"):
+        sql = registry.ORACLES[name].replace("vec_id < 20", "vec_id % 20 = 0").replace("query_id // 2 AS", "query_id // 40 AS")
+        sql = sql.replace("CASE query_id % 2 WHEN 0 THEN query_id + 1 ELSE query_id - 1", "CASE query_id % 40 WHEN 0 THEN query_id + 20 ELSE query_id - 20")
+        sql = sql.replace("raw / (2 / 61.0::DOUBLE)", lists.format("pair" if name == "rrf_fusion" else "query_id"))
+        df = registry.QUERIES[name](spark, folder)
+        names = sorted(df.columns)
+        mine = sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect())))
+        theirs = con.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({sql})").fetchall()
+        assert mine == sorted(map(repr, theirs)), name
+    assert {r["query_id"] for r in registry.QUERIES["vector_topk"](spark, folder).collect()} == set(range(0, 500, 20))
+
+
+def test_queries_beyond_a_block(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole, parts = (rows(retrieval.vector_topk(vectors, queries, 3, most), "query_id", "rank") for most in (10_000, 7))
+    assert len(whole) == 180 and parts == whole
