@@ -125,7 +125,7 @@ def citation_merge(spark, sf_dir):
 @query("SELECT doc_id, '[' || doc_id || '] 来源: ' || source || ' | 类型: ' || lang || ' | chunk: ' || source || '#chunk-' || (doc_id % 4) || chr(10) || substr(text, 1, 200) AS block FROM documents")
 def evidence_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.col("doc_id").alias("rank"), "source", F.col("lang").alias("retrieval_type"), tx.chunk_id(F.col("source"), F.col("doc_id") % 4).alias("chunk_id"), F.lit(None).cast("int").alias("page"), F.substring("text", 1, 200).alias("content"))
+    rows = docs.select("doc_id", F.col("doc_id").alias("rank"), "source", F.col("lang").alias("retrieval_type"), tx.chunk_id(F.col("source"), F.col("doc_id") % 4).alias("chunk_id"), F.lit(None).cast("int").alias("page"), F.col("text").alias("content"))
     return retrieval.evidence_blocks(rows).select("doc_id", "block")
 
 

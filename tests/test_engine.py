@@ -197,3 +197,13 @@ def test_queries_beyond_a_block(spark):
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     whole, parts = (rows(retrieval.vector_topk(vectors, queries, 3, most), "query_id", "rank") for most in (10_000, 7))
     assert len(whole) == 180 and parts == whole
+
+
+def test_evidence_blocks_hold_the_whole_text(spark):
+    from graphquarry.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["block"] for r in registry.QUERIES["evidence_blocks"](spark, folder).collect()}
+    assert max(map(len, texts.values())) > 200 and got.keys() == texts.keys()
+    assert all(got[i].split("\n", 1)[1] == t for i, t in texts.items())
