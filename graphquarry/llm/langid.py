@@ -3,6 +3,9 @@
 A text is the vector of its hashed character 1- to 3-grams within words, (1 + log count) * idf, of length 1. Each
 language has several centroids, found by clustering a bounded sample of its labelled texts by cosine. The nearest
 centroid's language is predicted; a text whose cosine is below its language's floor is rejected as too far from all.
+Floors come from texts held against centroids that were clustered without them (two halves, each against the other's),
+cut to runs of some numbers of words, as short texts lie farther away. A few junk or mislabelled texts don't move them.
+A language with a single text has the other languages' median floors; without any, nothing is too far.
 
 A text that is null or has no letter is ``und`` with score 0, and rejected. Without anything to learn from, all texts
 are. Languages in which no sampled text has a letter aren't learned. Of rows that repeat a key and a language the least
@@ -25,8 +28,10 @@ from .common import lowest_hashes, map_arrow
 #: Sampled texts of a language, at most (the lowest hashes of their ids); and characters of such a text that count.
 SAMPLE, LANGUAGES = 1000, 200
 BITS, CENTROIDS, ROUNDS = 12, 3, 10
-#: A text is rejected below this share of the lowest cosine of its language's sample.
-FLOOR = 0.5
+#: A text is rejected below this share of this quantile of its language's cosines, at its number of words; longer texts
+#: than the last count as of that length.
+FLOOR, QUANTILE = 0.65, 0.1
+LENGTHS = (1, 2, 4, 8, 16, 32, 64)
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,11 +51,10 @@ class Grams(dict):
         return found
 
 
-def counted(grams: Grams, texts: list[str | None]) -> np.ndarray:
-    """1 + log of each n-gram's count, by text; zero where a text has no letters."""
+def counted(grams: Grams, texts: list[list[str]]) -> np.ndarray:
+    """1 + log of each n-gram's count, by text (its words); zero where a text has no words."""
     out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for row, text in zip(out, texts):
-        words = WORD.findall(text or "")
+    for row, words in zip(out, texts):
         if words:
             row += np.bincount(np.concatenate([grams[w] for w in words]), minlength=1 << BITS)
     np.log1p(out, out=out)
@@ -66,7 +70,8 @@ class Centroids:
         self.languages, self.centroids, self.idf, self.floors = languages, centroids, idf, floors
 
     def predict(self, grams: Grams, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        x = counted(grams, texts) * self.idf
+        words = [WORD.findall(t or "") for t in texts]
+        x = counted(grams, words) * self.idf
         size = np.linalg.norm(x, axis=1)
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -74,30 +79,57 @@ class Centroids:
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
         known = [bool(t) and LETTER.search(t) is not None for t in texts]
-        return ([self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)], [s if k else 0.0 for s, k in zip(score.astype(float).tolist(), known)], [not k or s < self.floors[b] for b, s, k in zip(best.tolist(), score.tolist(), known)])
+        return ([self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)], [s if k else 0.0 for s, k in zip(score.astype(float).tolist(), known)], [not k or bool(s < np.interp(np.log(max(len(w), 1)), np.log(LENGTHS), self.floors[b])) for b, s, k, w in zip(best.tolist(), score.tolist(), known, words)])
+
+
+def clustered(own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    centers = own[rng.choice(len(own), min(CENTROIDS, len(own)), replace=False)]
+    for _ in range(ROUNDS):
+        near = (own @ centers.T).argmax(axis=1)
+        centers = unit(np.vstack([own[near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(len(centers))]))
+    near = np.bincount((own @ centers.T).argmax(axis=1), minlength=len(centers))
+    return centers[near >= min(QUANTILE * len(own), near.max())]  # a few outliers have no centroid of their own
+
+
+def floors_of(grams: Grams, words: list[list[str]], own: np.ndarray, idf: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A floor for each of LENGTHS; nan where the language has a single text. Equal texts are in one half."""
+    names = [zlib.crc32(" ".join(w).encode("utf-8", "replace")) for w in words]
+    turn = {name: i % 2 for i, name in enumerate(sorted(set(names)))}
+    half = np.array([turn[name] for name in names])
+    if not half.any():
+        return np.full(len(LENGTHS), np.nan)
+    centers = [clustered(own[half != h], rng) for h in (0, 1)]
+    out = []
+    for n in LENGTHS:
+        cosines = []
+        for h in (0, 1):
+            runs = [w[name % (len(w) - n + 1) :][:n] for w, name, k in zip(words, names, half) if k == h and len(w) >= n]
+            if runs:
+                cosines.append((unit(counted(grams, runs) * idf) @ centers[h].T).max(axis=1))
+        out.append(FLOOR * float(np.quantile(np.concatenate(cosines), QUANTILE)) if cosines else out[-1])
+    return np.array(out)
 
 
 def fit(texts: list[str], languages: list[str], seed: int = 5) -> Centroids:
     grams = Grams()
-    kept = [(t, lang) for t, lang in zip(texts, languages) if LETTER.search(t)]
+    kept = [(WORD.findall(t), lang) for t, lang in zip(texts, languages) if LETTER.search(t)]
     if not kept:
-        return Centroids([], np.zeros((0, 1 << BITS)), np.ones(1 << BITS, np.float32), np.zeros(0))
+        return Centroids([], np.zeros((0, 1 << BITS)), np.ones(1 << BITS, np.float32), np.zeros((0, len(LENGTHS))))
     languages = np.array([lang for _, lang in kept])
-    x = counted(grams, [t for t, _ in kept])
+    x = counted(grams, [w for w, _ in kept])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = unit(x * idf)
     rng, names, found, floors = np.random.default_rng(seed), [], [], []
     for lang in sorted(set(languages.tolist())):
         own = x[languages == lang]
-        centers = own[rng.choice(len(own), min(CENTROIDS, len(own)), replace=False)]
-        for _ in range(ROUNDS):
-            near = (own @ centers.T).argmax(axis=1)
-            centers = unit(np.vstack([own[near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(len(centers))]))
-        low = float((own @ centers.T).max(axis=1).min())
+        centers = clustered(own, rng)
         names += [lang] * len(centers)
         found.append(centers)
-        floors += [FLOOR * low] * len(centers)
-    return Centroids(names, np.vstack(found), idf, np.array(floors))
+        floors += [floors_of(grams, [w for w, k in kept if k == lang], own, idf, np.random.default_rng(seed))] * len(centers)
+    floors = np.array(floors)
+    some = floors[~np.isnan(floors[:, 0])]
+    floors[np.isnan(floors[:, 0])] = np.median(some, axis=0) if len(some) else 0.0
+    return Centroids(names, np.vstack(found), idf, floors)
 
 
 def learn(docs: DataFrame, held_out, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Centroids:

@@ -176,6 +176,28 @@ def test_language(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+FOREIGN = [
+    "La casa è molto bella e il giardino è pieno di fiori colorati che profumano tutta la strada.",
+    "Wczoraj poszliśmy do parku, gdzie dzieci bawiły się przy fontannie aż do wieczora.",
+    "Bugün hava çok güzel olduğu için arkadaşlarımla birlikte sahilde uzun bir yürüyüş yaptık.",
+    "De kinderen spelen buiten in de tuin terwijl hun ouders het eten klaarmaken voor vanavond.",
+]
+
+
+def test_language_rejection(spark):
+    """Unlearned languages in Latin script go although junk, single words and wrong labels are learned from; clean texts
+    of 12 words stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6 + i, t, lang) for i, (t, lang) in enumerate((t, lang) for lang in ("en", "de", "fr", "es") for t in ("xqzj", "Ω ω", *FOREIGN[:2]))]
+    model = langid.learn(docs.union(spark.createDataFrame(odd, docs.schema)), lambda k: k % 4 == 2)
+    held = docs.where("doc_id % 4 = 2").collect()
+    short = [" ".join(w[:12]) for w in (r["text"].split() for r in held) if len(set(w[:12])) > 8]
+    rows = [(i, t, None) for i, t in enumerate([*FOREIGN, *short])]
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(spark.createDataFrame(rows, docs.schema), model).collect()}
+    assert all(got[i] for i in range(len(FOREIGN)))
+    assert len(short) > 100 and sum(got[i] for i in range(len(FOREIGN), len(rows))) <= 0.01 * len(short)
+
+
 def brute_windows(texts, window=35):
     where = Counter()
     cut = [(t or "").encode().split() for t in texts]
