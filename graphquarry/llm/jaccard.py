@@ -88,7 +88,7 @@ BITS = [f"b{i}" for i in range(LONGS)]
 
 
 def sketched(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """A row per document: k, n, c (class), s (its first 64 bits), bitmap and tile keys; written once."""
+    """A row per document: k, th (text hash), n, c (class), s (its first 64 bits), bitmap and tile keys; written once."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -122,13 +122,13 @@ def sketched(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
                 keys.append(signed(np.concatenate(found)) if found else np.zeros(0, np.int64))
             grid = np.vstack(maps) if maps else np.zeros((0, LONGS), np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(firsts, pa.int64())]
+            arrays = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(firsts, pa.int64())]
             arrays += [pa.array(grid[:, i]) for i in range(LONGS)]
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "n", "c", "s", *BITS, "keys"])
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "th", "n", "c", "s", *BITS, "keys"])
 
-    schema = f"k {kind}, n long, c binary, s long, {', '.join(f'{b} long' for b in BITS)}, keys array<long>"
-    return written(map_arrow(docs.select(F.col(key).alias("k"), utf8(text).alias("t")), run, schema), "jaccard-sketches")
+    schema = f"k {kind}, th long, n long, c binary, s long, {', '.join(f'{b} long' for b in BITS)}, keys array<long>"
+    return written(map_arrow(docs.select(F.col(key).alias("k"), utf8(text).alias("t"), F.xxhash64(text).alias("th")), run, schema), "jaccard-sketches")
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -212,8 +212,8 @@ def labelled(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     return written(now.join(parted, "key"), "jaccard-open")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``key``, n_shingles, component_id (the smallest id reachable by links) of every document."""
+def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and (c, root, component) of every class: its component's smallest class and smallest id (null if all are)."""
     base = sketched(docs, key, text, size, percent)
     classes = base.where("c IS NOT NULL").groupBy("c", "s").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
     classes = written(classes, "jaccard-classes")
@@ -242,15 +242,32 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = components(links)
     rooted = classes.select("c", "k").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("k").alias("component"))
-    named = written(rooted.join(least, "root").select("c", "component"), "jaccard-components")
-    return base.select("k", "n", "c").join(named, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+    return base, written(rooted.join(least, "root").select("c", "root", "component"), "jaccard-components")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``key``, n_shingles, component_id (the smallest id reachable by links) of every document."""
+    base, named = classed(docs, key, text, size, percent)
+    return base.select("k", "n", "c").join(named.drop("root"), "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; rows without shingles stay."""
-    found = written(jaccard_components(docs, key, text, size, percent), "jaccard-result")
-    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("#k")).distinct()
+    """``docs`` with one row of each component, that with the smallest id; rows without shingles stay.
+
+    Rows are told apart by id and text. A null id counts as larger than any other; of
+    several texts under a component's smallest id, the one of least hash stays."""
+    base, named = classed(docs, key, text, size, percent)
+    found = written(base.select("k", "th", "c").join(named, "c").select("k", "th", "root", F.col("k").eqNullSafe(F.col("component")).alias("head")), "jaccard-result")
+    heads = found.where("head").groupBy("root").agg(F.min("th").alias("low"), F.max("th").alias("high"))
+    several = heads.where("low < high").select("root", "low")
+    others = found.where("head").join(several, "root").where("th > low")
+    gone = written(found.where("NOT head").select("k", "th").union(others.select("k", "th")).distinct().toDF("#k", "#th"), "jaccard-gone")
     gone = bounded_broadcast(gone, gone.count(), BROADCAST_ROWS)
-    left = docs.join(gone, F.col(key).eqNullSafe(F.col("#k")), "left_anti")
-    twice = found.groupBy(key).count().where("count > 1").limit(1).count()
-    return left.dropDuplicates([key, text]) if twice else left
+    left = docs.join(gone, F.col(key).eqNullSafe(F.col("#k")) & (F.xxhash64(text) == F.col("#th")), "left_anti")
+    twice = written(found.where("head").groupBy("k", "th").count().where("count > 1").select(F.col("k").alias("#k"), F.col("th").alias("#th")), "jaccard-twice")
+    n = twice.count()
+    if not n:
+        return left
+    same = F.col(key).eqNullSafe(F.col("#k")) & (F.xxhash64(text) == F.col("#th"))
+    twice = bounded_broadcast(twice, n, BROADCAST_ROWS)
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, text]))

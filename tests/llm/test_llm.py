@@ -267,6 +267,17 @@ def test_jaccard(spark, size, percent):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def test_one_of_each_with_odd_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    near = lambda t: t + " more"
+    rows = [(3, a), (None, near(a)), (None, b), (5, near(a)), (5, c), (9, near(c)), (7, d), (7, near(d)), (None, e), (None, near(e)), (None, e), (1, b), (1, b), (None, None), (None, None), (8, " "), (8, " ")]
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA)
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect())
+    one = lambda *of: sum(got.pop(x, 0) for x in of) == 1
+    assert one((3, a), (None, near(a)), (5, near(a))) and one((7, d), (7, near(d))) and one((None, e), (None, near(e)))
+    assert got == {(5, c): 1, (1, b): 1, (None, None): 2, (8, " "): 2}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(40, 30), (30, 35), (50, 50)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "x int, y int")).collect()}
