@@ -19,13 +19,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowest_hashes, map_arrow
+from .common import lowest_hashes, map_arrow, written
 
-#: Sampled texts of a language, at most (the lowest hashes of their ids); and characters of such a text that count.
+#: Sampled texts of a language, at most (the lowest hashes of their ids). Of more than LANGUAGES languages each has fewer,
+#: one at least, so that about as many texts are learned from in all.
 SAMPLE, LANGUAGES = 1000, 200
 BITS, CENTROIDS, ROUNDS = 12, 3, 10
 #: A text is rejected below this share of this quantile of its language's cosines, at its number of words; longer texts
@@ -135,9 +136,11 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Centroids:
 def learn(docs: DataFrame, held_out, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Centroids:
     """``held_out``: a function of the key column; rows for which it holds are never learned from."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("k").isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col("k")))
-    chosen = lowest_hashes(rows, "lang", sample).select("k", F.col("lang").alias("l"))
-    most = LANGUAGES * sample
-    chosen = chosen.orderBy("l", "k").limit(most)
+    chosen = written(lowest_hashes(rows, "lang", sample).select("k", F.col("lang").alias("l")), "language-sample")
+    n = chosen.select("l").distinct().count()
+    if n > LANGUAGES:
+        order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
+        chosen = chosen.withColumn("#at", F.row_number().over(order)).where(F.col("#at") <= max(1, LANGUAGES * sample // n)).drop("#at")
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).join(F.broadcast(chosen), "k").where(F.col("lang") == F.col("l")).where(F.col("t").isNotNull())
     pairs = sorted((r["lang"], r["t"]) for r in got.groupBy("k", "lang").agg(F.min("t").alias("t")).select("lang", "t").collect())
     return fit([t for _, t in pairs], [lang for lang, _ in pairs])

@@ -198,6 +198,13 @@ def test_language_rejection(spark):
     assert len(short) > 100 and sum(got[i] for i in range(len(FOREIGN), len(rows))) <= 0.01 * len(short)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(i, f"{x * 3} {x * 2} {x}{i}", x * 2) for i, x in enumerate("abcde" * 8)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lambda k: F.lit(False), sample=5)
+    assert set(model.languages) == {x * 2 for x in "abcde"}
+
+
 def brute_windows(texts, window=35):
     where = Counter()
     cut = [(t or "").encode().split() for t in texts]
