@@ -27,10 +27,10 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def golden_hits(golden: DataFrame, docs: DataFrame, most: int = 10_000) -> DataFrame:
-    """(item_id, doc_id) of the texts that hold a golden fragment, white space and case aside. ``golden`` is a stated
-    query set of at most ``most`` rows."""
-    if golden.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} fragments; search them in blocks")
+    """(item_id, doc_id) of the texts that hold a golden fragment, white space and case aside. Up to ``most`` fragments are
+    broadcast, more are dealt into blocks of about ``most``."""
     wanted = golden.select("item_id", squeezed(F.col("text")).alias("fragment")).where("fragment <> ''")
+    blocks = -(-golden.count() // most)
+    side = F.broadcast(wanted) if blocks <= 1 else wanted.repartition(blocks).hint("shuffle_replicate_nl")
     own = docs.select("doc_id", squeezed(F.col("text")).alias("content"))
-    return own.join(F.broadcast(wanted), F.col("content").contains(F.col("fragment"))).select("item_id", "doc_id")
+    return own.join(side, F.col("content").contains(F.col("fragment"))).select("item_id", "doc_id")

@@ -207,3 +207,10 @@ def test_evidence_blocks_hold_the_whole_text(spark):
     got = {r["doc_id"]: r["block"] for r in registry.QUERIES["evidence_blocks"](spark, folder).collect()}
     assert max(map(len, texts.values())) > 200 and got.keys() == texts.keys()
     assert all(got[i].split("\n", 1)[1] == t for i, t in texts.items())
+
+
+def test_fragments_beyond_a_block(spark):
+    golden = spark.createDataFrame([(i, f"frag {i}.") for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x FRAG{i}. y Frag {i + 1}.") for i in range(40)], "doc_id long, text string")
+    whole, parts = (rows(evaluation.golden_hits(golden, docs, most), "item_id", "doc_id") for most in (10_000, 7))
+    assert len(whole) == 59 and parts == whole
