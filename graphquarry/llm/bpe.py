@@ -25,6 +25,8 @@ from .ranks import Ranks, tiktoken_ranks
 #: No pair. Leaves are rank << PLACE | place.
 PLACE = 32
 NONE = (1 << 62) - 1
+#: Chunks kept in a task, beside other workers' stores; texts encoded at once. No result depends on them.
+KEPT, BATCH = 150_000, 512
 #: Bytes of the longest piece that is merged in step with others.
 SHORT = 32
 
@@ -43,7 +45,7 @@ class Encoder:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.to = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.store = ChunkStore(self.pattern.findall, self.encode_pieces, b"".join)
+        self.store = ChunkStore(self.pattern.findall, self.encode_pieces, KEPT)
 
     def lookup(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Leaves of the pairs (a, b) at places; ids of -1 make no pair."""
@@ -51,8 +53,8 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.to[at] << PLACE | place, NONE)
 
-    def in_step(self, pieces: list[bytes], width: int) -> list[bytes]:
-        """Ids of pieces of at most ``width`` (a power of two) bytes, as little-endian unsigned 32-bit integers."""
+    def in_step(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        """Ids of pieces of at most ``width`` (a power of two) bytes."""
         n = len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, n)
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
@@ -91,11 +93,11 @@ class Encoder:
             put(row, q, self.lookup(symbol[row, q], new[has], q))
             live = live[tree[live, 1] != NONE]
         kept = symbol >= 0
-        flat = symbol[kept].astype("<u4").tobytes()
-        ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]) * 4
+        flat = symbol[kept].tolist()
+        ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))])
         return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def alone(self, piece: bytes) -> bytes:
+    def alone(self, piece: bytes) -> list[int]:
         """Ids of one long piece, by a tree of its own."""
         n, pairs = len(piece), self.pairs
         symbol = [self.ranks.by_byte[b] for b in piece]
@@ -131,11 +133,11 @@ class Encoder:
                 put(i, NONE)
             if (p := before[i]) >= 0:
                 put(p, leaf(symbol[p], new, p))
-        return np.array([s for s in symbol if s >= 0], "<u4").tobytes()
+        return [s for s in symbol if s >= 0]
 
-    def encode_pieces(self, texts: list[str]) -> list[bytes]:
+    def encode_pieces(self, texts: list[str]) -> list[list[int]]:
         pieces = [t.encode() for t in texts]
-        out, groups = [b""] * len(pieces), {}
+        out, groups = [[]] * len(pieces), {}
         for k, p in enumerate(pieces):
             if len(p) > SHORT:
                 out[k] = self.alone(p)
@@ -150,7 +152,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
-        return self.store.of_texts(texts)
+        ids, at = self.store.of_texts(texts)
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -166,7 +169,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     def run(batches):
         bpe = encoder(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(a, BATCH) for b in batches for a in range(0, b.num_rows, BATCH)):
             ids = bpe.encode([x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
             decoded = [bpe.decode(x) for x in ids]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
@@ -175,6 +178,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
                 columns += [pa.array(ids, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in decoded])]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.store.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,11 +11,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of an Arrow batch; documents can be long, so batches stay small.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch; documents can be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1024, 4_000_000
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,13 +46,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds Arrow batches by rows and by bytes, if they are larger."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def give_back() -> None:
+    """A worker that ends a task gives memory back to the system; it is kept for later tasks, beside other workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        gc.disable()  # batches hold many small objects and no cycles
+        try:
+            yield from fn(batches)
+        finally:
+            gc.enable()
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column: str):
@@ -62,9 +88,26 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint while its counted rows are within ``limit``; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+def held_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of a written table take in memory: all of its values, and 32 bytes a row."""
+
+    def of(at: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(at)
+        if isinstance(kind, T.StructType):
+            return sum((of(at[f.name], f.dataType) for f in kind), F.lit(8))
+        if isinstance(kind, T.ArrayType):
+            return F.aggregate(at, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(of(x, kind.elementType), F.lit(0)) + 8)
+        return F.lit(8)
+
+    each = sum((F.coalesce(of(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema), F.lit(32))
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
+
+
+def bounded_broadcast(df: DataFrame, share: float = 1.0) -> DataFrame:
+    """A written table with a broadcast hint while its rows take at most ``share`` of BROADCAST_BYTES; beyond it Spark joins
+    by shuffle, with equal results."""
+    return F.broadcast(df) if held_bytes(df) <= share * BROADCAST_BYTES else df
 
 
 def lowest_hashes(rows: DataFrame, group: str, sample: int) -> DataFrame:
@@ -75,7 +118,7 @@ def lowest_hashes(rows: DataFrame, group: str, sample: int) -> DataFrame:
     """
     shares = rows.groupBy(group).agg(F.approx_count_distinct("k").alias("#n")).select(F.col(group).alias("#group"), (F.lit(4.0 * sample) / F.greatest("#n", F.lit(1))).alias("#share"))
     shares = written(shares, "sample-shares")
-    shares = bounded_broadcast(shares, shares.count(), 100_000)
+    shares = bounded_broadcast(shares)
     near = rows.join(shares, F.col(group) == F.col("#group")).where(F.xxhash64("k") / F.lit(2.0**64) + 0.5 < F.col("#share"))
     order = Window.partitionBy(group).orderBy(F.xxhash64("k"), *rows.columns)
     return near.select(rows.columns).distinct().withColumn("#at", F.row_number().over(order)).where(F.col("#at") <= sample).drop("#at")

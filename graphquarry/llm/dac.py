@@ -30,6 +30,8 @@ MAGIC = b"DAC1"
 STEP = 512
 #: Ids after which a writer begins a new file.
 FILE_IDS = 4_000_000
+#: Chunks kept by a worker; see ChunkStore.
+KEPT = 1_300_000
 
 
 def pack(ids: np.ndarray, keys: list, starts: np.ndarray) -> bytes:
@@ -52,52 +54,56 @@ def pack(ids: np.ndarray, keys: list, starts: np.ndarray) -> bytes:
 
 
 class Reader:
-    """Random access to the ids of one file, as bytes."""
+    """Random access to the ids of one file, by range reads: ``read(offset, size)`` gives its bytes.
 
-    def __init__(self, raw: bytes):
-        if raw[:4] != MAGIC:
+    Opening reads the header alone. A token takes three short reads for each of its levels but the last one it has,
+    whatever the size of the file.
+    """
+
+    def __init__(self, read):
+        start = read(0, 8)
+        if start[:4] != MAGIC:
             raise ValueError("not a token-id file")
-        (size,) = struct.unpack_from("<I", raw, 4)
-        header, at = json.loads(raw[8 : 8 + size]), 8 + size
-        self.keys, self.n = header["keys"], header["ids"]
-        self.starts = np.frombuffer(raw, "<u8", header["documents"], at).astype(np.int64)
-        at += 8 * header["documents"]
-        self.levels = []
+        (size,) = struct.unpack_from("<I", start, 4)
+        header, at = json.loads(read(8, size)), 8 + size
+        self.read, self.keys, self.n, self.documents = read, header["keys"], header["ids"], header["documents"]
+        self.first, at = at, at + 8 * header["documents"]
+        self.levels = []  # (ids, places of the chunks, of the bitmap and of the rank directory)
         for level in header["levels"]:
-            chunks = np.frombuffer(raw, np.uint8, level["n"], at)
-            at += level["n"]
-            if level["last"]:
-                self.levels.append((chunks, None, None))
+            blocks = 0 if level["last"] else -(-level["n"] // STEP)
+            self.levels.append((level["n"], at, at + level["n"], at + level["n"] + blocks * STEP // 8, level["last"]))
+            at += level["n"] + blocks * (STEP // 8 + 4)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.frombuffer(self.read(self.first, 8 * self.documents), "<u8").astype(np.int64)
+
+    def token(self, place: int) -> int:
+        """The id at one place."""
+        if not 0 <= place < self.n:
+            raise IndexError(place)
+        out = 0
+        for k, (_, chunks, bits, ranks, last) in enumerate(self.levels):
+            out |= self.read(chunks + place, 1)[0] << (8 * k)
+            if last:
                 break
-            blocks = -(-level["n"] // STEP)
-            bits = np.frombuffer(raw, np.uint8, blocks * STEP // 8, at)
-            at += len(bits)
-            self.levels.append((chunks, bits, np.frombuffer(raw, "<u4", blocks, at)))
-            at += 4 * blocks
-
-    def ids(self, places: np.ndarray) -> np.ndarray:
-        """Ids at any places, each by as many steps as it has chunks."""
-        out, at, which = np.zeros(len(places), np.uint32), places, np.arange(len(places))
-        for k, (chunks, bits, ranks) in enumerate(self.levels):
-            out[which] |= chunks[at].astype(np.uint32) << (8 * k)
-            if bits is None:
+            block, bit = divmod(place, STEP)
+            line = int.from_bytes(self.read(bits + block * STEP // 8, STEP // 8), "little")
+            if not line >> bit & 1:
                 break
-            more = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
-            at, which = at[more], which[more]
-            at = ranks[at // STEP].astype(np.int64) + self.ones_before(bits, at)
+            place = int.from_bytes(self.read(ranks + 4 * block, 4), "little") + (line & ((1 << bit) - 1)).bit_count()
         return out
 
-    @staticmethod
-    def ones_before(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Ones between the start of each place's block and the place."""
-        lines = np.bitwise_count(bits.reshape(-1, STEP // 8))
-        before = np.cumsum(lines, axis=1, dtype=np.int16) - lines
-        byte = at >> 3
-        return before.reshape(-1)[byte] + np.bitwise_count(bits[byte] & ((1 << (at & 7)) - 1).astype(np.uint8))
-
-    def document(self, k: int) -> np.ndarray:
-        end = self.starts[k + 1] if k + 1 < len(self.starts) else self.n
-        return self.ids(np.arange(self.starts[k], end))
+    def every(self) -> np.ndarray:
+        """All ids, level by level."""
+        out, which = np.zeros(self.n, np.uint32), slice(None)
+        for k, (n, chunks, bits, ranks, last) in enumerate(self.levels):
+            out[which] |= np.frombuffer(self.read(chunks, n), np.uint8).astype(np.uint32) << (8 * k)
+            if last:
+                break
+            more = np.flatnonzero(np.unpackbits(np.frombuffer(self.read(bits, ranks - bits), np.uint8), count=n, bitorder="little"))
+            which = more if k == 0 else which[more]
+        return out
 
 
 @lru_cache(2)
@@ -111,10 +117,10 @@ def library_store(path: str) -> ChunkStore:
 
     tokenizer = Tokenizer.from_str(read_bytes(path).decode())
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return ChunkStore(lambda text: [text], encode, b"".join)
+    return ChunkStore(lambda text: [text], encode, KEPT)
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
@@ -145,11 +151,11 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
         store, end, first_type = library_store(path), struct.pack("<I", end_id), None
         for batch in batches:
             first_type = batch.schema.field(0).type
-            values = store.of_texts([x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
-            for k, v in zip(batch.column(0).to_pylist(), values):
+            ids, at = store.of_texts([x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
+            for k, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 keys.append(k)
-                packed.append(v + end)
-                held += len(v) // 4 + 1
+                packed.append(ids[a:b].tobytes() + end)
+                held += b - a + 1
                 if held >= file_ids:
                     yield flush()
         if keys:
@@ -168,25 +174,26 @@ def read_ids(manifest: DataFrame, key: str = "doc_id", kind: str = "bigint", wit
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, inner = filesystem(path)
-                with fs.open_input_stream(inner) as f:
-                    reader = Reader(f.read())
-                every = reader.ids(np.arange(reader.n))
-                ids = np.split(every, reader.starts[1:])
-                columns = [pa.array(reader.keys, out_kind), pa.array(reader.starts + base, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
+                with fs.open_input_file(inner) as f:
+                    reader = Reader(lambda at, size: f.read_at(size, at))
+                    every, starts = reader.every(), reader.starts
+                every, ends = every.astype("<u4", copy=False), np.append(starts, reader.n).tolist()
+                columns = [pa.array(reader.keys, out_kind), pa.array(starts + base, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(every[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())]
                 names = ["k", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(reader.starts, reader.n).astype(np.int32)), pa.array(every.astype(np.int64))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, reader.n).astype(np.int32)), pa.array(every.astype(np.int64))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    out_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    out_kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
     files = max(1, manifest.count())
     schema = f"k {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return map_arrow(manifest.select("path", "base").repartition(files), run, schema).withColumnRenamed("k", key)
 
 
 def tokens_at(path: str, places: list[int]) -> list[int]:
-    """Tokens at any places of one file."""
+    """Tokens at any places of one file, by range reads."""
     fs, inner = filesystem(path)
-    with fs.open_input_stream(inner) as f:
-        return Reader(f.read()).ids(np.array(places, np.int64)).tolist()
+    with fs.open_input_file(inner) as f:
+        reader = Reader(lambda at, size: f.read_at(size, at))
+        return [reader.token(p) for p in places]

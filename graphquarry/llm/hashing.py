@@ -13,7 +13,7 @@ class WordHashes(dict):
     """Hash of a word's bytes, kept by word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:

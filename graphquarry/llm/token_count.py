@@ -9,6 +9,7 @@ import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -58,19 +59,22 @@ class Counter:
         self.ranks, self.special = json_ranks(path)
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(pattern)
-        self.store = ChunkStore(self.cut, self.pieces, sum)
+        self.store = ChunkStore(self.cut, self.pieces)
 
     def cut(self, text: str) -> list[str]:
         if not self.cut_special:
             return self.pattern.findall(text)
         return [p for k, part in enumerate(self.cut_special.split(text)) for p in ([part] if k % 2 else self.pattern.findall(part))]
 
-    def pieces(self, pieces: list[str]) -> list[int]:
+    def pieces(self, pieces: list[str]) -> list[list[int]]:
+        """The count of each piece, as a single number in place of ids."""
         by_byte, merges, special = self.ranks.by_byte, self.ranks.merges, self.special
-        return [1 if p in special else count_merged([by_byte[b] for b in p.encode()], merges) for p in pieces]
+        return [[1 if p in special else count_merged([by_byte[b] for b in p.encode()], merges)] for p in pieces]
 
     def counts(self, texts: list[str]) -> list[int]:
-        return self.store.of_texts(texts)
+        numbers, at = self.store.of_texts(texts)
+        total = np.concatenate([[0], np.cumsum(numbers, dtype=np.int64)])
+        return (total[at[1:]] - total[at[:-1]]).tolist()
 
 
 @lru_cache(2)

@@ -29,7 +29,7 @@ class Terms(dict):
     """The hashed term of a raw word: its bytes without marks around it, in lower case (ASCII letters)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = zlib.crc32(word.strip(EDGE).lower()) >> (32 - BITS)
         return found

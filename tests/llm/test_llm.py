@@ -70,10 +70,30 @@ def test_counts_and_files(spark, docs):
 
 
 def test_codes_random_access():
-    ids = np.array([rng.choice([0, 5, 255, 256, 70_000, 2**31]) for _ in range(3000)], np.uint32)
-    reader = dac.Reader(dac.pack(ids, [1], np.array([0])))
-    at = np.array([rng.randrange(3000) for _ in range(500)])
-    assert (reader.ids(at) == ids[at]).all()
+    """Any token by few short reads, as many in a file of a hundred times the size."""
+    most = []
+    for n in (3000, 300_000):
+        ids = np.array([rng.choice([0, 5, 255, 256, 70_000, 2**31]) for _ in range(n)], np.uint32)
+        raw, reads = dac.pack(ids, [1], np.array([0])), []
+        reader = dac.Reader(lambda at, size, raw=raw, reads=reads: reads.append(size) or raw[at : at + size])
+        assert (reader.every() == ids).all()
+        most.append(0)
+        for at in [0, n - 1, *(rng.randrange(n) for _ in range(500))]:
+            reads.clear()
+            assert reader.token(at) == ids[at]
+            most[-1] = max(most[-1], sum(reads))
+    assert most[0] == most[1] < 400
+
+
+def test_token_files_by_odd_keys(spark):
+    path = P.path("byte_bpe_50k.json")
+    for kind, rows in (("smallint", [(3, "c"), (None, None), (1, "a"), (1, "a")]), ("string", [("b", "x " * 5000), (None, ""), ("a", "é")])):
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        got = dac.read_ids(dac.write_ids(df, path, 2), kind=kind).orderBy("start").collect()
+        assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0 if kind == "smallint" else x or ""))
+        assert all(r["ids"][-1] == 2 and r["n_tokens"] == len(r["ids"]) for r in got)
+        file = dac.write_ids(df, path, 2).orderBy("first_key").first()
+        assert dac.tokens_at(file["path"], [0]) == [2]
 
 
 def test_warc(spark):
@@ -85,10 +105,14 @@ def test_warc(spark):
         raw = (html or "").encode()
         assert got[i]["payload_bytes"] == len(raw) and got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
     assert {i: r["refers_to"] for i, r in got.items()} == {1: 2, 2: None, 3: 4, 4: None, 5: None, None: 2}
-    index = warc.CaptureIndex(directory)
-    assert sorted(r["page_id"] for r in index.lookup("com,example,a)/x")) == [1, 5] and index.lookup("com,example,c)/") == []
-    assert index.lookup("com,example,b:8080)/y?q=1")[0]["payload"] == b"same"
+    found = warc.lookup(directory, ["com,example,a)/x", "com,example,c)/", "com,example,b:8080)/y?q=1"]).collect()
+    assert sorted((r["key"], r["page_id"]) for r in found) == [("com,example,a)/x", 1), ("com,example,a)/x", 5), ("com,example,b:8080)/y?q=1", 2)]
+    assert {r["page_id"]: bytes(r["payload"]) for r in found if r["payload"] is not None} == {2: b"same", 5: "é<p>".encode()}
+    assert warc.lookup(directory, []).count() == 0
     assert warc.read_archives(warc.write_archives(df.where("false"))).count() == 0
+    large = spark.createDataFrame([(1, "http://x.org", "é" * 3_000_000), (2, "http://x.org", "small"), (3, "http://y.org", "small"), (4, "http://y.org", "é" * 3_000_000)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(large, least=100)).collect()}
+    assert got == {1: (6_000_000, 4), 2: (5, None), 3: (5, None), 4: (6_000_000, None)}
 
 
 def test_decontamination(spark, docs):
