@@ -2,8 +2,8 @@
 
 Pages are dealt by ranges of their reversed-host key and written in key order: a gzip member per record, so that any
 record is one range read. Beside each archive stand compressed blocks of index lines (key, place, length), and a sparse
-directory (a row per block: first and last key, place) is returned. A look-up searches the directory by halves, reads
-one block, searches that, and reads the record.
+directory (a row per block: first and last key, place) is returned as a table, never gathered. A look-up searches each
+part of the directory by halves, reads one block, searches that by halves, and reads the record by its place.
 
 Of records with equal payloads the one with the largest page_id is a response and the others are revisits that refer to
 it. A null html is an empty payload. Rows that repeat a page_id are written each; of equal payloads all rows with the
@@ -97,17 +97,18 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Writes a record for each row and gives the directory: first_key, last_key, archive, index, offset, length, lines."""
     spark, folder = pages.sparkSession, folder or fresh_path(pages.sparkSession, "warc")
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumn("sha", F.sha1("html"))
-    other = revisits(pages, least).withColumnsRenamed({"page_id": "p", "sha": "s"})
-    rows = rows.join(other, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
-    rows = rows.select(reversed_host_key("url").alias("key"), "page_id", "url", "html", "refers_to")
-    rows = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    key, sha = reversed_host_key("url"), F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    rows = pages.select(key.alias("key"), "page_id", sha.alias("sha"), F.lit(1).alias("page"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
+    # a notice that a payload is answered elsewhere stands right before its record, so html is dealt out once
+    notices = pages.select(key.alias("key"), "page_id", sha.alias("sha")).distinct().withColumnsRenamed({"page_id": "p", "sha": "s"}).join(revisits(pages, least), F.col("p").eqNullSafe(F.col("page_id")) & (F.col("s") == F.col("sha")))
+    notices = notices.select("key", "page_id", "sha", F.lit(0).alias("page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "refers_to")
+    order = ("key", "page_id", "sha", "page")
+    rows = rows.unionByName(notices).repartitionByRange("key", "page_id").sortWithinPartitions(*order).select(*order, "url", "html", "refers_to")
 
     def run(batches):
         fs, inner = filesystem(folder)
         fs.create_dir(inner, recursive=True)
-        name, out, index = uuid.uuid4().hex[:16], None, None
+        name, out, index, notice = uuid.uuid4().hex[:16], None, None, None
         lines, held, place, found = [], 0, 0, []
 
         def close():
@@ -120,8 +121,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
         for batch in batches:
             if out is None:
                 out, index = fs.open_output_stream(f"{inner}/{name}.warc.gz", compression=None), fs.open_output_stream(f"{inner}/{name}.cdx", compression=None)
-            for key, page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = gzipped(record(page_id, url, html, refers_to))
+            for key, page_id, sha, page, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                if not page:
+                    notice = (key, page_id, sha), refers_to
+                    continue
+                raw = gzipped(record(page_id, url, html, notice[1] if notice and notice[0] == (key, page_id, sha) else None))
                 out.write(raw)
                 lines.append((key, place, len(raw)))
                 place, held = place + len(raw), held + len(raw)
@@ -141,6 +145,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
     return written(map_arrow(rows, run, schema), "warc-directory")
 
 
+COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+KINDS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
+
+
+def captures(found: list[dict], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r["type" if n == "record_type" else n] for r in found], KINDS.get(n, pa.string())) for n in names], names)
+
+
 def block_lines(fs, index: str, offset: int, length: int) -> list[tuple[str, int, int]]:
     with fs.open_input_file(index) as f:
         raw = zlib.decompress(f.read_at(length, offset))
@@ -159,35 +172,34 @@ def read_archives(directory: DataFrame, with_payload: bool = True) -> DataFrame:
                 with fs.open_input_file(filesystem(x["archive"])[1]) as f:
                     raw = f.read_at(end - first, first)
                 found = [parsed(raw[p - first : p - first + n]) for _, p, n in lines]
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"] + ["payload"] * with_payload
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * with_payload
-                yield pa.RecordBatch.from_arrays([pa.array([r["type" if n == "record_type" else n] for r in found], k) for n, k in zip(names, kinds)], names)
+                yield captures(found, [*COLUMNS, *["payload"] * with_payload])
 
     blocks = max(1, directory.count())
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload
+    schema = SCHEMA + ", payload binary" * with_payload
     tasks = min(blocks, 4 * directory.sparkSession.sparkContext.defaultParallelism)
     return map_arrow(directory.repartition(max(tasks, blocks // 64)), run, schema)
 
 
-class CaptureIndex:
-    """Look-ups by key. Keeps the sparse directory (a row per block of up to 1000 captures), nothing else."""
-
-    def __init__(self, directory: DataFrame):
-        self.blocks = sorted(map(tuple, directory.collect()))
-        self.last = [b[1] for b in sorted(self.blocks, key=lambda b: (b[1], b[0]))]
-        self.by_last = sorted(self.blocks, key=lambda b: (b[1], b[0]))
-
-    def lookup(self, key: str) -> list[dict]:
-        """All captures of a reversed-host key."""
-        out = []
-        for block in self.by_last[bisect.bisect_left(self.last, key) :]:
-            if block[0] > key:
-                break
-            fs, index = filesystem(block[3])
-            lines = block_lines(fs, index, block[4], block[5])
-            at = bisect.bisect_left(lines, (key,))
-            while at < len(lines) and lines[at][0] == key:
-                with fs.open_input_file(filesystem(block[2])[1]) as f:
-                    out.append(parsed(f.read_at(lines[at][2], lines[at][1])))
-                at += 1
-        return out
+def lookup(directory: DataFrame, keys: list[str]) -> DataFrame:
+    """All captures of some reversed-host keys, as ``read_archives`` gives them, with their key."""
+    asked = sorted(set(keys))
+    some = directory.where(F.exists(F.lit(asked or [""]), lambda k: (F.col("first_key") <= k) & (F.col("last_key") >= k)))
+
+    def run(batches):
+        for batch in batches:
+            blocks = sorted(batch.to_pylist(), key=lambda b: (b["last_key"], b["first_key"]))
+            last, out = [b["last_key"] for b in blocks], []
+            for key in asked:
+                for block in blocks[bisect.bisect_left(last, key) :]:
+                    if block["first_key"] > key:
+                        continue
+                    fs, index = filesystem(block["index"])
+                    lines = block_lines(fs, index, block["offset"], block["length"])
+                    at = bisect.bisect_left(lines, (key,))
+                    with fs.open_input_file(filesystem(block["archive"])[1]) as f:
+                        while at < len(lines) and lines[at][0] == key:
+                            out.append({"key": key} | parsed(f.read_at(lines[at][2], lines[at][1])))
+                            at += 1
+            yield captures(out, ["key", *COLUMNS, "payload"])
+
+    return map_arrow(some, run, f"key string, {SCHEMA}, payload binary")
