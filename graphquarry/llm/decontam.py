@@ -1,6 +1,6 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Normalised word windows of the benchmark are a broadcast hash set (by shuffle beyond ``BROADCAST_ROWS``); every window
+Normalised word windows of the benchmark are a broadcast hash set (by shuffle beyond BROADCAST_BYTES); every window
 of every document is looked up in it by hash, hits are verified word by word, and covered words are counted or cut.
 
 Words are runs of characters other than ASCII marks, white space and controls, with A-Z in lower case. A window is
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, written
 
 WIDTH = 10
-#: Rows up to which a side is broadcast: windows and hits of some tens of bytes each.
-BROADCAST_ROWS = 400_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -61,20 +59,19 @@ def benchmark_windows(items: DataFrame, width: int, item: str, text: str) -> Dat
 def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(k, th, place, width, items) of every verified occurrence; th is the text's hash."""
     known = written(benchmark_windows(items, width, item, item_text), "benchmark-windows")
-    count = known.count()
     widths = [r["width"] for r in known.select("width").distinct().orderBy("width").collect()]  # width of them at most
     own = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     if not widths:
         return own.where("false").select("k", "th", F.lit(0).alias("place"), F.lit(0).alias("width"), F.array(F.lit("")).alias("items"))
     found = own.select("k", "th", F.inline(windows(words_of(F.col("t")), widths, lambda ws, i, w: F.struct(i.alias("place"), F.lit(w).alias("width"), F.xxhash64(F.slice(ws, i + 1, F.lit(w))).alias("h")))))
-    hashes = bounded_broadcast(known.select("width", "h").distinct(), count, BROADCAST_ROWS)
+    hashes = bounded_broadcast(written(known.select("width", "h").distinct(), "benchmark-hashes"))
     found = found.join(hashes, ["h", "width"], "left_semi").groupBy("k", "th").agg(F.collect_set(F.struct("place", "width", "h")).alias("at"))
     found = written(found, "benchmark-candidates")
-    some = bounded_broadcast(found.withColumnsRenamed({"k": "k2", "th": "th2"}), found.count(), BROADCAST_ROWS // 40)
+    some = bounded_broadcast(found.withColumnsRenamed({"k": "k2", "th": "th2"}))
     again = own.join(some, F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")))
     slices = with_words(words_of(F.col("t")), lambda ws: F.transform("at", lambda x: F.struct(x["place"].alias("place"), x["width"].alias("width"), x["h"].alias("h"), F.slice(ws, x["place"] + 1, x["width"]).alias("own"))))
     checked = again.select("k", "th", F.inline(slices))
-    return checked.join(bounded_broadcast(known, count, BROADCAST_ROWS // 4), ["h", "width"]).where(F.col("own") == F.col("words")).select("k", "th", "place", "width", "items").distinct()
+    return checked.join(bounded_broadcast(known), ["h", "width"]).where(F.col("own") == F.col("words")).select("k", "th", "place", "width", "items").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -83,7 +80,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, key: st
     covered = found.select("k", "th", F.explode(F.expr("sequence(place, place + width - 1)")).alias("p")).distinct().groupBy("k", "th").agg(F.count("*").alias("n_hit"))
     named = found.select("k", "th", F.explode("items").alias("item")).distinct().groupBy("k", "th").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("ids"))
     of = written(covered.join(named, (covered["k"].eqNullSafe(named["k"])) & (covered["th"] == named["th"])).select(covered["k"].alias("k2"), covered["th"].alias("th2"), "n_hit", "n_items", F.sha2(F.array_join("ids", ","), 256).alias("sha")), "benchmark-documents")
-    of = bounded_broadcast(of, of.count(), BROADCAST_ROWS)
+    of = bounded_broadcast(of)
     n_words = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN_ANY_CASE), ""))
     own = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), n_words.cast("long").alias("n_words"))
     every = own.join(of, F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")), "left")
@@ -96,7 +93,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, spans:
     found = hits(docs, items, width, key, text, item, item_text)
     covered = found.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(place, place + width - 1)")))).alias("#covered"))
     covered = written(covered, "benchmark-covered")
-    covered = bounded_broadcast(covered.withColumnsRenamed({"k": "#k", "th": "#th"}), covered.count(), BROADCAST_ROWS // 40)
+    covered = bounded_broadcast(covered.withColumnsRenamed({"k": "#k", "th": "#th"}))
     on = F.col(f"`{key}`").eqNullSafe(F.col("#k")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("#th"))
     if not spans:
         return docs.join(covered, on, "left_anti")

@@ -8,10 +8,15 @@ shingles and content comes after spare others on both sides, so it always makes
 then by bitmaps (bits that only one side has bound the overlap from above; short ones in the tile, then ones as long as
 the sets), and then by the exact intersection of sorted arrays.
 
-Tiles are first searched as stars around their smallest class, and those that still hold several components for a few
-rounds around some classes of lowest hash. Then each tile's classes outside of its largest component are held against all
-of its other components. So every pair that shares a tile is linked, connected or compared, and no tile is gathered in
-one place or expanded into all of its pairs.
+Tiles are first searched as stars around their smallest class. Of the tiles that still hold several components, crowded
+ones (more than ``CROWDED`` classes) are searched around some classes of lowest hash. Then, in every other open tile, the
+classes outside of its largest component are held against all of its other components: at most CROWDED pairs a row. The
+classes of crowded tiles meet by rare shingles instead, whatever their tiles: their shingles are ordered by how many of
+these classes have each, then by hash. A linked pair shares at least 2p/(1+p) of the smaller set and p of the larger one,
+so its rarest common shingle lies in the first (1-p)/(1+p) of the smaller set and in the first 1-p of the larger one. Sets
+that were edited too much fill their first places with shingles that nobody else has, so they meet nobody; the number of
+shingles that others have bounds the overlap of those that do meet. So every pair that shares a tile is linked, connected,
+ruled out or compared, no tile is gathered in one place, and none is expanded into all of its pairs.
 
 Words are runs without ASCII white space, A-Z in lower case; a shingle is ``SHINGLE`` words, and a shorter text's whole
 word sequence is one. Null, empty and blank texts have no shingles and link with nothing. Shingles are compared by their
@@ -26,7 +31,7 @@ import bisect
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, map_arrow, utf8, written
@@ -35,10 +40,10 @@ from .hashing import P1, P2, P3, P4, WordHashes, mixed, signed
 
 SHINGLE, PERCENT = 4, 85
 LONGS = 8
-#: Classes that each open tile is held against in a round, and rounds at most before the exhaustive one.
-LEADERS, ROUNDS = 4, 1
-#: Rows of 16 to 100 bytes up to which a side is broadcast.
-BROADCAST_ROWS = 1_500_000
+#: Classes that each crowded tile is held against in a round, and rounds at most before the exhaustive one.
+LEADERS, ROUNDS = 2, 1
+#: Classes of an open tile beyond which they meet by rare shingles.
+CROWDED = 32
 #: Sets of a task whose parts have been given; an equal set met again in the task gives none.
 SEEN = 200_000
 
@@ -131,11 +136,11 @@ def sketched(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
     return written(map_arrow(docs.select(F.col(key).alias("k"), utf8(text).alias("t"), F.xxhash64(text).alias("th")), run, schema), "jaccard-sketches")
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """By sizes and bitmaps: false only for pairs that can't be linked."""
+def may_link(a: str, b: str, percent: int, common: str | None = None) -> Column:
+    """By sizes and bitmaps, and ``common`` (shingles that others have too): false only for pairs that can't be linked."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     only = lambda p, q: sum((F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c)))) for c in BITS[1:]), F.bit_count(p(BITS[0]).bitwiseAND(F.bitwise_not(q(BITS[0])))))
-    overlap = F.least(x("n") - only(x, y), y("n") - only(y, x))
+    overlap = F.least(x("n") - only(x, y), y("n") - only(y, x), *([x(common), y(common)] if common else []))
     return (100 * x("n") >= percent * y("n")) & (100 * y("n") >= percent * x("n")) & ((100 + percent) * overlap >= percent * (x("n") + y("n")))
 
 
@@ -165,13 +170,45 @@ def sets_linked(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
+def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(c, t): the text that stands for each of the classes ``names`` (c); repeated rows give it again."""
+    needed = written(names.join(classes.select("c", "rep"), "c").select("c", F.col("rep.k").alias("k2"), F.col("rep.th").alias("th2")), "jaccard-needed")
+    some = bounded_broadcast(needed)
+    own = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), utf8(text).alias("t"))
+    return own.join(some, F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2"))).select("c", "t")
+
+
+def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of the classes ``members`` (s, label) of other labels that sizes, bitmaps and rare shingles allow."""
+
+    def exploded(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingles(hashes, raw, size)
+                own = np.full(len(found), int.from_bytes(c[:8], "little", signed=True), np.int64)
+                for at in range(0, len(found), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(found[at : at + 100_000])), pa.array(own[at : at + 100_000])], ["g", "s"])
+
+    members = written(members.distinct().join(classes.select("c", "s", "n", *BITS), "s"), "jaccard-crowd")
+    texts = texts_of(members.select("c"), classes, docs, key, text).dropDuplicates(["c"])
+    each = written(map_arrow(texts, exploded, "g long, s long"), "jaccard-crowd-shingles")
+    held = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("s")
+    ranked = each.join(held, "g").withColumn("at", F.row_number().over(own.orderBy("df", "g"))).withColumn("m", F.count("*").over(own))
+    ranked = ranked.join(members, "s").withColumn("at", F.col("n") - F.col("m") + F.col("at"))
+    reach = lambda share: F.floor(F.col("n") * (100 - percent) / share) + 1
+    first = written(ranked.where(F.col("at") <= reach(100)).withColumn("small", F.col("at") <= reach(100 + percent)), "jaccard-rare")
+    a, b = first.where("small").alias("a"), first.alias("b")
+    later = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") < F.col("b.s")))
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & later & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent, "m"))
+    return met.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y"))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) of classes that are linked: by bitmaps that grow with the sets, then what is left by the sets."""
     for make, test, name in ((packed_map, maps_allow, "sieved"), (np.ndarray.tobytes, sets_linked, "links")):
-        needed = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(classes.select("c", "k"), "c")
-        needed = written(needed, "jaccard-needed")
-        some = bounded_broadcast(needed.withColumnRenamed("k", "k2"), needed.count(), BROADCAST_ROWS // 4)
-        own = docs.select(F.col(key).alias("k"), utf8(text).alias("t")).join(some, F.col("k").eqNullSafe(F.col("k2"))).select("c", "t")
+        own = texts_of(pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct(), classes, docs, key, text)
 
         def payloads(batches, make=make):
             hashes = WordHashes()
@@ -204,40 +241,43 @@ def candidates(raw: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def labelled(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, s, label) of the tiles that still hold more than one component."""
+    """Members (key, s, label, crowded) of the tiles that still hold more than one component."""
     roots = components(links).join(classes.select(F.col("c").alias("node"), "s"), "node").join(classes.select(F.col("c").alias("root"), F.col("s").alias("label")), "root").select("s", "label")
-    roots = written(roots, "jaccard-roots")
-    now = members.select("key", "s").join(bounded_broadcast(roots, roots.count(), BROADCAST_ROWS), "s", "left").withColumn("label", F.coalesce("label", "s"))
-    parted = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    now = members.select("key", "s").join(bounded_broadcast(written(roots, "jaccard-roots")), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    parted = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", (F.col("rows") > CROWDED).alias("crowded"))
     return written(now.join(parted, "key"), "jaccard-open")
 
 
 def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sketches, and (c, root, component) of every class: its component's smallest class and smallest id (null if all are)."""
     base = sketched(docs, key, text, size, percent)
-    classes = base.where("c IS NOT NULL").groupBy("c", "s").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
+    classes = base.where("c IS NOT NULL").groupBy("c", "s").agg(F.min("k").alias("k"), F.min(F.struct("k", "th")).alias("rep"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
     classes = written(classes, "jaccard-classes")
     tiles = base.select(F.explode("keys").alias("key"), "s")
     live = written(tiles.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high").select("key", "low"), "jaccard-tiles")
-    few = bounded_broadcast(live, live.count(), BROADCAST_ROWS)
+    few = bounded_broadcast(live)
     members = written(tiles.join(few, "key").distinct(), "jaccard-members")
     check = lambda raw: verified(candidates(raw, classes, percent), classes, docs, key, text, size, percent)
     links = check(members.where("s != low").select(F.col("low").alias("s1"), F.col("s").alias("s2")))
     members = labelled(members, classes, links)
     for turn in range(ROUNDS):  # the same classes lead many tiles, as they have the lowest hashes of the turn
+        crowd = members.where("crowded")
         picks = [F.min_by(F.struct("s", "label"), F.xxhash64("s", F.lit(turn * LEADERS + i))) for i in range(LEADERS)]
-        leads = members.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("leads")).select("key", F.explode("leads").alias("lead"))
-        raw = members.join(leads, "key").where("label != lead.label").select(F.col("s").alias("s1"), F.col("lead.s").alias("s2"))
+        leads = crowd.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("leads")).select("key", F.explode("leads").alias("lead"))
+        raw = crowd.join(leads, "key").where("label != lead.label").select(F.col("s").alias("s1"), F.col("lead.s").alias("s2"))
         more = check(raw)
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
         members = labelled(members, classes, links)
-    main = members.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    full = written(members.join(main, "key").join(classes.drop("k"), "s"), "jaccard-rest")
+    sparse = members.where("NOT crowded")
+    main = sparse.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    full = written(sparse.join(main, "key").join(classes.drop("k", "rep"), "s"), "jaccard-rest")
     a, b = full.where("label != main").alias("a"), full.alias("b")
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.s") < F.col("b.s"))) & may_link("a", "b", percent))
-    rest = written(rest.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y")).distinct(), "jaccard-pairs")
+    rest = rest.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y"))
+    rare = rare_pairs(members.where("crowded").select("s", "label"), classes, docs, key, text, size, percent)
+    rest = written(rest.unionByName(rare).distinct(), "jaccard-pairs")
     links = links.unionByName(verified(rest, classes, docs, key, text, size, percent))
     found = components(links)
     rooted = classes.select("c", "k").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -262,12 +302,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     several = heads.where("low < high").select("root", "low")
     others = found.where("head").join(several, "root").where("th > low")
     gone = written(found.where("NOT head").select("k", "th").union(others.select("k", "th")).distinct().toDF("#k", "#th"), "jaccard-gone")
-    gone = bounded_broadcast(gone, gone.count(), BROADCAST_ROWS)
+    gone = bounded_broadcast(gone)
     left = docs.join(gone, F.col(key).eqNullSafe(F.col("#k")) & (F.xxhash64(text) == F.col("#th")), "left_anti")
     twice = written(found.where("head").groupBy("k", "th").count().where("count > 1").select(F.col("k").alias("#k"), F.col("th").alias("#th")), "jaccard-twice")
     n = twice.count()
     if not n:
         return left
     same = F.col(key).eqNullSafe(F.col("#k")) & (F.xxhash64(text) == F.col("#th"))
-    twice = bounded_broadcast(twice, n, BROADCAST_ROWS)
+    twice = bounded_broadcast(twice)
     return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, text]))
