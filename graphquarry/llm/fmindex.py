@@ -2,11 +2,13 @@
 
 Shards must be such that equal windows meet. Each window's anchor is the smallest hash of its runs of ``GRAM`` words; the
 windows of one anchor's place make a segment, so equal windows stand at equal places of segments with equal anchors.
-Anchors met once are dropped after a count by hash. Of the rest, segments met twice as a whole are covered as a whole;
-those met once, whose anchor has other segments, go with one copy of each other segment to the anchor's shard. There an
-FM-index (suffix array, BWT, wavelet matrix with rank directories) is built, and the segments are streamed through it by
-backward search: their matching statistics say which windows occur twice or more. An anchor of over ``HOT`` distinct
-segments isn't gathered: its windows are dealt by their own 128-bit hashes and counted.
+Anchors met once are dropped after a count by hash. Of the rest, segments met twice as a whole are covered as a whole (a
+pre-aggregation: a hot passage isn't shuffled copy by copy); those met once, whose anchor has other segments, go with one
+copy of each other segment to the anchor's shard. There an FM-index (suffix array, BWT, wavelet matrix with rank
+directories) is built, and the segments are streamed through it by backward search: their matching statistics say which
+windows occur twice or more. The segments of an anchor with over ``HOT`` distinct ones are texts of their own, cut again
+by anchors of the fourfold number of smallest runs, so that a hot passage is dealt over many shards. An anchor of all of a
+window's runs holds one distinct window, so this ends.
 
 Words are runs without ASCII white space, as they are. Null, empty and short texts have no windows. Repeated rows count
 as occurrences of their own, so all of them lose their windows; rows that share an id but not the text are told apart by
@@ -28,14 +30,13 @@ from .common import bounded_broadcast, map_arrow, utf8, written
 from .hashing import P1, P2, P3, P4, WordHashes, mixed, signed
 
 WINDOW, GRAM = 35, 16
-#: Words of a shard; distinct segments of an anchor beyond which its windows are dealt singly.
-SHARD_WORDS, HOT = 400_000, 2000
-#: Rows of some tens of bytes up to which a side is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Words of a shard; distinct segments of an anchor beyond which they are cut again.
+SHARD_WORDS, HOT = 100_000, 1000
 
 
-def segments(w: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchors, hashes, starts, sizes in words) of a text's segments. ``gram`` is a power of two, at most half a window."""
+def segments(w: np.ndarray, window: int = WINDOW, gram: int = GRAM, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, hashes, starts, sizes in words) of a text's segments. ``gram`` is a power of two, at most half a window.
+    An anchor is the hash of the ``least`` smallest runs of a window; a segment is windows side by side with one anchor."""
     none = np.zeros(0, np.uint64)
     if len(w) < window:
         return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -45,7 +46,17 @@ def segments(w: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
             runs = mixed(runs[:-step] * P1 + runs[step:] * P2 + np.uint64(step))
             step *= 2
         span = window - gram + 1
-        at = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(len(w) - window + 1)
+        views = np.lib.stride_tricks.sliding_window_view(runs, span)
+        if least == 1:
+            at = views.argmin(axis=1) + np.arange(len(w) - window + 1)
+            anchor = runs[at]
+        else:
+            anchor = np.zeros(len(views), np.uint64)
+            for k in range(0, len(views), 20_000):
+                some = np.sort(views[k : k + 20_000], axis=1)[:, : min(least, span)]
+                for column in some.T:
+                    anchor[k : k + 20_000] = mixed(anchor[k : k + 20_000] * P3 + column)
+            at = anchor if least < span else np.arange(len(views))
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:], [len(at)]]) - 1
         size = last - first + window
@@ -53,26 +64,25 @@ def segments(w: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
         name = size.astype(np.uint64)
         for k in range(-(-(2 * window) // gram)):
             name = mixed(name * P3 + runs[np.minimum(first + k * gram, end)])
-        return runs[at[first]], name, first, size
+        return anchor[first], name, first, size
 
 
-def cut(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """A row per document: k, th (hash of the text) and its segments; written once."""
-    kind = docs.schema[key].dataType.simpleString()
+def cut(docs: DataFrame, window: int, least: int) -> DataFrame:
+    """Of texts (k, th, cnt, t): k, th, cnt and their segments; written once."""
+    kind = docs.schema["k"].dataType.simpleString()
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [segments(hashes.of(t.split()), window) for t in batch.column(2).to_pylist()]
+            found = [segments(hashes.of(t.split()), window, least=least) for t in batch.column(3).to_pylist()]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
             lists = []
             for i, kind in enumerate((np.int64, np.int64, np.int32, np.int32)):
                 flat = np.concatenate([f[i].view(np.int64) if i < 2 else f[i].astype(np.int32) for f in found]) if found else np.zeros(0, kind)
                 lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["k", "th", "anchor", "seg", "start", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["k", "th", "cnt", "anchor", "seg", "start", "size"])
 
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), utf8(text).alias("t"))
-    return written(map_arrow(rows, run, f"k {kind}, th long, anchor array<long>, seg array<long>, start array<int>, size array<int>"), "fm-segments")
+    return written(map_arrow(docs, run, f"k {kind}, th long, cnt long, anchor array<long>, seg array<long>, start array<int>, size array<int>"), "fm-segments")
 
 
 class FMIndex:
@@ -182,50 +192,42 @@ def shard_hits(rows: pa.Table, window: int) -> pa.Table:
     return pa.table({"anchor": rows["anchor"].take(pa.array(once)), "seg": rows["seg"].take(pa.array(once)), "places": pa.array([f.tolist() for f in found], pa.list_(pa.int32()))})
 
 
-def covered(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(k, th, spans): the covered spans (start, size) of every text that has any."""
-    base = cut(docs, key, text, window)
-    every = base.select("k", "th", F.inline(F.arrays_zip("anchor", "seg", "start", "size")))
-    live = every.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("seg") == F.max("seg")).alias("alike")).where("times > 1").select("anchor", "alike")
-    live = written(live, "fm-anchors")
-    found = written(every.join(bounded_broadcast(live, live.count(), BROADCAST_ROWS), "anchor"), "fm-live")
-    varied = found.where("NOT alike").groupBy("anchor", "seg").agg(F.count("*").alias("cnt"), F.min(F.struct("k", "th", "start", "size")).alias("at"))
+def covered(docs: DataFrame, window: int, least: int = 1) -> DataFrame:
+    """(k, th, spans): the covered spans (start, size) of every text that has any, of texts (k, th, cnt, t); cnt is how
+    often a text counts."""
+    every = cut(docs, window, least).select("k", "th", "cnt", F.inline(F.arrays_zip("anchor", "seg", "start", "size")))
+    live = every.groupBy("anchor").agg(F.sum("cnt").alias("times"), (F.min("seg") == F.max("seg")).alias("alike")).where("times > 1").select("anchor", "alike")
+    found = written(every.join(live, "anchor"), "fm-live")
+    varied = found.where("NOT alike").groupBy("anchor", "seg").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("k", "th", "start", "size")).alias("at"))
     varied = written(varied, "fm-varied")
-    asked = varied.groupBy("anchor").agg(F.min("cnt").alias("least"), F.count("*").alias("kinds")).where("least = 1").select("anchor", (F.col("kinds") > HOT).alias("hot"))
+    asked = varied.groupBy("anchor").agg(F.min("cnt").alias("lowest"), F.count("*").alias("kinds")).where("lowest = 1").select("anchor", (F.col("kinds") > HOT).alias("hot"))
     asked = written(varied.join(asked, "anchor").select("anchor", "seg", "cnt", "hot", "at.*"), "fm-asked")
     total = asked.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    per_text = written(asked.groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "seg", "cnt", "hot", "start", "size")).alias("parts")), "fm-texts")
-    wanted = bounded_broadcast(per_text.withColumnsRenamed({"k": "k2", "th": "th2"}), total, 10 * BROADCAST_ROWS)
-    texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), utf8(text).alias("t"))
-    texts = texts.join(wanted, F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2"))).select("t", "parts")
+    per_text = asked.groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "seg", "cnt", "hot", "start", "size")).alias("parts"))
+    wanted = per_text.withColumnsRenamed({"k": "k2", "th": "th2"}).hint("shuffle_hash")
+    texts = docs.join(wanted, F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2"))).select("t", "parts")
 
     def read(batches):
-        """Words of cold segments; windows of hot ones, by hash."""
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        names = ["anchor", "seg", "cnt", "words", "place", "window"]
+        """The asked segments' words."""
+        names = ["anchor", "seg", "cnt", "hot"]
         for batch in batches:
-            out = []
+            out, said = [], []
             for raw, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = raw.split()
-                for p in parts:
-                    own = words[p["start"] : p["start"] + p["size"]]
-                    if p["hot"]:
-                        out += [(p["anchor"], p["seg"], p["cnt"], None, i, xxhash.xxh3_128_digest(b" ".join(own[i : i + window]))) for i in range(len(own) - window + 1)]
-                    else:
-                        out.append((p["anchor"], p["seg"], p["cnt"], b" ".join(own), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(6)], names)
-
-    words = map_arrow(texts, read, "anchor long, seg long, cnt long, words binary, place int, window binary").dropDuplicates(["anchor", "seg", "place"])
+                out += parts
+                said += [b" ".join(words[p["start"] : p["start"] + p["size"]]) for p in parts]
+            yield pa.RecordBatch.from_arrays([*[pa.array([p[n] for p in out], pa.bool_() if n == "hot" else pa.int64()) for n in names], pa.array(said, pa.binary())], [*names, "words"])
+
+    words = map_arrow(texts, read, "anchor long, seg long, cnt long, hot boolean, words binary").dropDuplicates(["anchor", "seg"])
     words = written(words, "fm-words")
-    dealt = words.where("words IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    cold = dealt.groupBy("shard").applyInArrow(lambda rows: shard_hits(rows, window), "anchor long, seg long, places array<int>").where("size(places) > 0")
-    hot = words.where("window IS NOT NULL")
-    twice = hot.groupBy("window").agg(F.sum("cnt").alias("times")).where("times > 1").select("window")
-    hot = hot.where("cnt = 1").join(twice, "window").groupBy("anchor", "seg").agg(F.collect_list("place").alias("places"))
-    some = written(cold.unionByName(hot), "fm-hits")
-    whole = varied.where("cnt > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("places"))
-    state = some.unionByName(whole)
+    shards = max(1, -(-total // SHARD_WORDS))
+    dealt = words.where("NOT hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    state = written(dealt.groupBy("shard").applyInArrow(lambda rows: shard_hits(rows, window), "anchor long, seg long, places array<int>").where("size(places) > 0"), "fm-hits")
+    hot = words.where("hot").select(F.col("anchor").alias("k"), F.col("seg").alias("th"), "cnt", F.col("words").alias("t"))
+    if hot.limit(1).count():
+        places = F.flatten(F.transform("spans", lambda p: F.sequence(p["start"], p["start"] + p["size"] - window)))
+        state = state.unionByName(covered(hot, window, 4 * least).select(F.col("k").alias("anchor"), F.col("th").alias("seg"), F.array_distinct(places).alias("places")))
+    state = state.unionByName(varied.where("cnt > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("places")))
     spans = found.where("NOT alike").join(state, ["anchor", "seg"]).select("k", "th", "start", "size", "places")
     spans = spans.select("k", "th", F.explode(F.when(F.col("places").isNull(), F.array(F.struct("start", "size"))).otherwise(F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(window).alias("size"))))).alias("span"))
     spans = spans.unionByName(found.where("alike").select("k", "th", F.struct("start", "size").alias("span")))
@@ -241,8 +243,8 @@ def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
 
 
 def with_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    found = covered(docs, key, text, window)
-    found = bounded_broadcast(found.withColumnsRenamed({"k": "#k", "th": "#th", "spans": "#spans"}), found.count(), BROADCAST_ROWS // 5)
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.lit(1).cast("long").alias("cnt"), utf8(f"`{text}`").alias("t"))
+    found = bounded_broadcast(covered(texts, window).withColumnsRenamed({"k": "#k", "th": "#th", "spans": "#spans"}))
     return docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("#k")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("#th")), "left").drop("#k", "#th")
 
 
@@ -268,10 +270,17 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with texts that had covered words cut to their kept words, joined by a space; texts left without words go."""
 
-    @F.pandas_udf("string")
-    def rest(texts, spans):
-        return texts.combine(spans, lambda t, s: b" ".join(kept_words(t.encode().split(), list(s))).decode())
-
     rows = with_spans(docs, key, text, window)
-    rows = rows.withColumn(text, F.when(F.col("#spans").isNull(), F.col(text)).otherwise(rest(F.coalesce(F.when(F.col("#spans").isNotNull(), F.col(text)), F.lit("")), F.coalesce("#spans", F.array().cast("array<struct<start:int,size:int>>")))))
-    return rows.where(F.col("#spans").isNull() | (F.col(text) != "")).drop("#spans")
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    texts[i] = b" ".join(kept_words(texts[i].encode().split(), spans)).decode()
+                keep.append(not spans or texts[i] != "")
+            columns = [pa.array(texts, batch.schema.types[at]) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(rows, run, docs.schema)
