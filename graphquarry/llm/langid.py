@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text is the vector of its hashed character 1- to 3-grams within words, (1 + log count) * idf, of length 1. Each
+A text is the vector of its hashed character 1- to 3-grams within words (runs of Unicode letters), log (1 + count) * idf, of length 1. Each
 language has several centroids, found by clustering a bounded sample of its labelled texts by cosine. The nearest
 centroid's language is predicted; a text whose cosine is below its language's floor is rejected as too far from all.
 Floors come from texts held against centroids that were clustered without them (two halves, each against the other's),
@@ -14,11 +14,12 @@ text is learned from. Other columns are left out.
 
 from __future__ import annotations
 
-import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,32 +35,41 @@ BITS, CENTROIDS, ROUNDS = 12, 3, 10
 FLOOR, QUANTILE = 0.65, 0.1
 LENGTHS = (1, 2, 4, 8, 16, 32, 64)
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
-WORD = re.compile(r"[^\W\d_]+")
-
-
-class Grams(dict):
-    """Hashed n-grams of a word, as an array."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        w = f"_{word.lower()}_"
-        grams = [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-        found = np.fromiter((zlib.crc32(g.encode("utf-8", "replace")) >> (32 - BITS) for g in grams), np.int16, len(grams))
-        if len(word) < 40:
-            if len(self) > 400_000:
-                self.clear()
-            self[word] = found
-        return found
-
-
-def counted(grams: Grams, texts: list[list[str]]) -> np.ndarray:
-    """1 + log of each n-gram's count, by text (its words); zero where a text has no words."""
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for row, words in zip(out, texts):
-        if words:
-            row += np.bincount(np.concatenate([grams[w] for w in words]), minlength=1 << BITS)
-    np.log1p(out, out=out)
-    return out
+#: Texts that are counted at once.
+BATCH = 256
+WORD = regex.compile(r"\p{L}+")
+
+
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """By code point, whether it is a letter (general category L)."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """1 + log of each n-gram's count, and the number of words, by text; zeros where a text has no letter.
+
+    All texts stand in one array of code points, in which whatever isn't a letter is 0, the edge of words. An n-gram of
+    one, two or three places counts if its middle (of two: any) is a letter, so that none crosses from word to word.
+    """
+    points = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "replace"), "<u4") for t in texts]
+    size = np.array([len(p) for p in points], np.int64)
+    flat = np.concatenate(points) if points else np.zeros(0, np.uint32)
+    letter = letters()[flat]
+    flat = np.where(letter, flat, 0).astype(np.uint32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32) << BITS, size)
+    out = np.zeros(len(texts) << BITS, np.int64)
+    mix = lambda h: (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
+    with np.errstate(over="ignore"):
+        one = flat * np.uint32(0x85EBCA77)
+        two = one[:-1] + flat[1:] * np.uint32(0xC2B2AE3D) + np.uint32(7)
+        three = two[:-1] + flat[2:] * np.uint32(0x27D4EB2F) + np.uint32(11)
+        for hashed, at, counts in ((one, row, letter), (two, row[:-1], letter[:-1] | letter[1:]), (three, row[:-2], letter[1:-1])):
+            out += np.bincount(at[counts] + mix(hashed[counts]).astype(np.int32), minlength=len(out))
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    words = np.bincount((row >> BITS)[first], minlength=len(texts))
+    return np.log1p(out.reshape(len(texts), 1 << BITS).astype(np.float32)), words
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -70,17 +80,20 @@ class Centroids:
     def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray, floors: np.ndarray):
         self.languages, self.centroids, self.idf, self.floors = languages, centroids, idf, floors
 
-    def predict(self, grams: Grams, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        words = [WORD.findall(t or "") for t in texts]
-        x = counted(grams, words) * self.idf
-        size = np.linalg.norm(x, axis=1)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        cosine = (x @ self.centroids.T) / np.maximum(size, 1e-12)[:, None]
+        x, words = counted([t or "" for t in texts])
+        x *= self.idf
+        cosine = (x @ self.centroids.T) / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
         best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
-        known = [bool(t) and LETTER.search(t) is not None for t in texts]
-        return ([self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)], [s if k else 0.0 for s, k in zip(score.astype(float).tolist(), known)], [not k or bool(s < np.interp(np.log(max(len(w), 1)), np.log(LENGTHS), self.floors[b])) for b, s, k, w in zip(best.tolist(), score.tolist(), known, words)])
+        score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(float)
+        out = [], [], []
+        for b, s, n in zip(best.tolist(), score.tolist(), words.tolist()):
+            out[0].append(self.languages[b] if n else UNKNOWN)
+            out[1].append(s if n else 0.0)
+            out[2].append(not n or bool(s < np.interp(np.log(n), np.log(LENGTHS), self.floors[b])))
+        return out
 
 
 def clustered(own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -92,7 +105,7 @@ def clustered(own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return centers[near >= min(QUANTILE * len(own), near.max())]  # a few outliers have no centroid of their own
 
 
-def floors_of(grams: Grams, words: list[list[str]], own: np.ndarray, idf: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def floors_of(words: list[list[str]], own: np.ndarray, idf: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """A floor for each of LENGTHS; nan where the language has a single text. Equal texts are in one half."""
     names = [zlib.crc32(" ".join(w).encode("utf-8", "replace")) for w in words]
     turn = {name: i % 2 for i, name in enumerate(sorted(set(names)))}
@@ -104,20 +117,19 @@ def floors_of(grams: Grams, words: list[list[str]], own: np.ndarray, idf: np.nda
     for n in LENGTHS:
         cosines = []
         for h in (0, 1):
-            runs = [w[name % (len(w) - n + 1) :][:n] for w, name, k in zip(words, names, half) if k == h and len(w) >= n]
+            runs = [" ".join(w[name % (len(w) - n + 1) :][:n]) for w, name, k in zip(words, names, half) if k == h and len(w) >= n]
             if runs:
-                cosines.append((unit(counted(grams, runs) * idf) @ centers[h].T).max(axis=1))
+                cosines.append((unit(counted(runs)[0] * idf) @ centers[h].T).max(axis=1))
         out.append(FLOOR * float(np.quantile(np.concatenate(cosines), QUANTILE)) if cosines else out[-1])
     return np.array(out)
 
 
 def fit(texts: list[str], languages: list[str], seed: int = 5) -> Centroids:
-    grams = Grams()
-    kept = [(WORD.findall(t), lang) for t, lang in zip(texts, languages) if LETTER.search(t)]
+    kept = [(w, lang) for t, lang in zip(texts, languages) if (w := WORD.findall(t))]
     if not kept:
         return Centroids([], np.zeros((0, 1 << BITS)), np.ones(1 << BITS, np.float32), np.zeros((0, len(LENGTHS))))
     languages = np.array([lang for _, lang in kept])
-    x = counted(grams, [w for w, _ in kept])
+    x = np.vstack([counted([" ".join(w) for w, _ in kept[a : a + BATCH]])[0] for a in range(0, len(kept), BATCH)])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = unit(x * idf)
     rng, names, found, floors = np.random.default_rng(seed), [], [], []
@@ -126,7 +138,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Centroids:
         centers = clustered(own, rng)
         names += [lang] * len(centers)
         found.append(centers)
-        floors += [floors_of(grams, [w for w, k in kept if k == lang], own, idf, np.random.default_rng(seed))] * len(centers)
+        floors += [floors_of([w for w, k in kept if k == lang], own, idf, np.random.default_rng(seed))] * len(centers)
     floors = np.array(floors)
     some = floors[~np.isnan(floors[:, 0])]
     floors[np.isnan(floors[:, 0])] = np.median(some, axis=0) if len(some) else 0.0
@@ -154,10 +166,10 @@ def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str =
     place = len(carried)
 
     def run(batches):
-        grams, model = Grams(), kept.value
+        model = kept.value
         for batch in batches:
-            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
-                langs, scores, far = model.predict(grams, part.column(place).to_pylist())
+            for part in (batch.slice(a, BATCH) for a in range(0, batch.num_rows, BATCH)):
+                langs, scores, far = model.predict(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:place], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], [*part.schema.names[:place], "lang_pred", "score", "rejected"])
 
     schema = T.StructType([*carried, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
