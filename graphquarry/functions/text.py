@@ -11,11 +11,12 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: Marks after which a sentence ends. Fixed values; the full stop isn't one.
 SENTENCE_END = "。！？!?；;"
 #: Relation types that a graph may hold; others are RELATED_TO. Fixed values.
-RELATION_TYPES = ("WORKS_AT", "LOCATED_IN", "PART_OF", "OWNS", "MANAGES", "DEPENDS_ON", "PRODUCES", "RELATED_TO")
-#: Ends of organisation names that don't tell names apart. Fixed values.
-ORG_SUFFIX = r"(?i)(有限责任公司|股份有限公司|有限公司|集团|公司|co\.?,?\s*ltd\.?|inc\.?|corp\.?|ltd\.?|llc)\s*$"
+RELATION_TYPES = ("BELONGS_TO", "WORKS_AT", "LOCATED_IN", "DEVELOPED_BY", "RELATED_TO", "PART_OF", "USES", "DEPENDS_ON")
+#: Ends of organisation names that don't tell names apart, as patterns in any case. Fixed values.
+ORG_ENDS = ("股份有限公司", "有限责任公司", "有限公司", "集团", "公司", "股份", "Corporation", r"Corp\.?", "Incorporated", r"Inc\.?", r"Ltd\.?", "LLC", r"Co\.?", r"S\.A\.", "GmbH", "AG")
+ORG_SUFFIX = rf"(?i)({'|'.join(ORG_ENDS)})\s*$"
 #: Extensions and the document types they stand for. Fixed values.
-DOC_TYPES = {".pdf": "pdf", ".doc": "word", ".docx": "word", ".ppt": "ppt", ".pptx": "ppt", ".png": "image", ".jpg": "image", ".jpeg": "image", ".xlsx": "table", ".xls": "table", ".csv": "table", ".txt": "text", ".md": "markdown", ".markdown": "markdown"}
+DOC_TYPES = {".pdf": "pdf", ".docx": "word", ".doc": "word", ".pptx": "ppt", ".ppt": "ppt", ".png": "image", ".jpg": "image", ".jpeg": "image", ".bmp": "image", ".csv": "table", ".xlsx": "table", ".xls": "table", ".txt": "text", ".md": "markdown"}
 
 
 def strip(x: Column) -> Column:
@@ -43,7 +44,7 @@ def entity_key(x: Column) -> Column:
 
 
 def relation_type(x: Column) -> Column:
-    name = F.upper(F.regexp_replace(F.regexp_replace(x, "[^0-9A-Za-z]+", "_"), "^_+|_+$", ""))
+    name = F.upper(F.regexp_replace(F.regexp_replace(strip(x), "[^0-9A-Za-z_]+", "_"), "^_+|_+$", ""))
     return F.when(name.isin(*RELATION_TYPES), name).otherwise("RELATED_TO")
 
 
@@ -79,3 +80,25 @@ def vector_id(name: Column) -> Column:
     h = F.sha1(F.concat(F.lit(space), name.cast("binary")))
     nibble = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(nibble, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def rpartition(x: Column, mark: str) -> Column:
+    """Struct (head, tail) at the last ``mark``; without it all is head."""
+    tail = F.substring_index(x, mark, -1)
+    has = F.contains(x, F.lit(mark))
+    head = F.substring(x, F.lit(1), F.char_length(x) - F.char_length(tail) - len(mark))
+    return F.struct(F.when(has, head).otherwise(x).alias("head"), F.when(has, tail).otherwise("").alias("tail"))
+
+
+def without_fence(x: Column) -> Column:
+    """A reply without a code fence (and its language) around it."""
+    return strip(F.regexp_replace(strip(x), r"^```[A-Za-z]*[ \t]*\r?\n?|\r?\n?```$", ""))
+
+
+def data_url(content: Column, kind: str = "image/png") -> Column:
+    return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(content), r"\r?\n", ""))
+
+
+def iso_utc(at: Column) -> Column:
+    """ISO-8601 text of a timestamp, in UTC by the session's zone."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

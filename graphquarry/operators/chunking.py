@@ -9,22 +9,25 @@ from ..functions.text import SENTENCE_END, sentences, strip
 from ..functions.vector import cosine, dot
 
 SIZE, OVERLAP, PERCENTILE = 512, 64, 85
+#: Marks of a sentence that states something. Fixed values.
+DENSE = "0-9０-９,，、《》%％"
 
 
 def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, tail: bool = False) -> DataFrame:
-    """Windows of ``size`` at a stride of size - overlap; the window that reaches the end is the last, unless ``tail``."""
+    """Windows of ``size`` at a stride of size - overlap, stripped, without blank ones, which aren't numbered either; the
+    window that reaches the end is the last, unless ``tail``. ``start`` is the window's place before it is stripped."""
     stride = size - overlap
     n = F.char_length("text")
     last = n - 1 if tail else F.greatest(n - 1 - overlap, F.lit(0))
-    cut = docs.where(n > 0).select("doc_id", "text", F.posexplode(F.sequence(F.lit(0), last, F.lit(stride))).alias("chunk_index", "start"))
-    return cut.select("doc_id", "chunk_index", "start", F.substring("text", F.col("start") + 1, F.lit(size)).alias("content"))
+    pieces = F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("start"), strip(F.substring("text", i + 1, F.lit(size))).alias("content")))
+    cut = docs.where(n > 0).select("doc_id", F.posexplode(F.filter(pieces, lambda p: p["content"] != "")).alias("chunk_index", "p"))
+    return cut.select("doc_id", "chunk_index", "p.start", "p.content")
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).where("sentence <> ''")
 
 
-
 def hard_cut(x: Column, size: int, overlap: int) -> Column:
     stride = size - overlap
     return F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(x) - 1, F.lit(0)), F.lit(stride)), lambda i: F.substring(x, i + 1, F.lit(size)))
@@ -83,9 +86,11 @@ def semantic_distances(rows: DataFrame, percentile: float = PERCENTILE) -> DataF
     zero = (dot(F.col("here"), F.col("here")) == 0) | (dot(F.col("after"), F.col("after")) == 0)
     distances = pairs.select("doc_id", "pos", F.when(zero, 0.0).otherwise(F.round(1 - cosine(F.col("here"), F.col("after")), 6)).alias("distance"))
     share = max(0.0, min(float(percentile), 100.0)) / 100.0
-    ordered = F.array_sort(F.collect_list("distance").over(Window.partitionBy("doc_id")))
-    at = F.bround(F.lit(share) * (F.size(ordered) - 1), 0).cast("int") + 1
-    return distances.withColumn("boundary", F.col("distance") >= F.element_at(ordered, at)).select("doc_id", "pos", "distance", "boundary")
+    own = Window.partitionBy("doc_id")
+    placed = distances.withColumn("r", F.row_number().over(own.orderBy("distance", "pos"))).withColumn("n", F.count("*").over(own))
+    at = F.bround(F.lit(share) * (F.col("n") - 1), 0).cast("int") + 1
+    least = F.max(F.when(F.col("r") == at, F.col("distance"))).over(own)
+    return placed.withColumn("boundary", F.col("distance") >= least).select("doc_id", "pos", "distance", "boundary")
 
 
 def semantic_chunks(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, percentile: float = PERCENTILE) -> DataFrame:
@@ -114,7 +119,7 @@ def core_sentences(docs: DataFrame, least: int = 12, most: int = 80) -> DataFram
     """(doc_id, pos, sentence, score): sentences of a fitting length; 1 for digits or marks of a statement, 0.5 for a full-width comma."""
     found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"([^{SENTENCE_END}\n]+[{SENTENCE_END}]?)"), 1)).alias("pos", "raw"))
     found = found.withColumn("sentence", strip(F.col("raw"))).where(F.char_length("sentence").between(least, most))
-    score = F.when(F.col("sentence").rlike("[0-9,《》%]"), 1.0).otherwise(0.0) + F.when(F.col("sentence").contains("，"), 0.5).otherwise(0.0)
+    score = F.when(F.col("sentence").rlike(f"[{DENSE}]"), 1.0).otherwise(0.0) + F.when(F.col("sentence").contains("，"), 0.5).otherwise(0.0)
     return found.select("doc_id", "pos", "sentence", score.alias("score"))
 
 

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relation_type
 
 
-def _ordered(column: str) -> Column:
-    """Distinct values of an array column in order of ``pos``."""
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda x: x[column])))
-
-
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """Mentions (name, type, description, source, version, pos): first type, last non-empty description, last version,
     sources in order."""
     said = F.when(F.coalesce("description", F.lit("")) != "", F.col("pos"))
-    rows = mentions.where(F.coalesce("name", F.lit("")) != "").withColumn("sources", F.array("source"))
-    return rows.groupBy("name").agg(F.min_by("type", "pos").alias("type"), F.coalesce(F.max_by("description", said), F.lit("")).alias("description"), F.max_by("version", "pos").alias("version"), _ordered("sources").alias("provenance"))
+    rows = mentions.where(F.coalesce("name", F.lit("")) != "")
+    folded = rows.groupBy("name").agg(F.min_by("type", "pos").alias("type"), F.coalesce(F.max_by("description", said), F.lit("")).alias("description"), F.max_by("version", "pos").alias("version"))
+    return folded.join(_sources(rows, "name"), "name")
+
+
+def _sources(rows: DataFrame, *key: str) -> DataFrame:
+    """Each key's distinct sources in order of first sight; reduced to a row a source before any list is made."""
+    first = rows.groupBy(*key, "source").agg(F.min("pos").alias("pos"))
+    return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]).alias("provenance"))
 
 
 def merge_relations(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Mentions (head, relation, tail, confidence, source, pos) between known entities: last confidence, sources in order."""
     names = entities.select("name")
     rows = mentions.join(names.withColumnRenamed("name", "head"), "head", "left_semi").join(names.withColumnRenamed("name", "tail"), "tail", "left_semi")
-    rows = rows.withColumn("rel_type", relation_type(F.col("relation"))).withColumn("sources", F.array("source"))
-    return rows.groupBy("head", "rel_type", "tail").agg(F.max_by("confidence", "pos").alias("confidence"), _ordered("sources").alias("provenance"))
+    rows = rows.withColumn("rel_type", relation_type(F.col("relation")))
+    key = ("head", "rel_type", "tail")
+    return rows.groupBy(*key).agg(F.max_by("confidence", "pos").alias("confidence")).join(_sources(rows, *key), list(key))
 
 
 def without_provenance(entities: DataFrame, relations: DataFrame, gone) -> tuple[DataFrame, DataFrame]:
@@ -82,3 +85,57 @@ def resolve_names(mentions: DataFrame, key: Column) -> DataFrame:
     """Mentions (name, pos) with the first-seen name of their key as canonical."""
     first = mentions.withColumn("key", key).groupBy("key").agg(F.min_by("name", "pos").alias("canonical"))
     return mentions.withColumn("key", key).join(first, "key").select("name", "pos", "canonical", (F.col("canonical") != F.col("name")).alias("merged"))
+
+
+def neighbour_rows(entities: DataFrame, relations: DataFrame, starts: DataFrame, hops: int = 2, most: int = 50) -> DataFrame:
+    """(start, rank, relations, target, target_type, target_desc, content): the first ``most`` trails from each start, by
+    length, relations and names. ``most`` is the feature's limit."""
+    edges = doubled(relations)
+    at = starts.select(F.col("name").alias("start"), F.col("name").alias("b"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("rels"), F.array("name").alias("nodes"))
+    out = None
+    for _ in range(min(max(hops, 1), 5)):
+        step = at.withColumnRenamed("b", "a").join(edges, "a").where(~F.array_contains("ids", F.col("rel_id")))
+        at = step.select("start", "b", F.array_append("ids", F.col("rel_id")).alias("ids"), F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("nodes", F.col("b")).alias("nodes"))
+        out = at if out is None else out.unionByName(at)
+    order = Window.partitionBy("start").orderBy(F.size("rels"), "rels", "nodes")
+    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    named = best.join(entities.select(F.col("name").alias("b"), "type", "description"), "b", "left")
+    kind, said = F.coalesce("type", F.lit("")), F.coalesce("description", F.lit(""))
+    content = F.concat("start", F.lit(" --["), F.array_join("rels", ", "), F.lit("]--> "), "b", F.lit(" ("), kind, F.lit("): "), said)
+    return named.select("start", "rank", F.array_join("rels", ", ").alias("relations"), F.col("b").alias("target"), kind.alias("target_type"), said.alias("target_desc"), content.alias("content"))
+
+
+def path_text(nodes: Column, rels: Column) -> Column:
+    """``推理路径: a --[r]--> b …`` of a path's nodes and the relations between them."""
+    steps = F.transform(nodes, lambda n, i: F.when(i < F.size(rels), F.concat(n, F.lit(" --["), F.element_at(rels, (i + 1).cast("int")), F.lit("]-->"))).otherwise(n))
+    return F.concat(F.lit("推理路径: "), F.array_join(steps, " "))
+
+
+def keyword_neighbours(entities: DataFrame, relations: DataFrame, keyword: str, most: int = 20) -> DataFrame:
+    """(name, type, rel, neighbour): entities whose name holds the first 20 characters of a question, with their neighbours if
+    any; ``most`` rows by name, the feature's limit."""
+    found = entities.where(F.col("name").contains(keyword[:20])).select("name", "type")
+    edges = doubled(relations).select(F.col("a").alias("name"), "rel", F.col("b").alias("neighbour"))
+    return found.join(edges, "name", "left").orderBy("name", "rel", "neighbour").limit(most)
+
+
+def merge_into_graph(held: DataFrame, mentions: DataFrame, now: Column) -> DataFrame:
+    """Entities (name, type, description, version, provenance, aliases, created_at, updated_at) with new mentions merged in:
+    the held type stays, a new description that isn't empty and the last version win, provenance and aliases are added in
+    order, and only touched entities get ``now``."""
+    new = merge_entities(mentions).withColumnsRenamed({c: f"new_{c}" for c in ("type", "description", "version", "provenance")}).withColumn("hit", F.lit(True))
+    both = held.join(new, "name", "full_outer")
+    union = lambda a, b: F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+    said = F.when(F.coalesce("new_description", F.lit("")) != "", F.col("new_description")).otherwise(F.coalesce("description", F.lit("")))
+    own = F.when(F.col("hit"), F.array("name")).otherwise(F.array().cast("array<string>"))
+    return both.select("name", F.coalesce("type", "new_type").alias("type"), said.alias("description"), F.coalesce("new_version", "version").alias("version"), union(F.col("provenance"), F.col("new_provenance")).alias("provenance"), union(F.col("aliases"), own).alias("aliases"), F.coalesce("created_at", now).alias("created_at"), F.when(F.col("hit"), now).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def rewritten_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Relations (head, relation, tail, pos) whose ends have the canonical names (name, pos, canonical) known by then."""
+    known = resolved.groupBy("name").agg(F.min("pos").alias("since"), F.min_by("canonical", "pos").alias("canonical"))
+    out = relations
+    for end in ("head", "tail"):
+        side = known.withColumnsRenamed({"name": end, "since": f"{end}_since", "canonical": f"{end}_name"})
+        out = out.join(side, end, "left").withColumn(end, F.when(F.col(f"{end}_since") <= F.col("pos"), F.col(f"{end}_name")).otherwise(F.col(end))).drop(f"{end}_since", f"{end}_name")
+    return out.select(relations.columns)

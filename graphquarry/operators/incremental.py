@@ -60,18 +60,61 @@ def approved(rows: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     return rows.join(reviews.where(~F.col("approved")).select(key).distinct(), key, "left_anti")
 
 
-DIFF = T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("blocks", T.IntegerType()), T.StructField("change_ratio", T.DoubleType()), T.StructField("major", T.BooleanType())])
+DIFF = T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("blocks", T.IntegerType()), T.StructField("change_ratio", T.DoubleType()), T.StructField("major", T.BooleanType()), T.StructField("summary", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(DIFF)
 def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines added and removed and blocks of change between two texts; major if over 0.3 of the longer one changed."""
+    """Lines added and removed, blocks of change, their share of the lines of both texts together (rounded), major if the
+    share before rounding is over 0.3, and a summary of the first five added and the first five removed lines."""
     rows = []
     for a, b in zip(old, new):
         a, b = (re.split(LINE_END, t or "") for t in (a, b))
         a, b = a[: -1 if a[-1] == "" else None], b[: -1 if b[-1] == "" else None]
         ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
-        removed, added = sum(o[2] - o[1] for o in ops), sum(o[4] - o[3] for o in ops)
-        ratio = round((added + removed) / max(1, len(a) + len(b)), 4)
-        rows.append((added, removed, len(ops), ratio, ratio > 0.3))
-    return pd.DataFrame(rows, columns=["added", "removed", "blocks", "change_ratio", "major"])
+        gone, came = [x for o in ops for x in a[o[1] : o[2]]], [x for o in ops for x in b[o[3] : o[4]]]
+        ratio = (len(came) + len(gone)) / max(1, len(a) + len(b))
+        rows.append((len(came), len(gone), len(ops), round(ratio, 4), ratio > 0.3, [f"+ {x}" for x in came[:5]] + [f"- {x}" for x in gone[:5]]))
+    return pd.DataFrame(rows, columns=[f.name for f in DIFF])
+
+
+def registry_update(held: DataFrame, changes: DataFrame, now) -> DataFrame:
+    """``held`` (file_id, ..., updated_at) with the fields of ``changes`` (file_id and some of UPDATABLE; null: as it was);
+    other columns of ``changes`` are ignored. ``now`` is a column for updated_at."""
+    fields = [c for c in UPDATABLE if c in changes.columns and c in held.columns]
+    new = changes.select("file_id", *[F.col(c).alias(f"new_{c}") for c in fields], F.lit(True).alias("hit"))
+    both = held.join(new, "file_id", "left")
+    some = F.col("hit") & F.coalesce(*[F.col(f"new_{c}").isNotNull() for c in fields], F.lit(False)) if len(fields) == 1 else F.col("hit") & sum((F.col(f"new_{c}").isNotNull().cast("int") for c in fields), F.lit(0)).cast("boolean")
+    values = {c: F.coalesce(F.col(f"new_{c}"), F.col(c)) for c in fields} | ({"updated_at": F.when(some, now).otherwise(F.col("updated_at"))} if fields else {})
+    return both.select([values.get(c, F.col(c)).alias(c) for c in held.columns])
+
+
+#: Registry fields that may be updated. Fixed values.
+UPDATABLE = ("status", "chunks_count", "entities_count", "relations_count", "thread_id", "error_message")
+
+
+def upload_outcomes(registry: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Uploads (file_id, sha) against registered (sha, status): already_exists, retried after failure or rejection, or
+    processing."""
+    held = registry.select("sha", "status")
+    state = F.when(F.col("status").isNull(), "processing").when(F.col("status").isin("failed", "rejected"), "retried").otherwise("already_exists")
+    return uploads.join(held, "sha", "left").select("file_id", "sha", state.alias("outcome"))
+
+
+def delete_chunks(held: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``held`` without the chunks of ``ids`` (chunk_id), and the count that a delete states: the ids asked for."""
+    return held.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti"), ids.agg(F.count("*").alias("deleted"))
+
+
+def document_handlers(states: DataFrame, snapshot: DataFrame, current: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, action) for the last change of each document: ``states`` (doc_id, change_type), ``snapshot`` and
+    ``current`` (doc_id, chunk_id, content). A created document's chunks are stored; a modified one's changed and new chunks
+    are stored and its changed and stale ones removed, others kept (without a snapshot all are stored); a deleted one's
+    chunks are removed."""
+    was = snapshot.select("doc_id", "chunk_id", F.col("content").alias("was"), F.lit(True).alias("o"))
+    now = current.select("doc_id", "chunk_id", F.col("content").alias("now"), F.lit(True).alias("n"))
+    both = states.join(was.join(now, ["doc_id", "chunk_id"], "full_outer"), "doc_id")
+    deleted, created = F.col("change_type") == "deleted", F.col("change_type") == "created"
+    action = F.when(deleted, F.when(F.col("o"), "remove")).when(created, F.when(F.col("n"), "store"))
+    action = action.when(F.col("n").isNull(), "remove").when(F.col("o").isNull(), "store").when(F.col("was").eqNullSafe(F.col("now")), "keep").otherwise("replace")
+    return both.select("doc_id", "chunk_id", action.alias("action")).where("action IS NOT NULL")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_key
+from ..functions.text import content_key, strip
 from ..functions.vector import cosine, sigmoid
 
 RRF_K = 60
@@ -91,7 +91,59 @@ def rerank_head(ranked: DataFrame, raw_score: Column, head: int = 20) -> DataFra
 
 
 def evidence_blocks(contexts: DataFrame) -> DataFrame:
-    """``[i] 来源: … | 类型: … | chunk: … | page: …`` and the content, without empty parts."""
+    """``[i] 来源: … | 类型: … | chunk: … | page: … | heading: …`` and the whole content; empty places are left out."""
     part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
-    head = F.concat_ws(" | ", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 来源: "), F.coalesce("source", F.lit(""))), part("类型: ", F.col("retrieval_type")), part("chunk: ", F.col("chunk_id")), part("page: ", F.col("page").cast("string")))
-    return contexts.withColumn("block", F.concat_ws("\n", head, F.col("content")))
+    place = [part("chunk: ", F.col("chunk_id")), part("page: ", F.nullif(F.col("page").cast("string"), F.lit("0"))), part("heading: ", F.col("heading_path"))]
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 来源: "), F.coalesce("source", F.lit("")), F.lit(" | 类型: "), F.coalesce("retrieval_type", F.lit("")))
+    return contexts.withColumn("block", F.concat(F.concat_ws(" | ", head, *place), F.lit("\n"), F.coalesce("content", F.lit(""))))
+
+
+def context_key(chunk_id: Column, content: Column) -> Column:
+    """Contexts of equal keys are one evidence: by chunk id, or without one by their content."""
+    own = F.trim(F.coalesce(chunk_id, F.lit("")))
+    return F.when(own != "", F.concat(F.lit("chunk:"), own)).otherwise(F.concat(F.lit("content:"), F.sha2(content_key(content), 256)))
+
+
+def hybrid_fuse(contexts: DataFrame, top: int | None = None) -> DataFrame:
+    """Contexts (query_id, list_id, pos, chunk_id, content, source, score, retrieval_type, page, heading_path) of several
+    lists fused: (query_id, rank, key, content, source, score, original_score, retrieval_type, citations). The payload is
+    the first one seen, the type hybrid if types are mixed, the original score the best, citations in order of sight."""
+    keyed = contexts.withColumn("item", context_key(F.col("chunk_id"), F.col("content"))).withColumn("at", F.struct("list_id", "pos"))
+    cite = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("chunk_id", F.lit("")).alias("chunk_id"), F.coalesce("page", F.lit(0)).alias("page"))
+    first = keyed.groupBy("query_id", "item", cite.alias("cite")).agg(F.min("at").alias("seen"))
+    cites = first.groupBy("query_id", "item").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "cite"))), lambda c: F.concat_ws("|", c["cite"]["source"], c["cite"]["chunk_id"], c["cite"]["page"].cast("string"))).alias("citations"))
+    payload = keyed.groupBy("query_id", "item").agg(F.min_by("content", "at").alias("content"), F.min_by("source", "at").alias("source"), F.max("score").alias("original_score"), F.when(F.count_distinct("retrieval_type") > 1, "hybrid").otherwise(F.min("retrieval_type")).alias("retrieval_type"))
+    fused = fuse(keyed.select("query_id", "list_id", "pos", "item"), top)
+    return fused.join(payload, ["query_id", "item"]).join(cites, ["query_id", "item"]).select("query_id", "rank", F.col("item").alias("key"), "content", "source", "score", "original_score", "retrieval_type", "citations")
+
+
+def clean_terms(terms: Column, most: int) -> Column:
+    """The first ``most`` terms that aren't blank, stripped."""
+    return F.slice(F.filter(F.transform(terms, lambda t: strip(F.coalesce(t, F.lit("")))), lambda t: t != ""), 1, most)
+
+
+#: Intents in the order in which a reply is searched for them. Fixed values.
+INTENTS = ("factoid", "analytical", "comparative", "procedural", "exploratory")
+
+
+def intent_of(reply: Column) -> Column:
+    """The first intent that a reply names, else factoid."""
+    out = F.lit(INTENTS[0])
+    for name in reversed(INTENTS):
+        out = F.when(F.lower(reply).contains(name), name).otherwise(out)
+    return out
+
+
+def source_payloads(contexts: DataFrame, registry: DataFrame) -> DataFrame:
+    """What is shown of contexts (rank, content, source, score, ...): 500 characters, four places, and the registered name
+    of a source's file (of ``registry``: file_id, original_name, status) where it was taken in."""
+    names = registry.where("status = 'success'").select("file_id", "original_name")
+    file = F.regexp_extract("source", "([^/]*)/*$", 1)
+    named = contexts.withColumn("file_id", file).join(names, "file_id", "left")
+    return named.select(F.col("rank").alias("index"), F.substring("content", 1, 500).alias("content"), F.coalesce("original_name", "source").alias("source"), F.round("score", 4).alias("score"), F.col("retrieval_type").alias("type"), F.coalesce("chunk_id", F.lit("")).alias("chunk_id"))
+
+
+def evidence_counts(contexts: DataFrame) -> DataFrame:
+    """(query_id, vector, graph): evidence of each kind; hybrid counts for both."""
+    n = lambda kind: F.count_if(F.col("retrieval_type").isin(kind, "hybrid"))
+    return contexts.groupBy("query_id").agg(n("vector").alias("vector"), n("graph").alias("graph"))

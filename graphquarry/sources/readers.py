@@ -1,4 +1,4 @@
-"""Files into rows: text, markdown blocks, CSV tables and evaluation sets."""
+"""Files into rows: text, markdown blocks, tables of a DataFrame and evaluation sets."""
 
 from __future__ import annotations
 
@@ -47,7 +47,7 @@ def table_block(rows: DataFrame, by: str, order: str, columns: list[str], csv_co
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |"
-    ruled = head + ("\n|---" * len(columns) if csv_compat else "\n|" + "---|" * len(columns))
+    ruled = "| " + " | ".join(columns) + " |\n|---" * len(columns) if csv_compat else head + "\n|" + "---|" * len(columns)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line")))), lambda x: x["line"])
     return rows.groupBy(by).agg(F.concat_ws("\n", F.lit(ruled), F.array_join(ordered, "\n")).alias("content"))
 

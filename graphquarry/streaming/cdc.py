@@ -23,11 +23,33 @@ def well_formed(changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(changes: DataFrame, target: str, checkpoint: str) -> None:
-    """Each micro-batch's last change of every path, appended with its batch; a batch that runs again is written over."""
+    """Each micro-batch's last change of every path and its number of changes, appended with the batch's number; rejected
+    changes go to a table of their own. A batch that runs again is written over. ``last_states`` reads one state a path."""
 
     def batch(df: DataFrame, number: int) -> None:
-        last = well_formed(df).where("NOT rejected").groupBy("file_path").agg(F.max_by(F.struct("change_type", "new_hash"), "seq").alias("c"), F.count("*").alias("events"))
-        last.select("file_path", "c.change_type", "c.new_hash", "events").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        marked = well_formed(df)
+        last = marked.where("NOT rejected").groupBy("file_path").agg(F.max_by(F.struct("seq", "change_type", "new_hash"), "seq").alias("c"), F.count("*").alias("events"))
+        last.select("file_path", "c.change_type", "c.new_hash", "c.seq", "events").write.mode("overwrite").parquet(f"{target}/states/batch={number}")
+        marked.where("rejected").drop("rejected").write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
 
     query = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def last_states(spark: SparkSession, target: str) -> DataFrame:
+    """(file_path, change_type, new_hash, events): the last state of every path over all batches, and all of its changes."""
+    rows = spark.read.parquet(f"{target}/states")
+    return rows.groupBy("file_path").agg(F.max_by(F.struct("change_type", "new_hash"), F.struct("seq", "batch")).alias("c"), F.sum("events").alias("events")).select("file_path", "c.change_type", "c.new_hash", "events")
+
+
+def rejected_changes(spark: SparkSession, target: str) -> DataFrame:
+    """Changes that were set apart."""
+    return spark.read.parquet(f"{target}/rejected")
+
+
+def retried(run, changes: DataFrame) -> DataFrame:
+    """Results (file_path, success, ...) of ``run``, a function of changes; those that failed are run once more and their
+    second results stand."""
+    first = run(changes)
+    again = run(changes.join(first.where("NOT success").select("file_path"), "file_path", "left_semi"))
+    return first.where("success").unionByName(again)
