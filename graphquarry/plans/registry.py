@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -34,10 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- retrieval -------------------------------------------------------------------------------------------------------
 
-#: Of the SQL only, which still states the first 20 vectors (see README, Open); the operators search for ``SEARCHED``.
-QUERY_SET = "vec_id < 20"
+#: Every vector whose id is divisible by STEP is a query.
 STEP = 20
-SEARCHED = f"vec_id % {STEP} = 0"
+SEARCHED = QUERY_SET = f"vec_id % {STEP} = 0"
 RANKED_SQL = f"""s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
 FROM embeddings v, embeddings q WHERE q.{QUERY_SET}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
@@ -55,9 +55,9 @@ def vector_topk(spark, sf_dir):
 
 
 FUSED_SQL = f"""WITH {RANKED_SQL},
-l AS (SELECT query_id // 2 AS pair, query_id AS list_id, rank, vec_id AS item FROM r WHERE rank <= 20),
+l AS (SELECT query_id // 40 AS pair, query_id AS list_id, rank, vec_id AS item FROM r WHERE rank <= 20),
 f AS (SELECT pair AS query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS raw, min(list_id * 1000 + rank) AS first FROM l GROUP BY ALL),
-x AS (SELECT *, round(least(1.0, raw / (2 / 61.0::DOUBLE)), 6) AS score FROM f),
+x AS (SELECT *, round(least(1.0, raw / ((SELECT count(DISTINCT list_id) FROM l WHERE l.pair = f.query_id) / 61.0::DOUBLE)), 6) AS score FROM f),
 t AS (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item) AS rank FROM x)
 SELECT query_id, rank, item, score FROM t WHERE rank <= 8"""
 
@@ -91,9 +91,9 @@ def rerank_head_tail(spark, sf_dir):
 
 @query(f"""WITH {RANKED_SQL}, u AS (SELECT query_id, round(avg(greatest(0.0, least(score, 1.0))), 4) AS support FROM r WHERE rank <= 3 GROUP BY query_id),
 k AS (SELECT query_id FROM u WHERE support < 0.9), l AS (SELECT query_id, 1 AS list_id, rank, vec_id AS item FROM r WHERE rank <= 8 AND query_id IN (FROM k)
-UNION ALL SELECT CASE query_id % 2 WHEN 0 THEN query_id + 1 ELSE query_id - 1 END AS q, 2, rank, vec_id FROM r WHERE rank <= 20 AND q IN (FROM k)),
+UNION ALL SELECT CASE query_id % 40 WHEN 0 THEN query_id + 20 ELSE query_id - 20 END AS q, 2, rank, vec_id FROM r WHERE rank <= 20 AND q IN (FROM k)),
 f AS (SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS raw, min(list_id * 1000 + rank) AS first FROM l GROUP BY ALL),
-x AS (SELECT *, round(least(1.0, raw / (2 / 61.0::DOUBLE)), 6) AS score FROM f),
+x AS (SELECT *, round(least(1.0, raw / ((SELECT count(DISTINCT list_id) FROM l WHERE l.query_id = f.query_id) / 61.0::DOUBLE)), 6) AS score FROM f),
 t AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item) AS rank, item FROM x)
 SELECT query_id, rank, item, true AS retried FROM t WHERE rank <= 8 UNION ALL SELECT query_id, rank, vec_id, false FROM r WHERE rank <= 8 AND query_id NOT IN (FROM k)""")
 def self_rag_refine(spark, sf_dir):
@@ -122,16 +122,17 @@ def citation_merge(spark, sf_dir):
     return retrieval.merge_citations(rows)
 
 
-@query("SELECT doc_id, '[' || doc_id || '] 来源: ' || source || ' | 类型: ' || lang || ' | chunk: ' || source || '#chunk-' || (doc_id % 4) || chr(10) || substr(text, 1, 200) AS block FROM documents")
+@query("SELECT doc_id, '[' || doc_id || '] 来源: ' || source || ' | 类型: ' || lang || ' | chunk: ' || source || '#chunk-' || (doc_id % 4) || chr(10) || text AS block FROM documents")
 def evidence_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.col("doc_id").alias("rank"), "source", F.col("lang").alias("retrieval_type"), tx.chunk_id(F.col("source"), F.col("doc_id") % 4).alias("chunk_id"), F.lit(None).cast("int").alias("page"), F.col("text").alias("content"))
+    rows = docs.select("doc_id", F.col("doc_id").alias("rank"), "source", F.col("lang").alias("retrieval_type"), tx.chunk_id(F.col("source"), F.col("doc_id") % 4).alias("chunk_id"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("heading_path"), F.col("text").alias("content"))
     return retrieval.evidence_blocks(rows).select("doc_id", "block")
 
 
 # ---- chunking --------------------------------------------------------------------------------------------------------
 
-CHUNK_SQL = "SELECT doc_id, (s // 448)::INT AS chunk_index, s::INT AS start, substr(text, s + 1, 512) AS content FROM (SELECT doc_id, text, unnest(range(0, {}, 448)) AS s FROM documents WHERE length(text) > 0)"
+CHUNK_SQL = """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk_index, start, content FROM (SELECT doc_id, s::INT AS start,
+regexp_replace(substr(text, s + 1, 512), '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g') AS content FROM (SELECT doc_id, text, unnest(range(0, {}, 448)) AS s FROM documents WHERE length(text) > 0)) WHERE content <> ''"""
 
 
 @query(CHUNK_SQL.format("greatest(length(text) - 64, 1)"))
@@ -156,7 +157,7 @@ def structural_chunks(spark, sf_dir):
 
 CORE_SQL = """c AS (SELECT doc_id, p::INT AS pos, regexp_replace(raw, '^[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g') AS sentence FROM
 (SELECT doc_id, unnest(range(len(s))) AS p, unnest(s) AS raw FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;\\n]+[。！？!?；;]?') AS s FROM documents))),
-k AS (SELECT *, (CASE WHEN regexp_matches(sentence, '[0-9,《》%]') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(sentence, '，') THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM c WHERE length(sentence) BETWEEN 12 AND 80)"""
+k AS (SELECT *, (CASE WHEN regexp_matches(sentence, '[0-9０-９,，、《》%％]') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(sentence, '，') THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM c WHERE length(sentence) BETWEEN 12 AND 80)"""
 
 
 @query(f"WITH {CORE_SQL} SELECT doc_id, pos, sentence, score FROM k")
@@ -262,22 +263,30 @@ def search_entities(spark, sf_dir):
     return graph.merge_entities(graph_tables(spark, sf_dir)[0]).where(F.col("name").contains("1") | F.col("description").contains("1")).select("name", "type", "description").orderBy("name").limit(20)
 
 
-RESOLVE_KEY_SQL = "regexp_replace(lower(regexp_replace(name, '\\s', '', 'g')), '(?i)(有限责任公司|股份有限公司|有限公司|集团|公司|co\\.?,?\\s*ltd\\.?|inc\\.?|corp\\.?|ltd\\.?|llc)\\s*$', '')"
+RESOLVE_KEY_SQL = "regexp_replace(lower(regexp_replace(name, '\\s', '', 'g')), '(?i)(股份有限公司|有限责任公司|有限公司|集团|公司|股份|Corporation|Corp\\.?|Incorporated|Inc\\.?|Ltd\\.?|LLC|Co\\.?|S\\.A\\.|GmbH|AG)\\s*$', '')"
+ENDS = ("", " Corporation", " Corp.", " Corp", " Incorporated", " Inc.", " Ltd.", " LLC", " Co.", " S.A.", " GmbH", " AG", "股份有限公司", "有限责任公司", "有限公司", "集团", "公司", "股份", " Co., Ltd")
 
 
-@query(f"""WITH m AS (SELECT s_name || CASE s_suppkey % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' Ltd' ELSE '' END AS name, s_suppkey * 2 AS pos FROM supplier UNION ALL SELECT upper(s_name), s_suppkey * 2 + 1 FROM supplier),
+def nth(values, k):
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+@query(f"""WITH m AS (SELECT s_name || {list(ENDS)}[s_suppkey % {len(ENDS)} + 1] AS name, s_suppkey * 2 AS pos FROM supplier UNION ALL SELECT upper(s_name), s_suppkey * 2 + 1 FROM supplier),
 k AS (SELECT *, {RESOLVE_KEY_SQL} AS key FROM m), f AS (SELECT key, arg_min(name, pos) AS canonical FROM k GROUP BY key) SELECT name, pos, canonical, canonical <> name AS merged FROM k JOIN f USING (key)""")
 def entity_resolution(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    end = F.when(F.col("s_suppkey") % 3 == 0, " Inc.").when(F.col("s_suppkey") % 3 == 1, " Ltd").otherwise("")
-    rows = s.select(F.concat("s_name", end).alias("name"), (F.col("s_suppkey") * 2).alias("pos")).unionByName(s.select(F.upper("s_name").alias("name"), (F.col("s_suppkey") * 2 + 1).alias("pos")))
+    rows = s.select(F.concat("s_name", nth(ENDS, F.col("s_suppkey"))).alias("name"), (F.col("s_suppkey") * 2).alias("pos")).unionByName(s.select(F.upper("s_name").alias("name"), (F.col("s_suppkey") * 2 + 1).alias("pos")))
     return graph.resolve_names(rows, tx.entity_key(F.col("name")))
 
 
-@query("""SELECT event_type, CASE WHEN n IN ('WORKS_AT', 'LOCATED_IN', 'PART_OF', 'OWNS', 'MANAGES', 'DEPENDS_ON', 'PRODUCES', 'RELATED_TO') THEN n ELSE 'RELATED_TO' END AS rel_type, count(*) AS n
-FROM (SELECT event_type, upper(regexp_replace(regexp_replace('works ' || event_type, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g')) AS n FROM events) GROUP BY 1, 2""")
+SAID = ("works at", "Belongs-To", "located_in", " developed by ", "part of", "USES", "depends  on", "related to", "owns", "works__at", "_uses_", "manages", "PRODUCES")
+
+
+@query(f"""SELECT said, CASE WHEN n IN ('BELONGS_TO', 'WORKS_AT', 'LOCATED_IN', 'DEVELOPED_BY', 'RELATED_TO', 'PART_OF', 'USES', 'DEPENDS_ON') THEN n ELSE 'RELATED_TO' END AS rel_type, count(*) AS n
+FROM (SELECT said, upper(regexp_replace(regexp_replace(trim(said), '[^0-9A-Za-z_]+', '_', 'g'), '^_+|_+$', '', 'g')) AS n FROM (SELECT {list(SAID)}[p_partkey % {len(SAID)} + 1] AS said FROM part)) GROUP BY 1, 2""")
 def relation_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", tx.relation_type(F.concat(F.lit("works "), "event_type")).alias("rel_type")).agg(F.count("*").alias("n"))
+    said = table(spark, sf_dir, "part").select(nth(SAID, F.col("p_partkey")).alias("said"))
+    return said.groupBy("said", tx.relation_type(F.col("said")).alias("rel_type")).agg(F.count("*").alias("n"))
 
 
 # ---- change handling -------------------------------------------------------------------------------------------------
@@ -345,15 +354,26 @@ def doc_registry(spark, sf_dir):
     return incremental.register(rows.where("file_id < 100").groupBy("sha").agg(F.min("file_id").alias("file_id")), rows.where("file_id >= 100"))
 
 
-@query()
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, and on a local master without one below the
+    temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
+        base = f"file://{tempfile.gettempdir()}/graphquarry"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("""SELECT source || '/' || (doc_id % 50) AS file_path, arg_max(CASE WHEN doc_id % 9 = 0 THEN 'deleted' ELSE 'modified' END, doc_id) AS change_type, arg_max(sha256(text), doc_id) AS new_hash, count(*)::BIGINT AS events FROM documents GROUP BY 1""")
 def cdc_stream(spark, sf_dir):
     """Changes written as JSON, streamed, and reduced to the last state of each path."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/graphquarry'}/cdc-{uuid.uuid4().hex[:12]}"
+    base = shared_folder(spark, "cdc")
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.concat("source", F.lit("/"), F.col("doc_id") % 50).alias("file_path"), F.when(F.col("doc_id") % 9 == 0, "deleted").otherwise("modified").alias("change_type"), F.lit("").alias("old_hash"), F.sha2("text", 256).alias("new_hash"), F.col("doc_id").alias("seq"))
     rows.write.json(f"{base}/in")
     cdc.apply_changes(cdc.change_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").select("file_path", "change_type", "new_hash", "events")
+    return cdc.last_states(spark, f"{base}/out")
 
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------
@@ -394,14 +414,20 @@ def table_to_markdown(spark, sf_dir):
     return readers.table_block(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", ["n_nationkey", "n_name"])
 
 
-@query("""SELECT doc_id, substr(sha256(p), 1, 16) AS path_id, substr(sha256(p), 1, 16) || '#chunk-' || (doc_id % 5) AS chunk_id, CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'table' ELSE 'unknown' END AS doc_type, doc_id || CASE doc_id % 4 WHEN 0 THEN '.MD' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' ELSE '.bin' END AS name
-FROM (SELECT doc_id, '/data/' || source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.MD' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' ELSE '.bin' END AS p FROM documents)""")
+FILES = (".pdf", ".docx", ".doc", ".pptx", ".ppt", ".png", ".jpg", ".jpeg", ".bmp", ".csv", ".xlsx", ".xls", ".txt", ".MD", ".markdown", ".bin")
+KINDS = ("pdf", "word", "word", "ppt", "ppt", "image", "image", "image", "image", "table", "table", "table", "text", "markdown", "unknown", "unknown")
+
+
+@query(f"""SELECT doc_id, substr(sha256(p), 1, 16) AS path_id, substr(sha256(p), 1, 16) || '#chunk-' || (doc_id % 5) AS chunk_id, {list(KINDS)}[doc_id % 16 + 1] AS doc_type, doc_id || {list(FILES)}[doc_id % 16 + 1] AS name
+FROM (SELECT doc_id, '/data/' || source || '/' || doc_id || {list(FILES)}[doc_id % 16 + 1] AS p FROM documents)""")
 def path_ids(spark, sf_dir):
-    ends = F.element_at(F.array(*map(F.lit, (".MD", ".pdf", ".xlsx", ".bin"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ends).alias("p"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), nth(FILES, F.col("doc_id"))).alias("p"))
     return rows.select("doc_id", tx.doc_id(F.col("p")).alias("path_id"), tx.chunk_id(tx.doc_id(F.col("p")), F.col("doc_id") % 5).alias("chunk_id"), tx.doc_type(F.col("p")).alias("doc_type"), tx.basename(F.col("p")).alias("name"))
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, count(DISTINCT lang) > 1 AS ambiguous FROM documents GROUP BY source")
 def source_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), (F.count_distinct("lang") > 1).alias("ambiguous"))
+
+
+from . import extended  # noqa: E402, F401  more queries register themselves here
