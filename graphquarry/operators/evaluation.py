@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import squeezed
+from ..functions.text import basename, squeezed
 
 
 def first_ranks(queries: DataFrame, ranked: DataFrame, hit: Column) -> DataFrame:
@@ -34,3 +39,43 @@ def golden_hits(golden: DataFrame, docs: DataFrame, most: int = 10_000) -> DataF
     side = F.broadcast(wanted) if blocks <= 1 else wanted.repartition(blocks).hint("shuffle_replicate_nl")
     own = docs.select("doc_id", squeezed(F.col("text")).alias("content"))
     return own.join(side, F.col("content").contains(F.col("fragment"))).select("item_id", "doc_id")
+
+
+@F.pandas_udf(T.DoubleType())
+def common_share(fragment: pd.Series, content: pd.Series) -> pd.Series:
+    """The longest common substring's share of the fragment; 0 of an empty one."""
+
+    def share(a: str | None, b: str | None) -> float:
+        if not a:
+            return 0.0
+        return difflib.SequenceMatcher(None, a, b or "", autojunk=False).find_longest_match().size / len(a)
+
+    return pd.Series([share(a, b) for a, b in zip(fragment, content)], dtype="float64")
+
+
+def golden_matches(samples: DataFrame, results: DataFrame, least: float = 0.6) -> DataFrame:
+    """(query_id, rank, hit) of results (query_id, rank, content, source) against their query's sample (query_id,
+    golden_fragment, source_doc): hit if the fragment is in the content, or shares a run of at least ``least`` of its length
+    with it (white space and case aside), and the file is the sample's, if that names one. The costly test sees only
+    results that the cheap ones leave open."""
+    golden = samples.select("query_id", squeezed(F.col("golden_fragment")).alias("g"), F.coalesce("source_doc", F.lit("")).alias("wanted"))
+    rows = results.join(golden, "query_id").withColumn("c", squeezed(F.coalesce("content", F.lit(""))))
+    right = (F.col("wanted") == "") | (basename(F.col("source")) == basename(F.col("wanted")))
+    rows = rows.withColumn("sure", right & (F.col("g") != "") & F.contains(F.col("c"), F.col("g"))).withColumn("open", right & (F.col("g") != "") & ~F.col("sure"))
+    settled = rows.where(~F.coalesce("open", F.lit(False))).select("query_id", "rank", F.coalesce("sure", F.lit(False)).alias("hit"))
+    return settled.unionByName(rows.where("open").select("query_id", "rank", (common_share("g", "c") >= least).alias("hit")))
+
+
+def evaluate(search: Callable[[DataFrame, int], DataFrame], samples: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(k, recall, mrr, ndcg) of a search function, from queries (query_id, question) and a depth to ranked results."""
+    results = search(samples.select("query_id", "question"), max(ks)).where(F.col("rank") <= max(ks))
+    return metrics(first_ranks(samples, golden_matches(samples, results), F.col("hit")), ks)
+
+
+def evaluate_variants(variants: dict[str, Callable[[DataFrame, int], DataFrame]], samples: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(variant, k, recall, mrr, ndcg) of several search functions under one protocol."""
+    out = None
+    for name, search in variants.items():
+        one = evaluate(search, samples, ks).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
