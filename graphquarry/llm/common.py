@@ -38,7 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: whatever came of them has been written itself."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_scratch", None)
+        if path:
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, map_arrow, utf8, written
+from .common import bounded_broadcast, discard, map_arrow, utf8, written
 from .hashing import P1, P2, P3, P4, WordHashes, mixed, signed
 
 WINDOW, GRAM = 35, 16
 #: Words of a shard; distinct segments of an anchor beyond which they are cut again.
 SHARD_WORDS, HOT = 100_000, 1000
+RUNS = "array<struct<start:int,size:int>>"
 
 
 def segments(w: np.ndarray, window: int = WINDOW, gram: int = GRAM, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,21 +184,32 @@ def repeated_windows(index: FMIndex, pieces: list[np.ndarray], window: int = WIN
     return [np.flatnonzero(good[s : s + m]) for s, m in zip(starts.tolist(), sizes.tolist())]
 
 
+def runs_of(starts: np.ndarray, window: int) -> list[dict]:
+    """Spans (start, size) of the words that windows at ``starts``, in order, cover."""
+    if not len(starts):
+        return []
+    first = np.concatenate([[True], np.diff(starts) > window])
+    last = np.concatenate([first[1:], [True]])
+    return [{"start": a, "size": b - a + window} for a, b in zip(starts[first].tolist(), starts[last].tolist())]
+
+
 def shard_hits(rows: pa.Table, window: int) -> pa.Table:
-    """(anchor, seg, places) of the windows that repeat, of the segments met once in a shard."""
+    """(anchor, seg, runs) of the words in windows that repeat, of the segments met once in a shard."""
     numbers: dict[bytes, int] = {}
     pieces = [np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")), np.int64) for t in rows["words"].to_pylist()]
     once = [i for i, n in enumerate(rows["cnt"].to_pylist()) if n == 1]
     found = repeated_windows(FMIndex(pieces), [pieces[i] for i in once], window)
-    return pa.table({"anchor": rows["anchor"].take(pa.array(once)), "seg": rows["seg"].take(pa.array(once)), "places": pa.array([f.tolist() for f in found], pa.list_(pa.int32()))})
+    return pa.table({"anchor": rows["anchor"].take(pa.array(once)), "seg": rows["seg"].take(pa.array(once)), "runs": pa.array([runs_of(f, window) for f in found], pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())])))})
 
 
 def covered(docs: DataFrame, window: int, least: int = 1) -> DataFrame:
     """(k, th, spans): the covered spans (start, size) of every text that has any, of texts (k, th, cnt, t); cnt is how
     often a text counts."""
-    every = cut(docs, window, least).select("k", "th", "cnt", F.inline(F.arrays_zip("anchor", "seg", "start", "size")))
+    base = cut(docs, window, least)
+    every = base.select("k", "th", "cnt", F.inline(F.arrays_zip("anchor", "seg", "start", "size")))
     live = every.groupBy("anchor").agg(F.sum("cnt").alias("times"), (F.min("seg") == F.max("seg")).alias("alike")).where("times > 1").select("anchor", "alike")
     found = written(every.join(live, "anchor"), "fm-live")
+    discard(base)
     varied = found.where("NOT alike").groupBy("anchor", "seg").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("k", "th", "start", "size")).alias("at"))
     varied = written(varied, "fm-varied")
     asked = varied.groupBy("anchor").agg(F.min("cnt").alias("lowest"), F.count("*").alias("kinds")).where("lowest = 1").select("anchor", (F.col("kinds") > HOT).alias("hot"))
@@ -222,16 +234,17 @@ def covered(docs: DataFrame, window: int, least: int = 1) -> DataFrame:
     words = written(words, "fm-words")
     shards = max(1, -(-total // SHARD_WORDS))
     dealt = words.where("NOT hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    state = written(dealt.groupBy("shard").applyInArrow(lambda rows: shard_hits(rows, window), "anchor long, seg long, places array<int>").where("size(places) > 0"), "fm-hits")
+    state = hits = written(dealt.groupBy("shard").applyInArrow(lambda rows: shard_hits(rows, window), f"anchor long, seg long, runs {RUNS}").where("size(runs) > 0"), "fm-hits")
     hot = words.where("hot").select(F.col("anchor").alias("k"), F.col("seg").alias("th"), "cnt", F.col("words").alias("t"))
     if hot.limit(1).count():
-        places = F.flatten(F.transform("spans", lambda p: F.sequence(p["start"], p["start"] + p["size"] - window)))
-        state = state.unionByName(covered(hot, window, 4 * least).select(F.col("k").alias("anchor"), F.col("th").alias("seg"), F.array_distinct(places).alias("places")))
-    state = state.unionByName(varied.where("cnt > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("places")))
-    spans = found.where("NOT alike").join(state, ["anchor", "seg"]).select("k", "th", "start", "size", "places")
-    spans = spans.select("k", "th", F.explode(F.when(F.col("places").isNull(), F.array(F.struct("start", "size"))).otherwise(F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(window).alias("size"))))).alias("span"))
+        state = state.unionByName(covered(hot, window, 4 * least).select(F.col("k").alias("anchor"), F.col("th").alias("seg"), F.col("spans").alias("runs")))
+    state = state.unionByName(varied.where("cnt > 1").select("anchor", "seg", F.lit(None).cast(RUNS).alias("runs")))
+    spans = found.where("NOT alike").join(state, ["anchor", "seg"]).select("k", "th", "start", "size", "runs")
+    spans = spans.select("k", "th", F.explode(F.when(F.col("runs").isNull(), F.array(F.struct("start", "size"))).otherwise(F.transform("runs", lambda p: F.struct((F.col("start") + p["start"]).alias("start"), p["size"].alias("size"))))).alias("span"))
     spans = spans.unionByName(found.where("alike").select("k", "th", F.struct("start", "size").alias("span")))
-    return written(spans.groupBy("k", "th").agg(F.collect_set("span").alias("spans")), "fm-covered")
+    out = written(spans.groupBy("k", "th").agg(F.collect_set("span").alias("spans")), "fm-covered")
+    discard(found, varied, asked, words, hits)
+    return out
 
 
 def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:

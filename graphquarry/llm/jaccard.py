@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, map_arrow, utf8, written
+from .common import bounded_broadcast, discard, map_arrow, utf8, written
 from .components import components
 from .hashing import P1, P2, P3, P4, WordHashes, mixed, signed
 
@@ -249,14 +249,15 @@ def labelled(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
 
 
 def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and (c, root, component) of every class: its component's smallest class and smallest id (null if all are)."""
+    """(k, th, n, c) of every document, and (c, root, component) of every class: its component's smallest class and smallest id (null if all are)."""
     base = sketched(docs, key, text, size, percent)
     classes = base.where("c IS NOT NULL").groupBy("c", "s").agg(F.min("k").alias("k"), F.min(F.struct("k", "th")).alias("rep"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
     classes = written(classes, "jaccard-classes")
     tiles = base.select(F.explode("keys").alias("key"), "s")
     live = written(tiles.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high").select("key", "low"), "jaccard-tiles")
-    few = bounded_broadcast(live)
-    members = written(tiles.join(few, "key").distinct(), "jaccard-members")
+    members = written(tiles.join(live, "key").distinct(), "jaccard-members")
+    slim = written(base.select("k", "th", "n", "c"), "jaccard-documents")
+    discard(base, live)
     check = lambda raw: verified(candidates(raw, classes, percent), classes, docs, key, text, size, percent)
     links = check(members.where("s != low").select(F.col("low").alias("s1"), F.col("s").alias("s2")))
     members = labelled(members, classes, links)
@@ -282,7 +283,7 @@ def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     found = components(links)
     rooted = classes.select("c", "k").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("k").alias("component"))
-    return base, written(rooted.join(least, "root").select("c", "root", "component"), "jaccard-components")
+    return slim, written(rooted.join(least, "root").select("c", "root", "component"), "jaccard-components")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

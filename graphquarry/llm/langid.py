@@ -118,8 +118,8 @@ def floors_of(words: list[list[str]], own: np.ndarray, idf: np.ndarray, rng: np.
         cosines = []
         for h in (0, 1):
             runs = [" ".join(w[name % (len(w) - n + 1) :][:n]) for w, name, k in zip(words, names, half) if k == h and len(w) >= n]
-            if runs:
-                cosines.append((unit(counted(runs)[0] * idf) @ centers[h].T).max(axis=1))
+            for part in (runs[a : a + BATCH] for a in range(0, len(runs), BATCH)):
+                cosines.append((unit(counted(part)[0] * idf) @ centers[h].T).max(axis=1))
         out.append(FLOOR * float(np.quantile(np.concatenate(cosines), QUANTILE)) if cosines else out[-1])
     return np.array(out)
 
@@ -130,8 +130,9 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Centroids:
         return Centroids([], np.zeros((0, 1 << BITS)), np.ones(1 << BITS, np.float32), np.zeros((0, len(LENGTHS))))
     languages = np.array([lang for _, lang in kept])
     x = np.vstack([counted([" ".join(w) for w, _ in kept[a : a + BATCH]])[0] for a in range(0, len(kept), BATCH)])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = unit(x * idf)
+    idf = (np.log((1 + len(x)) / (1 + sum((x[a : a + BATCH] > 0).sum(axis=0) for a in range(0, len(x), BATCH)))) + 1).astype(np.float32)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng, names, found, floors = np.random.default_rng(seed), [], [], []
     for lang in sorted(set(languages.tolist())):
         own = x[languages == lang]
