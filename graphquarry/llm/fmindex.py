@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, map_arrow, utf8, written
+from .common import discard, map_arrow, utf8, written
 from .hashing import P1, P2, P3, P4, WordHashes, mixed, signed
 
 WINDOW, GRAM = 35, 16
@@ -257,7 +257,7 @@ def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
 
 def with_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.lit(1).cast("long").alias("cnt"), utf8(f"`{text}`").alias("t"))
-    found = bounded_broadcast(covered(texts, window).withColumnsRenamed({"k": "#k", "th": "#th", "spans": "#spans"}))
+    found = covered(texts, window).withColumnsRenamed({"k": "#k", "th": "#th", "spans": "#spans"})
     return docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("#k")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("#th")), "left").drop("#k", "#th")
 
 
