@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -19,12 +20,15 @@ from pyspark.sql import types as T
 BATCH_ROWS, BATCH_BYTES = 1024, 4_000_000
 #: Bytes up to which a side of a join is broadcast.
 BROADCAST_BYTES = 64_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if the cluster names one, else (tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "graphquarry-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,10 +38,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def spent_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries started within delete their shuffle files as they end, not when the driver next collects garbage."""
+    held = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, held)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with spent_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
