@@ -199,6 +199,7 @@ def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str
     ranked = ranked.join(members, "s").withColumn("at", F.col("n") - F.col("m") + F.col("at"))
     reach = lambda share: F.floor(F.col("n") * (100 - percent) / share) + 1
     first = written(ranked.where(F.col("at") <= reach(100)).withColumn("small", F.col("at") <= reach(100 + percent)), "jaccard-rare")
+    discard(each, members)
     a, b = first.where("small").alias("a"), first.alias("b")
     later = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") < F.col("b.s")))
     met = a.join(b, (F.col("a.g") == F.col("b.g")) & later & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent, "m"))
@@ -228,7 +229,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
 
         own = written(map_arrow(own, payloads, "c binary, own binary").dropDuplicates(["c"]), "jaccard-payloads")
         left, right = (own.withColumnsRenamed({"c": n, "own": f"own_{n}"}) for n in "xy")
+        spent = pairs
         pairs = written(map_arrow(pairs.join(left, "x").join(right, "y").select("x", "y", "own_x", "own_y"), passing, "x binary, y binary"), f"jaccard-{name}")
+        discard(spent, own)
     return pairs
 
 
@@ -260,25 +263,32 @@ def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     discard(base, live)
     check = lambda raw: verified(candidates(raw, classes, percent), classes, docs, key, text, size, percent)
     links = check(members.where("s != low").select(F.col("low").alias("s1"), F.col("s").alias("s2")))
-    members = labelled(members, classes, links)
+    spent, members = members, labelled(members, classes, links)
+    discard(spent)
+    about = classes.drop("k", "rep")
     for turn in range(ROUNDS):  # the same classes lead many tiles, as they have the lowest hashes of the turn
-        crowd = members.where("crowded")
-        picks = [F.min_by(F.struct("s", "label"), F.xxhash64("s", F.lit(turn * LEADERS + i))) for i in range(LEADERS)]
-        leads = crowd.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("leads")).select("key", F.explode("leads").alias("lead"))
-        raw = crowd.join(leads, "key").where("label != lead.label").select(F.col("s").alias("s1"), F.col("lead.s").alias("s2"))
-        more = check(raw)
+        crowd = written(members.where("crowded").join(about, "s"), "jaccard-crowded")
+        picks = [F.min_by("s", F.xxhash64("s", F.lit(turn * LEADERS + i))) for i in range(LEADERS)]
+        leads = crowd.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("leads")).select("key", F.explode("leads").alias("s"))
+        a, b = crowd.alias("a"), leads.join(crowd, ["key", "s"]).alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent))
+        met = written(met.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y")).distinct(), "jaccard-led")
+        more = verified(met, classes, docs, key, text, size, percent)
+        discard(crowd)
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
-        members = labelled(members, classes, links)
+        spent, members = members, labelled(members, classes, links)
+        discard(spent)
     sparse = members.where("NOT crowded")
     main = sparse.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    full = written(sparse.join(main, "key").join(classes.drop("k", "rep"), "s"), "jaccard-rest")
+    full = written(sparse.join(main, "key").join(about, "s"), "jaccard-rest")
     a, b = full.where("label != main").alias("a"), full.alias("b")
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.s") < F.col("b.s"))) & may_link("a", "b", percent))
     rest = rest.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y"))
     rare = rare_pairs(members.where("crowded").select("s", "label"), classes, docs, key, text, size, percent)
     rest = written(rest.unionByName(rare).distinct(), "jaccard-pairs")
+    discard(full, members)
     links = links.unionByName(verified(rest, classes, docs, key, text, size, percent))
     found = components(links)
     rooted = classes.select("c", "k").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
