@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relation_type
+from ..functions.vector import cosine
+from ..sources.folders import settled
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
@@ -139,3 +143,45 @@ def rewritten_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
         side = known.withColumnsRenamed({"name": end, "since": f"{end}_since", "canonical": f"{end}_name"})
         out = out.join(side, end, "left").withColumn(end, F.when(F.col(f"{end}_since") <= F.col("pos"), F.col(f"{end}_name")).otherwise(F.col(end))).drop(f"{end}_since", f"{end}_name")
     return out.select(relations.columns)
+
+
+def similar_pairs(vectors: DataFrame, least: float, pivots: int = 3) -> DataFrame:
+    """(x, y, score), x before y, of rows (pos, vector) whose cosine, rounded to six places, is ``least`` or more.
+
+    The angles of linked vectors to any pivot differ by at most the angle of ``least``, so vectors meet by cells of such
+    angles, each row in its own cell against the cells around: exact, and without a cross join. Pivots are the vectors
+    of lowest hashes. Null vectors and those of length 0 are like nothing."""
+    width = math.acos(max(-1.0, least - 1e-6)) + 1e-6
+    some = vectors.where(F.col("vector").isNotNull() & F.exists("vector", lambda v: v != 0))
+    ends = [list(r["vector"]) for r in some.orderBy(F.xxhash64("pos"), "pos").limit(pivots).collect()]
+    angle = lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.lit(p).cast("array<double>")))))
+    cells = [f"c{i}" for i in range(len(ends))]
+    own = some.select(F.col("pos").alias("y"), F.col("vector").alias("b"), *[F.floor(angle(p) / width).alias(c) for p, c in zip(ends, cells)])
+    near = own.withColumnsRenamed({"y": "x", "b": "a"})
+    for c in cells:
+        near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    met = near.join(own, cells) if cells else near.join(own, F.lit(False))
+    return met.where("x < y").select("x", "y", F.round(cosine(F.col("a"), F.col("b")), 6).alias("score")).where(F.col("score") >= least)
+
+
+def resolve_similar(names: DataFrame, least: float = 0.85) -> DataFrame:
+    """Names (name, pos, vector), in order of ``pos`` (distinct), with the canonical name each resolves to.
+
+    A name is canonical unless an earlier canonical one is like it (cosine of ``least`` or more); else it takes the likest
+    of those, the earliest of equals. All names without an open earlier neighbour are settled at once, round by round, so
+    rounds are as many as the longest chain of likenesses, not as the names."""
+    keyed = settled(names.select("pos", "name", "vector"), "names")
+    links = open_ = settled(similar_pairs(keyed, least), "likenesses")
+    taken = None
+    while not open_.isEmpty():
+        firsts = open_.select(F.col("x").alias("pos")).distinct().join(open_.select(F.col("y").alias("pos")).distinct(), "pos", "left_anti")
+        now = settled(open_.join(firsts, F.col("x") == F.col("pos")).select(F.col("y").alias("pos")).distinct(), "aliases")
+        taken = now if taken is None else taken.unionByName(now)
+        # a settled alias leads nobody; whoever follows it stays open by its other neighbours
+        open_ = settled(open_.join(now.select(F.col("pos").alias("x")), "x", "left_anti").join(now.select(F.col("pos").alias("y")), "y", "left_anti"), "likenesses")
+    if taken is None:
+        return keyed.select("name", "pos", F.col("name").alias("canonical"))
+    heads = links.join(taken.select(F.col("pos").alias("y")), "y", "left_semi").join(taken.select(F.col("pos").alias("x")), "x", "left_anti")
+    best = heads.groupBy("y").agg(F.max_by("x", F.struct("score", -F.col("x"))).alias("x"))
+    led = best.join(keyed.select(F.col("pos").alias("x"), F.col("name").alias("canonical")), "x").select(F.col("y").alias("pos"), "canonical")
+    return keyed.join(led, "pos", "left").select("name", "pos", F.coalesce("canonical", "name").alias("canonical"))

@@ -147,3 +147,51 @@ def evidence_counts(contexts: DataFrame) -> DataFrame:
     """(query_id, vector, graph): evidence of each kind; hybrid counts for both."""
     n = lambda kind: F.count_if(F.col("retrieval_type").isin(kind, "hybrid"))
     return contexts.groupBy("query_id").agg(n("vector").alias("vector"), n("graph").alias("graph"))
+
+
+#: What a chunk's payload holds, and what stands for nulls and absent columns.
+PAYLOAD = {"chunk_id": None, "doc_id": None, "doc_type": None, "chunk_index": None, "source": "", "heading_path": "", "is_table": False, "is_image": False, "page": 0}
+
+
+def payloads(chunks: DataFrame) -> DataFrame:
+    """The payload columns of chunks, with defaults."""
+    value = lambda c, d: F.col(c) if d is None else F.coalesce(c, F.lit(d)) if c in chunks.columns else F.lit(d)
+    return chunks.select(*[value(c, d).alias(c) for c, d in PAYLOAD.items()])
+
+
+def previews(contexts: DataFrame, chars: int = 200, numbered: bool = True, most: int = 5) -> DataFrame:
+    """(query_id, preview): the first ``most`` contexts by rank, cut to ``chars``, as a prompt shows them (the feature's limits)."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    shown = F.substring(F.coalesce("content", F.lit("")), 1, chars)
+    shown = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), shown) if numbered else shown
+    rows = contexts.withColumn("place", place).where(F.col("place") <= most).select("query_id", F.struct("place", shown.alias("shown")).alias("at"))
+    return rows.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("at"))["shown"], "\n\n" if numbered else "\n").alias("preview"))
+
+
+#: Weights of lists in the prototypes' order. Fixed values.
+LISTS = {"vector": 1.0, "graph": 1.2}
+
+
+def weighted_lists(contexts: DataFrame, top: int = 8) -> DataFrame:
+    """Contexts (query_id, kind, pos, score, ...) by score times their list's weight, ``top`` a query; equal scores keep
+    vectors first, then their order. Nothing is deduplicated."""
+    weight = F.create_map(*[F.lit(v) for kv in LISTS.items() for v in kv])[F.col("kind")]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("kind"), "pos")
+    return contexts.withColumn("score", F.col("score") * weight).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def mean_confidence(ranked: DataFrame, clamped: bool = True) -> DataFrame:
+    """(query_id, confidence): the mean of all scores, held to at most 1 if ``clamped``."""
+    mean = F.avg("score")
+    return ranked.groupBy("query_id").agg(F.round(F.least(mean, F.lit(1.0)) if clamped else mean, 6).alias("confidence"))
+
+
+def results(questions: DataFrame, ranked: DataFrame, answer: Column, top: int = 8) -> DataFrame:
+    """``questions`` (query_id, ...) with answer, contexts (structs by rank, ``top`` at most) and confidence; a question
+    without contexts has an empty list and confidence 0. ``answer`` is a column of questions and contexts, such as a
+    function of a model."""
+    item = F.struct("rank", *[c for c in ranked.columns if c not in ("query_id", "rank")])
+    found = ranked.where(F.col("rank") <= top).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("contexts"))
+    joined = questions.join(found, "query_id", "left").join(support(ranked), "query_id", "left")
+    kind = found.schema["contexts"].dataType
+    return joined.withColumn("contexts", F.coalesce("contexts", F.array().cast(kind))).withColumn("answer", answer).withColumn("confidence", F.coalesce("support", F.lit(0.0))).drop("support")

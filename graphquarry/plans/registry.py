@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, evaluation, graph, incremental, retrieval
 from ..sources import readers
+from ..sources.folders import shared_folder
 from ..streaming import cdc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,17 +353,6 @@ def doc_registry(spark, sf_dir):
     return incremental.register(rows.where("file_id < 100").groupBy("sha").agg(F.min("file_id").alias("file_id")), rows.where("file_id >= 100"))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, and on a local master without one below the
-    temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder that executors share")
-        base = f"file://{tempfile.gettempdir()}/graphquarry"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("""SELECT source || '/' || (doc_id % 50) AS file_path, arg_max(CASE WHEN doc_id % 9 = 0 THEN 'deleted' ELSE 'modified' END, doc_id) AS change_type, arg_max(sha256(text), doc_id) AS new_hash, count(*)::BIGINT AS events FROM documents GROUP BY 1""")
 def cdc_stream(spark, sf_dir):
     """Changes written as JSON, streamed, and reduced to the last state of each path."""
@@ -430,4 +418,4 @@ def source_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), (F.count_distinct("lang") > 1).alias("ambiguous"))
 
 
-from . import extended  # noqa: E402, F401  more queries register themselves here
+from . import extended, stores  # noqa: E402, F401  more queries register themselves here
