@@ -10,6 +10,7 @@ Other columns are left out.
 
 from __future__ import annotations
 
+import difflib
 import hashlib
 import re
 
@@ -73,15 +74,25 @@ def leaves(print_: str) -> list[list[list[str]]]:
     return [[[line[i : i + 2 * SHORT] for i in range(0, len(line), 2 * SHORT)] for line in s.split(".")] for s in print_.partition(":")[2].split("|")]
 
 
+def edits(old: list, new: list) -> list[tuple[int, int, int, int]]:
+    """Runs (from, to) of both lists that differ, as equal nodes stand in line."""
+    plain = lambda nodes: [tuple(map(tuple, n)) if n and isinstance(n[0], list) else tuple(n) for n in nodes]
+    return [op[1:] for op in difflib.SequenceMatcher(None, plain(old), plain(new), autojunk=False).get_opcodes() if op[0] != "equal"]
+
+
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of the branches that differ, by place; none if the roots are equal."""
+    """(section, paragraph) of ``b`` whose branches ``a`` doesn't have there, and the place before which one of ``a`` was
+    cut; none if the roots are equal. Equal branches are lined up, so what moved along with an edit doesn't differ. The blank lines between sections count as sections."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
     left, right, out = leaves(a), leaves(b), []
-    for s in range(max(len(left), len(right))):
-        x, y = left[s] if s < len(left) else [], right[s] if s < len(right) else []
-        if x != y:
-            out += [(s, p) for p in range(max(len(x), len(y))) if (x[p] if p < len(x) else None) != (y[p] if p < len(y) else None)]
+    for i, i2, j, j2 in edits(left, right):
+        both = min(i2 - i, j2 - j)
+        for k in range(both):
+            for _, _, p, p2 in edits(left[i + k], right[j + k]):
+                out += [(j + k, at) for at in range(p, max(p2, p + 1))]
+        out += [(s, p) for s in range(j + both, j2) for p in range(len(right[s]))]
+        out += [(j2, 0)] * (i + both < i2)
     return out
 
 
