@@ -105,41 +105,74 @@ def clustered(own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return centers[near >= min(QUANTILE * len(own), near.max())]  # a few outliers have no centroid of their own
 
 
-def floors_of(words: list[list[str]], own: np.ndarray, idf: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+class Sample:
+    """What is learned from a text: a name by which equal ones are known, and the counts of the whole text (place 0) and of
+    a run of each of LENGTHS words (the places after it, without any where the text is shorter), as places and values."""
+
+    def __init__(self, name: int, at: np.ndarray, value: np.ndarray):
+        self.name, self.at, self.value = name, at, value
+
+    @classmethod
+    def of(cls, text: str) -> Sample | None:
+        """None without a letter."""
+        words = WORD.findall(text)
+        if not words:
+            return None
+        every = " ".join(words)
+        name = zlib.crc32(every.encode("utf-8", "replace"))
+        runs = [" ".join(words[name % (len(words) - n + 1) :][:n]) if len(words) >= n else "" for n in LENGTHS]
+        found = counted([every, *runs])[0].ravel()
+        at = np.flatnonzero(found)
+        return cls(name, at.astype(np.int32), found[at])
+
+
+def dense(samples: list[Sample], place: int) -> np.ndarray:
+    """A row for each sample's counts at a place."""
+    out = np.zeros((len(samples), 1 << BITS), np.float32)
+    for row, s in zip(out, samples):
+        a, b = np.searchsorted(s.at, (place << BITS, (place + 1) << BITS))
+        row[s.at[a:b] - (place << BITS)] = s.value[a:b]
+    return out
+
+
+def floors_of(samples: list[Sample], own: np.ndarray, idf: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """A floor for each of LENGTHS; nan where the language has a single text. Equal texts are in one half."""
-    names = [zlib.crc32(" ".join(w).encode("utf-8", "replace")) for w in words]
-    turn = {name: i % 2 for i, name in enumerate(sorted(set(names)))}
-    half = np.array([turn[name] for name in names])
+    turn = {name: i % 2 for i, name in enumerate(sorted({s.name for s in samples}))}
+    half = np.array([turn[s.name] for s in samples])
     if not half.any():
         return np.full(len(LENGTHS), np.nan)
     centers = [clustered(own[half != h], rng) for h in (0, 1)]
     out = []
-    for n in LENGTHS:
+    for place in range(1, len(LENGTHS) + 1):
         cosines = []
-        for h in (0, 1):
-            runs = [" ".join(w[name % (len(w) - n + 1) :][:n]) for w, name, k in zip(words, names, half) if k == h and len(w) >= n]
-            for part in (runs[a : a + BATCH] for a in range(0, len(runs), BATCH)):
-                cosines.append((unit(counted(part)[0] * idf) @ centers[h].T).max(axis=1))
+        for a in range(0, len(samples), BATCH):
+            runs, side = dense(samples[a : a + BATCH], place), half[a : a + BATCH]
+            for h in (0, 1):
+                some = runs[(side == h) & runs.any(axis=1)]
+                if len(some):
+                    cosines.append((unit(some * idf) @ centers[h].T).max(axis=1))
         out.append(FLOOR * float(np.quantile(np.concatenate(cosines), QUANTILE)) if cosines else out[-1])
     return np.array(out)
 
 
-def fit(texts: list[str], languages: list[str], seed: int = 5) -> Centroids:
-    kept = [(w, lang) for t, lang in zip(texts, languages) if (w := WORD.findall(t))]
-    if not kept:
+def fit(samples: list[Sample], languages: list[str], seed: int = 5) -> Centroids:
+    """Rows of one language at a time are made dense."""
+    if not samples:
         return Centroids([], np.zeros((0, 1 << BITS)), np.ones(1 << BITS, np.float32), np.zeros((0, len(LENGTHS))))
-    languages = np.array([lang for _, lang in kept])
-    x = np.vstack([counted([" ".join(w) for w, _ in kept[a : a + BATCH]])[0] for a in range(0, len(kept), BATCH)])
-    idf = (np.log((1 + len(x)) / (1 + sum((x[a : a + BATCH] > 0).sum(axis=0) for a in range(0, len(x), BATCH)))) + 1).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    held = np.zeros(1 << BITS)
+    for s in samples:
+        held[s.at[: np.searchsorted(s.at, 1 << BITS)]] += 1
+    idf = (np.log((1 + len(samples)) / (1 + held)) + 1).astype(np.float32)
+    by = {}
+    for s, lang in zip(samples, languages):
+        by.setdefault(lang, []).append(s)
     rng, names, found, floors = np.random.default_rng(seed), [], [], []
-    for lang in sorted(set(languages.tolist())):
-        own = x[languages == lang]
+    for lang in sorted(by):
+        own = unit(dense(by[lang], 0) * idf)
         centers = clustered(own, rng)
         names += [lang] * len(centers)
         found.append(centers)
-        floors += [floors_of([w for w, k in kept if k == lang], own, idf, np.random.default_rng(seed))] * len(centers)
+        floors += [floors_of(by[lang], own, idf, np.random.default_rng(seed))] * len(centers)
     floors = np.array(floors)
     some = floors[~np.isnan(floors[:, 0])]
     floors[np.isnan(floors[:, 0])] = np.median(some, axis=0) if len(some) else 0.0
@@ -155,8 +188,17 @@ def learn(docs: DataFrame, held_out, sample: int = SAMPLE, key: str = "doc_id",
         order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
         chosen = chosen.withColumn("#at", F.row_number().over(order)).where(F.col("#at") <= max(1, LANGUAGES * sample // n)).drop("#at")
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).join(F.broadcast(chosen), "k").where(F.col("lang") == F.col("l")).where(F.col("t").isNotNull())
-    pairs = sorted((r["lang"], r["t"]) for r in got.groupBy("k", "lang").agg(F.min("t").alias("t")).select("lang", "t").collect())
-    return fit([t for _, t in pairs], [lang for lang, _ in pairs])
+    rows = got.groupBy("k", "lang").agg(F.min("t").alias("t")).select("lang", "t")
+
+    def run(batches):
+        for batch in batches:
+            out = [(lang, s) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (s := Sample.of(t))]
+            columns = [pa.array([lang for lang, _ in out], pa.string()), pa.array([s.name for _, s in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.at.tobytes() for _, s in out], pa.binary()), pa.array([s.value.tobytes() for _, s in out], pa.binary())], ["lang", "name", "at", "value"])
+
+    # counts have a bounded size, whatever the texts' lengths
+    found = sorted((r["lang"], r["name"], bytes(r["at"]), bytes(r["value"])) for r in map_arrow(rows, run, "lang string, name long, at binary, value binary").collect())
+    return fit([Sample(name, np.frombuffer(at, np.int32), np.frombuffer(value, np.float32)) for _, name, at, value in found], [f[0] for f in found])
 
 
 def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "text", extra: list[str] | None = None) -> DataFrame:

@@ -186,6 +186,11 @@ def test_merkle(spark, docs):
     assert len(set(prints)) == len(set(texts.values()))
     a, b = merkle.fingerprint("one.\ntwo.\n\nthree.")[0], merkle.fingerprint("one.\ntwo!\n\nthree.")[0]
     assert merkle.differing(a, b) == [(0, 1)] and merkle.differing(a, a) == []
+    text = "\n\n".join(f"head {i}.\nline {i}, more.\nend {i}." for i in range(6))
+    at = lambda new: merkle.differing(merkle.fingerprint(text)[0], merkle.fingerprint(new)[0])
+    assert at("new one.\nnew two.\n\n" + text) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]  # and the blank line between, a section itself
+    assert at(text.replace("line 3", "lane 3")) == [(6, 1)] and at(text.replace("line 3, more.\n", "")) == [(6, 1)]
+    assert (0, 0) in at("")
     assert merkle.compare_edited(empty(spark)).count() == 0
 
 
@@ -208,6 +213,22 @@ FOREIGN = [
 ]
 
 
+def test_language_samples():
+    """What is learned from a text is its counts and those of runs of its words, of bounded size."""
+    assert langid.Sample.of("12 !?") is None and langid.Sample.of("") is None
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(100_000))
+    for text in ("aé b cc", "Ω" * 70, long):
+        s, words = langid.Sample.of(text), langid.WORD.findall(text)
+        assert len(s.at) <= (1 + len(langid.LENGTHS)) << langid.BITS
+        for place, n in enumerate((len(words), *langid.LENGTHS)):
+            got = langid.dense([s], place)[0]
+            runs = [" ".join(words[a : a + n]) for a in range(min(len(words) - n + 1, 40))]
+            if len(words) > 1000 and place:
+                assert got.any()
+            else:
+                assert any((got == langid.counted([r])[0][0]).all() for r in runs) if runs else not got.any()
+
+
 def test_language_rejection(spark):
     """Unlearned languages in Latin script go although junk, single words and wrong labels are learned from; clean texts
     of 12 words stay."""
