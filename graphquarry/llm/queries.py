@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, decontam, fmindex, jaccard, langid, merkle, token_count, toxicity, warc
+from . import audit, bpe, dac, decontam, fim, fmindex, jaccard, langid, merkle, token_count, topk, toxicity, warc
 from .common import table
 from .sql import ORACLES
 
@@ -65,5 +65,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index, op2_token_file, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_toxicity, op7_merkle, op8_language, op9_substring_dedup, op10_ngram_jaccard)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_token_file, op3_byte_bpe, op4_token_counts, op5_decontamination, op6_toxicity, op7_merkle, op8_language, op9_substring_dedup, op10_ngram_jaccard, op11_filter_audit, op12_exact_topk, op13_fill_in_middle)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}

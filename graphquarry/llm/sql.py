@@ -51,4 +51,44 @@ both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT b.y, r.c FROM reach r JOIN both_ways b ON b.x = r.doc_id AND r.c < b.y)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(min(c), s.doc_id) AS component_id FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, len(sh)"""
 
-ORACLES = {"op1_warc_index": OP1, "op5_decontamination": OP5, "op9_substring_dedup": OP9, "op10_ngram_jaccard": OP10}
+SPACED = "[^\\x20\\x09-\\x0D]+"
+
+OP11 = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+f AS (SELECT doc_id, part, x, min(doc_id) OVER (PARTITION BY x) AS least, regexp_extract_all(x, '{SPACED}') AS ws FROM t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, MAP {{
+    'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws), 'C': 100 * len(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * len(x),
+    'D': regexp_matches(x, '[#$%&*|]'), 'E': coalesce(doc_id > least, false) }} AS bad FROM f LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, good, toxic, bad, count(*) AS n FROM m GROUP BY ALL),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS z),
+o AS (SELECT a.z || b.z || c.z || d.z || e.z AS filter_order FROM s a, s b, s c, s d, s e
+  WHERE a.z <> b.z AND c.z NOT IN (a.z, b.z) AND d.z NOT IN (a.z, b.z, c.z) AND e.z NOT IN (a.z, b.z, c.z, d.z)),
+k AS (SELECT filter_order, step, substr(filter_order, step, 1) AS z, string_split(substr(filter_order, 1, step - 1), '') AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+y AS (SELECT part, filter_order, step, z, n, good, toxic, bad[z] AS fails, len(list_filter(before, lambda b: b <> '' AND bad[b])) > 0 AS gone,
+  len(list_filter(map_values(bad), lambda b: b)) = 1 AS once FROM c, k),
+g AS (SELECT part, filter_order, step, z,
+  coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND once), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost
+  FROM y GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, z))::BIGINT AS shapley FROM g"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || doc_id) AS s FROM documents),
+h AS (SELECT doc_id, x, len(x) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || x[1:a] || '<S>' || x[b + 1:] || '<M>' || x[a + 1:b]
+    ELSE '<S>' || x[b + 1:] || '<P>' || x[1:a] || '<M>' || x[a + 1:b] END) AS output_sha256, sha256(x) AS restored_sha256 FROM c"""
+
+ORACLES = {"op1_warc_index": OP1, "op5_decontamination": OP5, "op9_substring_dedup": OP9, "op10_ngram_jaccard": OP10, "op11_filter_audit": OP11, "op12_exact_topk": OP12, "op13_fill_in_middle": OP13}
