@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relation_type
-from ..functions.vector import cosine
 from ..sources.folders import settled
+from . import vector_index
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
@@ -64,21 +62,6 @@ def neighbours(relations: DataFrame, starts: DataFrame, hops: int = 2) -> DataFr
     return out
 
 
-def shortest_paths(relations: DataFrame, pairs: DataFrame, hops: int = 5) -> DataFrame:
-    """(start, goal, hops, path): one shortest path of at most ``hops``, the first by names. Frontiers drop seen nodes."""
-    edges = doubled(relations).select("a", "b").distinct()
-    goals = pairs.select("start", "goal").distinct()
-    front = goals.select("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"))
-    seen, found = front.select("start", "node"), None
-    for hop in range(1, min(max(hops, 1), 5) + 1):
-        step = front.join(edges, F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"))
-        front = step.join(seen, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path"))
-        seen = seen.unionByName(front.select("start", "node"))
-        hit = front.withColumnRenamed("node", "goal").join(goals, ["start", "goal"]).select("start", "goal", F.lit(hop).alias("hops"), F.array_join("path", " -> ").alias("path"))
-        found = hit if found is None else found.unionByName(hit)
-    return found
-
-
 def near_pairs(entities: DataFrame, reach: int = 2) -> DataFrame:
     """Pairs of a list (list_id, pos, name) at most ``reach`` places apart."""
     a = entities.select("list_id", F.col("name").alias("left"), F.col("pos").alias("p"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + reach)).alias("q"))
@@ -91,36 +74,21 @@ def resolve_names(mentions: DataFrame, key: Column) -> DataFrame:
     return mentions.withColumn("key", key).join(first, "key").select("name", "pos", "canonical", (F.col("canonical") != F.col("name")).alias("merged"))
 
 
-def neighbour_rows(entities: DataFrame, relations: DataFrame, starts: DataFrame, hops: int = 2, most: int = 50) -> DataFrame:
-    """(start, rank, relations, target, target_type, target_desc, content): the first ``most`` trails from each start, by
-    length, relations and names. ``most`` is the feature's limit."""
-    edges = doubled(relations)
-    at = starts.select(F.col("name").alias("start"), F.col("name").alias("b"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("rels"), F.array("name").alias("nodes"))
-    out = None
-    for _ in range(min(max(hops, 1), 5)):
-        step = at.withColumnRenamed("b", "a").join(edges, "a").where(~F.array_contains("ids", F.col("rel_id")))
-        at = step.select("start", "b", F.array_append("ids", F.col("rel_id")).alias("ids"), F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("nodes", F.col("b")).alias("nodes"))
-        out = at if out is None else out.unionByName(at)
-    order = Window.partitionBy("start").orderBy(F.size("rels"), "rels", "nodes")
-    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    named = best.join(entities.select(F.col("name").alias("b"), "type", "description"), "b", "left")
-    kind, said = F.coalesce("type", F.lit("")), F.coalesce("description", F.lit(""))
-    content = F.concat("start", F.lit(" --["), F.array_join("rels", ", "), F.lit("]--> "), "b", F.lit(" ("), kind, F.lit("): "), said)
-    return named.select("start", "rank", F.array_join("rels", ", ").alias("relations"), F.col("b").alias("target"), kind.alias("target_type"), said.alias("target_desc"), content.alias("content"))
-
-
-def path_text(nodes: Column, rels: Column) -> Column:
-    """``推理路径: a --[r]--> b …`` of a path's nodes and the relations between them."""
-    steps = F.transform(nodes, lambda n, i: F.when(i < F.size(rels), F.concat(n, F.lit(" --["), F.element_at(rels, (i + 1).cast("int")), F.lit("]-->"))).otherwise(n))
-    return F.concat(F.lit("推理路径: "), F.array_join(steps, " "))
-
-
-def keyword_neighbours(entities: DataFrame, relations: DataFrame, keyword: str, most: int = 20) -> DataFrame:
-    """(name, type, rel, neighbour): entities whose name holds the first 20 characters of a question, with their neighbours if
-    any; ``most`` rows by name, the feature's limit."""
-    found = entities.where(F.col("name").contains(keyword[:20])).select("name", "type")
+def search_entities(entities: DataFrame, keyword: str, most: int = 20) -> DataFrame:
+    """(name, type, description) of entities whose name or description holds ``keyword`` (case-sensitive); ``most`` rows by
+    name, the feature's limit."""
+    return entities.where(F.col("name").contains(keyword) | F.col("description").contains(keyword)).select("name", "type", "description").orderBy("name").limit(most)
+
+
+def keyword_neighbours(entities: DataFrame, relations: DataFrame, question: str, most: int = 20) -> DataFrame:
+    """(content, source, score, retrieval_type): entities whose name or description holds the first 20 characters of a question,
+    with their neighbours, or ``<nil>``; ``most`` rows by names and relation, the feature's limit. Scores are 0.8."""
+    keyword = question[:20]
+    found = entities.where(F.col("name").contains(keyword) | F.col("description").contains(keyword)).select("name", "type")
     edges = doubled(relations).select(F.col("a").alias("name"), "rel", F.col("b").alias("neighbour"))
-    return found.join(edges, "name", "left").orderBy("name", "rel", "neighbour").limit(most)
+    rows = found.join(edges, "name", "left").orderBy("name", "rel", "neighbour").limit(most)
+    content = F.concat(F.col("name"), F.lit(" --["), F.coalesce("rel", F.lit("<nil>")), F.lit("]--> "), F.coalesce("neighbour", F.lit("<nil>")))
+    return rows.select(content.alias("content"), F.lit("knowledge_graph").alias("source"), F.lit(0.8).alias("score"), F.lit("graph").alias("retrieval_type"))
 
 
 def merge_into_graph(held: DataFrame, mentions: DataFrame, now: Column) -> DataFrame:
@@ -145,23 +113,11 @@ def rewritten_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.select(relations.columns)
 
 
-def similar_pairs(vectors: DataFrame, least: float, pivots: int = 3) -> DataFrame:
-    """(x, y, score), x before y, of rows (pos, vector) whose cosine, rounded to six places, is ``least`` or more.
-
-    The angles of linked vectors to any pivot differ by at most the angle of ``least``, so vectors meet by cells of such
-    angles, each row in its own cell against the cells around: exact, and without a cross join. Pivots are the vectors
-    of lowest hashes. Null vectors and those of length 0 are like nothing."""
-    width = math.acos(max(-1.0, least - 1e-6)) + 1e-6
-    some = vectors.where(F.col("vector").isNotNull() & F.exists("vector", lambda v: v != 0))
-    ends = [list(r["vector"]) for r in some.orderBy(F.xxhash64("pos"), "pos").limit(pivots).collect()]
-    angle = lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.lit(p).cast("array<double>")))))
-    cells = [f"c{i}" for i in range(len(ends))]
-    own = some.select(F.col("pos").alias("y"), F.col("vector").alias("b"), *[F.floor(angle(p) / width).alias(c) for p, c in zip(ends, cells)])
-    near = own.withColumnsRenamed({"y": "x", "b": "a"})
-    for c in cells:
-        near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    met = near.join(own, cells) if cells else near.join(own, F.lit(False))
-    return met.where("x < y").select("x", "y", F.round(cosine(F.col("a"), F.col("b")), 6).alias("score")).where(F.col("score") >= least)
+def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(x, y, score), x before y, of rows (pos, vector) whose cosine, rounded to six places, is ``least`` or more; exact, by
+    cells. Null vectors and those of length 0 are like nothing."""
+    index = vector_index.build(vectors, key="pos", vector="vector")
+    return vector_index.similar(index, vectors.sparkSession, least)
 
 
 def resolve_similar(names: DataFrame, least: float = 0.85) -> DataFrame:

@@ -8,22 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, strip
-from ..functions.vector import cosine, sigmoid
+from ..functions.vector import sigmoid
+from . import vector_index
 
 RRF_K = 60
 #: Weights of document types. Fixed values; others weigh 1.
 MODALITY = {"pdf": 0.95, "table": 0.9, "image": 0.85}
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest by cosine, exactly. ``queries`` (query_id, query) of up to ``most``
-    rows are broadcast, more are dealt into blocks of about ``most``; each partition keeps k rows a query before any
-    shuffle."""
-    blocks = -(-queries.count() // most)
-    side = F.broadcast(queries) if blocks <= 1 else queries.repartition(blocks).hint("shuffle_replicate_nl")
-    scored = vectors.join(side).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest vectors by cosine of ``queries`` (query_id, query), exactly.
+
+    The vectors are indexed for this call; with an index at hand, ``vector_index.nearest`` searches it."""
+    return vector_index.nearest(vector_index.build(vectors), queries, k)
 
 
 def fuse(lists: DataFrame, top: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import extraction, graph, incremental, reports, retrieval
 from ..sources import office
-from .registry import EDGES_SQL, MENTIONS_SQL, RANKED_SQL, all_edges, graph_tables, query, ranked, shared_folder, table
+from .registry import MENTIONS_SQL, RANKED_SQL, graph_tables, query, ranked, shared_folder, table
 
 # ---- hybrid retrieval ------------------------------------------------------------------------------------------------
 
@@ -31,29 +31,6 @@ def hybrid_retrieve(spark, sf_dir):
     return retrieval.hybrid_fuse(near.unionByName(linked), 8).drop("content", "source")
 
 
-@query(f"""WITH {MENTIONS_SQL}, {EDGES_SQL}, one AS (SELECT a AS start, [rel] AS rels, [a, b] AS nodes, b AS target, id FROM w WHERE a IN (SELECT n_name FROM nation)),
-two AS (SELECT start, rels, nodes, target FROM one UNION ALL SELECT one.start, list_append(one.rels, w.rel), list_append(one.nodes, w.b), w.b FROM one JOIN w ON one.target = w.a AND one.id <> w.id),
-k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(rels), rels, nodes) AS rank FROM two)
-SELECT start, rank, array_to_string(rels, ', ') AS relations, target, coalesce(type, '') AS target_type, coalesce(description, '') AS target_desc,
-start || ' --[' || array_to_string(rels, ', ') || ']--> ' || target || ' (' || coalesce(type, '') || '): ' || coalesce(description, '') AS content FROM k LEFT JOIN e ON e.name = k.target WHERE rank <= 50""")
-def graph_retrieve(spark, sf_dir):
-    """Trails of two relations from each nation: 50 a start at most, as the feature states."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return graph.neighbour_rows(graph.merge_entities(graph_tables(spark, sf_dir)[0]), all_edges(spark, sf_dir), names)
-
-
-@query("SELECT n_name AS name, '推理路径: ' || n_name || ' --[PART_OF]--> ' || r_name AS content FROM nation JOIN region ON n_regionkey = r_regionkey")
-def path_rows(spark, sf_dir):
-    edges = all_edges(spark, sf_dir).where("rel_type = 'PART_OF'").distinct()
-    return edges.select(F.col("head").alias("name"), graph.path_text(F.array("head", "tail"), F.array("rel_type")).alias("content"))
-
-
-@query(f"""WITH {MENTIONS_SQL}, {EDGES_SQL} SELECT name, type, rel, b AS neighbour FROM e LEFT JOIN w ON w.a = e.name WHERE contains(name, 'NATION_1') ORDER BY name, rel, neighbour LIMIT 20""")
-def keyword_search(spark, sf_dir):
-    """At most 20 rows, as the feature states."""
-    return graph.keyword_neighbours(graph.merge_entities(graph_tables(spark, sf_dir)[0]), all_edges(spark, sf_dir), "NATION_1")
-
-
 @query("""SELECT doc_id AS index, substr(text, 1, 500) AS content, CASE WHEN doc_id % 3 = 0 THEN 'name-' || doc_id ELSE '/up/f' || doc_id END AS source, round(n_chars / 7000.0::DOUBLE, 4) AS score, lang AS type, source AS chunk_id FROM documents""".replace("AS index", 'AS "index"'))
 def shown_sources(spark, sf_dir):
     """Sources by their registered names, for the files that were taken in."""

@@ -237,17 +237,6 @@ def neighbors_2hop(spark, sf_dir):
     return graph.neighbours(all_edges(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), 2)
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, p AS (SELECT n_name AS start, n_name AS node, [n_name] AS path, 0 AS hops FROM nation
-UNION ALL SELECT p.start, w.b, list_append(p.path, w.b), p.hops + 1 FROM p JOIN w ON p.node = w.a WHERE p.hops < 2 AND NOT list_contains(p.path, w.b)),
-g AS (SELECT a.n_name AS start, b.n_name AS goal FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)
-SELECT start, goal, min(hops) AS hops, arg_min(array_to_string(path, ' -> '), (hops, path)) AS path FROM p JOIN g USING (start) WHERE p.node = g.goal GROUP BY ALL""")
-def shortest_path(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    a, b = nation.alias("a"), nation.alias("b")
-    pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("start"), F.col("b.n_name").alias("goal"))
-    return graph.shortest_paths(all_edges(spark, sf_dir), pairs, 5)
-
-
 @query("SELECT a.n_regionkey AS list_id, a.n_name AS left, b.n_name AS right FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation) a JOIN (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation) b ON a.n_regionkey = b.n_regionkey AND b.p > a.p AND b.p <= a.p + 2".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
 def entity_pairs(spark, sf_dir):
     from pyspark.sql import Window
@@ -259,7 +248,7 @@ def entity_pairs(spark, sf_dir):
 @query(f"WITH {MENTIONS_SQL} SELECT name, type, description FROM e WHERE contains(name, '1') OR contains(description, '1') ORDER BY name LIMIT 20")
 def search_entities(spark, sf_dir):
     """At most 20 entities whose name or description has the keyword, as the feature states."""
-    return graph.merge_entities(graph_tables(spark, sf_dir)[0]).where(F.col("name").contains("1") | F.col("description").contains("1")).select("name", "type", "description").orderBy("name").limit(20)
+    return graph.search_entities(graph.merge_entities(graph_tables(spark, sf_dir)[0]), "1")
 
 
 RESOLVE_KEY_SQL = "regexp_replace(lower(regexp_replace(name, '\\s', '', 'g')), '(?i)(股份有限公司|有限责任公司|有限公司|集团|公司|股份|Corporation|Corp\\.?|Incorporated|Inc\\.?|Ltd\\.?|LLC|Co\\.?|S\\.A\\.|GmbH|AG)\\s*$', '')"
@@ -418,4 +407,4 @@ def source_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), (F.count_distinct("lang") > 1).alias("ambiguous"))
 
 
-from . import extended, stores  # noqa: E402, F401  more queries register themselves here
+from . import extended, graphs, stores  # noqa: E402, F401  more queries register themselves here
