@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import relation_type
+from ..functions.text import entity_key, relation_type
 from ..sources.folders import settled
 from . import vector_index
 
@@ -69,9 +69,11 @@ def near_pairs(entities: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def resolve_names(mentions: DataFrame, key: Column) -> DataFrame:
-    """Mentions (name, pos) with the first-seen name of their key as canonical."""
-    first = mentions.withColumn("key", key).groupBy("key").agg(F.min_by("name", "pos").alias("canonical"))
-    return mentions.withColumn("key", key).join(first, "key").select("name", "pos", "canonical", (F.col("canonical") != F.col("name")).alias("merged"))
+    """Mentions (name, pos) with the first-seen name of their key as canonical; names of an empty or null key stand alone."""
+    keyed = mentions.withColumn("key", key)
+    first = keyed.where("key <> ''").groupBy("key").agg(F.min_by("name", "pos").alias("canonical"))
+    out = keyed.join(first, "key", "left").withColumn("canonical", F.coalesce("canonical", "name"))
+    return out.select("name", "pos", "canonical", (F.col("canonical") != F.col("name")).alias("merged"))
 
 
 def search_entities(entities: DataFrame, keyword: str, most: int = 20) -> DataFrame:
@@ -141,3 +143,30 @@ def resolve_similar(names: DataFrame, least: float = 0.85) -> DataFrame:
     best = heads.groupBy("y").agg(F.max_by("x", F.struct("score", -F.col("x"))).alias("x"))
     led = best.join(keyed.select(F.col("pos").alias("x"), F.col("name").alias("canonical")), "x").select(F.col("y").alias("pos"), "canonical")
     return keyed.join(led, "pos", "left").select("name", "pos", F.coalesce("canonical", "name").alias("canonical"))
+
+
+def resolve_entities(mentions: DataFrame, least: float = 0.85) -> DataFrame:
+    """Mentions (name, pos, vector; ``pos`` distinct) in order of ``pos``, with their canonical name and whether it is another.
+
+    A name takes the canonical name of its key (case, white space and organisation endings aside) if the key was met before;
+    else that of the likest canonical name so far, if their vectors' cosine is ``least`` or more; else it is canonical
+    itself. As both rules work on the first name of each key, keys are folded first and likeness is settled among their
+    first names. Names of an empty key stand alone and lead nobody; null vectors are like nothing."""
+    keyed = mentions.select("name", "pos", "vector", entity_key(F.col("name")).alias("key"))
+    first = keyed.where("key <> ''").groupBy("key").agg(F.min("pos").alias("pos"), F.min_by(F.struct("name", "vector"), "pos").alias("f"))
+    first = settled(first.select("key", "pos", "f.name", "f.vector"), "keys")
+    led = resolve_similar(first.select("name", "pos", "vector"), least).select("pos", "canonical")
+    known = first.select("key", "pos").join(led, "pos").select("key", "canonical")
+    out = keyed.select("name", "pos", "key").join(known, "key", "left").withColumn("canonical", F.coalesce("canonical", "name"))
+    return out.select("name", "pos", "canonical", (F.col("canonical") != F.col("name")).alias("merged"))
+
+
+def merged_pairs(resolved: DataFrame) -> DataFrame:
+    """(merged_pairs, names): how many mentions took another name, and how many canonical names there are."""
+    return resolved.agg(F.count_if("merged").alias("merged_pairs"), F.count_distinct("canonical").alias("names"))
+
+
+def aliases_of(resolved: DataFrame) -> DataFrame:
+    """(canonical, aliases): the other names that resolve to each canonical one, sorted; a row a name before any list is made."""
+    others = resolved.where("merged").select("canonical", "name").distinct()
+    return others.groupBy("canonical").agg(F.array_sort(F.collect_list("name")).alias("aliases"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guards
 from ..operators import graph, registry, retrieval
-from .registry import RANKED_SQL, query, ranked, table
+from .registry import ENDS, RANKED_SQL, RESOLVE_KEY_SQL, nth, query, ranked, table
 
 # ---- graph -----------------------------------------------------------------------------------------------------------
 
@@ -22,6 +22,33 @@ def similar_names(spark, sf_dir):
     return graph.resolve_similar(rows, 0.3)
 
 
+#: Names of which two in a row share a key, and endings that are a name alone; the likeness of first names decides the rest.
+RESOLVED_SQL = f"""WITH RECURSIVE m AS (SELECT vec_id AS pos, CASE WHEN vec_id % 50 = 7 THEN {list(ENDS)}[vec_id % {len(ENDS)} + 1] ELSE 'Firm ' || (vec_id // 2) || {list(ENDS)}[vec_id % {len(ENDS)} + 1] END AS name, embedding::DOUBLE[] AS e FROM embeddings),
+y AS (SELECT *, {RESOLVE_KEY_SQL} AS key FROM m),
+k AS (SELECT key, min(pos) AS pos, arg_min(name, pos) AS name, arg_min(e, pos) AS e, row_number() OVER (ORDER BY min(pos)) AS n FROM y WHERE key <> '' GROUP BY key),
+w AS (SELECT a.n, list({{'s': round(list_cosine_similarity(a.e, b.e), 6), 'i': -b.n}}) AS near FROM k a JOIN k b ON b.n < a.n AND round(list_cosine_similarity(a.e, b.e), 6) >= 0.3 GROUP BY a.n),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS heads, 0::BIGINT AS head UNION ALL
+SELECT n, CASE WHEN best IS NULL THEN list_append(heads, n) ELSE heads END, coalesce(-best.i, n) FROM (SELECT k.n, g.heads, list_max(list_filter(coalesce(w.near, []), lambda p: list_contains(g.heads, -p.i))) AS best FROM g JOIN k ON k.n = g.n + 1 LEFT JOIN w ON w.n = k.n)),
+r AS (SELECT y.name, y.pos, coalesce(h.name, y.name) AS canonical, coalesce(h.name <> y.name, false) AS merged FROM y LEFT JOIN k ON k.key = y.key LEFT JOIN g ON g.n = k.n LEFT JOIN k h ON h.n = g.head)"""
+
+
+def resolved(spark, sf_dir):
+    v, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    name = F.when(key % 50 == 7, nth(ENDS, key)).otherwise(F.concat(F.lit("Firm "), F.expr("vec_id div 2"), nth(ENDS, key)))
+    return graph.resolve_entities(v.select(name.alias("name"), key.alias("pos"), F.col("embedding").alias("vector")), 0.3)
+
+
+@query(f"{RESOLVED_SQL} SELECT * FROM r")
+def resolved_entities(spark, sf_dir):
+    """Names by their key and by the likeness of their vectors, in one order of arrival."""
+    return resolved(spark, sf_dir)
+
+
+@query(f"{RESOLVED_SQL} SELECT count(*) FILTER (merged) AS merged_pairs, count(DISTINCT canonical) AS names FROM r")
+def resolution_counts(spark, sf_dir):
+    return graph.merged_pairs(resolved(spark, sf_dir))
+
+
 # ---- guards ----------------------------------------------------------------------------------------------------------
 
 #: Statements that stand around a name, one after the other.

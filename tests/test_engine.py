@@ -193,13 +193,6 @@ def test_every_twentieth_vector_is_searched(spark):
     assert {r["query_id"] for r in registry.QUERIES["vector_topk"](spark, "/root/testdata/sf0.001").collect()} == set(range(0, 500, 20))
 
 
-def test_queries_beyond_a_block(spark):
-    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    whole, parts = (rows(retrieval.vector_topk(vectors, queries, 3, most), "query_id", "rank") for most in (10_000, 7))
-    assert len(whole) == 180 and parts == whole
-
-
 def test_evidence_blocks_hold_the_whole_text(spark):
     from graphquarry.plans import registry
 

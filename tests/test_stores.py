@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphquarry.functions import guards
+from graphquarry.functions import text as tx
 from graphquarry.operators import graph, registry, retrieval
 
 
@@ -106,3 +108,42 @@ def test_similar_names(spark):
         assert got == want
         assert len(set(want.values())) < len(items)
     assert graph.resolve_similar(df.limit(0)).count() == 0
+
+
+def one_by_one(items, least):
+    """Keys and likeness in one order of arrival, a name at a time; names of an empty key stand alone."""
+    ends = re.compile(r"(集团|公司|Inc\.?|Co\.?)\s*$", re.I)
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b) or 1.0), 6)
+    by_key, heads, out = {}, {}, []
+    for pos, name, v in items:
+        key = ends.sub("", re.sub(r"\s+", "", name).lower())
+        if not key:
+            out.append((pos, name))
+            continue
+        if key not in by_key:
+            like = [(cos(v, w), -p, n) for n, (p, w) in heads.items() if v and w]
+            like = [x for x in like if x[0] >= least]
+            by_key[key] = max(like)[2] if like else name
+            if not like:
+                heads[name] = (pos, v)
+        out.append((pos, by_key[key]))
+    return out
+
+
+def test_one_resolver(spark):
+    rng = random.Random(8)
+    centers = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(5)]
+    names = [f"N{rng.randrange(60)}{rng.choice(['', ' Inc.', '公司', ' CO', '集团'])}" for _ in range(150)] + ["集团", "Co.", " Inc", "集团", "  ", ""]
+    items = [(i, n, [x + rng.gauss(0, 0.4) for x in rng.choice(centers)] if i % 11 else None) for i, n in enumerate(names)]
+    df = spark.createDataFrame([(n, p, v) for p, n, v in items], "name string, pos long, vector array<double>")
+    for least in (0.7, 0.95):
+        want = one_by_one(items, least)
+        got = graph.resolve_entities(df, least)
+        assert sorted((r["pos"], r["canonical"]) for r in got.collect()) == want
+        changed = [(p, c) for p, c in want if c != names[p]]
+        assert tuple(graph.merged_pairs(got).first()) == (len(changed), len({c for _, c in want}))
+        also = {r["canonical"]: r["aliases"] for r in graph.aliases_of(got).collect()}
+        assert also == {c: sorted({names[p] for p, x in changed if x == c}) for _, c in changed}
+    assert graph.resolve_entities(df.limit(0)).count() == 0
+    alone = graph.resolve_names(spark.createDataFrame([("集团", 1), ("Co.", 2), ("公司", 3), (None, 4)], "name string, pos int"), tx.entity_key(F.col("name")))
+    assert [r[2] for r in rows(alone, "pos")] == ["集团", "Co.", "公司", None]
