@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, evaluation, graph, incremental, retrieval
 from ..sources import readers
-from ..sources.folders import shared_folder
-from ..streaming import cdc
+from ..sources.folders import shared_folder  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -342,17 +341,6 @@ def doc_registry(spark, sf_dir):
     return incremental.register(rows.where("file_id < 100").groupBy("sha").agg(F.min("file_id").alias("file_id")), rows.where("file_id >= 100"))
 
 
-@query("""SELECT source || '/' || (doc_id % 50) AS file_path, arg_max(CASE WHEN doc_id % 9 = 0 THEN 'deleted' ELSE 'modified' END, doc_id) AS change_type, arg_max(sha256(text), doc_id) AS new_hash, count(*)::BIGINT AS events FROM documents GROUP BY 1""")
-def cdc_stream(spark, sf_dir):
-    """Changes written as JSON, streamed, and reduced to the last state of each path."""
-    base = shared_folder(spark, "cdc")
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.concat("source", F.lit("/"), F.col("doc_id") % 50).alias("file_path"), F.when(F.col("doc_id") % 9 == 0, "deleted").otherwise("modified").alias("change_type"), F.lit("").alias("old_hash"), F.sha2("text", 256).alias("new_hash"), F.col("doc_id").alias("seq"))
-    rows.write.json(f"{base}/in")
-    cdc.apply_changes(cdc.change_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
-    return cdc.last_states(spark, f"{base}/out")
-
-
 # ---- evaluation ------------------------------------------------------------------------------------------------------
 
 
@@ -407,4 +395,4 @@ def source_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), (F.count_distinct("lang") > 1).alias("ambiguous"))
 
 
-from . import extended, graphs, stores  # noqa: E402, F401  more queries register themselves here
+from . import extended, graphs, stores, streams  # noqa: E402, F401  more queries register themselves here

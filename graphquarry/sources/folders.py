@@ -24,3 +24,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any store that Spark reads; a missing one is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from graphquarry.functions import text as tx
 from graphquarry.operators import chunking, evaluation, graph, incremental, retrieval
 from graphquarry.sources import readers, snapshots
-from graphquarry.streaming import cdc
 
 
 def rows(df, *order):
@@ -147,30 +146,6 @@ def test_metrics(spark):
     assert got[1]["recall"] == 0 and got[2]["recall"] == 0.5 and got[1]["mrr"] == 0.25
 
 
-def test_changes_stream(spark, tmp_path):
-    """The last state of each path over several batches; odd changes are set apart."""
-    (tmp_path / "in").mkdir()
-    run = lambda: cdc.apply_changes(cdc.change_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
-    (tmp_path / "in/a.json").write_text('{"file_path":"p","change_type":"created","seq":1}\n{"file_path":"p","change_type":"deleted","seq":2}\n{"change_type":"modified"}\n{"file_path":"q","change_type":"odd"}\n')
-    run()
-    (tmp_path / "in/b.json").write_text('{"file_path":"p","change_type":"modified","seq":3}\n{"file_path":"r","change_type":"created","seq":4}\n')
-    run()
-    got = cdc.last_states(spark, str(tmp_path / "out")).select("file_path", "change_type", "events")
-    assert rows(got, "file_path") == [("p", "modified", 3), ("r", "created", 1)]
-    assert cdc.rejected_changes(spark, str(tmp_path / "out")).count() == 2
-
-
-def test_retry_once(spark):
-    seen = []
-
-    def handler(changes):
-        seen.append(sorted(r["file_path"] for r in changes.collect()))
-        return changes.withColumn("success", (F.col("file_path") == "a") | F.lit(len(seen) > 1))
-
-    got = cdc.retried(handler, spark.createDataFrame([("a",), ("b",)], "file_path string"))
-    assert rows(got, "file_path") == [("a", True), ("b", True)] and seen == [["a", "b"], ["b"]]
-
-
 def test_registered_queries_match_sql(spark):
     import duckdb
 
