@@ -54,6 +54,13 @@ def delete_documents(held: DataFrame, gone: DataFrame, key: str = "doc_id") -> D
     return held.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def delete_counts(held: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(asked, deleted): the distinct keys named, and the rows that ``delete_documents`` takes away."""
+    keys = gone.select(key).where(F.col(key).isNotNull()).distinct()
+    asked, deleted = keys.agg(F.count("*").alias("asked")), held.join(keys, key, "left_semi").agg(F.count("*").alias("deleted"))
+    return asked.join(deleted)  # a row each
+
+
 def approved(rows: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     """The rows that may be stored: all but those with a review (``key``, approved) that rejects them. An unreviewed row or
     a null answer passes."""
@@ -80,9 +87,11 @@ def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
 
 def registry_update(held: DataFrame, changes: DataFrame, now) -> DataFrame:
     """``held`` (file_id, ..., updated_at) with the fields of ``changes`` (file_id and some of UPDATABLE; null: as it was);
-    other columns of ``changes`` are ignored. ``now`` is a column for updated_at."""
+    other columns of ``changes`` are ignored. Of several changes of an id each field takes its last value by ``pos`` (by the
+    value where there is no such column). ``now`` is a column for updated_at."""
     fields = [c for c in UPDATABLE if c in changes.columns and c in held.columns]
-    new = changes.select("file_id", *[F.col(c).alias(f"new_{c}") for c in fields], F.lit(True).alias("hit"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("pos", c) if "pos" in changes.columns else F.col(c)))
+    new = changes.groupBy("file_id").agg(*[last(c).alias(f"new_{c}") for c in fields], F.lit(True).alias("hit"))
     both = held.join(new, "file_id", "left")
     some = F.col("hit") & F.coalesce(*[F.col(f"new_{c}").isNotNull() for c in fields], F.lit(False)) if len(fields) == 1 else F.col("hit") & sum((F.col(f"new_{c}").isNotNull().cast("int") for c in fields), F.lit(0)).cast("boolean")
     values = {c: F.coalesce(F.col(f"new_{c}"), F.col(c)) for c in fields} | ({"updated_at": F.when(some, now).otherwise(F.col("updated_at"))} if fields else {})
@@ -95,8 +104,10 @@ UPDATABLE = ("status", "chunks_count", "entities_count", "relations_count", "thr
 
 def upload_outcomes(registry: DataFrame, uploads: DataFrame) -> DataFrame:
     """Uploads (file_id, sha) against registered (sha, status): already_exists, retried after failure or rejection, or
-    processing."""
-    held = registry.select("sha", "status")
+    processing; one outcome an upload. A content that is registered more than once exists if any of them neither failed nor
+    was rejected."""
+    lost = F.col("status").isin("failed", "rejected")
+    held = registry.groupBy("sha").agg(F.min_by("status", F.struct(lost.cast("int"), "status")).alias("status"))
     state = F.when(F.col("status").isNull(), "processing").when(F.col("status").isin("failed", "rejected"), "retried").otherwise("already_exists")
     return uploads.join(held, "sha", "left").select("file_id", "sha", state.alias("outcome"))
 
