@@ -9,7 +9,8 @@ from ..functions.text import SENTENCE_END, sentences, strip
 from ..functions.vector import cosine, dot
 
 SIZE, OVERLAP, PERCENTILE = 512, 64, 85
-#: Marks of a sentence that states something. Fixed values.
+#: What stands around the topic of a question, and marks of a sentence that states something. Fixed values.
+QUESTION = ('文档中提到"', '……"，具体内容是什么？')
 DENSE = "0-9０-９,，、《》%％"
 
 
@@ -124,9 +125,11 @@ def core_sentences(docs: DataFrame, least: int = 12, most: int = 80) -> DataFram
 
 
 def synthesized_questions(docs: DataFrame, top: int = 2) -> DataFrame:
-    """A question per best sentence: the whole of a short one, else ten characters from a third on."""
+    """(doc_id, rank, topic, question, golden_fragment): a question for each best sentence, about the whole of a short one, else
+    about ten characters from a third on."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     best = core_sentences(docs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     n = F.char_length("sentence")
     topic = F.when(n <= 24, F.col("sentence")).otherwise(F.substring("sentence", F.floor(n / 3).cast("int") + 1, F.lit(10)))
-    return best.select("doc_id", "rank", topic.alias("topic"), F.col("sentence").alias("golden_fragment"))
+    question = F.concat(F.lit(QUESTION[0]), topic, F.lit(QUESTION[1]))
+    return best.select("doc_id", "rank", topic.alias("topic"), question.alias("question"), F.col("sentence").alias("golden_fragment"))

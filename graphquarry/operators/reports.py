@@ -15,10 +15,22 @@ def latency_summary(runs: DataFrame, baseline: str) -> DataFrame:
     return each.join(F.broadcast(base), how="left").select("variant", F.round("mean", 3).alias("mean"), F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), saved.alias("p50_saved"))
 
 
+def tenths(x: Column) -> Column:
+    """A number that isn't negative, rounded to tenths, as a count of them: by its exact binary value, and true halves to even.
+
+    Twenty times the number less an odd whole number is computed without rounding where it is near 0, as both of its
+    steps are differences of near numbers."""
+    n = F.floor(x * 10)
+    past = (x * 16 - (2 * n + 1)) + x * 4
+    return n + F.when((past > 0) | ((past == 0) & (n % 2 == 1)), 1).otherwise(0)
+
+
 def percent_change(new: Column, base: Column) -> Column:
-    """``+12.3%`` of a change; N/A from a base of 0."""
-    change = (new - base) / base * 100
-    return F.when(base == 0, "N/A").otherwise(F.format_string("%+.1f%%", change))
+    """``+12.3%`` of a change; N/A from a base of 0; null if either number is null."""
+    change = (new - base) / F.when(base != 0, base) * 100
+    n = tenths(F.abs(change))
+    sign = F.when(change < 0, "-").otherwise("+")
+    return F.when(base == 0, "N/A").when(change.isNotNull(), F.concat(sign, F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit("%")))
 
 
 def average_rounds(results: DataFrame, warm_up: int) -> DataFrame:
@@ -57,3 +69,12 @@ def missing_sources(required: DataFrame, registered: DataFrame) -> DataFrame:
 def dimension_faults(vectors: DataFrame, expected: int) -> DataFrame:
     """(dimension, n): vectors whose dimension isn't the stored one; empty if all fit."""
     return vectors.groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("n")).where(F.col("dimension") != expected)
+
+
+def checked_dimension(vectors: DataFrame, expected: int | None = None) -> DataFrame:
+    """``vectors``, if all of them have ``expected`` components (or as many as each other); else an error that tells how many have
+    which."""
+    sizes = {r[0]: r[1] for r in vectors.groupBy(F.size("embedding")).count().limit(100).collect()}
+    if len(sizes.keys() - {expected}) > (expected is None):
+        raise ValueError(f"dimension {expected or 'of the first'} expected, found {sizes}")
+    return vectors

@@ -167,10 +167,14 @@ def latency_summary(spark, sf_dir):
     return reports.latency_summary(events, events.agg(F.min("variant")).first()[0])
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'N/A' ELSE printf('%+.1f%%', (s_nationkey - s_suppkey % 7) / (s_suppkey % 7)::DOUBLE * 100) END AS change FROM supplier")
+@query("""WITH x AS (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 3 THEN NULL WHEN s_suppkey % 7 = 1 THEN 2000 WHEN s_suppkey % 7 = 2 THEN -400 WHEN s_suppkey % 7 < 5 THEN 400 ELSE s_suppkey % 7 - 5 END::DOUBLE AS base, s_nationkey + CASE WHEN s_suppkey % 7 = 1 THEN 2000 WHEN s_suppkey % 7 < 5 THEN 400 ELSE 0 END::DOUBLE AS now FROM supplier)
+SELECT s_suppkey, CASE WHEN base = 0 THEN 'N/A' WHEN base IS NOT NULL THEN printf('%+.1f%%', (now - base) / base * 100) END AS change FROM x""")
 def percent_change(spark, sf_dir):
-    base = (F.col("s_suppkey") % 7).cast("double")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", reports.percent_change(F.col("s_nationkey").cast("double"), base).alias("change"))
+    """Changes that lie on halves of a tenth too (0.25 % steps exactly, 0.05 % steps nearly), and nulls."""
+    k = F.col("s_suppkey") % 7
+    base = F.when(F.col("s_suppkey") % 11 == 3, F.lit(None)).when(k == 1, 2000).when(k == 2, -400).when(k < 5, 400).otherwise(k - 5).cast("double")
+    now = (F.col("s_nationkey") + F.when(k == 1, 2000).when(k < 5, 400).otherwise(0)).cast("double")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", reports.percent_change(now, base).alias("change"))
 
 
 @query("SELECT source AS variant, round(avg(n_chars % 3), 4) AS rounds FROM documents WHERE doc_id > 2 GROUP BY source")

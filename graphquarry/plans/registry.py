@@ -164,7 +164,7 @@ def core_sentences(spark, sf_dir):
 
 
 @query(f"""WITH {CORE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM k)
-SELECT doc_id, rank, CASE WHEN length(sentence) <= 24 THEN sentence ELSE substr(sentence, length(sentence) // 3 + 1, 10) END AS topic, sentence AS golden_fragment FROM r WHERE rank <= 2""")
+SELECT doc_id, rank, CASE WHEN length(sentence) <= 24 THEN sentence ELSE substr(sentence, length(sentence) // 3 + 1, 10) END AS topic, '文档中提到"' || topic || '……"，具体内容是什么？' AS question, sentence AS golden_fragment FROM r WHERE rank <= 2""")
 def synth_questions(spark, sf_dir):
     return chunking.synthesized_questions(table(spark, sf_dir, "documents"))
 
@@ -345,12 +345,12 @@ def doc_registry(spark, sf_dir):
 
 
 @query(f"""WITH {RANKED_SQL}, q AS (SELECT vec_id AS query_id, label AS own FROM embeddings WHERE {QUERY_SET}),
-f AS (SELECT q.query_id, min(rank) AS fr FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.vec_id <> q.query_id AND r.label = q.own AND rank <= 20 GROUP BY q.query_id)
+f AS (SELECT q.query_id, min(rank) AS fr FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.vec_id <> q.query_id AND r.label = q.own AND rank <= 10 GROUP BY q.query_id)
 SELECT k, round(avg(CASE WHEN fr <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(coalesce(1.0::DOUBLE / fr, 0)), 6) AS mrr, round(avg(CASE WHEN fr <= k THEN 1 / log2(fr + 1) ELSE 0 END), 6) AS ndcg FROM f, (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
 def eval_metrics(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     queries = v.where(SEARCHED).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    rows = ranked(spark, sf_dir, 20).join(v.select("vec_id", "label"), "vec_id").join(queries, "query_id")
+    rows = ranked(spark, sf_dir, 10).join(v.select("vec_id", "label"), "vec_id").join(queries, "query_id")
     return evaluation.metrics(evaluation.first_ranks(queries, rows, (F.col("vec_id") != F.col("query_id")) & (F.col("label") == F.col("own"))))
 
 

@@ -1,11 +1,12 @@
 """Operators of the retrieval engine on small literal frames."""
 
+import random
 import uuid
 
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text as tx
-from graphquarry.operators import chunking, evaluation, graph, incremental, retrieval
+from graphquarry.operators import chunking, evaluation, graph, incremental, reports, retrieval
 from graphquarry.sources import readers, snapshots
 
 
@@ -178,11 +179,34 @@ def test_evidence_blocks_hold_the_whole_text(spark):
     assert all(got[i].split("\n", 1)[1] == t for i, t in texts.items())
 
 
-def test_fragments_beyond_a_block(spark):
-    golden = spark.createDataFrame([(i, f"frag {i}.") for i in range(30)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, f"x FRAG{i}. y Frag {i + 1}.") for i in range(40)], "doc_id long, text string")
-    whole, parts = (rows(evaluation.golden_hits(golden, docs, most), "item_id", "doc_id") for most in (10_000, 7))
-    assert len(whole) == 59 and parts == whole
+def test_fragments_by_pieces(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab c中🙂\n") for _ in range(rng.randint(0, 120))) for _ in range(80)] + [None, "x" * 200]
+    found = [t[k : k + n] for t in texts[:60] for n in (1, 2, 3, 5, 10, 11, 12, 30, 31, 40) if len(t) > n for k in [rng.randrange(len(t) - n)]]
+    golden = [*found, *(f[::-1] + "q" for f in found[:40]), "", " ", None, "X" * 31, found[0]]
+    same = lambda t: "".join((t or "").split()).lower()
+    want = {(i, d) for i, f in enumerate(golden) for d, t in enumerate(texts) if same(f) and same(f) in same(t)}
+    g, d = spark.createDataFrame(list(enumerate(golden)), "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in evaluation.golden_hits(g, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert evaluation.golden_hits(g.limit(0), d).count() == 0 and evaluation.golden_hits(g, d.limit(0)).count() == 0
+
+
+def test_runs(spark):
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 15))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))) for _ in range(400)]
+    longest = lambda a, b: max((j - i for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), default=0)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = [r[1] for r in rows(df.select("i", evaluation.shares_run(F.col("a"), F.col("b"))), "i")]
+    assert got == [bool(a) and longest(a, b) / len(a) >= 0.6 for a, b in pairs]
+
+
+def test_percent_changes(spark):
+    rng = random.Random(6)
+    values = [(1 + k / 400, 1.0) for k in range(-60, 60)] + [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(300)] + [(2000.0 + k, 2000.0) for k in range(40)] + [(1.0, 0.0), (0.0, 3.0)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)] + [(9999, None, 1.0)], "i int, a double, b double")
+    got = [r[1] for r in rows(df.select("i", reports.percent_change(F.col("a"), F.col("b"))), "i")]
+    assert got == [f"{(a - b) / b * 100:+.1f}%" if b else "N/A" for a, b in values] + [None]
 
 
 def test_golden_matches(spark):
@@ -190,5 +214,10 @@ def test_golden_matches(spark):
     found = [(1, 1, "zz ABCDEF zz", "/d/x.md"), (1, 2, "abc def ghij", "/d/y.md"), (1, 3, "abcde", "x.md"), (2, 1, None, None), (2, 2, "say hello world", None)]
     results = spark.createDataFrame(found, "query_id int, rank int, content string, source string")
     assert rows(evaluation.golden_matches(samples, results), "query_id", "rank") == [(1, 1, True), (1, 2, False), (1, 3, False), (2, 1, False), (2, 2, True)]
-    got = {(r["variant"], r["k"]): r["recall"] for r in evaluation.evaluate_variants({"all": lambda q, k: results, "none": lambda q, k: results.where("rank > 2")}, samples, (1, 2)).collect()}
-    assert got == {("all", 1): 0.5, ("all", 2): 1.0, ("none", 1): 0.0, ("none", 2): 0.0}
+    timed = results.withColumn("ms", F.lit(7.0) * F.col("query_id")).withColumn("rounds", F.col("query_id"))
+    every = evaluation.evaluate_variants({"all": lambda q, k: timed, "none": lambda q, k: results.where("rank > 2"), "deep": lambda q, k: results.withColumn("rank", F.col("rank") + 1)}, samples, (1, 2), warm_up=1)
+    got = {(r["variant"], r["k"]): (r["recall"], r["hits"], r["mrr"], r["p50"], r["p95"], r["rounds"], r["n"]) for r in every.collect()}
+    assert got == {("all", 1): (0.5, 1, 0.75, 10.5, 13.65, 2.0, 2), ("all", 2): (1.0, 2, 0.75, 10.5, 13.65, 2.0, 2), ("none", 1): (0.0, 0, 0.0, None, None, 0.0, 2), ("none", 2): (0.0, 0, 0.0, None, None, 0.0, 2), ("deep", 1): (0.0, 0, 0.25, None, None, 0.0, 2), ("deep", 2): (0.5, 1, 0.25, None, None, 0.0, 2)}
+    table = [tuple(r) for r in evaluation.comparison(every, "deep", "all").orderBy("place").collect()]
+    assert table[0] == (1, "MRR", "0.2500", "0.7500", "+200.0%") and table[3][1:] == ("Recall@2", "0.5000", "1.0000", "+100.0%") and table[1] == (2, "Recall@1", "0.0000", "0.5000", "N/A")
+    assert table[-1] == (1001, "P95 延迟(ms)", None, "14", None)
