@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_key, strip
 from ..functions.vector import sigmoid
+from ..sources.folders import settled
 from . import vector_index
 
 RRF_K = 60
@@ -35,14 +36,48 @@ def fuse(lists: DataFrame, top: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= top) if top else out
 
 
+#: A place that evidence names.
+CITATION = "struct<source:string,chunk_id:string,page:int,heading_path:string>"
+
+
+def own_citation(df: DataFrame) -> Column:
+    """A context's citations: those it has, or the place that its own columns name. Missing columns and nulls are empty."""
+    value = lambda c, empty: (F.coalesce(F.col(c).cast("int" if empty == 0 else "string"), F.lit(empty)) if c in df.columns else F.lit(empty)).alias(c)
+    own = F.array(F.struct(value("source", ""), value("chunk_id", ""), value("page", 0), value("heading_path", "")).cast(CITATION))
+    return F.when(F.size(F.coalesce("citations", F.array().cast(f"array<{CITATION}>"))) > 0, F.col("citations").cast(f"array<{CITATION}>")).otherwise(own) if "citations" in df.columns else own
+
+
+def merged_citations(rows: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """(by, citations): of ``rows`` with an array ``citations`` the distinct ones by source, chunk and page, in order of sight;
+    those in which nothing is set are dropped. Reduced to a row a citation before any list is made."""
+    each = rows.select(*by, order.alias("#at"), F.posexplode("citations").alias("#k", "c"))
+    said = (F.coalesce("c.source", F.lit("")) != "") | (F.coalesce("c.chunk_id", F.lit("")) != "") | (F.coalesce("c.page", F.lit(0)) != 0) | (F.coalesce("c.heading_path", F.lit("")) != "")
+    seen = F.struct("#at", "#k")
+    first = each.where(said).groupBy(*by, F.col("c.source").alias("s"), F.col("c.chunk_id").alias("i"), F.col("c.page").alias("p")).agg(F.min(seen).alias("seen"), F.min_by("c", seen).alias("c"))
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "c"))), lambda x: x["c"]).alias("citations"))
+
+
+def citation_text(citations: Column) -> Column:
+    """``source|chunk|page`` of each citation."""
+    return F.transform(citations, lambda c: F.concat_ws("|", c["source"], c["chunk_id"], c["page"].cast("string")))
+
+
 def merge_evidence(contexts: DataFrame) -> DataFrame:
-    """One row per content: first-seen payload, best score, hybrid if types are mixed, count of merged rows."""
-    return contexts.groupBy(content_key(F.col("content")).alias("content_key")).agg(F.min_by("source", "pos").alias("source"), F.max("score").alias("score"), F.when(F.count_distinct("retrieval_type") > 1, "hybrid").otherwise(F.min("retrieval_type")).alias("retrieval_type"), F.min("pos").alias("first_pos"), F.count("*").alias("merged"))
+    """Contexts (query_id, pos, content, source, score, retrieval_type and, if at hand, chunk_id, page, heading_path, citations)
+    with one row for each evidence of a query: (query_id, key, content, source, score, retrieval_type, first_pos, merged,
+    citations). The first payload stays, the best score, hybrid if types are mixed, and all citations in order."""
+    chunk = F.col("chunk_id") if "chunk_id" in contexts.columns else F.lit("")
+    keyed = contexts.withColumn("key", context_key(chunk, F.coalesce("content", F.lit("")))).withColumn("citations", own_citation(contexts))
+    cites = merged_citations(keyed, ["query_id", "key"], F.col("pos"))
+    kind = F.when(F.count_distinct("retrieval_type") > 1, "hybrid").otherwise(F.min("retrieval_type"))
+    folded = keyed.groupBy("query_id", "key").agg(F.min_by("content", "pos").alias("content"), F.min_by("source", "pos").alias("source"), F.max("score").alias("score"), kind.alias("retrieval_type"), F.min("pos").alias("first_pos"), F.count("*").alias("merged"))
+    return folded.join(cites, ["query_id", "key"], "left").withColumn("citations", F.coalesce("citations", F.array().cast(f"array<{CITATION}>")))
 
 
 def merge_citations(citations: DataFrame) -> DataFrame:
-    """Ordered distinct (source, chunk_id, page) of each item; all-empty ones are dropped."""
-    some = citations.where((F.coalesce("source", F.lit("")) != "") | (F.coalesce("chunk_id", F.lit("")) != "") | F.col("page").isNotNull())
+    """Ordered distinct (source, chunk_id, page) of each item, as text; those in which nothing is set, page 0 included, are
+    dropped."""
+    some = citations.where((F.coalesce("source", F.lit("")) != "") | (F.coalesce("chunk_id", F.lit("")) != "") | (F.coalesce("page", F.lit(0)) != 0))
     first = some.groupBy("item", "source", "chunk_id", "page").agg(F.min("pos").alias("pos"))
     return first.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source", "chunk_id", "page"))), lambda c: F.concat_ws("|", c["source"], c["chunk_id"], c["page"].cast("string"))).alias("citations"))
 
@@ -53,18 +88,29 @@ def support(ranked: DataFrame) -> DataFrame:
     return best.groupBy("query_id").agg(F.round(F.avg(F.greatest(F.lit(0.0), F.least("score", F.lit(1.0)))), 4).alias("support"))
 
 
-def refine(queries: DataFrame, first: DataFrame, again: Callable[[DataFrame], DataFrame], top: int = 8, threshold: float = 0.6) -> DataFrame:
-    """(query_id, rank, item, retried): one more retrieval for the queries that have no contexts or whose support is below
-    ``threshold``; old and new lists are fused and cut to ``top``, the other queries keep their first ``top``.
-
-    ``first`` is (query_id, rank, item, score); ``again`` gives (query_id, rank, item) for the queries that it gets, which are
-    all searched at once."""
-    weak = queries.select("query_id").join(support(first), "query_id", "left").where(F.col("support").isNull() | (F.col("support") < threshold)).select("query_id")
-    held = first.select("query_id", F.lit(1).alias("list_id"), F.col("rank").alias("pos"), "item")
-    more = again(weak).select("query_id", F.lit(2).alias("list_id"), F.col("rank").alias("pos"), "item")
-    fused = fuse(held.join(weak, "query_id", "left_semi").unionByName(more), top).select("query_id", "rank", "item", F.lit(True).alias("retried"))
-    good = first.join(weak, "query_id", "left_anti").where(F.col("rank") <= top)
-    return good.select("query_id", "rank", "item", F.lit(False).alias("retried")).unionByName(fused)
+def refine(queries: DataFrame, first: DataFrame, again: Callable[[DataFrame], DataFrame], top: int = 8, threshold: float = 0.6, max_rounds: int = 2, relevance: Callable[[DataFrame], DataFrame] = support) -> DataFrame:
+    """(query_id, rank, item, retried, rounds): further retrievals for the queries that have no contexts or whose relevance is
+    below ``threshold``, up to ``max_rounds`` in all; old and new lists are fused and cut to ``top``. A query that isn't
+    retried keeps its first ``top``.
+
+    ``first`` is (query_id, rank, item, score). ``relevance`` judges such rows: (query_id, support); a query that has contexts
+    and gets no judgement (its evaluator failed) is kept as it is. ``again`` gives (query_id, rank, item) for the queries
+    that it gets, which are all searched at once. A query that still has nothing after a retrieval ends there."""
+    current = settled(first.select("query_id", "rank", "item", "score", F.lit(1).alias("rounds")), "contexts")
+    open_ = settled(queries.select("query_id").distinct(), "queries")
+    for number in range(2, max_rounds + 1):
+        own = current.join(open_, "query_id", "left_semi")
+        some = own.select("query_id").distinct()
+        low = relevance(own).where(F.col("support") < threshold).select("query_id")
+        weak = settled(open_.join(some, "query_id", "left_anti").unionByName(low.join(some, "query_id", "left_semi")), "weak")
+        if weak.isEmpty():
+            break
+        held = own.join(weak, "query_id", "left_semi").select("query_id", F.lit(1).alias("list_id"), F.col("rank").alias("pos"), "item")
+        more = again(weak).select("query_id", F.lit(2).alias("list_id"), F.col("rank").alias("pos"), "item")
+        fused = fuse(held.unionByName(more), top).select("query_id", "rank", "item", "score", F.lit(number).alias("rounds"))
+        current = settled(current.join(weak, "query_id", "left_anti").unionByName(fused), "contexts")
+        open_ = settled(fused.select("query_id").distinct(), "queries")
+    return current.where((F.col("rank") <= top) | (F.col("rounds") > 1)).select("query_id", "rank", "item", (F.col("rounds") > 1).alias("retried"), "rounds")
 
 
 def modality_weight(doc_type: Column) -> Column:
@@ -102,16 +148,69 @@ def context_key(chunk_id: Column, content: Column) -> Column:
 
 
 def hybrid_fuse(contexts: DataFrame, top: int | None = None) -> DataFrame:
-    """Contexts (query_id, list_id, pos, chunk_id, content, source, score, retrieval_type, page, heading_path) of several
-    lists fused: (query_id, rank, key, content, source, score, original_score, retrieval_type, citations). The payload is
-    the first one seen, the type hybrid if types are mixed, the original score the best, citations in order of sight."""
-    keyed = contexts.withColumn("item", context_key(F.col("chunk_id"), F.col("content"))).withColumn("at", F.struct("list_id", "pos"))
-    cite = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("chunk_id", F.lit("")).alias("chunk_id"), F.coalesce("page", F.lit(0)).alias("page"))
-    first = keyed.groupBy("query_id", "item", cite.alias("cite")).agg(F.min("at").alias("seen"))
-    cites = first.groupBy("query_id", "item").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "cite"))), lambda c: F.concat_ws("|", c["cite"]["source"], c["cite"]["chunk_id"], c["cite"]["page"].cast("string"))).alias("citations"))
-    payload = keyed.groupBy("query_id", "item").agg(F.min_by("content", "at").alias("content"), F.min_by("source", "at").alias("source"), F.max("score").alias("original_score"), F.when(F.count_distinct("retrieval_type") > 1, "hybrid").otherwise(F.min("retrieval_type")).alias("retrieval_type"))
+    """Contexts (query_id, list_id, pos, content, source, score, retrieval_type and, if at hand, chunk_id, page, heading_path,
+    citations) of several lists fused: (query_id, rank, key, content, source, score, original_score, retrieval_type,
+    citations). The payload is the first one seen and the original score the best of the list where it was seen first; the
+    type is hybrid if types are mixed; citations are in order of sight."""
+    chunk = F.col("chunk_id") if "chunk_id" in contexts.columns else F.lit("")
+    keyed = contexts.withColumn("item", context_key(chunk, F.coalesce("content", F.lit("")))).withColumn("citations", own_citation(contexts)).withColumn("at", F.struct("list_id", "pos"))
+    cites = merged_citations(keyed, ["query_id", "item"], F.col("at"))
+    kind = F.when(F.count_distinct("retrieval_type") > 1, "hybrid").otherwise(F.min("retrieval_type"))
+    payload = keyed.groupBy("query_id", "item").agg(F.min_by("content", "at").alias("content"), F.min_by("source", "at").alias("source"), F.max_by("score", F.struct(-F.col("list_id"), F.col("score"))).alias("original_score"), kind.alias("retrieval_type"))
     fused = fuse(keyed.select("query_id", "list_id", "pos", "item"), top)
-    return fused.join(payload, ["query_id", "item"]).join(cites, ["query_id", "item"]).select("query_id", "rank", F.col("item").alias("key"), "content", "source", "score", "original_score", "retrieval_type", "citations")
+    out = fused.join(payload, ["query_id", "item"]).join(cites, ["query_id", "item"], "left")
+    return out.select("query_id", "rank", F.col("item").alias("key"), "content", "source", "score", "original_score", "retrieval_type", F.coalesce("citations", F.array().cast(f"array<{CITATION}>")).alias("citations"))
+
+
+#: Rewritten queries of a question, and results of each.
+REWRITTEN, EACH = 3, 5
+
+
+def vector_contexts(index: vector_index.Index, chunks: DataFrame, questions: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """What vectors say to questions (query_id, queries): (query_id, pos, chunk_id, content, source, score, retrieval_type, page,
+    heading_path), the five nearest chunks of each of the first three queries that aren't blank, one query's after the
+    other's. ``index`` is of the chunks' vectors by chunk_id; ``embed`` makes a vector of a query's text."""
+    asked = questions.select("query_id", F.posexplode(clean_terms(F.col("queries"), REWRITTEN)).alias("place", "text"))
+    asked = settled(asked.withColumn("key", F.concat_ws("\x1f", "query_id", "place")), "asked")
+    near = vector_index.nearest(index, asked.select(F.col("key").alias("query_id"), embed(F.col("text")).alias("query")), EACH).withColumnRenamed("query_id", "key")
+    value = lambda c, empty: (F.coalesce(c, F.lit(empty)) if c in chunks.columns else F.lit(empty)).alias(c)
+    held = chunks.select("chunk_id", value("content", ""), value("source", "vector_store"), value("page", 0), value("heading_path", ""))
+    rows = near.join(asked, "key").join(held, F.col("vec_id") == F.col("chunk_id"))
+    return rows.select("query_id", (F.col("place") * EACH + F.col("rank")).alias("pos"), "chunk_id", "content", "source", "score", F.lit("vector").alias("retrieval_type"), "page", "heading_path")
+
+
+def retrieve(questions: DataFrame, vector: DataFrame, graph: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = None, top: int = 8, head: int = 20) -> DataFrame:
+    """Hybrid retrieval of questions (query_id, question): contexts of vectors and of a graph (``paths.graph_contexts``), fused by
+    ranks and reranked: (query_id, rank, key, content, source, score, original_score, retrieval_type, citations), ``top`` a
+    query.
+
+    ``rerank`` gives ``raw`` (query_id, key, raw) for rows (query_id, question, key, content), the first ``head`` of each
+    query that has more than one; their scores become its sigmoids, and they are put in order by them before the others. A
+    query for which any raw score is missing keeps its fused order, as if it had no reranker."""
+    lists = [df.select("query_id", F.lit(n).alias("list_id"), "pos", chunk.alias("chunk_id"), "content", "source", "score", "retrieval_type", own_citation(df).alias("citations")) for n, df, chunk in ((1, vector, F.col("chunk_id")), (2, graph, F.lit("")))]
+    fused = settled(hybrid_fuse(lists[0].unionByName(lists[1])), "fused")
+    return fused.where(F.col("rank") <= top) if rerank is None else reranked(fused, questions, rerank, top, head)
+
+
+def reranked(fused: DataFrame, questions: DataFrame, rerank: Callable[[DataFrame], DataFrame], top: int = 8, head: int = 20) -> DataFrame:
+    """The last step of ``retrieve``, on what ``hybrid_fuse`` gives."""
+    front = fused.where(F.col("rank") <= head)
+    several = front.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1")
+    asked = front.join(several, "query_id").join(questions.select("query_id", "question"), "query_id")
+    raw = settled(rerank(asked.select("query_id", "question", "key", "content")).select("query_id", "key", "raw"), "reranked")
+    told = raw.where("raw IS NOT NULL").groupBy("query_id").agg(F.count_distinct("key").alias("told")).join(several, "query_id").where("told = n").select("query_id", F.lit(True).alias("whole"))
+    scores = raw.groupBy("query_id", "key").agg(F.max("raw").alias("raw"))
+    both = fused.join(scores, ["query_id", "key"], "left").join(told, "query_id", "left")
+    judged = F.coalesce("whole", F.lit(False)) & (F.col("rank") <= head)
+    scored = both.withColumn("score", F.when(judged, F.round(sigmoid(F.col("raw")), 6)).otherwise(F.col("score")))
+    order = Window.partitionBy("query_id").orderBy(F.when(judged, 0).otherwise(1), F.when(judged, -F.col("score")), "rank")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(fused.columns)
+
+
+def by_type_fused(contexts: DataFrame, top: int | None = None) -> DataFrame:
+    """``hybrid_fuse`` of one list of contexts (query_id, pos, ...), taken apart by retrieval type: vector, graph, hybrid."""
+    number = F.array_position(F.array(*map(F.lit, ("vector", "graph", "hybrid"))), F.col("retrieval_type"))
+    return hybrid_fuse(contexts.withColumn("list_id", number.cast("int")).where("list_id > 0"), top)
 
 
 def clean_terms(terms: Column, most: int) -> Column:
@@ -132,12 +231,20 @@ def intent_of(reply: Column) -> Column:
 
 
 def source_payloads(contexts: DataFrame, registry: DataFrame) -> DataFrame:
-    """What is shown of contexts (rank, content, source, score, ...): 500 characters, four places, and the registered name
-    of a source's file (of ``registry``: file_id, original_name, status) where it was taken in."""
-    names = registry.where("status = 'success'").select("file_id", "original_name")
-    file = F.regexp_extract("source", "([^/]*)/*$", 1)
-    named = contexts.withColumn("file_id", file).join(names, "file_id", "left")
-    return named.select(F.col("rank").alias("index"), F.substring("content", 1, 500).alias("content"), F.coalesce("original_name", "source").alias("source"), F.round("score", 4).alias("score"), F.col("retrieval_type").alias("type"), F.coalesce("chunk_id", F.lit("")).alias("chunk_id"))
+    """What is shown of contexts (query_id if there are several queries, rank, content, source, score, retrieval_type and, if
+    at hand, chunk_id, page, heading_path, citations): 500 characters, four places, the registered name of a source's file
+    (of ``registry``: file_id, original_name, status) where it was taken in, and citations with names in the same way; a
+    context without citations cites itself."""
+    names = registry.where("status = 'success'").groupBy("file_id").agg(F.min("original_name").alias("original_name"))
+    file = lambda c: F.regexp_extract(c, "([^/]*)/*$", 1)
+    by = ["query_id", "rank"] if "query_id" in contexts.columns else ["rank"]
+    rows = contexts.withColumn("citations", own_citation(contexts)).withColumn("file_id", file(F.col("source")))
+    each = rows.select(*by, F.posexplode("citations").alias("k", "c")).withColumn("file_id", file(F.col("c.source"))).join(names, "file_id", "left")
+    each = each.select(*by, "k", F.struct(F.coalesce("original_name", "c.source").alias("source"), F.col("c.chunk_id").alias("chunk_id"), F.col("c.page").alias("page"), F.col("c.heading_path").alias("heading_path")).cast(CITATION).alias("c"))
+    cites = each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("shown"))
+    value = lambda c, empty: (F.coalesce(c, F.lit(empty)) if c in contexts.columns else F.lit(empty)).alias(c)
+    named = rows.join(names, "file_id", "left").join(cites, by, "left")
+    return named.select(*by[:-1], F.col("rank").alias("index"), F.substring(F.coalesce("content", F.lit("")), 1, 500).alias("content"), F.coalesce("original_name", "source").alias("source"), F.round("score", 4).alias("score"), F.col("retrieval_type").alias("type"), value("chunk_id", ""), value("page", 0), value("heading_path", ""), F.col("shown").alias("citations"))
 
 
 def evidence_counts(contexts: DataFrame) -> DataFrame:

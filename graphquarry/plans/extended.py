@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,32 +13,74 @@ from .registry import MENTIONS_SQL, RANKED_SQL, graph_tables, query, ranked, sha
 # ---- hybrid retrieval ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {RANKED_SQL}, v AS (SELECT query_id, 1 AS list_id, rank AS pos, vec_id, score, 'vector' AS kind FROM r WHERE rank <= 5),
-g AS (SELECT query_id, 2 AS list_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS pos, vec_id, 1.0::DOUBLE AS score, 'graph' AS kind FROM (SELECT q.vec_id AS query_id, x.vec_id FROM embeddings q JOIN embeddings x USING (label) WHERE q.vec_id % 20 = 0) QUALIFY pos <= 5),
+#: Nearest vectors of each query and of its label's first vector (score first, then that list's order), and five rows of the label.
+FUSED_LISTS_SQL = f"""{RANKED_SQL}, lab AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0), least AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings QUALIFY pos <= 5),
+v AS (SELECT query_id, 1 AS list_id, rank AS pos, vec_id, score, 'vector' AS kind FROM r WHERE rank <= 5),
+g AS (SELECT query_id, 2 AS list_id, pos, vec_id, 2.0::DOUBLE AS score, 'graph' AS kind FROM lab JOIN least USING (label)),
 l AS (SELECT * FROM v UNION ALL SELECT * FROM g),
-f AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + pos)) AS raw, min(list_id * 1000 + pos) AS first, max(score) AS original_score, CASE WHEN count(DISTINCT kind) > 1 THEN 'hybrid' ELSE min(kind) END AS retrieval_type, list('s' || list_id || '|' || vec_id || '|0' ORDER BY list_id, pos) AS citations FROM l GROUP BY ALL),
+f AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + pos)) AS raw, min(list_id * 1000 + pos) AS first, arg_min(score, list_id * 1000 + pos) AS original_score, CASE WHEN count(DISTINCT kind) > 1 THEN 'hybrid' ELSE min(kind) END AS retrieval_type, coalesce(list('s' || list_id || '|' || vec_id || '|0' ORDER BY list_id, pos), []) AS citations FROM l GROUP BY ALL),
 n AS (SELECT query_id, count(DISTINCT list_id) AS n FROM l GROUP BY query_id),
 x AS (SELECT *, round(least(1.0, raw / (n / 61.0::DOUBLE)), 6) AS score FROM f JOIN n USING (query_id)),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM x)
-SELECT query_id, rank, 'chunk:' || vec_id AS key, score, original_score, retrieval_type, citations FROM t WHERE rank <= 8""")
-def hybrid_retrieve(spark, sf_dir):
-    """Each query's five nearest vectors, fused with five rows of its label, which stand for what a graph gives."""
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM x)"""
+
+
+def two_lists(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     own = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     row = lambda df, n, kind: df.select("query_id", F.lit(n).alias("list_id"), "pos", F.col("vec_id").cast("string").alias("chunk_id"), F.lit("").alias("content"), F.lit(f"s{n}").alias("source"), "score", F.lit(kind).alias("retrieval_type"), F.lit(0).alias("page"), F.lit("").alias("heading_path"))
     near = row(ranked(spark, sf_dir, 5).withColumnRenamed("rank", "pos"), 1, "vector")
-    least = v.groupBy("label").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select("label", F.posexplode(F.slice("ids", 1, 5)).alias("pos", "vec_id"))
-    linked = row(own.join(least, "label").withColumn("pos", F.col("pos") + 1).withColumn("score", F.lit(1.0)), 2, "graph")
-    return retrieval.hybrid_fuse(near.unionByName(linked), 8).drop("content", "source")
+    least = v.withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("pos <= 5").select("label", "pos", "vec_id")
+    return near, row(own.join(least, "label").withColumn("score", F.lit(2.0)), 2, "graph")
 
 
-@query("""SELECT doc_id AS index, substr(text, 1, 500) AS content, CASE WHEN doc_id % 3 = 0 THEN 'name-' || doc_id ELSE '/up/f' || doc_id END AS source, round(n_chars / 7000.0::DOUBLE, 4) AS score, lang AS type, source AS chunk_id FROM documents""".replace("AS index", 'AS "index"'))
+@query(f"WITH {FUSED_LISTS_SQL} SELECT query_id, rank, 'chunk:' || vec_id AS key, score, original_score, retrieval_type, citations FROM t WHERE rank <= 8")
+def hybrid_fusion(spark, sf_dir):
+    """Each query's five nearest vectors, fused with five rows of its label; the score first seen stays, though the other is higher."""
+    near, linked = two_lists(spark, sf_dir)
+    return retrieval.hybrid_fuse(near.unionByName(linked), 8).drop("content", "source").withColumn("citations", retrieval.citation_text(F.col("citations")))
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey::VARCHAR AS chunk_id, 'firm ' || s_name || ' of ' || n_name AS content, s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+q AS (SELECT n_nationkey::BIGINT AS query_id, 'who is in ' || n_name AS question, (SELECT arg_min('firm ' || s_name || ' of ' || n_name, s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS text FROM nation)
+SELECT query_id, 1 AS rank, 'vector' AS retrieval_type, text AS content, 's' || (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = query_id) AS source, 1.0::DOUBLE AS original_score FROM q WHERE text IS NOT NULL""")
+def hybrid_retrieve(spark, sf_dir):
+    """Questions through the whole path: rewritten queries embedded and searched among embedded chunks, entities searched in the
+    graph, both fused, and reranked by the words that question and content share. Each asks for a chunk by its text, so that
+    the first context is known: with it the SQL compares. Without a reranker the nearest chunk is first."""
+    from ..functions.embedding import embed, embed_rows
+    from ..operators import paths, vector_index
+    from .graphs import links
+
+    nation, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    chunks = s.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("chunk_id"), F.concat(F.lit("firm "), "s_name", F.lit(" of "), "n_name").alias("content"), F.concat(F.lit("s"), "s_suppkey").alias("source"), "s_nationkey", "s_suppkey")
+    first = chunks.groupBy("s_nationkey").agg(F.min_by("content", "s_suppkey").alias("text"))
+    questions = nation.join(first, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("who is in "), "n_name").alias("question"), F.array("text", F.lit(" ")).alias("queries"), F.array("n_name").alias("entities"))
+    index = vector_index.build(embed_rows(chunks, "chunk_id", "content"), key="chunk_id", vector="embedding")
+    near = retrieval.vector_contexts(index, chunks, questions, embed)
+    linked = paths.graph_contexts(*links(spark, sf_dir), questions)
+    found = retrieval.retrieve(questions, near, linked)
+    return found.where("rank = 1").select("query_id", "rank", "retrieval_type", "content", "source", F.round("original_score", 6).alias("original_score"))
+
+
+@query(f"""WITH {FUSED_LISTS_SQL}, c AS (SELECT *, rank <= 4 AND (query_id % 60 <> 0 OR count(*) FILTER (rank <= 4 AND vec_id % 2 = 0) OVER (PARTITION BY query_id) = 0) AS judged FROM t),
+j AS (SELECT *, CASE WHEN judged THEN round(1 / (1 + exp(-(vec_id % 7 - 3)::DOUBLE)), 6) ELSE score END AS s2 FROM c)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT judged, CASE WHEN judged THEN -s2 END, rank) AS rank, 'chunk:' || vec_id AS key, s2 AS score, original_score FROM j QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY NOT judged, CASE WHEN judged THEN -s2 END, rank) <= 6""")
+def hybrid_rerank(spark, sf_dir):
+    """The four first of each query reranked by a score of their id; the reranker fails for every third query, which stays."""
+    near, linked = two_lists(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("").alias("question"))
+    number = F.substring_index("key", ":", -1).cast("long")
+    rerank = lambda rows: rows.withColumn("raw", F.when((F.col("query_id") % 60 != 0) | (number % 2 == 1), (number % 7 - 3).cast("double")))
+    return retrieval.reranked(retrieval.hybrid_fuse(near.unionByName(linked)), asked, rerank, 6, 4).select("query_id", "rank", "key", "score", "original_score")
+
+
+@query("""SELECT doc_id AS index, substr(text, 1, 500) AS content, CASE WHEN doc_id % 3 = 0 THEN 'name-' || doc_id ELSE '/up/f' || doc_id END AS source, round(n_chars / 7000.0::DOUBLE, 4) AS score, lang AS type, source AS chunk_id FROM documents""".replace("AS index", 'AS "index"').replace("source AS chunk_id FROM", "source AS chunk_id, 0 AS page, '' AS heading_path, ['/up/c|' || doc_id || '|0', CASE WHEN doc_id % 3 = 0 THEN 'name-' || doc_id ELSE '/up/f' || doc_id END || '||2'] AS citations FROM"))
 def shown_sources(spark, sf_dir):
     """Sources by their registered names, for the files that were taken in."""
     docs = table(spark, sf_dir, "documents")
     held = docs.where("doc_id % 3 <> 1").select(F.concat(F.lit("f"), "doc_id").alias("file_id"), F.concat(F.lit("name-"), "doc_id").alias("original_name"), F.when(F.col("doc_id") % 3 == 0, "success").otherwise("failed").alias("status"))
-    rows = docs.select(F.col("doc_id").alias("rank"), F.col("text").alias("content"), F.concat(F.lit("/up/f"), "doc_id").alias("source"), (F.col("n_chars") / F.lit(7000.0)).alias("score"), F.col("lang").alias("retrieval_type"), F.col("source").alias("chunk_id"))
-    return retrieval.source_payloads(rows, held)
+    rows = docs.select(F.col("doc_id").alias("rank"), F.col("text").alias("content"), F.concat(F.lit("/up/f"), "doc_id").alias("source"), (F.col("n_chars") / F.lit(7000.0)).alias("score"), F.col("lang").alias("retrieval_type"), F.col("source").alias("chunk_id"), F.array(F.struct(F.lit("/up/c").alias("source"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("page"), F.lit("").alias("heading_path")), F.struct(F.concat(F.lit("/up/f"), "doc_id").alias("source"), F.lit("").alias("chunk_id"), F.lit(2).alias("page"), F.lit("").alias("heading_path"))).alias("citations"))
+    return retrieval.source_payloads(rows, held).withColumn("citations", retrieval.citation_text(F.col("citations")))
 
 
 @query("SELECT source AS query_id, count(*) FILTER (doc_id % 3 IN (0, 2)) AS vector, count(*) FILTER (doc_id % 3 IN (1, 2)) AS graph FROM documents GROUP BY source")

@@ -93,7 +93,7 @@ UNION ALL SELECT CASE query_id % 40 WHEN 0 THEN query_id + 20 ELSE query_id - 20
 f AS (SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS raw, min(list_id * 1000 + rank) AS first FROM l GROUP BY ALL),
 x AS (SELECT *, round(least(1.0, raw / ((SELECT count(DISTINCT list_id) FROM l WHERE l.query_id = f.query_id) / 61.0::DOUBLE)), 6) AS score FROM f),
 t AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item) AS rank, item FROM x)
-SELECT query_id, rank, item, true AS retried FROM t WHERE rank <= 8 UNION ALL SELECT query_id, rank, vec_id, false FROM r WHERE rank <= 8 AND query_id NOT IN (FROM k)""")
+SELECT query_id, rank, item, true AS retried, 2 AS rounds FROM t WHERE rank <= 8 UNION ALL SELECT query_id, rank, vec_id, false, 1 FROM r WHERE rank <= 8 AND query_id NOT IN (FROM k)""")
 def self_rag_refine(spark, sf_dir):
     """Weak queries are asked again in their neighbour's words, 20 wide."""
     wide = ranked(spark, sf_dir, 20).select("query_id", "rank", F.col("vec_id").alias("item"), "score")
@@ -106,17 +106,23 @@ SPACE_SQL = "regexp_replace({}, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '{}', 'g')
 KEY_SQL = f"lower(trim({SPACE_SQL.format('text', ' ')}))"
 
 
-@query(f"""SELECT {KEY_SQL} AS content_key, arg_min(source, doc_id) AS source, max(n_chars / 100000.0::DOUBLE) AS score,
-CASE WHEN count(DISTINCT doc_id % 2) > 1 THEN 'hybrid' WHEN min(doc_id % 2) = 0 THEN 'graph' ELSE 'vector' END AS retrieval_type, min(doc_id) AS first_pos, count(*) AS merged FROM documents GROUP BY 1""")
+@query(f"""WITH x AS (SELECT doc_id % 3 AS query_id, CASE WHEN doc_id % 7 = 0 THEN 'chunk:k' || (doc_id % 5) ELSE 'content:' || sha256({KEY_SQL}) END AS key, text, source, n_chars, doc_id, CASE WHEN doc_id % 4 < 2 THEN 'graph' ELSE 'vector' END AS kind, CASE WHEN doc_id % 5 = 1 THEN '' ELSE source END AS s, CASE WHEN doc_id % 7 = 0 THEN 'k' || (doc_id % 5) ELSE '' END AS i, doc_id % 2 AS p FROM documents),
+f AS (SELECT query_id, key, s || '|' || i || '|' || p AS c, min(doc_id) AS pos FROM x WHERE s <> '' OR i <> '' OR p <> 0 GROUP BY ALL), l AS (SELECT query_id, key, list(c ORDER BY pos) AS citations FROM f GROUP BY ALL)
+SELECT query_id, key, sha256(arg_min(text, doc_id)) AS content, arg_min(source, doc_id) AS source, max(n_chars / 100000.0::DOUBLE) AS score, CASE WHEN count(DISTINCT kind) > 1 THEN 'hybrid' ELSE min(kind) END AS retrieval_type, min(doc_id) AS first_pos, count(*) AS merged, coalesce(any_value(citations), []) AS citations FROM x LEFT JOIN l USING (query_id, key) GROUP BY query_id, key""")
 def context_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "source", (F.col("n_chars") / 100000.0).alias("score"), F.when(F.col("doc_id") % 2 == 0, "graph").otherwise("vector").alias("retrieval_type"), F.col("doc_id").alias("pos"))
-    return retrieval.merge_evidence(rows)
+    """Documents stand for the contexts of three queries: by chunk where they have one, else by content; some cite nothing."""
+    key = F.col("doc_id")
+    chunk = F.when(key % 7 == 0, F.concat(F.lit("k"), key % 5)).otherwise("")
+    cite = F.struct(F.when(key % 5 == 1, "").otherwise(F.col("source")).alias("source"), chunk.alias("chunk_id"), (key % 2).cast("int").alias("page"), F.lit("").alias("heading_path"))
+    rows = table(spark, sf_dir, "documents").select((key % 3).alias("query_id"), F.col("text").alias("content"), "source", chunk.alias("chunk_id"), (F.col("n_chars") / 100000.0).alias("score"), F.when(key % 4 < 2, "graph").otherwise("vector").alias("retrieval_type"), key.alias("pos"), F.array(cite).alias("citations"))
+    return retrieval.merge_evidence(rows).withColumn("content", F.sha2("content", 256)).withColumn("citations", retrieval.citation_text(F.col("citations")))
 
 
-@query("""WITH f AS (SELECT lang AS item, source, (doc_id % 3)::VARCHAR AS chunk_id, n_chars % 2 AS page, min(doc_id) AS pos FROM documents GROUP BY ALL)
-SELECT item, list(concat_ws('|', source, chunk_id, page) ORDER BY pos) AS citations FROM f GROUP BY item""")
+@query("""WITH f AS (SELECT lang AS item, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS source, CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 3)::VARCHAR END AS chunk_id, n_chars % 2 AS page, min(doc_id) AS pos FROM documents GROUP BY ALL)
+SELECT item, list(concat_ws('|', source, chunk_id, page) ORDER BY pos) AS citations FROM f WHERE source <> '' OR chunk_id <> '' OR page <> 0 GROUP BY item""")
 def citation_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("item"), "source", (F.col("doc_id") % 3).cast("string").alias("chunk_id"), (F.col("n_chars") % 2).alias("page"), F.col("doc_id").alias("pos"))
+    """Some cite nothing, on page 0."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("item"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 3 == 0, "").otherwise((F.col("doc_id") % 3).cast("string")).alias("chunk_id"), (F.col("n_chars") % 2).alias("page"), F.col("doc_id").alias("pos"))
     return retrieval.merge_citations(rows)
 
 
