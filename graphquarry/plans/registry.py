@@ -401,4 +401,4 @@ def source_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), (F.count_distinct("lang") > 1).alias("ambiguous"))
 
 
-from . import changes, extended, graphs, stores, streams  # noqa: E402, F401  more queries register themselves here
+from . import changes, extended, graphs, serving, stores, streams  # noqa: E402, F401  more queries register themselves here

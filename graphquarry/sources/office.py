@@ -17,11 +17,12 @@ from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import doc_id, doc_type, strip
-from ..operators.chunking import OVERLAP, SIZE, pack_sections
+from ..functions.text import SENTENCE_END, doc_id, doc_type, strip
+from ..operators.chunking import OVERLAP, PERCENTILE, SIZE, pack_sections, semantic_chunks
+from .folders import settled
 from .readers import markdown_blocks
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -216,3 +217,30 @@ def block_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     pieces = docs.select("doc_id", "doc_type", F.col("path").alias("source"), F.posexplode(F.flatten(F.transform(merged_blocks(F.col("blocks")), cut))).alias("chunk_index", "p"))
     rows = pieces.withColumn("content", strip(F.col("p.content"))).where("content <> ''")
     return rows.select("doc_id", "doc_type", F.concat_ws("#chunk-", "doc_id", "chunk_index").alias("chunk_id"), "chunk_index", "content", "source", "p.page", "p.heading_path", "p.is_table")
+
+
+def chunk_documents(docs: DataFrame, embed: Callable[[Column], Column] | None = None, size: int = SIZE, overlap: int = OVERLAP, percentile: float = PERCENTILE) -> DataFrame:
+    """``block_chunks`` with cuts where meaning changes, for documents of which some piece then has over 20 characters; the others,
+    and all without ``embed``, are cut by their structure.
+
+    Small blocks are merged and tables stay whole. Another block is cut into sentences (by their marks and line ends); with
+    one or none it stays, or is cut by ``pack_sections`` if it is long; else its sentences are packed up to boundaries of
+    their vectors, which ``embed`` makes of a sentence's text. Pieces are numbered in order, then blank ones are dropped."""
+    if embed is None:
+        return block_chunks(docs, size, overlap)
+    blocks = docs.select("doc_id", F.posexplode(merged_blocks(F.col("blocks"))).alias("block", "b"))
+    blocks = settled(blocks.withColumn("key", F.concat_ws("\x1f", "doc_id", "block")), "blocks")
+    text = F.col("b.content")
+    said = F.filter(F.transform(F.split(text, rf"(?<=[{SENTENCE_END}])\s*|\n+"), strip), lambda s: s != "")
+    plain = blocks.where("NOT b.is_table").select("key", text.alias("text"), said.alias("said"))
+    few = plain.where(F.size("said") < 2).select("key", F.posexplode(F.when(F.char_length("text") > size, pack_sections(F.col("text"), size, overlap)).otherwise(F.array("text"))).alias("piece", "content"))
+    sentences = plain.where(F.size("said") > 1).select(F.col("key").alias("doc_id"), F.posexplode("said").alias("pos", "sentence"))
+    many = semantic_chunks(sentences.withColumn("embedding", embed(F.col("sentence"))), size, overlap, percentile).select(F.col("doc_id").alias("key"), F.col("chunk_index").alias("piece"), "content")
+    tables = blocks.where("b.is_table").select("key", F.lit(0).alias("piece"), text.alias("content"))
+    pieces = settled(tables.unionByName(few).unionByName(many).join(blocks.select("key", "doc_id", "block", "b.page", "b.heading_path", "b.is_table"), "key"), "pieces")
+    told = settled(pieces.where(F.char_length("content") > 20).select("doc_id").distinct(), "told")
+    order = Window.partitionBy("doc_id").orderBy("block", "piece")
+    named = docs.select("doc_id", "doc_type", F.col("path").alias("source"))
+    rows = pieces.join(told, "doc_id", "left_semi").withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("content", strip(F.col("content"))).where("content <> ''").join(named, "doc_id")
+    out = rows.select("doc_id", "doc_type", F.concat_ws("#chunk-", "doc_id", "chunk_index").alias("chunk_id"), "chunk_index", "content", "source", "page", "heading_path", "is_table")
+    return out.unionByName(block_chunks(docs.join(told, "doc_id", "left_anti"), size, overlap))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import doc_id, doc_type, lines, strip
 
 
+def directory(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("md", "txt")) -> DataFrame:
+    """``text_files`` of a folder's files of some suffixes, all levels deep, in order of their paths."""
+    return text_files(spark, folder, "*.{" + ",".join(suffixes) + "}").orderBy("path")
+
+
+def write_lines(rows: DataFrame, folder: str) -> None:
+    """``rows`` as JSON lines, nulls included, in as many files as there are partitions."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
 def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, doc_id, doc_type, text): whole files below a folder."""
     reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
