@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_key, relation_type
-from ..sources.folders import settled
+from ..sources.folders import settled, spent
 from . import vector_index
 
 
@@ -136,7 +136,9 @@ def resolve_similar(names: DataFrame, least: float = 0.85) -> DataFrame:
         now = settled(open_.join(firsts, F.col("x") == F.col("pos")).select(F.col("y").alias("pos")).distinct(), "aliases")
         taken = now if taken is None else taken.unionByName(now)
         # a settled alias leads nobody; whoever follows it stays open by its other neighbours
-        open_ = settled(open_.join(now.select(F.col("pos").alias("x")), "x", "left_anti").join(now.select(F.col("pos").alias("y")), "y", "left_anti"), "likenesses")
+        before, open_ = open_, settled(open_.join(now.select(F.col("pos").alias("x")), "x", "left_anti").join(now.select(F.col("pos").alias("y")), "y", "left_anti"), "likenesses")
+        if before is not links:
+            spent(before)
     if taken is None:
         return keyed.select("name", "pos", F.col("name").alias("canonical"))
     heads = links.join(taken.select(F.col("pos").alias("y")), "y", "left_semi").join(taken.select(F.col("pos").alias("x")), "x", "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rpartition
-from ..sources.folders import settled
+from ..sources.folders import settled, spent
 from .retrieval import clean_terms
 
 HUB = 100_000
@@ -42,13 +42,13 @@ class Edges:
         return spread.join(edges or self.all, (F.col("node") == F.col("a")) & (spread["part"] == (edges or self.all)["part"])).drop("part", "a")
 
 
-def trails(relations: DataFrame, starts: DataFrame, hops: int = AROUND, most: int = TRAILS, hub: int = HUB) -> DataFrame:
+def trails(relations: DataFrame | Edges, starts: DataFrame, hops: int = AROUND, most: int = TRAILS, hub: int = HUB) -> DataFrame:
     """(start, rank, nodes, steps): the first ``most`` trails of up to ``hops`` (1 to 5) relations, none taken twice, from each
     distinct name of ``starts``. Shorter ones first, then step by step by type, node, head and tail.
 
     A trail is carried on only if it is among the first ``most`` that have a further relation; for the last hop a node's
     first ``most + hops`` edges are enough. So neither a hub nor the number of trails multiplies."""
-    edges, hops = Edges(relations, hub), min(max(hops, 1), MOST_HOPS)
+    edges, hops = relations if isinstance(relations, Edges) else Edges(relations, hub), min(max(hops, 1), MOST_HOPS)
     few = first(edges.all, ["a"], ["step"], most + hops).drop("rank")
     front = starts.select(F.col("name").alias("start"), F.col("name").alias("node"), F.array().cast(f"array<{edges.all.schema['step'].dataType.simpleString()}>").alias("steps")).where("start IS NOT NULL").distinct()
     out = None
@@ -67,19 +67,19 @@ def trails(relations: DataFrame, starts: DataFrame, hops: int = AROUND, most: in
     return first(out, ["start"], [F.size("steps"), "steps"], most).select("start", "rank", nodes.alias("nodes"), "steps")
 
 
-def shortest(relations: DataFrame, pairs: DataFrame, hops: int = MOST_HOPS, most: int = PATHS, hub: int = HUB) -> DataFrame:
+def shortest(relations: DataFrame | Edges, pairs: DataFrame, hops: int = MOST_HOPS, most: int = PATHS, hub: int = HUB) -> DataFrame:
     """(start, goal, rank, nodes, steps): the first ``most`` shortest paths of at most ``hops`` relations of each distinct pair
     (start, goal) of different names, by nodes and then by relations.
 
     Both ends are searched in turn, level by level, and meet in the middle; a pair leaves as soon as it has met, and an end
     that has no open pair is searched no further. Each node of a level keeps the first ``most`` ways to its end, which
     are all that the first paths can be made of."""
-    edges, hops = Edges(relations, hub), min(max(hops, 1), MOST_HOPS)
-    open_ = settled(pairs.select("start", "goal").where("start <> goal").distinct(), "pairs")
+    edges, hops = relations if isinstance(relations, Edges) else Edges(relations, hub), min(max(hops, 1), MOST_HOPS)
+    pairs = open_ = settled(pairs.select("start", "goal").where("start <> goal").distinct(), "pairs")
     none = F.array().cast(f"array<{edges.all.schema['step'].dataType.simpleString()}>")
     fronts = {end: open_.select(F.col(end).alias("end"), F.col(end).alias("node"), F.array(end).alias("nodes"), none.alias("steps")).distinct() for end in ("start", "goal")}
     seen = {end: df.select("end", "node") for end, df in fronts.items()}
-    found = None
+    found, written = None, [open_]
     for length in range(1, hops + 1):
         end = "start" if length % 2 else "goal"
         front = fronts[end].join(open_.select(F.col(end).alias("end")).distinct(), "end", "left_semi")
@@ -90,16 +90,17 @@ def shortest(relations: DataFrame, pairs: DataFrame, hops: int = MOST_HOPS, most
         step = met.select("end", F.col("b").alias("next"), ways[0].alias("nodes"), ways[1].alias("steps")).withColumnRenamed("next", "node")
         fresh = step.join(seen[end], ["end", "node"], "left_anti")
         fronts[end] = settled(first(fresh, ["end", "node"], ["nodes", "steps"], most).drop("rank"), "front")
+        written.append(fronts[end])
         seen[end] = seen[end].unionByName(fronts[end].select("end", "node").distinct())
         a = fronts["start"].select(F.col("end").alias("start"), "node", F.col("nodes").alias("a_nodes"), F.col("steps").alias("a_steps"))
         b = fronts["goal"].select(F.col("end").alias("goal"), "node", F.col("nodes").alias("b_nodes"), F.col("steps").alias("b_steps"))
         whole = open_.join(a, "start").join(b, ["goal", "node"]).select("start", "goal", F.concat("a_nodes", F.slice("b_nodes", 2, MOST_HOPS + 1)).alias("nodes"), F.concat("a_steps", "b_steps").alias("steps"))
         now = settled(first(whole, ["start", "goal"], ["nodes", "steps"], most), "paths")
         found = now if found is None else found.unionByName(now)
-        if length < hops:
-            open_ = settled(open_.join(now.select("start", "goal").distinct(), ["start", "goal"], "left_anti"), "pairs")
-            if open_.isEmpty():
-                break
+        open_ = pairs.join(found.select("start", "goal").distinct(), ["start", "goal"], "left_anti")
+        if length < hops and open_.isEmpty():
+            break
+    spent(*written)
     return found.select("start", "goal", "rank", "nodes", "steps")
 
 
@@ -141,7 +142,8 @@ def graph_contexts(entities: DataFrame, relations: DataFrame, questions: DataFra
     has name, type, description and provenance, ``relations`` head, rel_type, tail and provenance. Unknown entities
     add nothing, and an entity that is named twice is searched once but listed twice."""
     named = settled(questions.select("query_id", F.posexplode(clean_terms(F.col("entities"), ENTITIES)).alias("place", "name")), "asked")
-    around = settled(trails(relations, named.select("name").distinct(), hub=hub), "around")
+    edges = Edges(relations, hub)
+    around = settled(trails(edges, named.select("name").distinct()), "around")
     around = with_provenance(around, entities, relations, ["start", "rank"])
     last = F.element_at("nodes", -1)
     kinds = entities.select(F.col("name").alias("target"), F.coalesce("type", F.lit("")).alias("type"), F.coalesce("description", F.lit("")).alias("said"))
@@ -150,7 +152,7 @@ def graph_contexts(entities: DataFrame, relations: DataFrame, questions: DataFra
     near = named.join(texts, named["name"] == texts["start"]).select("query_id", order.alias("order"), "content", F.lit("neighbors").alias("strategy"), "provenance")
     a, b = named.select("query_id", F.col("place").alias("i"), F.col("name").alias("start")), named.select("query_id", F.col("place").alias("j"), F.col("name").alias("goal"))
     pairs = settled(a.join(b, "query_id").where("j > i AND j <= i + 2"), "pairs")  # five names a question at most
-    linked = with_provenance(settled(shortest(relations, pairs, hub=hub), "linked"), entities, relations, ["start", "goal", "rank"])
+    linked = with_provenance(settled(shortest(edges, pairs), "linked"), entities, relations, ["start", "goal", "rank"])
     rels = F.transform("steps", lambda s: s["rel_type"])
     order = F.struct(F.lit(1).alias("kind"), "i", "j", "rank")
     ways = pairs.join(linked, ["start", "goal"]).select("query_id", order.alias("order"), path_text(F.col("nodes"), rels).alias("content"), F.lit("shortest_path").alias("strategy"), "provenance")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.folders import settled, shared_folder
+from ..sources.folders import settled, shared_folder, spent
 
 #: Cells and sampled vectors at most; rows of a block, of a part of a cell, and of a block of queries.
 CELLS, SAMPLE, BLOCK, PART, ASKED = 1024, 16_384, 2048, 65_536, 512
@@ -118,6 +118,7 @@ def build(vectors: DataFrame, folder: str | None = None, key: str = "vec_id", ve
     index = Index(folder, kind, centres, known)
     schema = "ids array<%s>, data binary, part int, low double, high double, cell int" % kind.simpleString()
     ordered.mapInArrow(lambda batches: packed(batches, BLOCK), schema).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/blocks")
+    spent(spread)
     return index
 
 
@@ -209,7 +210,9 @@ def nearest(index: Index, queries: DataFrame, k: int) -> DataFrame:
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     known = asked.drop("floor").join(floors, "id", "left").select("id", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
     every = first.drop("rank").unionByName(visited(index, known, k, True))
-    return settled(best(every, k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    out = settled(best(every, k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    spent(first)
+    return out
 
 
 def similar(index: Index, spark: SparkSession, least: float) -> DataFrame:

@@ -154,7 +154,31 @@ def sentence_split(spark, sf_dir):
     return chunking.sentence_rows(table(spark, sf_dir, "documents"))
 
 
-@query()
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+
+
+#: Folds over lists: sentences of long sections into pieces, then sections and pieces into chunks.
+STRUCTURAL_SQL = f"""WITH s AS (SELECT doc_id, k, sec FROM (SELECT doc_id, unnest(range(len(ps))) AS k, unnest(ps) AS raw FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents WHERE length(text) > 512)), LATERAL (SELECT {strip_sql('raw')} AS sec) WHERE sec <> ''),
+w AS (SELECT doc_id, k, list_filter(string_split(regexp_replace(sec, '([。！？!?；;])[ \\t\\n\\x0B\\f\\r]*', '\\1' || chr(30), 'g'), chr(30)), lambda x: {strip_sql('x')} <> '') AS ws FROM s WHERE length(sec) > 512),
+f AS (SELECT doc_id, k, list_reduce(list_transform(ws, lambda x: {{'out': []::VARCHAR[], 'buf': x}}), lambda a, x: {{
+  'out': CASE WHEN length(x.buf) > 512 THEN list_concat(CASE WHEN a.buf <> '' THEN list_append(a.out, a.buf) ELSE a.out END, list_transform(range(0, length(x.buf), 448), lambda i: substr(x.buf, (i + 1)::INT, 512)))
+    WHEN length(a.buf) + length(x.buf) <= 512 OR a.buf = '' THEN a.out ELSE list_append(a.out, a.buf) END,
+  'buf': CASE WHEN length(x.buf) > 512 THEN '' WHEN length(a.buf) + length(x.buf) <= 512 THEN a.buf || x.buf ELSE x.buf END}}, {{'out': []::VARCHAR[], 'buf': ''}}) AS r FROM w),
+u AS (SELECT doc_id, k, 0 AS j, 1 AS gap, sec AS piece FROM s WHERE length(sec) <= 512
+  UNION ALL SELECT doc_id, k, unnest(range(len(ps))) AS j, 0, unnest(ps) FROM (SELECT doc_id, k, CASE WHEN r.buf <> '' THEN list_append(r.out, r.buf) ELSE r.out END AS ps FROM f)),
+g AS (SELECT doc_id, list({{'out': []::VARCHAR[], 'buf': piece, 'gap': gap}} ORDER BY k, j) AS us FROM u GROUP BY doc_id),
+p AS (SELECT doc_id, list_reduce(us, lambda a, x: {{
+  'out': CASE WHEN a.buf = '' OR length(a.buf) + length(x.buf) + x.gap <= 512 THEN a.out ELSE list_append(a.out, a.buf) END,
+  'buf': CASE WHEN a.buf = '' OR length(a.buf) + length(x.buf) + x.gap > 512 THEN x.buf WHEN x.gap = 1 THEN {strip_sql("a.buf || chr(10) || x.buf")} ELSE a.buf || chr(10) || x.buf END,
+  'gap': 0}}, {{'out': []::VARCHAR[], 'buf': '', 'gap': 0}}) AS r FROM g),
+c AS (SELECT doc_id, CASE WHEN r.buf <> '' THEN list_append(r.out, r.buf) ELSE r.out END AS cs FROM p
+  UNION ALL SELECT doc_id, [text] FROM documents WHERE length(text) <= 512
+  UNION ALL SELECT doc_id, [substr(text, 1, 512)] FROM documents WHERE length(text) > 512 AND doc_id NOT IN (SELECT doc_id FROM s))
+SELECT doc_id, chunk_index::INT AS chunk_index, content FROM (SELECT doc_id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS content FROM c) WHERE {strip_sql('content')} <> ''"""
+
+
+@query(STRUCTURAL_SQL)
 def structural_chunks(spark, sf_dir):
     return chunking.structural_chunks(table(spark, sf_dir, "documents"))
 
