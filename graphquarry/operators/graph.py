@@ -71,7 +71,7 @@ def near_pairs(entities: DataFrame, reach: int = 2) -> DataFrame:
 def resolve_names(mentions: DataFrame, key: Column) -> DataFrame:
     """Mentions (name, pos) with the first-seen name of their key as canonical; names of an empty or null key stand alone."""
     keyed = mentions.withColumn("key", key)
-    first = keyed.where("key <> ''").groupBy("key").agg(F.min_by("name", "pos").alias("canonical"))
+    first = keyed.where(F.col("key").cast("string") != "").groupBy("key").agg(F.min_by("name", "pos").alias("canonical"))
     out = keyed.join(first, "key", "left").withColumn("canonical", F.coalesce("canonical", "name"))
     return out.select("name", "pos", "canonical", (F.col("canonical") != F.col("name")).alias("merged"))
 

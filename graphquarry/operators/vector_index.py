@@ -29,6 +29,8 @@ from ..sources.folders import settled, shared_folder, spent
 
 #: Cells and sampled vectors at most; rows of a block, of a part of a cell, and of a block of queries.
 CELLS, SAMPLE, BLOCK, PART, ASKED = 1024, 16_384, 2048, 65_536, 512
+#: Bytes of vectors that are copied for several cells at once.
+SENT = 16_000_000
 #: Added to angles and taken from floors, for rounding.
 SLACK = 2e-6
 #: The cell of vectors without a direction; it is always visited.
@@ -133,8 +135,10 @@ def visiting(index: Index, floors: bool, skip: int):
     parts = {c[0]: c[1] for c in cells}
     lost = [c[0] for c in cells if c[0] == NOWHERE]
 
+    few = max(1, SENT // max(1, 8 * centres.shape[1] * sum(parts.values())))  # queries at once, as each can go to every cell
+
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, few) for b in batches for at in range(0, b.num_rows, few)):
             x = unit(batch.column(1))
             if len(x) and centres.size and x.shape[1] != centres.shape[1]:
                 raise ValueError(f"queries have {x.shape[1]} components, the index {centres.shape[1]}")
@@ -231,8 +235,9 @@ def similar(index: Index, spark: SparkSession, least: float) -> DataFrame:
         between = angles(centres @ centres.T) if len(centres) else None
         for batch in batches:
             for row in batch.to_pylist():
-                to = goals(row["cell"], row["high"], between[row["cell"]])
-                if to:
+                every = goals(row["cell"], row["high"], between[row["cell"]])
+                few = max(1, SENT // len(row["data"]))
+                for to in (every[at : at + few] for at in range(0, len(every), few)):
                     n = len(to)
                     yield pa.RecordBatch.from_arrays([pa.array([row["ids"]] * n, pa.list_(batch.schema.field("ids").type.value_type)), pa.array([row["data"]] * n, pa.binary()), pa.array([row["cell"]] * n, pa.int32()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["high"]] * n), pa.array([c for c, _ in to], pa.int32()), pa.array([p for _, p in to], pa.int32())], ["a_ids", "a_data", "a_cell", "a_part", "a_high", "cell", "part"])
 

@@ -62,6 +62,14 @@ def hybrid_retrieve(spark, sf_dir):
     return found.where("rank = 1").select("query_id", "rank", "retrieval_type", "content", "source", F.round("original_score", 6).alias("original_score"))
 
 
+@query(f"WITH {FUSED_LISTS_SQL} SELECT query_id, rank, 'chunk:' || vec_id AS key, score, original_score, retrieval_type, citations FROM t WHERE rank <= 5")
+def typed_fusion(spark, sf_dir):
+    """The same contexts as one list, taken apart by their types."""
+    near, linked = two_lists(spark, sf_dir)
+    mixed = near.withColumn("pos", F.col("pos") * 2).unionByName(linked.withColumn("pos", F.col("pos") * 2 + 1)).drop("list_id")
+    return retrieval.by_type_fused(mixed, 5).drop("content", "source").withColumn("citations", retrieval.citation_text(F.col("citations")))
+
+
 @query(f"""WITH {FUSED_LISTS_SQL}, c AS (SELECT *, rank <= 4 AND (query_id % 60 <> 0 OR count(*) FILTER (rank <= 4 AND vec_id % 2 = 0) OVER (PARTITION BY query_id) = 0) AS judged FROM t),
 j AS (SELECT *, CASE WHEN judged THEN round(1 / (1 + exp(-(vec_id % 7 - 3)::DOUBLE)), 6) ELSE score END AS s2 FROM c)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT judged, CASE WHEN judged THEN -s2 END, rank) AS rank, 'chunk:' || vec_id AS key, s2 AS score, original_score FROM j QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY NOT judged, CASE WHEN judged THEN -s2 END, rank) <= 6""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.embedding import embed, embed_rows
@@ -109,3 +110,15 @@ def markdown_ingest(spark, sf_dir):
     texts = rows.groupBy(F.col("n_regionkey").cast("long").alias("doc_id"), "r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("t")))), lambda x: x["t"]), "\n").alias("parts"))
     blocks = readers.markdown_blocks(F.concat(F.lit("# "), "r_name", F.lit("\n"), "parts"))
     return texts.select("doc_id", F.posexplode(blocks).alias("pos", "b")).select("doc_id", "pos", "b.kind", "b.content", "b.heading_path")
+
+
+@query("""WITH n AS (SELECT n_regionkey AS region, string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS text FROM nation GROUP BY 1)
+SELECT region, 'text' AS doc_type, text, (row_number() OVER (ORDER BY region))::INT AS place FROM n""")
+def directory_scan(spark, sf_dir):
+    """A text file for each region, read whole in order of their paths; files of other kinds are passed over."""
+    folder = shared_folder(spark, "scan")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), "n_name")
+    nation.repartition("region").sortWithinPartitions("region", "n_name").write.partitionBy("region").text(f"{folder}/docs")
+    nation.write.csv(f"{folder}/docs/other")
+    found = readers.directory(spark, folder).select("path", F.regexp_extract("path", r"region=(\d+)", 1).cast("int").alias("region"), "doc_type", "text")
+    return found.withColumn("place", F.row_number().over(Window.orderBy("path"))).drop("path")  # a row a region

@@ -20,9 +20,9 @@ def write_lines(rows: DataFrame, folder: str) -> None:
 
 def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, doc_id, doc_type, text): whole files below a folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    rows = reader.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    rows = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return rows.withColumns({"doc_id": doc_id(F.col("path")), "doc_type": doc_type(F.col("path"))})
 
 
