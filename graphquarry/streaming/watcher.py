@@ -4,7 +4,8 @@ Each poll lists the folder, all levels deep, and writes the listing (path, token
 offset names that file. What happened between two offsets is the difference of their two listings, so a batch that runs again
 after a restart gives the same changes, and none is lost or given twice. Executors take shares of the paths by hash. A
 file that appears is created, one of another token modified, one that is gone deleted; what happens between two polls
-and leaves the listing as it was isn't seen. Listings before a committed offset are removed.
+and leaves the listing as it was isn't seen. The listing that a
+committed batch started from is removed (one is left behind by each restart).
 
 ``spark.dataSource.register(Watcher)``, then ``spark.readStream.format("watcher").option("path", ...).option("state", ...)``;
 both folders must be seen by the driver and all executors.
@@ -63,6 +64,7 @@ class Listings(DataSourceStreamReader):
         self.folder, self.state = options["path"], options["state"]
         self.shares = int(options.get("shares", SHARES))
         self.last: tuple[dict[str, str], dict] | None = None
+        self.starts: dict[str, str] = {}  # of batches that aren't committed yet, by their ends
 
     def initialOffset(self) -> dict:
         return {"seq": 0, "file": ""}
@@ -80,6 +82,7 @@ class Listings(DataSourceStreamReader):
         return self.last[1]
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.starts[end["file"]] = start["file"] if start["file"] != end["file"] else ""
         return [Share(start["file"], end["file"], end["seq"], k, self.shares) for k in range(self.shares)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -91,15 +94,10 @@ class Listings(DataSourceStreamReader):
                 yield path, "created" if a is None else "deleted" if b is None else "modified", a, b, seq
 
     def commit(self, end: dict) -> None:
-        """Listings older than the committed one aren't asked for any more."""
-        from pyarrow import fs
-
-        store, path = opened(self.state)
-        held = [f for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.base_name.startswith("listing-")]
-        kept = next((f for f in held if end["file"].endswith(f.base_name)), None)
-        for f in held:
-            if kept and f.mtime_ns < kept.mtime_ns:
-                store.delete_file(f.path)
+        """The listing that a committed batch started from isn't asked for any more; those of other streams over the folder stay."""
+        if file := self.starts.pop(end["file"], ""):
+            store, path = opened(file)
+            store.delete_file(path)
 
     def stop(self) -> None:
         pass
