@@ -116,3 +116,44 @@ def test_watched_states(spark, tmp_path):
     run()
     got = {r["file_path"].rsplit("/", 1)[1]: (r["change_type"], r["events"]) for r in cdc.last_states(spark, str(tmp_path / "state")).collect()}
     assert got == {"a.md": ("deleted", 2), "b.md": ("created", 1), "c.md": ("created", 1)}
+
+
+def test_changes_reach_the_stores(spark, tmp_path):
+    """Files are created, modified and deleted; vectors, graph and snapshots follow, and a broken file changes nothing."""
+    from graphquarry.operators.updates import Stores
+    from graphquarry.sources import office
+    from graphquarry.streaming.stores import HeldStores, store_handler
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    frame = lambda schema: spark.createDataFrame([], schema)
+    held = HeldStores(spark, f"file://{tmp_path}/held")
+    with pytest.raises(ValueError, match="published"):
+        held.load()
+    held.publish(Stores(frame("chunk_id string, doc_id string, content string"), frame("name string, type string, description string, version int, provenance array<string>, aliases array<string>, created_at long, updated_at long"), frame("head string, rel_type string, tail string, confidence double, provenance array<string>"), frame("doc_id string, chunk_id string, content string")))
+
+    def parse(files):
+        found = office.parse_files(spark, f"file://{docs}").withColumn("file_path", F.regexp_replace("path", "^file:/*", "/"))
+        own = found.join(files, "file_path", "left_semi")
+        chunks = office.block_chunks(own).select(F.regexp_replace("source", "^file:/*", "/").alias("file_path"), F.concat_ws("#", F.substring_index("source", "/", -1), "chunk_index").alias("chunk_id"), "content")
+        bad = own.where("parse_error IS NOT NULL").select("file_path", "parse_error")
+        return chunks.join(bad, "file_path", "full_outer").select("file_path", "chunk_id", "content", F.col("parse_error").alias("error"))
+
+    first = F.regexp_extract("content", r"(\w+)", 1)
+    extract = lambda c: (c.select("chunk_id", first.alias("name"), F.lit("T").alias("type"), F.lit("").alias("description"), F.xxhash64("chunk_id").alias("pos")), c.select("chunk_id", first.alias("head"), F.lit("uses").alias("relation"), F.lit("one").alias("tail"), F.lit(1.0).alias("confidence"), F.lit(1).alias("pos")))
+    handler = store_handler(held, parse, lambda c: c.select("chunk_id", "doc_id", "content"), extract, F.lit(1).cast("long"))
+
+    def run():
+        cdc.apply_changes(watcher.watched(spark, str(docs), str(tmp_path / "list")), str(tmp_path / "out"), str(tmp_path / "state"), handler)
+        stores = held.load()
+        return {r["chunk_id"]: r["content"] for r in stores.vectors.collect()}, {r["name"]: len(r["provenance"]) for r in stores.entities.collect()}, stores.snapshot.count()
+
+    (docs / "a.txt").write_text("one text")
+    (docs / "b.md").write_text("# two\nof them")
+    (docs / "bad.txt").write_bytes(b"\xff\xfe")
+    assert run() == ({"a.txt#0": "one text", "b.md#0": "two", "b.md#1": "of them"}, {"one": 1, "two": 1, "of": 1}, 3)
+    (docs / "a.txt").unlink()
+    (docs / "b.md").write_text("# two\nnow of more")
+    assert run() == ({"b.md#0": "two", "b.md#1": "now of more"}, {"two": 1, "now": 1}, 2)
+    outcomes = {(r["file_path"].rsplit("/", 1)[1], r["change_type"]): (r["outcome"], r["attempts"]) for r in cdc.change_results(spark, str(tmp_path / "out")).collect()}
+    assert outcomes == {("a.txt", "created"): ("done", 1), ("b.md", "created"): ("done", 1), ("bad.txt", "created"): ("failed", 2), ("a.txt", "deleted"): ("done", 1), ("b.md", "modified"): ("done", 1)}
