@@ -179,23 +179,28 @@ def texts_of(names: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
 
 
 def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of the classes ``members`` (s, label) of other labels that sizes, bitmaps and rare shingles allow."""
+    """Pairs (x, y) of the classes ``members`` (s, label) of other labels that sizes, bitmaps and rare shingles allow.
+
+    Shingles that only classes of one label hold can't be what a pair shares, so they stand first in the order of rareness,
+    with those of a single class, and aren't joined."""
 
     def exploded(batches):
         hashes = WordHashes()
         for batch in batches:
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for c, raw, label in zip(*(column.to_pylist() for column in batch.columns)):
                 found = shingles(hashes, raw, size)
-                own = np.full(len(found), int.from_bytes(c[:8], "little", signed=True), np.int64)
+                own, group = (np.full(len(found), x, np.int64) for x in (int.from_bytes(c[:8], "little", signed=True), label))
                 for at in range(0, len(found), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(found[at : at + 100_000])), pa.array(own[at : at + 100_000])], ["g", "s"])
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(found[part])), pa.array(own[part]), pa.array(group[part])], ["g", "s", "l"])
 
     members = written(members.distinct().join(classes.select("c", "s", "n", *BITS), "s"), "jaccard-crowd")
     texts = texts_of(members.select("c"), classes, docs, key, text).dropDuplicates(["c"])
-    each = written(map_arrow(texts, exploded, "g long, s long"), "jaccard-crowd-shingles")
-    held = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    texts = texts.join(members.select("c", F.col("label").cast("long").alias("l")).dropDuplicates(["c"]), "c").select("c", "t", "l")
+    each = written(map_arrow(texts, exploded, "g long, s long, l long"), "jaccard-crowd-shingles")
+    held = each.groupBy("g").agg(F.count("*").alias("df"), F.min("l").alias("low"), F.max("l").alias("high")).where("low < high").select("g", "df")
     own = Window.partitionBy("s")
-    ranked = each.join(held, "g").withColumn("at", F.row_number().over(own.orderBy("df", "g"))).withColumn("m", F.count("*").over(own))
+    ranked = each.drop("l").join(held, "g").withColumn("at", F.row_number().over(own.orderBy("df", "g"))).withColumn("m", F.count("*").over(own))
     ranked = ranked.join(members, "s").withColumn("at", F.col("n") - F.col("m") + F.col("at"))
     reach = lambda share: F.floor(F.col("n") * (100 - percent) / share) + 1
     first = written(ranked.where(F.col("at") <= reach(100)).withColumn("small", F.col("at") <= reach(100 + percent)), "jaccard-rare")
