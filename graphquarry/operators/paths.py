@@ -71,37 +71,60 @@ def shortest(relations: DataFrame | Edges, pairs: DataFrame, hops: int = MOST_HO
     """(start, goal, rank, nodes, steps): the first ``most`` shortest paths of at most ``hops`` relations of each distinct pair
     (start, goal) of different names, by nodes and then by relations.
 
-    Both ends are searched in turn, level by level, and meet in the middle; a pair leaves as soon as it has met, and an end
-    that has no open pair is searched no further. Each node of a level keeps the first ``most`` ways to its end, which
-    are all that the first paths can be made of."""
+    A pair that isn't adjacent is opened at its end of fewer relations into the pairs that its path can go on with, and equal
+    ones of all pairs are one: what many pairs pass is searched once, and their number grows with the nodes, not with the
+    pairs times the relations of a hub. A pair leaves as soon as it has met, and takes along what no other open pair needs.
+    Paths are then put together from the last pairs to the first; each pair keeps its first ``most``, which are all
+    that the first paths around it can be made of."""
     edges, hops = relations if isinstance(relations, Edges) else Edges(relations, hub), min(max(hops, 1), MOST_HOPS)
-    pairs = open_ = settled(pairs.select("start", "goal").where("start <> goal").distinct(), "pairs")
-    none = F.array().cast(f"array<{edges.all.schema['step'].dataType.simpleString()}>")
-    fronts = {end: open_.select(F.col(end).alias("end"), F.col(end).alias("node"), F.array(end).alias("nodes"), none.alias("steps")).distinct() for end in ("start", "goal")}
-    seen = {end: df.select("end", "node") for end, df in fronts.items()}
-    found, written = None, [open_]
+    ends = ["x", "y"]
+    first_pairs = settled(pairs.select(F.col("start").alias("x"), F.col("goal").alias("y")).where("x <> y").distinct(), "pairs")
+    open_, levels, links, met, done, written = first_pairs, [first_pairs], [], [], [], [first_pairs]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        written.append(settled(df, name))
+        return written[-1]
+
     for length in range(1, hops + 1):
-        end = "start" if length % 2 else "goal"
-        front = fronts[end].join(open_.select(F.col(end).alias("end")).distinct(), "end", "left_semi")
-        met = edges.after(front)
-        # the step is kept as it is taken from start to goal: its b is where it leads to
+        direct = open_.join(edges.all.select(F.col("a").alias("x"), F.col("b").alias("y"), "step"), ends)
+        met.append(kept(first(direct, ends, ["step"], most).select(*ends, F.array(*ends).alias("nodes"), F.array("step").alias("steps")), "met"))
+        done.append([met[-1].select(*ends).distinct()])
+        if length == hops:
+            break
+        if not met[-1].isEmpty():
+            for at in range(length - 2, -1, -1):
+                led = links[at].join(done[at + 1][-1], ends, "left_semi").select(F.col("from_x").alias("x"), F.col("from_y").alias("y")).distinct()
+                done[at].append(kept(led, "done"))
+            open_ = first_pairs
+            for at in range(length):
+                for closed in done[at]:
+                    open_ = open_.join(closed, ends, "left_anti")
+                if at < length - 1:
+                    open_ = links[at].join(open_.select(F.col("x").alias("from_x"), F.col("y").alias("from_y")), ["from_x", "from_y"], "left_semi").select(*ends).distinct()
+            open_ = kept(open_, "open")
+        of = lambda end: edges.degrees.select(F.col("a").alias(end), F.col("degree").alias(f"degree_{end}"))
+        sides = open_.join(of("x"), "x").join(of("y"), "y").withColumn("left", F.col("degree_x") <= F.col("degree_y"))
+        front = sides.select(F.col("x").alias("from_x"), F.col("y").alias("from_y"), "left", F.when(F.col("left"), F.col("x")).otherwise(F.col("y")).alias("node"))
+        # a step is kept as it is taken from start to goal: its b is where it leads to
         back = F.struct(F.col("step")["rel_type"].alias("rel_type"), F.col("node").alias("b"), F.col("step")["head"].alias("head"), F.col("step")["tail"].alias("tail"))
-        ways = (F.array_append("nodes", F.col("b")), F.array_append("steps", F.col("step"))) if end == "start" else (F.array_prepend("nodes", F.col("b")), F.array_prepend("steps", back))
-        step = met.select("end", F.col("b").alias("next"), ways[0].alias("nodes"), ways[1].alias("steps")).withColumnRenamed("next", "node")
-        fresh = step.join(seen[end], ["end", "node"], "left_anti")
-        fronts[end] = settled(first(fresh, ["end", "node"], ["nodes", "steps"], most).drop("rank"), "front")
-        written.append(fronts[end])
-        seen[end] = seen[end].unionByName(fronts[end].select("end", "node").distinct())
-        a = fronts["start"].select(F.col("end").alias("start"), "node", F.col("nodes").alias("a_nodes"), F.col("steps").alias("a_steps"))
-        b = fronts["goal"].select(F.col("end").alias("goal"), "node", F.col("nodes").alias("b_nodes"), F.col("steps").alias("b_steps"))
-        whole = open_.join(a, "start").join(b, ["goal", "node"]).select("start", "goal", F.concat("a_nodes", F.slice("b_nodes", 2, MOST_HOPS + 1)).alias("nodes"), F.concat("a_steps", "b_steps").alias("steps"))
-        now = settled(first(whole, ["start", "goal"], ["nodes", "steps"], most), "paths")
-        found = now if found is None else found.unionByName(now)
-        open_ = pairs.join(found.select("start", "goal").distinct(), ["start", "goal"], "left_anti")
-        if length < hops and open_.isEmpty():
+        x, y = F.when(F.col("left"), F.col("b")).otherwise(F.col("from_x")), F.when(F.col("left"), F.col("from_y")).otherwise(F.col("b"))
+        links.append(kept(edges.after(front).select("from_x", "from_y", "left", F.when(F.col("left"), F.col("step")).otherwise(back).alias("step"), x.alias("x"), y.alias("y")).where("x <> y"), "links"))
+        open_ = kept(links[-1].select(*ends).distinct(), "open")
+        if open_.isEmpty():
             break
+    found = met[-1]
+    for at in range(len(met) - 2, -1, -1):
+        longer = links[at].join(found, ends)
+        nodes = F.when(F.col("left"), F.array_prepend("nodes", F.col("from_x"))).otherwise(F.array_append("nodes", F.col("from_y")))
+        steps = F.when(F.col("left"), F.array_prepend("steps", F.col("step"))).otherwise(F.array_append("steps", F.col("step")))
+        longer = longer.select(F.col("from_x").alias("x"), F.col("from_y").alias("y"), nodes.alias("nodes"), steps.alias("steps"))
+        every = met[at].unionByName(longer)
+        least = F.min(F.size("steps")).over(Window.partitionBy(*ends))
+        best = first(every, ends, [F.size("steps"), "nodes", "steps"], most).withColumn("least", least)
+        found = kept(best.where(F.size("steps") == F.col("least")).select(*ends, "nodes", "steps"), "ways")
+    out = settled(first(found, ends, ["nodes", "steps"], most).select(F.col("x").alias("start"), F.col("y").alias("goal"), "rank", "nodes", "steps"), "paths")
     spent(*written)
-    return found.select("start", "goal", "rank", "nodes", "steps")
+    return out
 
 
 def with_provenance(found: DataFrame, entities: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:

@@ -141,6 +141,20 @@ def test_shortest(spark, hub):
     assert {len(p[0][1]) for p in want.values()} >= {1, 2, 3, 4, 5} and max(map(len, want.values())) == 3
 
 
+def test_paths_through_hubs_are_shared(spark, monkeypatch):
+    """Pairs whose paths lead over the same two hubs aren't searched one by one: nothing that is written has a row a pair and leaf."""
+    sizes, n = [], 120
+    kept = paths.settled
+    monkeypatch.setattr(paths, "settled", lambda df, name: (sizes.append((out := kept(df, name)).count()), out)[1])
+    rel = [(f"s{i:03d}", "PART_OF", f"h{i % 2}") for i in range(n)] + [("s000", "USES", "s001")]
+    pairs = [(f"s{i:03d}", f"s{(i + 3) % n:03d}") for i in range(n)]
+    relations = spark.createDataFrame(rel, "head string, rel_type string, tail string")
+    found = paths.shortest(relations, spark.createDataFrame(pairs, "start string, goal string")).collect()
+    assert {(r["start"], r["goal"]) for r in found} == set(pairs)
+    assert {tuple(r["nodes"]) for r in found if r["start"] == "s002"} == {("s002", "h0", "s000", "s001", "h1", "s005")}
+    assert max(sizes) <= 5 * n
+
+
 def test_contexts_of_a_graph(spark):
     entities = spark.createDataFrame([("a", "T", "first", ["s::1", "t"]), ("b", None, None, ["::x", ""]), ("c", "U", "", None)], "name string, type string, description string, provenance array<string>")
     relations = spark.createDataFrame([("a", "USES", "b", ["s::1", "d::e::2"]), ("b", "PART_OF", "c", None)], "head string, rel_type string, tail string, provenance array<string>")
