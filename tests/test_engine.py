@@ -169,6 +169,15 @@ def test_every_twentieth_vector_is_searched(spark):
     assert {r["query_id"] for r in registry.QUERIES["vector_topk"](spark, "/root/testdata/sf0.001").collect()} == set(range(0, 500, 20))
 
 
+def test_metrics_count_twenty_ranks(spark, tmp_path):
+    """The only other vector of the query's label is the 15th nearest."""
+    from graphquarry.plans import registry
+
+    rows = [(i, [1.0, 0.01 * i], 7 if i in (0, 14) else 1) for i in range(20)] + [(i, [-1.0, 0.0], 1) for i in range(21, 40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    assert {tuple(r) for r in registry.QUERIES["eval_metrics"](spark, f"file://{tmp_path}").select("k", "recall", "mrr").collect()} == {(k, 0.0, round(1 / 15, 6)) for k in (1, 5, 10)}
+
+
 def test_evidence_blocks_hold_the_whole_text(spark):
     from graphquarry.plans import registry
 
