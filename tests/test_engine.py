@@ -169,6 +169,13 @@ def test_every_twentieth_vector_is_searched(spark):
     assert {r["query_id"] for r in registry.QUERIES["vector_topk"](spark, "/root/testdata/sf0.001").collect()} == set(range(0, 500, 20))
 
 
+def test_hybrid_retrieval_answers_every_twentieth_vector(spark):
+    from graphquarry.plans import registry
+
+    found = registry.QUERIES["hybrid_retrieve"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().collect()
+    assert {r["query_id"] for r in found} == set(range(0, 500, 20)) and min(r["count"] for r in found) >= 5 and max(r["count"] for r in found) == 8
+
+
 def test_metrics_count_twenty_ranks(spark, tmp_path):
     """The only other vector of the query's label is the 15th nearest."""
     from graphquarry.plans import registry
