@@ -169,6 +169,23 @@ def test_every_twentieth_vector_is_searched(spark):
     assert {r["query_id"] for r in registry.QUERIES["vector_topk"](spark, "/root/testdata/sf0.001").collect()} == set(range(0, 500, 20))
 
 
+def test_core_sentences_are_cut_without_patterns(spark):
+    """The same sentences as a pattern finds, at the same places, by a plan that has none to find them."""
+    import re
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("abc, 7，。！？!?；;\n\r\u3000\x85\x1c\U0001f600") for _ in range(r.randrange(160))) for _ in range(400)] + ["", None, "!!", "a\r\n", "\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = chunking.core_sentences(df, 3, 40)
+    space = re.compile("^[\\s\x1c-\x1f\x85]+|[\\s\x1c-\x1f\x85]+$")
+    want = [(i, k, space.sub("", x)) for i, t in enumerate(texts) for k, x in enumerate(re.findall("[^。！？!?；;\n]+[。！？!?；;]?", t or ""))]
+    assert sorted(map(tuple, got.select("doc_id", "pos", "sentence").collect())) == [w for w in want if 3 <= len(w[2]) <= 40]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    every = spark.range(0, 0x10FFFF).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    x = F.concat("c", F.lit("a"), "c", "c")
+    assert every.where(tx.strip(x) != F.regexp_replace(x, f"^{tx.SPACE}+|{tx.SPACE}+$", "")).count() == 0
+
+
 def test_hybrid_retrieval_answers_every_twentieth_vector(spark):
     from graphquarry.plans import registry
 
