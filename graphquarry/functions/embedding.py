@@ -51,9 +51,20 @@ def embed(text: Column) -> Column:
     return F.transform(F.array(features(text)), counts)[0]
 
 
-def embed_rows(rows: DataFrame, key: str, text: str, into: str = "embedding") -> DataFrame:
-    """(``key``, ``into``) with ``embed`` of each row's text, for distinct keys: features are exploded and summed by key in compiled
-    code, before the shuffle, which moves 22 numbers a row."""
-    each = rows.select(key, F.explode_outer(features(F.col(text))).alias("#h"))
-    sums = each.groupBy(key).agg(*[F.coalesce(F.sum(lane(F.col("#h"), k)), F.lit(0)).alias(f"#{k}") for k in range(WIDTH)], F.count("#h").alias("#n"))
-    return sums.select(key, numbers([F.col(f"#{k}") for k in range(WIDTH)], F.col("#n")).alias(into))
+def embed_rows(rows: DataFrame, key: str | list[str], text: str, into: str = "embedding") -> DataFrame:
+    """(``key``, ``into``) with ``embed`` of each row's text, for distinct keys (one column or several): features are exploded, hashed
+    and summed by key in compiled code, before the shuffle, which moves 22 numbers a row."""
+    by = [key] if isinstance(key, str) else list(key)
+    none = F.array().cast("array<string>")
+    # each step is a projection of its own, as what is used more than once would be computed anew for each use
+    keyed = rows.select(*by, content_key(F.coalesce(F.col(text), F.lit(""))).alias("#t"))
+    cut = keyed.select(*by, "#t", F.split(F.concat(F.lit(" "), "#t", F.lit(" ")), "").alias("#a"), F.split("#t", " ").alias("#w"))
+    shifted = cut.select(*by, "#t", "#a", "#w", F.slice("#a", F.lit(2), F.size("#a")).alias("#b"), F.slice("#a", F.lit(3), F.size("#a")).alias("#c"))
+    named = lambda *c: F.arrays_zip(*(x.alias(n) for x, n in zip(c, "abc"))).cast("array<struct<a:string,b:string,c:string>>")
+    both = F.concat(named(none, F.col("#w"), none), named(F.col("#a"), F.col("#b"), F.col("#c")))  # a word has no a, the last runs no c
+    each = shifted.select(*by, F.explode_outer(F.when(F.col("#t") != "", both)).alias("#f"))
+    said = F.when(F.col("#f.a").isNull(), F.concat(F.lit("\n"), "#f.b")).otherwise(F.concat("#f.a", "#f.b", "#f.c"))
+    each = each.select(*by, said.alias("#s"))
+    each = each.select(*by, F.when(F.col("#s").isNotNull(), F.xxhash64("#s")).alias("#h"))
+    sums = each.groupBy(*by).agg(*[F.coalesce(F.sum(lane(F.col("#h"), k)), F.lit(0)).alias(f"#{k}") for k in range(WIDTH)], F.count("#h").alias("#n"))
+    return sums.select(*by, numbers([F.col(f"#{k}") for k in range(WIDTH)], F.col("#n")).alias(into))

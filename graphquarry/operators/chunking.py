@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_END, sentences, strip
-from ..functions.vector import cosine, dot
+from ..functions.vector import dot
 
 SIZE, OVERLAP, PERCENTILE = 512, 64, 85
 #: What stands around the topic of a question, and marks of a sentence that states something. Fixed values.
@@ -82,10 +82,10 @@ def semantic_distances(rows: DataFrame, percentile: float = PERCENTILE) -> DataF
     embedding). A boundary is at or above the document's nearest-rank percentile (halves to even). Zero vectors are at
     distance 0. A document of one sentence has no rows."""
     order = Window.partitionBy("doc_id").orderBy("pos")
-    here, after = F.col("embedding"), F.lead("embedding").over(order)
-    pairs = rows.select("doc_id", "pos", here.alias("here"), after.alias("after")).where(F.col("after").isNotNull())
-    zero = (dot(F.col("here"), F.col("here")) == 0) | (dot(F.col("after"), F.col("after")) == 0)
-    distances = pairs.select("doc_id", "pos", F.when(zero, 0.0).otherwise(F.round(1 - cosine(F.col("here"), F.col("after")), 6)).alias("distance"))
+    sized = rows.select("doc_id", "pos", F.col("embedding").alias("here")).withColumn("size", dot(F.col("here"), F.col("here")))
+    pairs = sized.withColumn("next", F.lead(F.struct("here", "size")).over(order)).where(F.col("next.here").isNotNull())
+    zero, both = (F.col("size") == 0) | (F.col("next.size") == 0), F.sqrt("size") * F.sqrt("next.size")
+    distances = pairs.select("doc_id", "pos", F.when(zero | (both == 0), F.when(zero, 0.0).otherwise(1.0)).otherwise(F.round(1 - dot(F.col("here"), F.col("next.here")) / both, 6)).alias("distance"))
     share = max(0.0, min(float(percentile), 100.0)) / 100.0
     own = Window.partitionBy("doc_id")
     placed = distances.withColumn("r", F.row_number().over(own.orderBy("distance", "pos"))).withColumn("n", F.count("*").over(own))
@@ -94,11 +94,12 @@ def semantic_distances(rows: DataFrame, percentile: float = PERCENTILE) -> DataF
     return placed.withColumn("boundary", F.col("distance") >= least).select("doc_id", "pos", "distance", "boundary")
 
 
-def semantic_chunks(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, percentile: float = PERCENTILE) -> DataFrame:
+def semantic_chunks(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, percentile: float = PERCENTILE, embedded: DataFrame | None = None) -> DataFrame:
     """(doc_id, chunk_index, content): sentences (doc_id, pos, sentence, embedding) joined without a separator, cut after
-    boundaries once a piece has max(60, size/4) characters, and before it would exceed ``size``."""
+    boundaries once a piece has max(60, size/4) characters, and before it would exceed ``size``. ``embedded`` (doc_id, pos,
+    embedding) can hold the vectors instead."""
     least = max(60, size // 4)
-    marks = semantic_distances(rows, percentile).select("doc_id", F.col("pos").alias("p"), "boundary")
+    marks = semantic_distances(rows if embedded is None else embedded, percentile).select("doc_id", F.col("pos").alias("p"), "boundary")
     cut_before = F.lag("boundary").over(Window.partitionBy("doc_id").orderBy("pos"))
     marked = rows.select("doc_id", "pos", "sentence").join(marks.withColumnsRenamed({"doc_id": "d"}), (F.col("doc_id") == F.col("d")) & (F.col("pos") == F.col("p")), "left")
     marked = marked.select("doc_id", "pos", "sentence", F.coalesce(cut_before, F.lit(False)).alias("cut"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import embedding
 from ..functions.text import SENTENCE_END, doc_id, doc_type, strip
 from ..operators.chunking import OVERLAP, PERCENTILE, SIZE, pack_sections, semantic_chunks
 from .folders import settled
@@ -225,7 +226,7 @@ def chunk_documents(docs: DataFrame, embed: Callable[[Column], Column] | None =
 
     Small blocks are merged and tables stay whole. Another block is cut into sentences (by their marks and line ends); with
     one or none it stays, or is cut by ``pack_sections`` if it is long; else its sentences are packed up to boundaries of
-    their vectors, which ``embed`` makes of a sentence's text. Pieces are numbered in order, then blank ones are dropped."""
+    their vectors, which ``embed`` makes of a sentence's text (the default one in compiled code). Pieces are numbered in order, then blank ones are dropped."""
     if embed is None:
         return block_chunks(docs, size, overlap)
     blocks = docs.select("doc_id", F.posexplode(merged_blocks(F.col("blocks"))).alias("block", "b"))
@@ -235,7 +236,11 @@ def chunk_documents(docs: DataFrame, embed: Callable[[Column], Column] | None =
     plain = blocks.where("NOT b.is_table").select("key", text.alias("text"), said.alias("said"))
     few = plain.where(F.size("said") < 2).select("key", F.posexplode(F.when(F.char_length("text") > size, pack_sections(F.col("text"), size, overlap)).otherwise(F.array("text"))).alias("piece", "content"))
     sentences = plain.where(F.size("said") > 1).select(F.col("key").alias("doc_id"), F.posexplode("said").alias("pos", "sentence"))
-    many = semantic_chunks(sentences.withColumn("embedding", embed(F.col("sentence"))), size, overlap, percentile).select(F.col("doc_id").alias("key"), F.col("chunk_index").alias("piece"), "content")
+    if embed is embedding.embed:
+        many = semantic_chunks(sentences, size, overlap, percentile, embedding.embed_rows(sentences, ["doc_id", "pos"], "sentence"))
+    else:
+        many = semantic_chunks(sentences.withColumn("embedding", embed(F.col("sentence"))), size, overlap, percentile)
+    many = many.select(F.col("doc_id").alias("key"), F.col("chunk_index").alias("piece"), "content")
     tables = blocks.where("b.is_table").select("key", F.lit(0).alias("piece"), text.alias("content"))
     pieces = settled(tables.unionByName(few).unionByName(many).join(blocks.select("key", "doc_id", "block", "b.page", "b.heading_path", "b.is_table"), "key"), "pieces")
     told = settled(pieces.where(F.char_length("content") > 20).select("doc_id").distinct(), "told")

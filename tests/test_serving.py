@@ -1,6 +1,7 @@
 """Providers, the default embedding, chunks by meaning, retrieval from questions to answers, and variants."""
 
 import math
+import random
 import re
 
 import pytest
@@ -24,6 +25,15 @@ def test_default_embedding(spark):
     assert set(one["e"]) == set(one["f"]) == {0.0} and any(one["g"])
 
 
+def test_embedded_rows_are_compiled(spark):
+    """Rows of several keys get what ``embed`` gives, by a plan without functions over arrays."""
+    texts = [(i % 3, i, "".join(random.Random(i).choice("ab \u3000\n字é\U0001f600") for _ in range(i))) for i in range(60)]
+    df = spark.createDataFrame(texts, "d int, k int, t string")
+    many = embed_rows(df, ["d", "k"], "t")
+    assert {(r[0], r[1]): r[2] for r in many.collect()} == {(r[0], r[1]): r[2] for r in df.select("d", "k", embed(F.col("t"))).collect()}
+    assert "lambda" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_providers_in_batches(spark):
     df = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(20)], "i int, content string").coalesce(2)
 
