@@ -122,14 +122,40 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return vector_index.similar(index, vectors.sparkSession, least)
 
 
+#: Names of the first run of ``resolve_similar``; each later one is as long as all before it.
+FIRST = 4096
+
+
 def resolve_similar(names: DataFrame, least: float = 0.85) -> DataFrame:
     """Names (name, pos, vector), in order of ``pos`` (distinct), with the canonical name each resolves to.
 
     A name is canonical unless an earlier canonical one is like it (cosine of ``least`` or more); else it takes the likest
-    of those, the earliest of equals. All names without an open earlier neighbour are settled at once, round by round, so
-    rounds are as many as the longest chain of likenesses, not as the names."""
+    of those, the earliest of equals. Names are taken in runs by ``pos``, each as long as all before it: those that an earlier
+    run's canonical name is like are aliases, and only the others of a run are held against each other. So likenesses
+    between aliases are never rows, and there are as many runs as doublings."""
     keyed = settled(names.select("pos", "name", "vector"), "names")
-    links = open_ = settled(similar_pairs(keyed, least), "likenesses")
+    n, at = keyed.count(), F.col("pos").cast("double")
+    shares, size = [], FIRST
+    while size < n:
+        shares, size = [*shares, size / n], 2 * size
+    cuts = sorted(set(keyed.approxQuantile("pos", shares, 0.1 * FIRST / n))) if shares else []
+    heads = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        run = keyed.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)).select("pos", "vector")
+        if heads is not None:
+            run = settled(run.join(vector_index.likest_before(run, heads, least).select(F.col("y").alias("pos")), "pos", "left_anti"), "unled")
+        new = settled(first_of_each(run, least), "heads")
+        heads = new if heads is None else heads.unionByName(new)
+    others = keyed.select("pos", "vector").join(heads.select("pos"), "pos", "left_anti")
+    best = vector_index.likest_before(others, heads, least)
+    led = best.join(keyed.select(F.col("pos").alias("x"), F.col("name").alias("canonical")), "x").select(F.col("y").alias("pos"), "canonical")
+    return keyed.join(led, "pos", "left").select("name", "pos", F.coalesce("canonical", "name").alias("canonical"))
+
+
+def first_of_each(rows: DataFrame, least: float) -> DataFrame:
+    """``rows`` (pos, vector) that no earlier one that stays is like. All rows without an open earlier neighbour are settled at once,
+    round by round, so rounds are as many as the longest chain of likenesses."""
+    open_ = settled(similar_pairs(rows, least), "likenesses")
     taken = None
     while not open_.isEmpty():
         firsts = open_.select(F.col("x").alias("pos")).distinct().join(open_.select(F.col("y").alias("pos")).distinct(), "pos", "left_anti")
@@ -137,14 +163,8 @@ def resolve_similar(names: DataFrame, least: float = 0.85) -> DataFrame:
         taken = now if taken is None else taken.unionByName(now)
         # a settled alias leads nobody; whoever follows it stays open by its other neighbours
         before, open_ = open_, settled(open_.join(now.select(F.col("pos").alias("x")), "x", "left_anti").join(now.select(F.col("pos").alias("y")), "y", "left_anti"), "likenesses")
-        if before is not links:
-            spent(before)
-    if taken is None:
-        return keyed.select("name", "pos", F.col("name").alias("canonical"))
-    heads = links.join(taken.select(F.col("pos").alias("y")), "y", "left_semi").join(taken.select(F.col("pos").alias("x")), "x", "left_anti")
-    best = heads.groupBy("y").agg(F.max_by("x", F.struct("score", -F.col("x"))).alias("x"))
-    led = best.join(keyed.select(F.col("pos").alias("x"), F.col("name").alias("canonical")), "x").select(F.col("y").alias("pos"), "canonical")
-    return keyed.join(led, "pos", "left").select("name", "pos", F.coalesce("canonical", "name").alias("canonical"))
+        spent(before)
+    return rows if taken is None else rows.join(taken, "pos", "left_anti")
 
 
 def resolve_entities(mentions: DataFrame, least: float = 0.85) -> DataFrame:

@@ -110,6 +110,20 @@ def test_similar_names(spark):
     assert graph.resolve_similar(df.limit(0)).count() == 0
 
 
+def test_likenesses_of_aliases_are_no_rows(spark, monkeypatch):
+    """Names in several runs: as one by one, and far fewer likenesses are written than there are."""
+    written, kept = [], graph.settled
+    monkeypatch.setattr(graph, "FIRST", 40, raising=False)
+    monkeypatch.setattr(graph, "settled", lambda df, name: (out := kept(df, name), written.append(out.count()) if name == "likenesses" else None)[0])
+    rng = random.Random(9)
+    centers = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(8)]
+    items = [(3 * i - 200, [x + rng.gauss(0, 0.3) for x in rng.choice(centers)]) for i in range(400)] + [(2000, None), (2001, [0.0] * 6)]
+    df = spark.createDataFrame([(f"n{p}", p, v) for p, v in items], "name string, pos long, vector array<double>").repartition(3)
+    want = greedy(items, 0.8)
+    assert {r["pos"]: int(r["canonical"][1:]) for r in graph.resolve_similar(df, 0.8).collect()} == want
+    assert sum(written) < 2000  # of some 7,000
+
+
 def one_by_one(items, least):
     """Keys and likeness in one order of arrival, a name at a time; names of an empty key stand alone."""
     ends = re.compile(r"(集团|公司|Inc\.?|Co\.?)\s*$", re.I)
