@@ -54,6 +54,18 @@ def test_index_of_nothing_and_of_other_lengths(spark):
         vi.build(df.withColumn("embedding", F.when(F.col("vec_id") == 3, F.array(F.lit(1.0).cast("float"))).otherwise(F.col("embedding"))))
 
 
+def test_only_scores_of_their_floor_are_sorted(monkeypatch):
+    """What lies below the floors is neither rounded nor sorted."""
+    g, sizes = np.random.default_rng(3), []
+    raw, ids = np.round(g.uniform(-1, 1, (30, 200)), 2), g.permutation(200)
+    floor = np.sort(np.round(raw, 6) + 0.0, 1)[:, -4]
+    sort = np.lexsort
+    want = [(i, int(j), raw[i, j]) for i in range(30) for j in [j for j in sort((ids, -raw[i])) if raw[i, j] >= floor[i]][:3]]
+    monkeypatch.setattr(vi.np, "lexsort", lambda keys: (sizes.append(len(keys[-1])), sort(keys))[1])
+    a, b, s = vi.at_least(raw, floor, ids, 3)
+    assert list(zip(a.tolist(), b.tolist(), s.tolist())) == want and sum(sizes) < 30 * 20
+
+
 def test_names_as_ids(spark):
     items = clustered(60)
     df = spark.createDataFrame([(f"k{i:03d}", v) for i, v in items], "vec_id string, embedding array<double>")
