@@ -122,6 +122,7 @@ def test_likenesses_of_aliases_are_no_rows(spark, monkeypatch):
     want = greedy(items, 0.8)
     assert {r["pos"]: int(r["canonical"][1:]) for r in graph.resolve_similar(df, 0.8).collect()} == want
     assert sum(written) < 2000  # of some 7,000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8_000_000  # whole blocks are rows
 
 
 def one_by_one(items, least):
