@@ -14,9 +14,10 @@ classes outside of its largest component are held against all of its other compo
 classes of crowded tiles meet by rare shingles instead, whatever their tiles: their shingles are ordered by how many of
 these classes have each, then by hash. A linked pair shares at least 2p/(1+p) of the smaller set and p of the larger one,
 so its rarest common shingle lies in the first (1-p)/(1+p) of the smaller set and in the first 1-p of the larger one. Sets
-that were edited too much fill their first places with shingles that nobody else has, so they meet nobody; the number of
-shingles that others have bounds the overlap of those that do meet. So every pair that shares a tile is linked, connected,
-ruled out or compared, no tile is gathered in one place, and none is expanded into all of its pairs.
+that were edited too much fill their first places with shingles that nobody else has, so they meet nobody. Of those that do
+meet, the places of the rarest common shingle bound the overlap, and so do bitmaps of the shingles that others have, without
+those that nobody else has; a pair that meets again soon after isn't given again. So every pair that shares a tile is linked,
+connected, ruled out or compared, no tile is gathered in one place, and none is expanded into all of its pairs.
 
 Words are runs without ASCII white space, A-Z in lower case; a shingle is ``SHINGLE`` words, and a shorter text's whole
 word sequence is one. Null, empty and blank texts have no shingles and link with nothing. Shingles are compared by their
@@ -44,6 +45,8 @@ LONGS = 8
 LEADERS, ROUNDS = 2, 1
 #: Classes of an open tile beyond which they meet by rare shingles.
 CROWDED = 32
+#: Rarer shingles that go with each rare shingle of a crowded class, so that a pair that they brought together isn't given again.
+BEFORE = 8
 #: Sets of a task whose parts have been given; an equal set met again in the task gives none.
 SEEN = 200_000
 
@@ -136,11 +139,11 @@ def sketched(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
     return written(map_arrow(docs.select(F.col(key).alias("k"), utf8(text).alias("t"), F.xxhash64(text).alias("th")), run, schema), "jaccard-sketches")
 
 
-def may_link(a: str, b: str, percent: int, common: str | None = None) -> Column:
-    """By sizes and bitmaps, and ``common`` (shingles that others have too): false only for pairs that can't be linked."""
+def may_link(a: str, b: str, percent: int, of: str = "n") -> Column:
+    """By sizes and by bitmaps of the ``of`` shingles that can be common: false only for pairs that can't be linked."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     only = lambda p, q: sum((F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c)))) for c in BITS[1:]), F.bit_count(p(BITS[0]).bitwiseAND(F.bitwise_not(q(BITS[0])))))
-    overlap = F.least(x("n") - only(x, y), y("n") - only(y, x), *([x(common), y(common)] if common else []))
+    overlap = F.least(x(of) - only(x, y), y(of) - only(y, x))
     return (100 * x("n") >= percent * y("n")) & (100 * y("n") >= percent * x("n")) & ((100 + percent) * overlap >= percent * (x("n") + y("n")))
 
 
@@ -182,7 +185,8 @@ def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str
     """Pairs (x, y) of the classes ``members`` (s, label) of other labels that sizes, bitmaps and rare shingles allow.
 
     Shingles that only classes of one label hold can't be what a pair shares, so they stand first in the order of rareness,
-    with those of a single class, and aren't joined."""
+    with those of a single class, and aren't joined. Bitmaps are of the others: what a class lacks isn't hidden by its own
+    edits. A pair is given at its rarest common shingle, and at later ones only where ``BEFORE`` others or more lie between."""
 
     def exploded(batches):
         hashes = WordHashes()
@@ -194,20 +198,24 @@ def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str
                     part = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(found[part])), pa.array(own[part]), pa.array(group[part])], ["g", "s", "l"])
 
-    members = written(members.distinct().join(classes.select("c", "s", "n", *BITS), "s"), "jaccard-crowd")
+    members = written(members.distinct().join(classes.select("c", "s", "n"), "s"), "jaccard-crowd")
     texts = texts_of(members.select("c"), classes, docs, key, text).dropDuplicates(["c"])
     texts = texts.join(members.select("c", F.col("label").cast("long").alias("l")).dropDuplicates(["c"]), "c").select("c", "t", "l")
     each = written(map_arrow(texts, exploded, "g long, s long, l long"), "jaccard-crowd-shingles")
     held = each.groupBy("g").agg(F.count("*").alias("df"), F.min("l").alias("low"), F.max("l").alias("high")).where("low < high").select("g", "df")
     own = Window.partitionBy("s")
-    ranked = each.drop("l").join(held, "g").withColumn("at", F.row_number().over(own.orderBy("df", "g"))).withColumn("m", F.count("*").over(own))
+    order = own.orderBy("df", "g")
+    bits = [F.bit_or(F.expr(f"IF((g & {64 * LONGS - 1}) DIV 64 = {i}, shiftleft(1L, CAST(g & 63 AS INT)), 0L)")).over(own).alias(b) for i, b in enumerate(BITS)]
+    before = F.collect_list("g").over(order.rowsBetween(-BEFORE, -1)).alias("before")
+    ranked = each.drop("l").join(held, "g").select("g", "s", F.row_number().over(order).alias("at"), before, F.count("*").over(own).alias("m"), *bits)
     ranked = ranked.join(members, "s").withColumn("at", F.col("n") - F.col("m") + F.col("at"))
     reach = lambda share: F.floor(F.col("n") * (100 - percent) / share) + 1
     first = written(ranked.where(F.col("at") <= reach(100)).withColumn("small", F.col("at") <= reach(100 + percent)), "jaccard-rare")
     discard(each, members)
     a, b = first.where("small").alias("a"), first.alias("b")
     later = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") < F.col("b.s")))
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & later & (F.col("a.label") != F.col("b.label")) & may_link("a", "b", percent, "m"))
+    rest = (100 + percent) * (1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))) >= percent * (F.col("a.n") + F.col("b.n"))
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & later & (F.col("a.label") != F.col("b.label")) & rest & may_link("a", "b", percent, "m") & ~F.arrays_overlap("a.before", "b.before"))
     return met.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y"))
 
 

@@ -34,6 +34,29 @@ def test_crowded_tiles(spark, monkeypatch, crowded):
     assert len(set(roots)) < len(texts)
 
 
+def test_rare_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of one text with three edits each share their rarest words' shingles, but no two link: their pairs aren't made, and linked ones are made once."""
+    monkeypatch.setattr(jaccard, "CROWDED", 0)
+    made, whole = [], jaccard.rare_pairs
+
+    def counted(*args):
+        out = whole(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "rare_pairs", counted)
+    draw, base, texts = random.Random(7), [f"b{i}" for i in range(150)], []
+    for i in range(80):
+        ws = list(base)
+        for at in draw.sample(range(150), 3):
+            ws[at] = f"x{i}-{at}"
+        texts += [" ".join(ws)] + [" ".join(ws[:-1])] * (i % 10 == 0)
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    sizes, roots = brute_components(texts, 5, 80)
+    assert sorted(map(tuple, jaccard.jaccard_components(df, size=5, percent=80).collect())) == [(i, n, r) for i, (n, r) in enumerate(zip(sizes, roots))]
+    assert len(set(roots)) < len(texts) and made[0] <= 160, made
+
+
 def test_windows_by_shuffle(spark, monkeypatch):
     """Decontamination gives the same rows whether the windows are broadcast or shuffled."""
     texts = families(6, 3)
