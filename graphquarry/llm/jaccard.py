@@ -186,7 +186,8 @@ def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str
 
     Shingles that only classes of one label hold can't be what a pair shares, so they stand first in the order of rareness,
     with those of a single class, and aren't joined. Bitmaps are of the others: what a class lacks isn't hidden by its own
-    edits. A pair is given at its rarest common shingle, and at later ones only where ``BEFORE`` others or more lie between."""
+    edits. A pair is given at its rarest common shingle, and at later ones only where ``BEFORE`` others or more lie between.
+    Classes that no other class shares enough shingles with are left out before shingles are joined with their counts."""
 
     def exploded(batches):
         hashes = WordHashes()
@@ -202,6 +203,10 @@ def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str
     texts = texts_of(members.select("c"), classes, docs, key, text).dropDuplicates(["c"])
     texts = texts.join(members.select("c", F.col("label").cast("long").alias("l")).dropDuplicates(["c"]), "c").select("c", "t", "l")
     each = written(map_arrow(texts, exploded, "g long, s long, l long"), "jaccard-crowd-shingles")
+    alone = each.groupBy("g").agg(F.count("*").alias("df"), F.min("s").alias("s")).where("df = 1").groupBy("s").agg(F.count("*").alias("alone"))
+    whole, members = members, members.join(alone, "s", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).drop("alone")
+    members = written(members, "jaccard-linkable")
+    crowd, each = each, each.join(bounded_broadcast(members.select("s")), "s", "left_semi")
     held = each.groupBy("g").agg(F.count("*").alias("df"), F.min("l").alias("low"), F.max("l").alias("high")).where("low < high").select("g", "df")
     own = Window.partitionBy("s")
     order = own.orderBy("df", "g")
@@ -211,7 +216,7 @@ def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str
     ranked = ranked.join(members, "s").withColumn("at", F.col("n") - F.col("m") + F.col("at"))
     reach = lambda share: F.floor(F.col("n") * (100 - percent) / share) + 1
     first = written(ranked.where(F.col("at") <= reach(100)).withColumn("small", F.col("at") <= reach(100 + percent)), "jaccard-rare")
-    discard(each, members)
+    discard(crowd, whole, members)
     a, b = first.where("small").alias("a"), first.alias("b")
     later = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.s") < F.col("b.s")))
     rest = (100 + percent) * (1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))) >= percent * (F.col("a.n") + F.col("b.n"))
@@ -222,6 +227,8 @@ def rare_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) of classes that are linked: by bitmaps that grow with the sets, then what is left by the sets."""
     for make, test, name in ((packed_map, maps_allow, "sieved"), (np.ndarray.tobytes, sets_linked, "links")):
+        if pairs.isEmpty():
+            return pairs
         own = texts_of(pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct(), classes, docs, key, text)
 
         def payloads(batches, make=make):
@@ -256,9 +263,9 @@ def candidates(raw: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return written(allowed.select(F.col("a.c").alias("x"), F.col("b.c").alias("y")), "jaccard-pairs")
 
 
-def labelled(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, s, label, crowded) of the tiles that still hold more than one component."""
-    roots = components(links).join(classes.select(F.col("c").alias("node"), "s"), "node").join(classes.select(F.col("c").alias("root"), F.col("s").alias("label")), "root").select("s", "label")
+def labelled(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, s, label, crowded) of the tiles that still hold more than one of the components ``found``."""
+    roots = found.where("node != root").join(classes.select(F.col("c").alias("node"), "s"), "node").join(classes.select(F.col("c").alias("root"), F.col("s").alias("label")), "root").select("s", "label")
     now = members.select("key", "s").join(bounded_broadcast(written(roots, "jaccard-roots")), "s", "left").withColumn("label", F.coalesce("label", "s"))
     parted = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", (F.col("rows") > CROWDED).alias("crowded"))
     return written(now.join(parted, "key"), "jaccard-open")
@@ -275,8 +282,9 @@ def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     slim = written(base.select("k", "th", "n", "c"), "jaccard-documents")
     discard(base, live)
     check = lambda raw: verified(candidates(raw, classes, percent), classes, docs, key, text, size, percent)
-    links = check(members.where("s != low").select(F.col("low").alias("s1"), F.col("s").alias("s2")))
-    spent, members = members, labelled(members, classes, links)
+    merged = lambda found, more: components(found.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more))
+    found = components(check(members.where("s != low").select(F.col("low").alias("s1"), F.col("s").alias("s2"))))
+    spent, members = members, labelled(members, classes, found)
     discard(spent)
     about = classes.drop("k", "rep")
     for turn in range(ROUNDS):  # the same classes lead many tiles, as they have the lowest hashes of the turn
@@ -290,8 +298,8 @@ def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
         discard(crowd)
         if not more.limit(1).count():
             break
-        links = links.unionByName(more)
-        spent, members = members, labelled(members, classes, links)
+        found = merged(found, more)
+        spent, members = members, labelled(members, classes, found)
         discard(spent)
     sparse = members.where("NOT crowded")
     main = sparse.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
@@ -302,8 +310,7 @@ def classed(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     rare = rare_pairs(members.where("crowded").select("s", "label"), classes, docs, key, text, size, percent)
     rest = written(rest.unionByName(rare).distinct(), "jaccard-pairs")
     discard(full, members)
-    links = links.unionByName(verified(rest, classes, docs, key, text, size, percent))
-    found = components(links)
+    found = merged(found, verified(rest, classes, docs, key, text, size, percent))
     rooted = classes.select("c", "k").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("k").alias("component"))
     return slim, written(rooted.join(least, "root").select("c", "root", "component"), "jaccard-components")

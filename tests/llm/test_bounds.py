@@ -5,7 +5,7 @@ import random
 import pytest
 from test_llm import SCHEMA, brute_components
 
-from graphquarry.llm import common, decontam, jaccard
+from graphquarry.llm import common, components, decontam, jaccard
 
 rng = random.Random(31)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -66,3 +66,53 @@ def test_windows_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, decontam.contamination(docs, items).collect())) == small
     assert any(r[-1] for r in small) and not all(r[-1] for r in small)
+
+
+def test_components_by_short_plans(spark, monkeypatch):
+    """Each step reads what was written before it, so that no query's plan, which the driver holds, grows with the rounds;
+    stars are left as they are, without a round."""
+    sources, whole = [], components.written
+
+    def counted(df, name):
+        sources.append(df._jdf.queryExecution().analyzed().toString().count("Relation"))
+        return whole(df, name)
+
+    monkeypatch.setattr(components, "written", counted)
+    path = [(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(60)]
+    star = [(b"900", f"{i}".encode()) for i in range(901, 930)] + [(b"999", b"999")]
+    for edges in (path + star, star, path[:1], []):
+        draw = random.Random(len(edges))
+        folder = common.written(spark.createDataFrame(draw.sample(edges, len(edges)), "x binary, y binary"), "test-edges")
+        sources.clear()
+        got = {bytes(r["node"]): bytes(r["root"]) for r in components.components(folder).collect()}
+        ends = sorted({e for pair in edges for e in pair} - {b"999"})
+        assert got == {e: b"000" if e < b"900" else b"900" for e in ends}
+        assert max(sources) <= 2, sources
+        assert len(sources) == 2 or edges == path + star, sources
+
+
+def test_shingles_of_classes_without_links_are_not_joined(spark, monkeypatch):
+    """Texts that share a passage but have as many words of their own link with nothing: they go before their shingles are
+    joined with counts, and linked ones stay."""
+    monkeypatch.setattr(jaccard, "CROWDED", 0)
+    left, whole = [], jaccard.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "jaccard-linkable":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    line, texts = " ".join(f"line{i}" for i in range(60)), families(2, 6)
+    texts += [f"{line} " + " ".join(f"own{i}-{j}" for j in range(60)) for i in range(40)]
+    texts += [f"{line} {line} end{i}" for i in range(3)]
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    members = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    base = jaccard.sketched(members, "doc_id", "text", 4, 85)
+    classes = base.groupBy("c", "s").agg(jaccard.F.min(jaccard.F.struct("k", "th")).alias("rep"), jaccard.F.first("n").alias("n"))
+    crowd = base.select("s", jaccard.F.col("s").alias("label")).distinct()
+    pairs = jaccard.rare_pairs(crowd, whole(classes, "test-classes"), members, "doc_id", "text", 4, 85).distinct().count()
+    assert pairs >= 3 and 3 <= left[0] <= 15, (pairs, left)
+    sizes, roots = brute_components(texts, 4, 85)
+    assert sorted(map(tuple, jaccard.jaccard_components(df).collect())) == [(i, n, r) for i, (n, r) in enumerate(zip(sizes, roots))]
