@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +70,105 @@ def embed_rows(rows: DataFrame, key: str | list[str], text: str, into: str = "em
     each = each.select(*by, F.when(F.col("#s").isNotNull(), F.xxhash64("#s")).alias("#h"))
     sums = each.groupBy(*by).agg(*[F.coalesce(F.sum(lane(F.col("#h"), k)), F.lit(0)).alias(f"#{k}") for k in range(WIDTH)], F.count("#h").alias("#n"))
     return sums.select(*by, numbers([F.col(f"#{k}") for k in range(WIDTH)], F.col("#n")).alias(into))
+
+
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+SEED = np.uint64(42)
+#: Bytes of texts that are hashed at once, and features that one byte counts.
+AT_ONCE, BYTE = 1 << 16, 255
+
+
+def turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """``xxhash64`` of the ``n`` bytes from each of ``starts`` on, as Spark has it."""
+    def held(at: int, size: int) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        for j in range(size):
+            out |= data[starts + (at + j)].astype(np.uint64) << np.uint64(8 * j)
+        return out
+
+    at = 0
+    if n >= 32:
+        with np.errstate(over="ignore"):
+            lanes = [np.full(len(starts), v, np.uint64) for v in (SEED + P1 + P2, SEED + P2, SEED, SEED - P1)]
+        while at <= n - 32:
+            lanes = [turned(v + held(at + 8 * j, 8) * P2, 31) * P1 for j, v in enumerate(lanes)]
+            at += 32
+        h = turned(lanes[0], 1) + turned(lanes[1], 7) + turned(lanes[2], 12) + turned(lanes[3], 18)
+        for v in lanes:
+            h = (h ^ (turned(v * P2, 31) * P1)) * P1 + P4
+    else:
+        h = np.full(len(starts), SEED, np.uint64) + P5
+    h += np.uint64(n)
+    while at + 8 <= n:
+        h = turned(h ^ (turned(held(at, 8) * P2, 31) * P1), 27) * P1 + P4
+        at += 8
+    if at + 4 <= n:
+        h = turned(h ^ (held(at, 4) * P1), 23) * P2 + P3
+        at += 4
+    for at in range(at, n):
+        h = turned(h ^ (data[starts + at].astype(np.uint64) * P5), 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def key_vectors(keys: pa.Array) -> np.ndarray:
+    """``embed`` of texts by their ``content_key``, a row each, by numpy; the numbers stand in the order of a hash's bits."""
+    out = np.zeros((len(keys), DIMS))
+    held = [(k or "").encode() for k in keys.to_pylist()]
+    size = np.cumsum([len(k) for k in held])
+    at = 0
+    while at < len(held):  # as many as fit the processor's caches
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + AT_ONCE, "right")))
+        few_vectors(held[at:to], out[at:to])
+        at = to
+    return out
+
+
+def few_vectors(keys: list[bytes], out: np.ndarray) -> None:
+    # a space before and behind each key, and a line end before each, which stands for the one before each word
+    data = np.frombuffer(b"".join(b"\n %b \n" % k for k in keys), np.uint8)
+    line = data == 10
+    key_of = ((np.cumsum(line, dtype=np.int32) - 1) >> 1).astype(np.int32)
+    ends = np.flatnonzero(line)[1::2]
+    full = np.array([k != b"" for k in keys])
+    space = data == 32
+    lined = np.where(space, np.uint8(10), data)
+    marks = np.flatnonzero(space[:-1] & ~line[1:] & full[key_of[:-1]])  # the space before each word
+    stops = np.flatnonzero(space[1:] & ~line[:-1] & full[key_of[1:]]) + 1
+    word_of = key_of[marks]
+    chars = np.flatnonzero(((data & 0xC0) != 0x80) & ~line)
+    own, after = key_of[chars], np.append(chars, len(data))
+    runs = np.flatnonzero(own[:-2] == own[2:])
+    run_of, run_at = own[runs], chars[runs]
+    closing = np.append(own, -1)[runs + 3] != run_of
+    run_end = np.where(closing, ends[run_of], after[runs + 3])
+    for source, at, length, of in ((lined, marks, stops - marks, word_of), (data, run_at, run_end - run_at, run_of)):
+        order = np.argsort(length.astype(np.uint16) if length.max(initial=0) < 1 << 16 else length, kind="stable")
+        h = np.empty(len(at), np.uint64)
+        for group in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            if len(group):
+                h[group] = hashes(source, at[group], int(length[group[0]]))
+        counted(h, of, out)
+    out *= 2
+    out -= (np.bincount(word_of, minlength=len(keys)) + np.bincount(run_of, minlength=len(keys)))[:, None]
+
+
+def counted(h: np.ndarray, of: np.ndarray, into: np.ndarray) -> None:
+    """Adds to row ``of`` of ``into`` (rows in order) the bits of each hash: eight counts share a number, each in one of its bytes."""
+    if not len(h):
+        return
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    lengths = np.diff(np.append(first, len(of)))
+    parts = -(-lengths // BYTE)
+    cuts = np.repeat(first, parts) + BYTE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    sums = np.empty((len(cuts), 64), np.uint8)
+    for k in range(8):
+        ones = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts)
+        sums[:, k::8] = ones.view(np.uint8).reshape(len(cuts), 8)
+    rows = np.cumsum(parts) - parts
+    into[of[first]] += np.add.reduceat(sums[:, :DIMS], rows, axis=0, dtype=np.float64)

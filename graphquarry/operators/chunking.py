@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.embedding import key_vectors
 from ..functions.text import SENTENCE_END, sentences, strip
 from ..functions.vector import dot
 
@@ -117,6 +122,44 @@ def semantic_chunks(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, p
     return lists.select("doc_id", F.posexplode(pieces).alias("chunk_index", "content")).where(strip(F.col("content")) != "")
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Six places, ties away from zero by a number's shortest text, as Spark rounds."""
+    out = np.round(x, 6) + 0.0
+    near = np.abs(np.abs(x * 1e6 - np.floor(x * 1e6)) - 0.5) < 1e-4
+    out[near] = [float(Decimal(repr(float(v))).quantize(Decimal("1e-6"), ROUND_HALF_UP)) + 0.0 for v in x[near]]
+    return out
+
+
+#: Texts whose vectors are held at once.
+HELD = 16_384
+
+
+def key_distances(keys: pa.Array) -> np.ndarray:
+    """The distances of ``semantic_distances`` between each text and the next, by their keys and the default embedding."""
+    out = np.zeros(max(0, len(keys) - 1))
+    for at in range(0, len(out), HELD):
+        x = key_vectors(keys.slice(at, HELD + 1))
+        size, dots = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", x[:-1], x[1:])
+        both = np.sqrt(size[:-1]) * np.sqrt(size[1:])
+        out[at : at + len(dots)] = np.where(both == 0, 0.0, rounded(1 - np.divide(dots, both, out=np.zeros_like(dots), where=both > 0)))
+    return out
+
+
+def meaning_pieces(said: list[str], distances: np.ndarray, size: int = SIZE, percentile: float = PERCENTILE) -> list[str]:
+    """The pieces that ``semantic_chunks`` makes of one document before long ones are cut, by its sentences and the distance of
+    each to the next."""
+    share = max(0.0, min(float(percentile), 100.0)) / 100.0
+    cut = distances >= np.sort(distances)[round(share * (len(distances) - 1))]
+    least, out, buf, n = max(60, size // 4), [], [said[0]], len(said[0])
+    for s, ends in zip(said[1:], cut.tolist()):
+        if ends and n >= least or n + len(s) > size:
+            out.append("".join(buf))
+            buf, n = [], 0
+        buf.append(s)
+        n += len(s)
+    return [*out, "".join(buf)]
+
+
 def core_sentences(docs: DataFrame, least: int = 12, most: int = 80) -> DataFrame:
     """(doc_id, pos, sentence, score): sentences of a fitting length; 1 for digits or marks of a statement, 0.5 for a full-width comma.
 

@@ -181,3 +181,32 @@ def test_variants(spark):
     got = {(r["variant"], r["k"]): (r["recall"], r["rounds"]) for r in evaluation.evaluate_variants(ways, samples, (1, 5), warm_up=0).collect()}
     assert set(v for v, _ in got) == {"vector_raw", "vector_rewritten", "hybrid_rrf", "hybrid_rrf_self_rag", "hybrid_rrf_reranker"}
     assert got["vector_rewritten", 1] == (1.0, 1.0) and got["hybrid_rrf", 1] == (1.0, 1.0) and got["vector_raw", 5] == (1.0, 1.0) and got["hybrid_rrf_self_rag", 5][0] == 1.0
+
+
+ODD = ["", " ", "a", "x" * 31, "y" * 33, "z" * 70, "ab " * 200, "你好。世界！", "😀 a 😀😀b", "ünïcode wörds " * 40, "\t\n", "İstanbul ΣΑΣ", "1 22 333 4444 55555 666666 7777777 88888888"]
+
+
+def test_numpy_embeds_as_columns_do(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from graphquarry.functions.embedding import key_vectors
+    from graphquarry.functions.text import content_key
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, *ODD])], "i int, t string")
+    want = df.select("i", content_key(F.col("t")).alias("k"), embed(F.col("t")).alias("v")).orderBy("i").collect()
+    assert np.array_equal(key_vectors(pa.array([r["k"] for r in want])), np.array([r["v"] for r in want]))
+
+
+def test_default_chunks_by_meaning_take_no_shuffle(spark):
+    """They are those of the same embedding given as a function, and each document is cut in its own row."""
+    words = ["river bank water boat", "loan rate credit bank", "dog cat bird fish"]
+    said = lambda k: "".join(f"{words[(i * i + k) % 3]} {i % 5}{'。!?;'[i % 4]}{' ' * (i % 3)}" for i in range(30))
+    plain = lambda t, kind="paragraph": (kind, t, 3, "h", kind == "table")
+    docs = [("a", [plain(said(0)), plain("| x | y |", "table"), plain(said(1) + "w" * 700 + "\n\n" + "v " * 400)]), ("b", [plain("t", "heading"), plain("short. one")]), ("c", [plain("a。b。")]), ("d", []), ("e", None), ("f", [(*plain(None)[:1], None, 0, "", False), plain(None, "table"), plain(said(2))]), ("g", [plain("u" * 900), plain("!!！\n \n" + said(1))])]
+    docs += [(f"o{i}", [plain(t), plain(t * 9)]) for i, t in enumerate(ODD)]
+    df = spark.createDataFrame([(d, "text", f"/x/{d}", b) for d, b in docs], f"doc_id string, doc_type string, path string, blocks {office.BLOCKS}")
+    for size, share in ((512, 85), (64, 50), (20, 0)):
+        got, want = (office.chunk_documents(df, e, size, size // 8, share) for e in (embed, lambda c: embed(c)))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 40 and "Exchange" not in office.chunk_documents(df, embed)._jdf.queryExecution().executedPlan().toString()
