@@ -164,7 +164,16 @@ def graph_contexts(entities: DataFrame, relations: DataFrame, questions: DataFra
     then up to three shortest paths of each entity to the next two. The source is that of the first citation. ``entities``
     has name, type, description and provenance, ``relations`` head, rel_type, tail and provenance. Unknown entities
     add nothing, and an entity that is named twice is searched once but listed twice."""
-    named = settled(questions.select("query_id", F.posexplode(clean_terms(F.col("entities"), ENTITIES)).alias("place", "name")), "asked")
+    asked, found = graph_lists(entities, relations, questions, hub)
+    return asked.join(found, "list").drop("list")
+
+
+def graph_lists(entities: DataFrame, relations: DataFrame, questions: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """``graph_contexts`` as (query_id, list) and the contexts of each list, as questions that name the same entities share them."""
+    terms = clean_terms(F.col("entities"), ENTITIES)
+    asked = settled(questions.select("query_id", F.to_json(terms).alias("list"), terms.alias("terms")).where(F.size("terms") > 0), "asked")
+    questions = asked.select(F.col("list").alias("query_id"), F.col("terms").alias("entities")).distinct()
+    named = settled(questions.select("query_id", F.posexplode("entities").alias("place", "name")), "named")
     edges = Edges(relations, hub)
     around = settled(trails(edges, named.select("name").distinct()), "around")
     around = with_provenance(around, entities, relations, ["start", "rank"])
@@ -182,4 +191,4 @@ def graph_contexts(entities: DataFrame, relations: DataFrame, questions: DataFra
     rows = near.unionByName(ways).withColumn("citations", cited(F.col("provenance")))
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("order"))
     source = F.coalesce(F.get("citations", F.lit(0))["source"], F.lit("knowledge_graph"))
-    return rows.select("query_id", pos.alias("pos"), "content", source.alias("source"), F.lit(1.0).alias("score"), F.lit("graph").alias("retrieval_type"), "strategy", "citations")
+    return asked.drop("terms"), rows.select(F.col("query_id").alias("list"), pos.alias("pos"), "content", source.alias("source"), F.lit(1.0).alias("score"), F.lit("graph").alias("retrieval_type"), "strategy", "citations")

@@ -21,6 +21,7 @@ def build_variants(index: vector_index.Index, chunks: DataFrame, rewritten: Data
     contexts of vectors and of the graph, and their fusion) is made once and written, when the first of them needs it."""
     own = rewritten.withColumn("queries", F.when(F.size(F.coalesce("queries", F.array().cast("array<string>"))) > 0, F.col("queries")).otherwise(F.array("question")))
     made: dict[str, DataFrame] = {}
+    search = retrieval.by_embedding(index, embed)
 
     def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in made:
@@ -28,16 +29,16 @@ def build_variants(index: vector_index.Index, chunks: DataFrame, rewritten: Data
         return made[name]
 
     def vectors() -> DataFrame:
-        return once("vectors", lambda: retrieval.vector_contexts(index, chunks, own, embed))
+        return once("vectors", lambda: retrieval.vector_contexts(index, chunks, own, embed, search))
 
-    def linked() -> DataFrame:
-        return once("linked", lambda: paths.graph_contexts(entities, relations, own))
+    def linked(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return paths.graph_lists(entities, relations, questions)
 
     def shown(rows: DataFrame, queries: DataFrame, rounds: Column) -> DataFrame:
         return rows.join(queries.select("query_id"), "query_id", "left_semi").select("query_id", "rank", "content", "source", rounds.alias("rounds"))
 
     def vector_raw(queries: DataFrame, k: int) -> DataFrame:
-        near = vector_index.nearest(index, queries.select("query_id", embed(F.col("question")).alias("query")), k)
+        near = search(queries.select(F.col("query_id").alias("key"), F.col("question").alias("text")), k).withColumnRenamed("key", "query_id")
         rows = near.join(chunks.select(F.col("chunk_id").alias("vec_id"), "content", "source"), "vec_id")
         return rows.select("query_id", "rank", "content", "source", F.lit(1).alias("rounds"))
 
@@ -45,20 +46,28 @@ def build_variants(index: vector_index.Index, chunks: DataFrame, rewritten: Data
         lists = vectors().withColumn("list_id", F.floor((F.col("pos") - 1) / retrieval.EACH).cast("int"))
         return shown(retrieval.hybrid_fuse(lists, k), queries, F.lit(1))
 
-    def fused() -> DataFrame:
-        return once("fused", lambda: retrieval.retrieve(own, vectors(), linked(), top=2**31 - 1))
+    def fused(most: int) -> DataFrame:
+        """At least the first ``most`` of each question."""
+        depth = max(most, 20 if rerank else 8)
+
+        def make() -> DataFrame:
+            lists, graph = linked(own)
+            return retrieval.retrieve(own, vectors(), graph, top=depth, lists=lists)
+
+        return once(f"fused-{depth}", make)
 
     def hybrid_rrf(queries: DataFrame, k: int) -> DataFrame:
-        return shown(fused().where(F.col("rank") <= k), queries, F.lit(1))
+        return shown(fused(k).where(F.col("rank") <= k), queries, F.lit(1))
 
     def hybrid_rrf_self_rag(queries: DataFrame, k: int) -> DataFrame:
-        first = fused().where(F.col("rank") <= max(k, 8))
+        first = fused(max(k, 8)).where(F.col("rank") <= max(k, 8))
         texts = first.select("query_id", "key", "content", "source")
         again_texts: list[DataFrame] = []
 
         def again(weak: DataFrame) -> DataFrame:
             asked = rewrite(weak)
-            found = settled(retrieval.retrieve(asked, retrieval.vector_contexts(index, chunks, asked, embed), paths.graph_contexts(entities, relations, asked), rerank, top=20), "again")
+            lists, graph = linked(asked)
+            found = settled(retrieval.retrieve(asked, retrieval.vector_contexts(index, chunks, asked, embed, search), graph, rerank, top=20, lists=lists), "again")
             again_texts.append(found.select("query_id", "key", "content", "source"))
             return found.select("query_id", "rank", F.col("key").alias("item"))
 
@@ -69,7 +78,7 @@ def build_variants(index: vector_index.Index, chunks: DataFrame, rewritten: Data
         return shown(out.where(F.col("rank") <= k).join(named, ["query_id", "item"]), queries, F.col("rounds"))
 
     def hybrid_rrf_reranker(queries: DataFrame, k: int) -> DataFrame:
-        return shown(retrieval.reranked(fused(), own, rerank, k), queries, F.lit(1))
+        return shown(retrieval.reranked(fused(max(k, 20)), own, rerank, k), queries, F.lit(1))
 
     every: dict[str, Search] = {"vector_raw": vector_raw, "vector_rewritten": vector_rewritten, "hybrid_rrf": hybrid_rrf, "hybrid_rrf_self_rag": hybrid_rrf_self_rag}
     return every | ({"hybrid_rrf_reranker": hybrid_rrf_reranker} if rerank else {})

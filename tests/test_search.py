@@ -177,3 +177,21 @@ def test_contexts_of_a_graph(spark):
     ]
     assert [[(c["source"], c["chunk_id"]) for c in r["citations"]] for r in got][0] == [("s", "1"), ("t", ""), ("", "x"), ("d::e", "2")]
     assert [r["source"] for r in got] == ["s", "s", "", "", "s"]
+
+
+def test_queries_are_sent_once_to_a_region(spark, monkeypatch):
+    """Of vectors that point alike in all directions, every cell is open: a query is sent to each region, not to each cell."""
+    g = np.random.default_rng(7)
+    items = [(i, [float(x) for x in g.normal(size=24)]) for i in range(900)]
+    monkeypatch.setattr(vi, "REGION", 200)
+    df = spark.createDataFrame(items, "vec_id long, embedding array<double>")
+    index = vi.build(df, cells=30)
+    regions = vi.regions_of(index, 4)
+    assert sorted({r for _, _, r in regions}) == [0, 1, 2, 3] and sorted((c, p) for c, p, _ in regions) == sorted((c[0], p) for c in index.cells for p in range(c[1]))
+    asked = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(-2.0).alias("floor"))
+    sent = asked.mapInArrow(vi.visiting(index, True, 3, regions), "cell int, part int, angle double, id long, data binary, floor double")
+    assert sent.count() == 4 * 900 == sent.select("cell", "id").distinct().count()
+    s = cosines(items)
+    queries = df.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vi.nearest(index, queries, 3).collect()}
+    assert got == {(q, r + 1): (int(j), float(s[q, j])) for q in range(0, 900, 9) for r, j in enumerate(np.lexsort((np.arange(900), -s[q]))[:3])}

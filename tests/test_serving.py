@@ -210,3 +210,36 @@ def test_default_chunks_by_meaning_take_no_shuffle(spark):
         got, want = (office.chunk_documents(df, e, size, size // 8, share) for e in (embed, lambda c: embed(c)))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 40 and "Exchange" not in office.chunk_documents(df, embed)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_lists_fuse_as_whole_ones(spark):
+    """Lists of a graph that questions share are cut to what can be among the first, and give the first of the whole fusion."""
+    r = random.Random(5)
+    vector = [(q, p, "" if r.random() < 0.7 else f"c{p}", f"Text {r.randrange(40)}", f"v{p}", r.random(), "vector", 0, "") for q in range(12) for p in range(1, 8)]
+    graph = [(f"l{k}", p, f"text  {r.randrange(45)}", f"g{p}", 1.0, "graph", "neighbors", [(f"g{p}", str(k), 0, "")]) for k in range(3) for p in range(1, 56)]
+    vectors = spark.createDataFrame(vector, "query_id int, pos int, chunk_id string, content string, source string, score double, retrieval_type string, page int, heading_path string")
+    lists = spark.createDataFrame([(q, f"l{q % 3}") for q in range(1, 14)], "query_id int, list string")
+    held = spark.createDataFrame(graph, f"list string, pos int, content string, source string, score double, retrieval_type string, strategy string, citations array<{retrieval.CITATION}>")
+    questions = lists.select("query_id", F.lit("q").alias("question"))
+    for top in (1, 4, 8):
+        want = retrieval.retrieve(questions, vectors, lists.join(held, "list").drop("list"), top=2**31 - 1).where(F.col("rank") <= top)
+        got = retrieval.retrieve(questions, vectors, held, top=top, lists=lists)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        if top < 8:
+            assert retrieval.of_lists(vectors, held, lists, top)[1].groupBy("query_id").count().agg(F.max("count")).first()[0] < 55
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    from graphquarry.operators import vector_index
+
+    chunks = stores(spark)[0]
+    index, asked, search = vector_index.build(chunks.select("chunk_id", "embedding"), key="chunk_id"), [], vector_index.nearest
+    monkeypatch.setattr(retrieval.vector_index, "nearest", lambda i, q, k: (asked.append((q.count(), k)), search(i, q, k))[1])
+    once = retrieval.by_embedding(index, embed)
+    rows = spark.createDataFrame([(1, "river"), (2, "river"), (3, "fox"), (4, None)], "key int, text string")
+    first = sorted(map(tuple, once(rows, 2).collect()))
+    assert sorted(map(tuple, once(rows.where("key < 3"), 2).collect())) == [r for r in first if r[0] < 3] and asked == [(3, 5)]
+    want = search(index, rows.select(F.col("key").alias("query_id"), embed(F.col("text")).alias("query")), 2)
+    assert first == sorted(map(tuple, want.select("query_id", "rank", "vec_id", "score").collect()))
+    once(rows.where("key = 1"), 7)
+    assert asked[1:] == [(1, 7)] and sorted(map(tuple, once(rows, 2).collect())) == first
